@@ -94,12 +94,8 @@ class Words:
     ``is_word``: flags of the 256 byte values that words are made of. ``fold``: lower-case A-Z for the hash.
     """
 
-    #: Odd base of the polynomial hash modulo 2**64, its inverse, and random values of bytes.
-    BASE = 0x9E3779B97F4A7C15
-    INVERSE = pow(BASE, -1, 1 << 64)
+    #: Random odd values of bytes.
     VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    powers = np.ones(1, np.uint64)
-    inverses = np.ones(1, np.uint64)
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, hashed: bool = True):
         n = len(data)
@@ -117,14 +113,33 @@ class Words:
         if hashed:
             self.hashes = self._hash(data)
 
-    def _hash(self, data: np.ndarray) -> np.ndarray:
-        cls, n = type(self), len(data)
-        if len(Words.powers) < n + 1:
-            size = max(n + 1, 1 << 20)
-            Words.powers = np.cumprod(np.full(size, cls.BASE, np.uint64))
-            Words.inverses = np.cumprod(np.full(size, cls.INVERSE, np.uint64))
-        values = cls.VALUES.copy()
+    def _hash(self, data: np.ndarray, limit: int = 1 << 21) -> np.ndarray:
+        """Polynomial hashes of the words, mixed with their lengths; bytes are summed in stretches of about ``limit``."""
+        values = self.VALUES.copy()
         values[65:91] = values[97:123]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * Words.powers[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * Words.inverses[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        out = np.empty(len(self.starts), np.uint64)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + limit)))
+            base, end = int(self.starts[i]), int(self.ends[j - 1])
+            powers, inverses = _powers(end - base + 1)
+            sums = np.zeros(end - base + 1, np.uint64)
+            np.cumsum(values[data[base:end]] * powers[: end - base], out=sums[1:])
+            a, b = self.starts[i:j] - base, self.ends[i:j] - base
+            out[i:j] = mix((sums[b] - sums[a]) * inverses[a] + (b - a).astype(np.uint64))
+            i = j
+        return out
+
+
+#: Odd base of polynomial hashes modulo 2**64, and its inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+_known: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and INVERSE ** i for i below n at least."""
+    if len(_known[0]) < n:
+        for k, b in enumerate((BASE, INVERSE)):
+            _known[k] = np.cumprod(np.full(max(n, 1 << 21), b, np.uint64)) * np.uint64(pow(b, -1, 1 << 64))
+    return _known[0], _known[1]
