@@ -16,6 +16,7 @@ are packed as often as they occur; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,12 +29,20 @@ from pyspark.sql import functions as F
 #: Bytes of text whose pieces form one group, about.
 GROUP_BYTES = 4 << 20
 #: Words whose ids a task remembers.
-REMEMBER = 300_000
+REMEMBER = 400_000
 #: Texts of these characters alone are split here; all others go through the tokenizer's own normaliser.
 PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa0-\u012f\u0131-\u017f]")
+CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-zA-Z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letters that byte-level tokenizers write for bytes: printable bytes stand for themselves, others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokens:
     """Ids of texts by a word-level tokenizer file; ids of words are remembered.
 
@@ -41,37 +50,48 @@ class WordTokens:
     and joining their ids gives the same ids as encoding whole texts.
     """
 
+    _made: dict[str, WordTokens] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """One for each process, as tasks follow one another."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
+        self.ids = np.zeros(1 << 20, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
         self.starts = np.zeros(REMEMBER + 1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        at = len(self.index)
-        for word, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            start = self.starts[at]
-            end = start + len(e.ids)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[start:end] = e.ids
-            self.index[word] = at
-            at += 1
-            self.starts[at] = end
+    def _learn(self, words: set[str]) -> None:
+        at, model, flat, ends = len(self.index), self.tokenizer.model, [], []
+        start = int(self.starts[at])
+        for word in words:
+            flat += [t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
+            ends.append(start + len(flat))
+        self.index.update(zip(words, range(at, at + len(words)), strict=True))
+        self.starts[at + 1 : at + 1 + len(ends)] = ends
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[start : ends[-1]] = flat
 
     def encode(self, text: str) -> np.ndarray:
-        if not text.isascii() and PLAIN.search(text) or text.isascii() and re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text):
+        if (CONTROL if text.isascii() else PLAIN).search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         words = WORD.findall(text.lower())
-        new = [w for w in set(words) if w not in self.index]
+        new = set(words).difference(self.index)
         if len(self.index) + len(new) > REMEMBER:
             self._clear()
-            new = list(set(words))
+            new = set(words)
             if len(new) > REMEMBER:
                 return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if new:
@@ -90,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
     """The pieces of each document: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = WordTokens.of(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
