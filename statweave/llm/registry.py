@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, licenses, packing, secrets
+from . import cws, jaccard, knn, licenses, packing, secrets, suffix
 from .common import table
 
 
@@ -30,12 +30,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), size=4096, end_id=2)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"), width=5, percent=80).drop("class_id")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_report(table(spark, sf_dir, "documents"), size=400)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_cover_tree_top_k, op2_license_scan, op4_packing, op7_secret_scan]
+    made = [op1_cover_tree_top_k, op2_license_scan, op4_packing, op5_ngram_jaccard_join, op7_secret_scan, op8_document_fingerprints, op9_suffix_dedup]
     return {f.__name__: f for f in made}
 
 
