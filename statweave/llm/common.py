@@ -94,9 +94,6 @@ class Words:
     ``is_word``: flags of the 256 byte values that words are made of. ``fold``: lower-case A-Z for the hash.
     """
 
-    #: Random odd values of bytes.
-    VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, hashed: bool = True):
         n = len(data)
         flags = np.zeros(n + 2, np.int8)
@@ -111,24 +108,28 @@ class Words:
         #: The first word of each text, and one more entry.
         self.first = np.searchsorted(self.starts, offsets)
         if hashed:
-            self.hashes = self._hash(data)
-
-    def _hash(self, data: np.ndarray, limit: int = 1 << 21) -> np.ndarray:
-        """Polynomial hashes of the words, mixed with their lengths; bytes are summed in stretches of about ``limit``."""
-        values = self.VALUES.copy()
-        values[65:91] = values[97:123]
-        out = np.empty(len(self.starts), np.uint64)
-        i = 0
-        while i < len(out):
-            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + limit)))
-            base, end = int(self.starts[i]), int(self.ends[j - 1])
-            powers, inverses = _powers(end - base + 1)
-            sums = np.zeros(end - base + 1, np.uint64)
-            np.cumsum(values[data[base:end]] * powers[: end - base], out=sums[1:])
-            a, b = self.starts[i:j] - base, self.ends[i:j] - base
-            out[i:j] = mix((sums[b] - sums[a]) * inverses[a] + (b - a).astype(np.uint64))
-            i = j
-        return out
+            self.hashes = span_hashes(data, self.starts, self.ends)
+
+
+#: Random odd values of bytes; A-Z has those of a-z.
+VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+VALUES[65:91] = VALUES[97:123]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 21) -> np.ndarray:
+    """64-bit hashes of the byte spans, by rising starts; bytes are summed in stretches of about ``limit``."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + limit)))
+        base, end = int(starts[i]), int(ends[i:j].max())
+        powers, inverses = _powers(end - base + 1)
+        sums = np.zeros(end - base + 1, np.uint64)
+        np.cumsum(VALUES[data[base:end]] * powers[: end - base], out=sums[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((sums[b] - sums[a]) * inverses[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 #: Odd base of polynomial hashes modulo 2**64, and its inverse.
