@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, jaccard, knn, licenses, packing, secrets, suffix
+from . import cws, editcount, jaccard, knn, licenses, packing, pieces, secrets, suffix, toxicity
 from .common import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -26,14 +27,26 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return scored.withColumn("rejected", F.col("p_toxic") >= toxicity.REJECT)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), size=4096, end_id=2)
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), size=4096, end_id=2)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"), width=5, percent=80).drop("class_id")
 
 
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return editcount.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -46,8 +59,15 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_report(table(spark, sf_dir, "documents"), size=400)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_cover_tree_top_k, op2_license_scan, op4_packing, op5_ngram_jaccard_join, op7_secret_scan, op8_document_fingerprints, op9_suffix_dedup]
+    made = [
+        op1_cover_tree_top_k, op2_license_scan, op3_toxicity_chain, op4_packing, op5_ngram_jaccard_join,
+        op6_edit_aware_counts, op7_secret_scan, op8_document_fingerprints, op9_suffix_dedup, op10_sentencepiece,
+    ]
     return {f.__name__: f for f in made}
 
 

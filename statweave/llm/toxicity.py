@@ -39,6 +39,8 @@ TRAIN_ROWS = 8000
 FEATURES = 4096
 FOLDS = 3
 PENALTY = 1.0
+#: Documents with at least this probability of the last category are rejected.
+REJECT = 0.3
 PREFIXES = (4, 5, 6)
 #: category -> the SQL condition on the columns of ``labels`` that it stands for; in the order of the chain.
 CHAIN = {
