@@ -1 +1 @@
-"""streaming"""
+"""Streaming forms of the time-series operators."""
