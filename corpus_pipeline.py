@@ -27,7 +27,10 @@ BROADCAST_IDS = 2_000_000
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     models = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, models).where(F.col("p_toxic") < toxicity.REJECT).select(*docs.columns)
+    prefix = "p_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return toxicity.score(docs, models, prefix).where(F.col(f"{prefix}toxic") < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,22 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one struct column ``row`` beside new columns, whose names then clash with none of docs'."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unpacked(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of docs again, with a new text and, where docs has it, n_chars set anew."""
+    out = df.select("row", text.alias("new"))
+    made = []
+    for f in docs.schema.fields:
+        own = F.col("row").getField(f.name)
+        own = F.col("new") if f.name == "text" else F.length("new").cast(f.dataType) if f.name == "n_chars" else own
+        made.append(own.alias(f.name, metadata=f.metadata))
+    return out.select(*made)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column as UTF-8 bytes (uint8) and n + 1 offsets; null counts as empty."""
     if column.null_count:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import packed, stored, unpacked
 
 #: kind -> (pattern, group whose length counts, least length), in the order in which kinds at one start are listed.
 STRONG = {
@@ -134,8 +134,8 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
     """The documents with every reported span replaced by ``mask`` (overlapping spans by one); all columns stay, n_chars is set anew."""
-    spans = find_spans(docs, scope).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    text = F.col("text")
+    spans = find_spans(docs, scope).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    text = F.col("row.text")
     first = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def add(a: Column, s: Column) -> Column:
@@ -145,9 +145,6 @@ def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataF
         wider = F.struct(a["out"].alias("out"), F.greatest(a["at"], end).alias("at"))
         return F.when(start >= a["at"], new).otherwise(wider)
 
-    cut = F.aggregate("_spans", first, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    keyed = docs.withColumn("_key", row_key(docs)).join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    out = keyed.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(cut))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    cut = F.aggregate("spans", first, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    keyed = packed(docs, key=row_key(docs)).join(spans, "key", "left")
+    return unpacked(keyed, docs, F.when(F.col("spans").isNull(), text).otherwise(cut))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, stored, text_buffer
+from .common import blocks, mix, packed, stored, text_buffer, unpacked
 
 GRAM = 32
 #: Contents of an anchor that one task puts in order, at most (about 600 bytes each).
@@ -279,11 +279,8 @@ def dedup_report(docs: DataFrame, size: int = 400, group: int = GROUP) -> DataFr
 
 def dedup(docs: DataFrame, size: int = 400, group: int = GROUP) -> DataFrame:
     """docs without repeated bytes (characters that are cut in two go as a whole); all columns stay, n_chars is set anew."""
-    own = keyed(docs)
-    texts = own.select("th", "n", "text")
-    left = cut(texts, repeated(texts, size, group)).select("th", "n", "kept")
-    out = own.join(left, ["th", "n"], "left").withColumn("text", F.coalesce("kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
-
+    own = keyed(docs.select("text"))
+    left = cut(own, repeated(own, size, group)).select("th", "n", "kept")
+    text = F.coalesce(docs["text"], F.lit(""))
+    whole = packed(docs, th=F.xxhash64(text), n=F.octet_length(text)).join(left, ["th", "n"], "left")
+    return unpacked(whole, docs, F.coalesce("kept", "row.text"))

@@ -216,10 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str | Column] = C
     return {name: Model(vocabulary[m.features], m.weights) for name, m in models.items()}
 
 
-def score(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
+def score(docs: DataFrame, models: dict[str, Model], prefix: str = "p_") -> DataFrame:
     """docs with a probability p_<category> for each category (columns of that name are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = [f"p_{name}" for name in models]
+    names = [f"{prefix}{name}" for name in models]
     kept = docs.drop(*names)
     text, columns = kept.columns.index("text"), [*kept.columns, *names]
 
