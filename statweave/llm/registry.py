@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, editcount, jaccard, knn, licenses, packing, pieces, secrets, suffix, toxicity
+from . import cws, editcount, jaccard, knn, licenses, packing, pieces, secrets, sql, suffix, toxicity
 from .common import table
 
 
@@ -71,18 +71,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
-OP1_SQL = """
-WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree_top_k": OP1_SQL}
+    return {
+        "op1_cover_tree_top_k": sql.TOP_K,
+        "op2_license_scan": sql.license_scan(),
+        "op5_ngram_jaccard_join": sql.JACCARD,
+        "op7_secret_scan": sql.secret_scan(),
+        "op9_suffix_dedup": sql.SUFFIX,
+    }
