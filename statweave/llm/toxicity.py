@@ -8,7 +8,7 @@ are chosen anew there too).  At scoring time the earlier models' own
 probabilities take their place.
 
 Features are presence flags of words and of their first 4, 5 and 6 bytes, so
-that a stem counts under any ending.  A model keeps the ``FEATURES`` features
+that a stem counts under any ending, hashed to ``BITS`` bits.  A model keeps the ``FEATURES`` features
 that a likelihood-ratio test ranks first and is fitted by L-BFGS with an L2
 penalty.
 
@@ -42,6 +42,7 @@ PENALTY = 1.0
 #: Documents with at least this probability of the last category are rejected.
 REJECT = 0.3
 PREFIXES = (4, 5, 6)
+BITS = 22
 #: category -> the SQL condition on the columns of ``labels`` that it stands for; in the order of the chain.
 CHAIN = {
     "junk": "quality = 0",
@@ -51,7 +52,7 @@ CHAIN = {
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct feature hashes of each text."""
+    """The sorted distinct feature numbers of each text (int32, below 2 ** BITS)."""
     data, offsets = text_buffer(column)
     for i, j in blocks(offsets, 1 << 20):
         own = offsets[i : j + 1] - offsets[i]
@@ -64,7 +65,7 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
             long = size >= n
             found.append(span_hashes(part, words.starts[long], words.starts[long] + n) ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             of.append(text[long])
-        found, of = np.concatenate(found), np.concatenate(of)
+        found, of = (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32), np.concatenate(of)
         order = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(j - i + 1))
         found = found[order]
@@ -77,7 +78,7 @@ class Rows:
 
     def __init__(self, counts: np.ndarray, columns: np.ndarray):
         self.counts, self.columns = counts, columns
-        self.row = np.repeat(np.arange(len(counts)), counts)
+        self.row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
 
     def take(self, which: np.ndarray) -> Rows:
         mask = np.zeros(len(self.counts), bool)
@@ -86,7 +87,7 @@ class Rows:
 
 
 class Model(NamedTuple):
-    features: np.ndarray  # feature numbers (or hashes), sorted
+    features: np.ndarray  # feature numbers, sorted
     weights: np.ndarray  # theirs, then those of the earlier categories' log odds, then the constant
 
 
@@ -107,21 +108,22 @@ def probabilities(model: Model, row: np.ndarray, column: np.ndarray, n: int, ear
     return 1 / (1 + np.exp(-z))
 
 
-def fit(x: Rows, width: int, y: np.ndarray, earlier: np.ndarray, keep: int = FEATURES) -> Model:
-    """Choose features and fit; ``width``: number of features in all."""
+def fit(x: Rows, y: np.ndarray, earlier: np.ndarray, keep: int = FEATURES) -> Model:
+    """Choose features and fit; y: 0 or 1 for each row."""
     n, good = len(y), y.sum()
     if not 0 < good < n:
         p = (good / n if n else 0.0) * (1 - 2e-6) + 1e-6
-        return Model(np.zeros(0, np.int64), np.append(np.zeros(earlier.shape[1]), log_odds(np.array(p))))
-    seen = np.bincount(x.columns, minlength=width).astype(float)
-    with_ = np.bincount(x.columns, y[x.row], width)
-    gain = _likelihood_ratio(with_, seen, good, n)
-    gain[seen < 3] = 0
-    best = np.sort(np.argsort(-gain, kind="stable")[: min(keep, int((gain > 0).sum()))])
-    at = np.full(width, -1)
-    at[best] = np.arange(len(best))
-    mask = at[x.columns] >= 0
-    row, column, k = x.row[mask], at[x.columns[mask]], len(best)
+        return Model(np.zeros(0, np.int32), np.append(np.zeros(earlier.shape[1]), log_odds(np.array(p))))
+    width = 1 << BITS
+    seen = np.bincount(x.columns, minlength=width)
+    some = np.flatnonzero(seen >= 3)
+    with_ = np.bincount(x.columns[(y > 0)[x.row]], minlength=width)[some]
+    gain = _likelihood_ratio(with_.astype(float), seen[some].astype(float), good, n)
+    best = np.sort(some[np.argsort(-gain, kind="stable")[: min(keep, int((gain > 0).sum()))]]).astype(np.int32)
+    at = np.full(width, -1, np.int32)
+    at[best] = np.arange(len(best), dtype=np.int32)
+    column = at[x.columns]
+    row, column, k = x.row[column >= 0], column[column >= 0], len(best)
     dense = np.hstack([log_odds(earlier), np.ones((n, 1))])
     penalty = np.full(k + dense.shape[1], PENALTY)
     penalty[-1] = 1e-4
@@ -175,23 +177,23 @@ def lbfgs(loss, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
     return w
 
 
-def train_chain(x: Rows, width: int, ys: dict[str, np.ndarray], folds: np.ndarray) -> dict[str, Model]:
+def train_chain(x: Rows, ys: dict[str, np.ndarray], folds: np.ndarray) -> dict[str, Model]:
     """A model per category, each fitted on out-of-fold probabilities of the earlier ones."""
     n = len(x.counts)
     earlier, models = np.zeros((n, 0)), {}
     for name, y in ys.items():
-        models[name] = fit(x, width, y, earlier)
+        models[name] = fit(x, y, earlier)
         out = np.zeros(n)
         for f in range(FOLDS):
             inside, rest = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
             part, held = x.take(rest), x.take(inside)
-            out[inside] = probabilities(fit(part, width, y[rest], earlier[rest]), held.row, held.columns, len(inside), earlier[inside])
+            out[inside] = probabilities(fit(part, y[rest], earlier[rest]), held.row, held.columns, len(inside), earlier[inside])
         earlier = np.column_stack([earlier, out])
     return models
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str | Column] = CHAIN, rows: int = TRAIN_ROWS) -> dict[str, Model]:
-    """Models by category from at most ``rows`` labelled documents; their features are hashes."""
+    """Models by category from at most ``rows`` labelled documents."""
     some = labels.where("doc_id is not null and toxic is not null and quality is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     judged = [F.expr(e) if isinstance(e, str) else e for e in chain.values()]
@@ -200,20 +202,18 @@ def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str | Column] = C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.view(np.int64) for s in features(batch.column("text"))]
+            sets = list(features(batch.column("text")))
             ends = np.cumsum([0, *map(len, sets)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(f"y{i}") for i in range(len(chain))), lists], ["doc_id", *(f"y{i}" for i in range(len(chain))), "f"])
 
-    schema = "doc_id long, " + ", ".join(f"y{i} double" for i in range(len(chain))) + ", f array<long>"
+    schema = "doc_id long, " + ", ".join(f"y{i} double" for i in range(len(chain))) + ", f array<int>"
     made = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[f"y{i}" for i in range(len(chain))]).mapInArrow(run, schema).toArrow()
     ids, f = made["doc_id"].to_numpy(), made["f"].combine_chunks()
     counts = f.value_lengths().to_numpy(zero_copy_only=False).astype(int) if len(f) else np.zeros(0, int)
-    vocabulary, columns = np.unique(f.flatten().to_numpy().view(np.uint64), return_inverse=True)
     folds = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(FOLDS)
     ys = {name: made[f"y{i}"].to_numpy() for i, name in enumerate(chain)}
-    models = train_chain(Rows(counts, columns), len(vocabulary), ys, folds.astype(int))
-    return {name: Model(vocabulary[m.features], m.weights) for name, m in models.items()}
+    return train_chain(Rows(counts, f.flatten().to_numpy()), ys, folds.astype(int))
 
 
 def score(docs: DataFrame, models: dict[str, Model], prefix: str = "p_") -> DataFrame:
@@ -234,7 +234,7 @@ def score(docs: DataFrame, models: dict[str, Model], prefix: str = "p_") -> Data
                     row.append(np.full(len(found), i))
                     column.append(found)
             row = np.concatenate(row) if row else np.zeros(0, int)
-            column = np.concatenate(column) if column else np.zeros(0, np.uint64)
+            column = np.concatenate(column) if column else np.zeros(0, np.int32)
             earlier = np.zeros((n, 0))
             for m in chain.values():
                 earlier = np.column_stack([earlier, probabilities(m, row, column, n, earlier)])

@@ -107,17 +107,17 @@ def test_out_of_fold_probabilities_differ_from_fitted_ones():
     rng = np.random.default_rng(0)
     n, width = 120, 500
     counts = np.full(n, 10)
-    x = toxicity.Rows(counts, rng.integers(0, width, counts.sum()))
+    x = toxicity.Rows(counts, rng.integers(0, width, counts.sum()).astype(np.int32))
     y = rng.integers(0, 2, n).astype(float)  # noise: fitted probabilities would give the label away
     seen = {}
     true_fit = toxicity.fit
     try:
-        toxicity.fit = lambda x, w, y, e, *a: seen.setdefault((len(y), e.shape[1]), e) is None or true_fit(x, w, y, e, *a)
-        toxicity.train_chain(x, width, {"a": y, "b": y}, np.arange(n) % toxicity.FOLDS)
+        toxicity.fit = lambda x, y, e: seen.setdefault((len(y), e.shape[1]), e) is None or true_fit(x, y, e)
+        toxicity.train_chain(x, {"a": y, "b": y}, np.arange(n) % toxicity.FOLDS)
     finally:
         toxicity.fit = true_fit
     held_out = seen[n, 1][:, 0]
-    fitted = toxicity.probabilities(true_fit(x, width, y, np.zeros((n, 0))), x.row, x.columns, n, np.zeros((n, 0)))
+    fitted = toxicity.probabilities(true_fit(x, y, np.zeros((n, 0))), x.row, x.columns, n, np.zeros((n, 0)))
     assert abs(np.corrcoef(held_out, y)[0, 1]) < 0.3 < np.corrcoef(fitted, y)[0, 1]
 
 
