@@ -46,6 +46,11 @@ def sample_exact(df: DataFrame, fraction: float, total: int | None = None, seed:
     return whole.drop("_draw")
 
 
+def draw(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """k rows by chance (all, if there are fewer), for small k: the rows with the least random numbers."""
+    return df.withColumn("_draw", F.rand(seed)).orderBy("_draw").limit(k).drop("_draw")
+
+
 def filter_table(df: DataFrame, condition: Column | str | Callable[[dict], bool]) -> DataFrame:
     """Rows for which the condition is true; null counts as false.
 

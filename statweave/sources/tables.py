@@ -52,6 +52,11 @@ class Dataset:
         """One column alone."""
         return self.df.select(field_of(self.schema, column).name)
 
+    def view(self, name: str) -> Dataset:
+        """Make the table known to SQL."""
+        self.df.createOrReplaceTempView(name)
+        return self
+
     def write(self, path: str | None = None) -> Dataset:
         return write_table(self, path)
 
@@ -117,6 +122,15 @@ def write_table(table: Dataset, path: str | None = None) -> Dataset:
     return open_dataset(table.df.sparkSession, path)
 
 
+def write_value(spark: SparkSession, path: str, value: object, name: str = "value") -> None:
+    """A single value as a table of one row."""
+    spark.createDataFrame([(value,)], [name]).write.mode("overwrite").parquet(path)
+
+
+def read_value(spark: SparkSession, path: str) -> object:
+    return spark.read.parquet(path).first()[0]
+
+
 def combine(spark: SparkSession, table: Table, path: str) -> Dataset:
     """One file of all rows, for results that fit one."""
     as_df(spark, table).coalesce(1).write.mode("overwrite").parquet(path)

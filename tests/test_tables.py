@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from statweave.operators import rows, stats
 from statweave.plans.jobs import run_job
+from statweave.sources import files
 from statweave.sources import schema as S
 from statweave.sources import tables as T
 
@@ -119,3 +120,20 @@ def test_unknown_names_are_errors(spark):
     with pytest.raises(ValueError):
         S.def_schema("x", "no kind")
     assert S.build_dimensions(["b", "a", "c"]) == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_files_and_values(spark, tmp_path):
+    at = files.join(f"file://{tmp_path}", "a", "/b/")
+    files.mkdir(spark, at)
+    T.write_value(spark, files.join(at, "v"), 7.5)
+    assert T.read_value(spark, files.join(at, "v")) == 7.5
+    assert [x.rsplit("/", 1)[1] for x in files.ls(spark, at)] == ["v"] and files.ls(spark, at, files_only=True) == []
+    (tmp_path / "t.txt").write_text("one\ntwo\n")
+    assert files.show(spark, str(tmp_path / "t.txt"), 1) == ["one"]
+    assert files.delete(spark, at) and not files.exists(spark, at) and not files.delete(spark, at)
+
+
+def test_views_and_draws(spark):
+    T.Dataset(spark.range(5)).view("five")
+    assert spark.sql("SELECT sum(id) FROM five").first()[0] == 10
+    assert rows.draw(spark.range(100), 7).count() == 7 and rows.draw(spark.range(3), 7).count() == 3
