@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, mix, text_buffer
+from .common import Words, blocks, mix
 from .licenses import WORD_BYTES
 
 SAMPLES = 64
