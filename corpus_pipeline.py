@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statweave.llm import jaccard, packing, secrets, suffix, toxicity
-from statweave.llm.common import stored, table
+from statweave.llm.common import Stored, stored, table
 from statweave.llm.registry import vocabulary
 
-#: Greatest number of ids that are broadcast to drop their documents: 16 MB; beyond it documents are joined.
-BROADCAST_IDS = 2_000_000
+#: Greatest number of ids that are broadcast to drop their documents: 4 MB; beyond it documents are joined.
+BROADCAST_IDS = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        now = Stored(stage(spark, docs, sf_dir))
+        if last:
+            last.drop()
+        docs, last = now.df, now
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.storage import Stored, shared_dir, stored  # noqa: F401
 
@@ -48,6 +52,19 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[ends[0] : ends[-1]], ends - ends[0]
 
 
+#: Bytes of an Arrow batch between Spark and Python: what a worker makes of a batch of texts is several times as large.
+BATCH_BYTES = 8 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_BYTES, which the session keeps as its setting (unless it has a smaller one)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", df.sparkSession.conf.get(name, None) or "")
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def blocks(offsets: np.ndarray, limit: int):
     """Row ranges (i, j) of at most ``limit`` bytes each, or of one row."""
     i, n = 0, len(offsets) - 1

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, mix
+from .common import Words, blocks, map_arrow, mix
 from .licenses import WORD_BYTES
 
 SAMPLES = 64
@@ -179,7 +179,7 @@ def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                     held, weight = held[-1:], len(row[1])
         yield _report(held, samples)
 
-    return parts.select("doc_id", "text", "range", "own").mapInArrow(run, SCHEMA)
+    return map_arrow(parts.select("doc_id", "text", "range", "own"), run, SCHEMA)
 
 
 def _report(rows: list[tuple], samples: int) -> pa.RecordBatch:

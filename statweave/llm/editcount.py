@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Pre-tokens in a leaf at first.
 LEAF = 64
 #: Characters past the end of a match that the pattern may look at.
@@ -208,4 +210,4 @@ def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, [pa.int64()] * 6 + [pa.string()])), [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)

@@ -19,6 +19,10 @@ shingles last.  Three sorts of work are skipped:
 Candidates are verified on whole sets of 64-bit shingle hashes, which are made
 again from the texts of the classes involved.
 
+Lists of shingles in more than ``HOT`` documents are salted by document while
+pivots are looked for, so that no task sees a whole one; joins on them are left to
+adaptive execution, which splits them.
+
 Counting: each task counts the shingles of its own texts and passes on those it
 has met twice, so all documents count; a shingle in more documents than there
 are tasks cannot be missed.  The most frequent ones, at most ``COMMON``, go to
@@ -41,13 +45,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stored, Words, blocks, byte_table, mix, stored, text_buffer
+from .common import Stored, Words, blocks, byte_table, map_arrow, mix, stored, text_buffer
 from .graph import components
 
 #: Greatest number of shingles that are sent to all tasks as common: 4 MB.
 COMMON = 1 << 19
-#: Greatest number of classes whose ids are broadcast to pick their texts: 16 MB; beyond it the texts are joined.
-BROADCAST_IDS = 2_000_000
+#: Bytes of text in which a task looks for shingles that it meets twice.
+COUNTED = 24 << 20
+#: Documents with a shingle from which on its list is dealt to several tasks, about so many to each.
+HOT = 20_000
+#: Greatest number of classes whose ids are broadcast to pick their texts: 4 MB; beyond it the texts are joined.
+BROADCAST_IDS = 500_000
 NOT_SPACE = byte_table(np.setdiff1d(np.arange(256), [9, 10, 11, 12, 13, 32]))
 
 
@@ -76,27 +84,37 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     """Shingles that many texts share, sorted, and how often tasks met them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0), width))
-            found, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = times >= 2
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], ["token", "times"])
-
-    counted = docs.select("text").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+            held += shingle_sets(batch.column(0), width)
+            size += batch.nbytes
+            if size > COUNTED:
+                yield often(np.concatenate(held))
+                held, size = held[:1], 0
+        yield often(np.concatenate(held))
+
+    def often(found: np.ndarray) -> pa.RecordBatch:
+        found.sort()
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+        times = np.diff(np.append(first, len(found)))
+        more = times >= 2
+        return pa.RecordBatch.from_arrays([pa.array(found[first[more]].view(np.int64)), pa.array(times[more])], ["token", "times"])
+
+    counted = map_arrow(docs.select("text"), count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     top = counted.where("times >= 8").orderBy(F.desc("times"), "token").limit(COMMON).toArrow()
     tokens, times = top["token"].to_numpy().view(np.uint64), top["times"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], times[order]
 
 
-def _sets(docs: DataFrame, width: int, tenths: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, fp (digest of the set) and its prefix under the common order."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _sets(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n, fp (digest of the set), its prefix under the common order, and the salts of its hot shingles (0 for others; null without any)."""
+    shared, hot = docs.sparkSession.sparkContext.broadcast(common), HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = shared.value
         for batch in batches:
-            n, fp, prefix = [], [], []
+            n, fp, prefix, salts = [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -104,17 +122,23 @@ def _sets(docs: DataFrame, width: int, tenths: int, common: tuple[np.ndarray, np
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     often = np.where(tokens[at] == s, times[at], 0)
                     if often.any():
-                        s = s[np.argsort(often, kind="stable")]
-                prefix.append(s[: len(s) - -(-len(s) * tenths // 100) + 1 if len(s) else 0].view(np.int64))
+                        order = np.argsort(often, kind="stable")
+                        s, often = s[order], often[order]
+                size = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
+                prefix.append(s[:size].view(np.int64))
+                salted = len(tokens) and size and often[size - 1] > hot  # the last is the most frequent
+                salts.append(np.where(often[:size] > hot, 1 + int.from_bytes(fp[-1][:4], "little") % (often[:size] // hot + 1), 0).tolist() if salted else None)
             ends = np.cumsum([0, *map(len, prefix)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), lists], ["doc_id", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), lists, pa.array(salts, pa.list_(pa.int32()))], ["doc_id", "n", "fp", "prefix", "salts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, fp binary, prefix array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n int, fp binary, prefix array<long>, salts array<int>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Stored:
     """The pairs (u, v) whose sets reach the similarity."""
+    told = Stored(pairs)
+    pairs = told.df
     ids = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
     few = ids.count() <= BROADCAST_IDS
 
@@ -126,12 +150,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "s"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"])
-    sets = stored(sets)
-    left, right = sets.select(F.col("id").alias("u"), F.col("s").alias("a")), sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
+    made = map_arrow(keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), run, "id long, s array<long>").dropDuplicates(["id"])
+    sets = Stored(made)
+    left, right = (sets.df.select(F.col("id").alias(i), F.col("s").alias(x)) for i, x in (("u", "a"), ("v", "b")))
     both = pairs.join(left, "u").join(right, "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    out = Stored(both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v"))
+    for done in (sets, told):
+        done.drop()
+    return out
 
 
 def _possible(n: str, i: str, m: str, j: str, percent: int):
@@ -143,21 +170,26 @@ def _possible(n: str, i: str, m: str, j: str, percent: int):
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_id (the smallest document of equal set) for each row of docs (doc_id, text)."""
-    rows = stored(_sets(docs, width, percent, common_shingles(docs, width)))
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
-    entries = classes.where("c is not null").select("c", "n", F.posexplode("prefix").alias("i", "token"))
-    of = W.partitionBy("token")
-    lists = stored(
-        entries.withColumn("many", F.count("*").over(of)).withColumn("pivot", F.min(F.struct("c", "n", "i")).over(of)).where("many > 1").select("token", "c", "n", "i", "pivot")
-    )
+    sets = Stored(_sets(docs, width, percent, common_shingles(docs, width)))
+    own = F.min_by(F.struct("prefix", "salts"), "doc_id")
+    whole = sets.df.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), own.alias("own"))
+    entries = whole.where("c is not null").select("c", "n", "own.salts", F.posexplode("own.prefix").alias("i", "token"))
+    entries = entries.select("token", F.coalesce(F.get("salts", "i"), F.lit(0)).alias("salt"), "c", "n", "i")
+    of = W.partitionBy("token", "salt")
+    marked = Stored(entries.withColumn("many", F.count("*").over(of)).withColumn("pivot", F.min(F.struct("c", "n", "i")).over(of)).where("many > 1 OR salt > 0").drop("many"))
+    rows = stored(sets.df.select("doc_id", "n", "fp"))
+    sets.drop()
+    hot = marked.df.where("salt > 0")
+    hot = hot.drop("pivot").join(hot.groupBy("token").agg(F.min("pivot").alias("pivot")), "token")
+    lists = marked.df.where("salt = 0").unionByName(hot).drop("salt")
 
     # Round one: each class against the pivot that it meets most often.
     meets = lists.select("c", F.col("pivot.c").alias("p"), "n", "i", F.col("pivot.n").alias("m"), F.col("pivot.i").alias("j")).where("c <> p")
     can = _possible("n", "i", "m", "j", percent)
     often = meets.where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)).groupBy("c", "p").agg(F.count("*").alias("times"), F.max(can.cast("int")).alias("can"))
     first = often.where("can = 1").groupBy("c").agg(F.max_by("p", F.struct("times", -F.col("p"))).alias("p"))
-    links = stored(_verified(docs, stored(first.select(F.col("c").alias("u"), F.col("p").alias("v"))), width, percent))
-    known = components(links)
+    links = _verified(docs, first.select(F.col("c").alias("u"), F.col("p").alias("v")), width, percent)
+    known = components(links.df)
 
     # Round two: in each list, the members outside the pivot's component against all others of theirs.
     comp = known.select(F.col("node").alias("c"), "component")
@@ -166,16 +198,20 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         lists.withColumn("p", F.col("pivot.c")).drop("pivot").join(comp, "c", "left").join(pivots, "p", "left")
         .select("token", "c", "n", "i", F.coalesce("component", "c").alias("k"), (F.coalesce("component", "c") == F.coalesce("pc", "p")).alias("in"))
     )
-    placed = stored(placed.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))))
-    outside = placed.where(~F.col("in")).withColumn("block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)))
-    a, b = (d.select("token", "block", *[F.col(x).alias(x + y) for x in ("c", "n", "i", "k", "in")]) for d, y in ((outside, "1"), (placed, "2")))
+    placed = Stored(placed.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))))
+    marked.drop()
+    outside = placed.df.where(~F.col("in")).withColumn("block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)))
+    a, b = (d.select("token", "block", *[F.col(x).alias(x + y) for x in ("c", "n", "i", "k", "in")]) for d, y in ((outside, "1"), (placed.df, "2")))
     pairs = (
         a.join(b, ["token", "block"])
         .where((F.col("k1") != F.col("k2")) & (F.col("in2") | (F.col("c1") < F.col("c2"))) & _possible("n1", "i1", "n2", "i2", percent))
         .select(F.least("c1", "c2").alias("u"), F.greatest("c1", "c2").alias("v")).distinct()
     )
-    more = _verified(docs, stored(pairs), width, percent)
-    final = components(links.union(more))
+    more = _verified(docs, pairs, width, percent)
+    final = components(links.df.union(more.df))
+    for done in (placed, links, more):
+        done.drop()
 
-    out = rows.join(classes.select("fp", "c"), "fp", "left").join(final.select(F.col("node").alias("c"), "component"), "c", "left")
+    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"))
+    out = rows.join(classes, "fp", "left").join(final.select(F.col("node").alias("c"), "component"), "c", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "c", "doc_id").alias("component_id"), F.coalesce("c", "doc_id").alias("class_id"))

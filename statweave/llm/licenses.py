@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, blocks, byte_table, text_buffer
+from .common import Words, blocks, byte_table, map_arrow, text_buffer
 
 # Phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -263,7 +263,7 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, SCHEMA)
 
 
 def _row(text: bytes, starts: np.ndarray, ends: np.ndarray, scanner: Scanner, phrases: list) -> tuple:

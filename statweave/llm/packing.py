@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Bytes of text whose pieces form one group, about.
 GROUP_BYTES = 4 << 20
 #: Words whose ids a task remembers.
@@ -120,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES)
 
 
 class Tournament:

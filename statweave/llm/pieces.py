@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 SPACE = "▁"
 #: Stretches, and pairs of pieces, that a process remembers.
 REMEMBER = 400_000
@@ -374,4 +376,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)

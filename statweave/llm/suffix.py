@@ -39,15 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, packed, stored, text_buffer, unpacked
+from .common import Stored, blocks, map_arrow, mix, packed, stored, text_buffer, unpacked
 
 GRAM = 32
 #: Contents of an anchor that one task puts in order, at most (about 600 bytes each).
 GROUP = 20_000
 #: Bytes that are worked on at a time.
 STRETCH = 2 << 20
-#: Greatest number of text keys that are broadcast to pick texts; beyond it texts are joined.
-BROADCAST_KEYS = 2_000_000
+#: Greatest number of text keys that are broadcast to pick texts (8 MB); beyond it texts are joined.
+BROADCAST_KEYS = 500_000
 
 
 def loads(data: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ def _anchors(texts: DataFrame, size: int) -> DataFrame:
                     columns = [anchor.view(np.int64), content.view(np.int64), th[i + text], n[i + text], *((c + base).astype(np.int32) for c in (lo, hi, at))]
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["anchor", "content", "th", "n", "lo", "hi", "at"])
 
-    return texts.select("th", "n", "text").mapInArrow(run, schema)
+    return map_arrow(texts.select("th", "n", "text"), run, schema)
 
 
 def _picked(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -119,12 +119,12 @@ def _picked(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(keys) if few else keys, ["th", "n"], "left_semi").dropDuplicates(["th", "n"])
 
 
-def _cut_contexts(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """anchor, th, n, lo, at, bytes: what the wanted stretches cover."""
-    lists = stored(wanted.groupBy("th", "n").agg(F.collect_list(F.struct("anchor", "lo", "hi", "at")).alias("which")))
-    whole = _picked(texts, lists.select("th", "n")).join(lists, ["th", "n"]).select("th", "n", F.encode("text", "utf-8").alias("raw"), F.explode("which").alias("w"))
+def _cut_contexts(texts: DataFrame, wanted: DataFrame, size: int) -> tuple[Stored, DataFrame]:
+    """anchor, th, n, lo, at, bytes: what the wanted stretches cover; and a table that this reads."""
+    lists = Stored(wanted.groupBy("th", "n").agg(F.collect_list(F.struct("anchor", "lo", "hi", "at")).alias("which")))
+    whole = _picked(texts, lists.df.select("th", "n")).join(lists.df, ["th", "n"]).select("th", "n", F.encode("text", "utf-8").alias("raw"), F.explode("which").alias("w"))
     # substring() of binary counts bytes from 1
-    return whole.select("w.anchor", "th", "n", "w.lo", "w.at", F.expr(f"substring(raw, w.lo + 1, w.hi - w.lo + {size})").alias("bytes"))
+    return lists, whole.select("w.anchor", "th", "n", "w.lo", "w.at", F.expr(f"substring(raw, w.lo + 1, w.hi - w.lo + {size})").alias("bytes"))
 
 
 def window_groups(anchor: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def _ordered(contexts: DataFrame, size: int) -> DataFrame:
             for a, b in _parts(table["anchor"].to_numpy()):
                 yield intervals(table.slice(a, b - a))
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "th long, n int, start int, end int")
+    return map_arrow(contexts.repartition("anchor").sortWithinPartitions("anchor"), run, "th long, n int, start int, end int")
 
 
 def _parts(anchor: np.ndarray, rows: int = 2000) -> Iterator[tuple[int, int]]:
@@ -211,7 +211,7 @@ def _counted(contexts: DataFrame, size: int) -> DataFrame:
                 m = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array([anchor] * m), pa.array(keys, pa.binary()), pa.array([th] * m), pa.array([n] * m, pa.int32()), pa.array(range(lo, lo + m), pa.int32())], ["anchor", "w", "th", "n", "start"])
 
-    windows = contexts.select("anchor", "th", "n", "lo", "at", "bytes").mapInArrow(run, "anchor long, w binary, th long, n int, start int")
+    windows = map_arrow(contexts.select("anchor", "th", "n", "lo", "at", "bytes"), run, "anchor long, w binary, th long, n int, start int")
     often = windows.groupBy("anchor", "w").agg(F.count("*").alias("m")).where("m > 1")
     return windows.join(often, ["anchor", "w"]).select("th", "n", "start", (F.col("start") + size).alias("end"))
 
@@ -224,21 +224,26 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated(texts: DataFrame, size: int = 400, group: int = GROUP) -> DataFrame:
     """(th, n, spans): the sorted, merged byte ranges to remove, of the texts that have any; ``texts`` has (th, n, text)."""
-    rows = stored(_anchors(texts, size))
-    contents = rows.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.min(F.struct("th", "n", "lo", "hi", "at")).alias("one"))
-    contents = stored(contents)
-    several = contents.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
-    whole = rows.join(contents.where("m > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+    rows = Stored(_anchors(texts, size))
+    counted = rows.df.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.min(F.struct("th", "n", "lo", "hi", "at")).alias("one"))
+    contents = Stored(counted)
+    several = contents.df.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    whole = rows.df.join(contents.df.where("m > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
     whole = whole.select("th", "n", F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
-    wanted = contents.join(several, "anchor").select("anchor", "k", "one.*")
-    contexts = stored(_cut_contexts(texts, wanted.where(F.col("k") <= group), size))
-    parts = whole.union(_ordered(contexts, size))
+    wanted = contents.df.join(several, "anchor").select("anchor", "k", "one.*")
+    lists, contexts = _cut_contexts(texts, wanted.where(F.col("k") <= group), size)
+    kept = Stored(contexts)
+    parts, used = whole.union(_ordered(kept.df, size)), [rows, contents, lists, kept]
     large = wanted.where(F.col("k") > group)
     if not large.isEmpty():
-        parts = parts.union(_counted(_cut_contexts(texts, large, size), size))
+        lists, contexts = _cut_contexts(texts, large, size)
+        parts = parts.union(_counted(contexts, size))
+        used.append(lists)
     span = F.struct("start", "end")
-    found = parts.distinct().groupBy("th", "n").agg(F.array_sort(F.collect_list(span)).alias("found"))
-    return stored(found)
+    found = stored(parts.distinct().groupBy("th", "n").agg(F.array_sort(F.collect_list(span)).alias("found")))
+    for done in used:
+        done.drop()
+    return found
 
 
 RESULT = "th long, n int, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -262,7 +267,7 @@ def cut(texts: DataFrame, found: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), ["th", "n", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return _picked(texts, found.select("th", "n")).join(found, ["th", "n"]).select("th", "n", "text", "found").mapInArrow(run, RESULT)
+    return map_arrow(_picked(texts, found.select("th", "n")).join(found, ["th", "n"]).select("th", "n", "text", "found"), run, RESULT)
 
 
 def dedup_report(docs: DataFrame, size: int = 400, group: int = GROUP) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, span_hashes, text_buffer
+from .common import Words, blocks, map_arrow, span_hashes, text_buffer
 from .licenses import WORD_BYTES
 
 TRAIN_ROWS = 8000
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str | Column] = C
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(f"y{i}") for i in range(len(chain))), lists], ["doc_id", *(f"y{i}" for i in range(len(chain))), "f"])
 
     schema = "doc_id long, " + ", ".join(f"y{i} double" for i in range(len(chain))) + ", f array<int>"
-    made = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[f"y{i}" for i in range(len(chain))]).mapInArrow(run, schema).toArrow()
+    made = map_arrow(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[f"y{i}" for i in range(len(chain))]), run, schema).toArrow()
     ids, f = made["doc_id"].to_numpy(), made["f"].combine_chunks()
     counts = f.value_lengths().to_numpy(zero_copy_only=False).astype(int) if len(f) else np.zeros(0, int)
     folds = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(FOLDS)
@@ -225,9 +225,9 @@ def score(docs: DataFrame, models: dict[str, Model], prefix: str = "p_") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
+        wanted = np.unique(np.concatenate([m.features for m in chain.values()]))
         for batch in batches:
             n, row, column = batch.num_rows, [], []
-            wanted = np.unique(np.concatenate([m.features for m in chain.values()]))
             for i, found in enumerate(features(batch.column(text))):
                 if len(wanted) and len(found):
                     found = found[wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found]
@@ -242,4 +242,4 @@ def score(docs: DataFrame, models: dict[str, Model], prefix: str = "p_") -> Data
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *(StructField(x, DoubleType()) for x in names)]))
+    return map_arrow(kept, run, StructType([*kept.schema.fields, *(StructField(x, DoubleType()) for x in names)]))

@@ -94,6 +94,23 @@ def test_jaccard_without_broadcast_and_with_any_order(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(frame(spark, texts)).collect()} == want
 
 
+def test_jaccard_with_salted_lists(spark, monkeypatch):
+    """A large group of near copies whose shingles all count as hot."""
+    rng = random.Random(11)
+    base = prose(rng, 120).split()
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4])):
+            w[rng.randrange(len(w))] = f"m{k}_{rng.randrange(99)}"
+        texts.append(" ".join(w))
+    texts += corpus(6)
+    ids = rng.sample(range(5000), len(texts))
+    want = brute_components(ids, brute_sets(texts))
+    monkeypatch.setattr(jaccard, "HOT", 7)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(frame(spark, texts, ids).coalesce(1)).collect()} == want
+
+
 def test_jaccard_of_odd_tables(spark):
     assert jaccard.linked(frame(spark, [])).count() == 0
     same = jaccard.linked(frame(spark, ["a b c d e f"] * 3, [4, 4, None])).collect()
