@@ -31,7 +31,7 @@ from .common import map_arrow
 #: Bytes of text whose pieces form one group, about.
 GROUP_BYTES = 4 << 20
 #: Words whose ids a task remembers.
-REMEMBER = 400_000
+REMEMBER = 250_000
 #: Texts of these characters alone are split here; all others go through the tokenizer's own normaliser.
 PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa0-\u012f\u0131-\u017f]")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
