@@ -11,6 +11,7 @@ from ..sources.schema import numeric_columns
 from ..sources.storage import stored
 from .brush import axis_histogram, scaled
 from .rows import sample_bernoulli
+from .stats import GATHER, quantiles
 
 
 def _columns(df: DataFrame, columns: list[str] | None) -> list[str]:
@@ -18,11 +19,16 @@ def _columns(df: DataFrame, columns: list[str] | None) -> list[str]:
 
 
 def box_plot(df: DataFrame, columns: list[str] | None = None, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
-    """(column, min, q1, median, q3, max). Exact quartiles gather a column's distinct values; for columns of very many use exact=False."""
-    parts = []
-    for c in _columns(df, columns):
-        x, at = F.col(c).cast("double"), [0.25, 0.5, 0.75]
-        q = F.percentile(x, at) if exact else F.percentile_approx(x, at, accuracy)
+    """(column, min, q1, median, q3, max); quartiles exact by default, of any number of distinct values."""
+    names, at, parts = _columns(df, columns), [0.25, 0.5, 0.75], []
+    many = df.agg(*[F.approx_count_distinct(c) for c in names]).first() if exact else []
+    for i, c in enumerate(names):
+        x = F.col(c).cast("double")
+        if exact and many[i] > GATHER:
+            q = [F.lit(v) for v in quantiles(df, c, at)]
+        else:
+            found = F.percentile(x, at) if exact else F.percentile_approx(x, at, accuracy)
+            q = [found[k] for k in range(3)]
         parts.append(F.struct(F.lit(c).alias("column"), F.min(x).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("max")))
     return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parsing import number
 from ..sources.schema import field_of, numeric_columns
+from ..sources.storage import stored
 
 
 def _column(df: DataFrame, name: str) -> Column | None:
@@ -56,6 +60,45 @@ def table_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
 
 
+#: Distinct values of a column up to which one task may gather them for its quantiles.
+GATHER = 1_000_000
+
+
+def quantiles(df: DataFrame, column: str, probabilities: list[float], gather: int = GATHER) -> list[float | None]:
+    """Exact quantiles with linear interpolation; nulls don't count, and an empty column has none.
+
+    Up to ``gather`` distinct values (estimated) one aggregate keeps them all.
+    Beyond that values are counted, put in order and stored by ranges; the ranges'
+    totals say which of them hold the ranks in question, and only those are read again.
+    """
+    x = _column(df, column)
+    if x is None:
+        raise ValueError(f"column {column!r} is text")
+    values = df.select(x.alias("x")).where("x is not null")
+    if (values.agg(F.approx_count_distinct("x")).first()[0] or 0) <= gather:
+        return values.agg(F.percentile("x", probabilities)).first()[0] or [None] * len(probabilities)
+    ranged = stored(values.groupBy("x").agg(F.count("*").alias("n")).orderBy("x").withColumn("part", F.spark_partition_id()))
+    before, total = {}, 0
+    for part, n in sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n")).collect()):  # a row per range
+        before[part] = total, total + n
+        total += n
+    ranks = sorted({r for p in probabilities for r in (math.floor((total - 1) * p), math.ceil((total - 1) * p))})
+    wanted = {part: [r for r in ranks if a <= r < z] for part, (a, z) in before.items()}
+    at = {}
+    for part, inside in wanted.items():
+        if inside:
+            running = F.sum("n").over(W.orderBy("x")) + before[part][0]
+            for r in inside:
+                row = ranged.where(F.col("part") == part).select("x", running.alias("upto")).where(F.col("upto") > r).orderBy("x").first()
+                at[r] = row["x"]
+    out = []
+    for p in probabilities:
+        h = (total - 1) * p
+        lo, hi = at[math.floor(h)], at[math.ceil(h)]
+        out.append(lo + (hi - lo) * (h - math.floor(h)))
+    return out
+
+
 def sample_variance(df: DataFrame, column: str) -> DataFrame:
     """Variance with n - 1."""
     return df.agg(F.var_samp(column).alias("variance"))

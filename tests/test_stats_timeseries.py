@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -57,6 +58,15 @@ def test_normalized_values_lie_between_0_and_1(spark, xs):
     assert len(got) == len(xs) and (min(xs) == max(xs) or all(0 <= g <= 1 for g in got))
 
 
+@pytest.mark.parametrize("gather", [10**6, 0])
+def test_quantiles_are_exact_either_way(spark, gather):
+    xs = [float((i * 7919) % 503) for i in range(700)] + [None] * 5
+    df = spark.createDataFrame([(x,) for x in xs], "x double").repartition(3)
+    at = [0.0, 0.25, 0.5, 0.9, 1.0]
+    assert stats.quantiles(df, "x", at, gather) == pytest.approx(np.quantile([x for x in xs if x is not None], at).tolist())
+    assert stats.quantiles(df.where("false"), "x", at) == [None] * 5
+
+
 def test_sort_leaves_out_unreadable_dates(spark):
     s = S.def_schema("at", S.DATE_TIME, "x", S.INTEGER, date_formats={"at": "yyyy-MM-dd"})
     df = spark.createDataFrame([("2020-03-01", 3), ("bad", 0), (None, 9), ("2020-01-01", 1), ("2020-02-01", 2)], s)
