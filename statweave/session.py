@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,4 +23,13 @@ def build_session(name: str = "statweave", master: str | None = None, **settings
         builder = builder.master(master)
     for k, v in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return reachable(builder.getOrCreate())
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the library from where the driver has it (a cluster has it installed or gets it by --py-files)."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
