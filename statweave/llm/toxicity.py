@@ -9,7 +9,8 @@ probabilities take their place.
 
 Features are presence flags of words and of their first 4, 5 and 6 bytes, so
 that a stem counts under any ending, hashed to ``BITS`` bits.  A model keeps the ``FEATURES`` features
-that a likelihood-ratio test ranks first and is fitted by L-BFGS with an L2
+that a likelihood-ratio test ranks first, as far as chance does not explain them
+(``LEAST_GAIN``), and is fitted by L-BFGS with an L2
 penalty.
 
 Training uses at most ``TRAIN_ROWS`` labelled rows, those with the least hash of
@@ -37,10 +38,12 @@ from .licenses import WORD_BYTES
 
 TRAIN_ROWS = 8000
 FEATURES = 4096
+#: Log likelihood that a feature has to gain: three occurrences, all in a category of a tenth of the rows, just fail to.
+LEAST_GAIN = 7.0
 FOLDS = 3
 PENALTY = 1.0
 #: Documents with at least this probability of the last category are rejected.
-REJECT = 0.3
+REJECT = 0.4
 PREFIXES = (4, 5, 6)
 BITS = 22
 #: category -> the SQL condition on the columns of ``labels`` that it stands for; in the order of the chain.
@@ -119,7 +122,7 @@ def fit(x: Rows, y: np.ndarray, earlier: np.ndarray, keep: int = FEATURES) -> Mo
     some = np.flatnonzero(seen >= 3)
     with_ = np.bincount(x.columns[(y > 0)[x.row]], minlength=width)[some]
     gain = _likelihood_ratio(with_.astype(float), seen[some].astype(float), good, n)
-    best = np.sort(some[np.argsort(-gain, kind="stable")[: min(keep, int((gain > 0).sum()))]]).astype(np.int32)
+    best = np.sort(some[np.argsort(-gain, kind="stable")[: min(keep, int((gain >= LEAST_GAIN).sum()))]]).astype(np.int32)
     at = np.full(width, -1, np.int32)
     at[best] = np.arange(len(best), dtype=np.int32)
     column = at[x.columns]
