@@ -37,7 +37,8 @@ WORD_BYTES = byte_table(np.r_[48:58, 65:91, 97:123, 128:256])
 
 #: label | keyword that any text of it has | the name in words, as a regex. Hand-written, most specific first.
 NAMES = """
-agpl-3.0 | affero | (?:gnu )?(?:affero general public license|agpl)(?: (?:version|v)? ?3(?: 0)?)
+agpl-3.0 | affero | (?:gnu )?affero general public license(?: (?:version|v)? ?3(?: 0)?)
+agpl-3.0 | agpl | (?:gnu )?agpl(?: (?:version|v)? ?3(?: 0)?)
 agpl | affero | (?:gnu )?affero general public license
 lgpl-3.0 | lesser | (?:gnu )?lesser general public license(?: (?:version|v))? 3(?: 0)?
 lgpl-2.1 | lesser | (?:gnu )?lesser general public license(?: (?:version|v))? 2 1

@@ -268,6 +268,44 @@ def test_gate_never_hides_a_rule():
     assert len(scanner.rules) > 200
 
 
+def spellings(node):
+    """Texts that a parsed pattern matches, with every alternative and every optional part in and out once."""
+    out = [""]
+    for op, arg in node:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind == "BRANCH":
+            more = [t for branch in arg[1] for t in spellings(branch)]
+        elif kind == "SUBPATTERN":
+            more = spellings(arg[3])
+        elif kind == "MAX_REPEAT":
+            more = ([""] if arg[0] == 0 else []) + spellings(arg[2])
+        elif kind == "IN":
+            first = arg[0]
+            more = [chr(v) for k, v in arg if str(k) == "LITERAL"] or [{"RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: "x"}[str(first[0])](first[1])]
+        else:
+            assert kind == "ASSERT_NOT", kind
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_gate_passes_every_alternative(spark):
+    """The prefilters let through every spelling of every rule, and no rule that matches it is left out."""
+    scanner = licenses.Scanner()
+    for r in scanner.rules:
+        for t in spellings(re._parser.parse(r.pattern)):
+            assert re.fullmatch(r.pattern, t), (r.pattern, t)
+            assert scanner.may_hold(t.encode()), t
+            run = {i for _, which in scanner.gate.iter(t) for i in which}
+            assert scanner.rules.index(r) in run, (r, t)
+    real = ["Licensed under AGPL v3.", "SPDX-License-Identifier: AGPL-3.0", "the GNU Affero General Public License, version 3"]
+    got = {x["doc_id"]: x for x in licenses.scan(frame(spark, real)).collect()}
+    assert all("agpl-3.0" in got[i]["labels"].split(",") for i in range(3))
+    assert got[0]["detections"] == ["agpl-3.0:0:4"] and got[1]["detections"] == ["agpl-3.0:0:6"]
+
+
 def test_suppression_is_by_containment():
     d = licenses.Detection
     kept = licenses.suppress([d(0, 9, "a", 80, 0.9), d(2, 5, "b", 50, 0.7), d(8, 12, "c", 50, 0.7), d(2, 5, "z", 90, 0.7), d(2, 5, "e", 90, 0.7)])
