@@ -49,7 +49,8 @@ class WordTokens:
     """Ids of texts by a word-level tokenizer file; ids of words are remembered.
 
     The tokenizer encodes each word by itself, so encoding distinct words once
-    and joining their ids gives the same ids as encoding whole texts.
+    and joining their ids gives the same ids as encoding whole texts; texts that
+    hold an added token go to the tokenizer as a whole.
     """
 
     _made: dict[str, WordTokens] = {}
@@ -66,6 +67,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Lower-cased texts of added tokens, which the tokenizer takes out of a text before it splits words.
+        self.added = [a.content.lower() for a in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self._clear()
 
@@ -87,9 +90,10 @@ class WordTokens:
         self.ids[start : ends[-1]] = flat
 
     def encode(self, text: str) -> np.ndarray:
-        if (CONTROL if text.isascii() else PLAIN).search(text):
+        low = text.lower()
+        if (CONTROL if text.isascii() else PLAIN).search(text) or any(a in low for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = WORD.findall(text.lower())
+        words = WORD.findall(low)
         new = set(words).difference(self.index)
         if len(self.index) + len(new) > REMEMBER:
             self._clear()

@@ -158,6 +158,21 @@ def test_packing_is_exact(spark):
     assert sorted(r["length"] for r in twice) == [1, 2, 2] and {r["doc_id"] for r in twice} == {1, None}
 
 
+def test_packing_knows_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    full, tokens = Tokenizer.from_file(WORD_BPE), packing.WordTokens(WORD_BPE)
+    t = ["a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<|endoftext|>" * 300, "a <|ENDOFTEXT|> b <| endoftext |>", "é <|endoftext|>'s 日本", "<|endoftext"]
+    assert tokens.encode(t[0]).tolist() == [320, 49407, 321]
+    rng = random.Random(11)
+    t += ["".join(rng.choice([*ALPHABET, "<|endoftext|>", "<|startoftext|>", "<|", "|>"]) for _ in range(40)) for _ in range(100)]
+    for x in t:
+        assert tokens.encode(x).tolist() == full.encode(x, add_special_tokens=False).ids, x
+    for r in packing.pack(frame(spark, t[:6]), WORD_BPE).collect():
+        ids = np.array([*full.encode(t[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=80))
 def test_tournament_is_first_fit_decreasing(sizes):
