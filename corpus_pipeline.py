@@ -6,8 +6,9 @@ before it has kept; all but the last return the columns of ``documents``.
 1. toxicity: documents that the classifier chain rejects go;
 2. near_duplicates: of each group linked by 5-word shingle Jaccard similarity of
    0.8 or more the document with the smallest doc_id stays;
-3. repeated_passages: bytes in windows of 400 that start anywhere else go from
-   the texts (a document that consists of such bytes stays, with what is left);
+3. repeated_passages: windows of 51 words, and of 400 bytes, that start anywhere
+   else go from the texts (a document that consists of such windows stays, with
+   what is left);
 4. secrets: reported spans are masked in the texts;
 5. packing: the texts become pieces in sequences of 4096 tokens.
 """
@@ -44,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix.dedup(docs, size=400)
+    return suffix.dedup(docs, size=400, words=51)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

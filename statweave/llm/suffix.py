@@ -23,6 +23,12 @@ after each pass.
 Digits after the first are 64-bit fingerprints of the bytes, which keep equal
 and unequal apart; no other order is needed.
 
+Windows may also be counted in words, which are then the letters of the suffixes:
+a window of ``words`` words that starts anywhere else is removed as well.  Words
+are runs without white space, compared without case (A-Z) and without ASCII
+punctuation around them; what goes are the bytes from the first word's first to
+the last word's last.  Both kinds of windows take the same steps.
+
 Defined results: a null text is empty; texts shorter than ``size`` lose nothing;
 repeated rows are copies of each other and lose all their windows; coverage
 belongs to a text's content, so doc_id may be null or repeat.
@@ -39,9 +45,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, blocks, map_arrow, mix, packed, stored, text_buffer, unpacked
+from .common import Stored, Words, blocks, byte_table, map_arrow, mix, packed, span_hashes, stored, text_buffer, unpacked
 
 GRAM = 32
+#: The anchor's length where windows are counted in words, and bytes that words don't hold or aren't told apart by.
+GRAM_WORDS = 8
+NOT_SPACE = byte_table(np.r_[0:9, 14:32, 33:256])
+INNER = byte_table(np.r_[48:58, 65:91, 97:123, 128:256])
 #: Contents of an anchor that one task puts in order, at most (about 600 bytes each).
 GROUP = 20_000
 #: Bytes that are worked on at a time.
@@ -65,6 +75,23 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def word_letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts without punctuation around them: starts, ends, hashes, and the first word of each text (and one more entry)."""
+    words, inner = Words(data, offsets, NOT_SPACE, hashed=False), np.flatnonzero(INNER[data])
+    a, b = np.searchsorted(inner, words.starts), np.searchsorted(inner, words.ends)
+    some = a < b  # a word of nothing but punctuation stays as it is
+    starts, ends = words.starts.copy(), words.ends.copy()
+    starts[some], ends[some] = inner[a[some]], inner[b[some] - 1] + 1
+    return starts, ends, span_hashes(data, starts, ends), words.first
+
+
+def word_gram_hashes(letters: np.ndarray) -> np.ndarray:
+    h, width = letters, 1
+    while width < GRAM_WORDS:
+        h, width = mix(h[:-width] * np.uint64(0xC2B2AE3D27D4EB4F) + h[width:]), width * 2
+    return h
+
+
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, by doubling."""
     now = 1
@@ -73,11 +100,10 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - now)], values[width - now :]) if now < width else values
 
 
-def stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Stretches of windows with one anchor, of texts [starts, ends) in ``data``: text, first and last window, place of the anchor, hash of the anchor."""
-    h = gram_hashes(data)
+def stretches(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Stretches of windows with one anchor, of texts [starts, ends) whose pieces of ``gram`` letters have hashes ``h``: text, first and last window, place of the anchor, hash of the anchor."""
     place = np.uint64((1 << 24) - 1)
-    least = least_in_windows((h & ~place) | np.arange(len(h), dtype=np.uint64), size - GRAM + 1) & place
+    least = least_in_windows((h & ~place) | np.arange(len(h), dtype=np.uint64), size - gram + 1) & place
     long = np.flatnonzero(ends - starts >= size)
     counts = (ends - starts)[long] - size + 1
     text = np.repeat(long, counts)
@@ -89,8 +115,7 @@ def stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int)
 
 
 def _anchors(texts: DataFrame, size: int) -> DataFrame:
-    """anchor, content, th, n, lo, hi (first and last window), at (place of the anchor in the text) of (th, n, text)."""
-    schema = "anchor long, content long, th long, n int, lo int, hi int, at int"
+    """anchor, content, th, n, start, end (the bytes that the windows cover), at (letters before the anchor) of (th, n, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +129,44 @@ def _anchors(texts: DataFrame, size: int) -> DataFrame:
                     if len(part) < size:
                         continue
                     starts, ends = (np.array([0]), np.array([len(part)])) if j == i + 1 else (offsets[i:j] - o, offsets[i + 1 : j + 1] - o)
-                    text, lo, hi, at, anchor = stretches(part, starts, ends, size)
+                    text, lo, hi, at, anchor = stretches(gram_hashes(part), starts, ends, size, GRAM)
                     raw, base = part.tobytes(), (s - o if j == i + 1 else 0) - starts[text]
                     content = np.fromiter((xxhash.xxh3_64_intdigest(raw[x : y + size], z - x) for x, y, z in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)), np.uint64, len(lo))
-                    columns = [anchor.view(np.int64), content.view(np.int64), th[i + text], n[i + text], *((c + base).astype(np.int32) for c in (lo, hi, at))]
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["anchor", "content", "th", "n", "lo", "hi", "at"])
+                    yield _rows(anchor, content, th[i + text], n[i + text], lo + base, hi + size + base, at - lo)
+
+    return map_arrow(texts.select("th", "n", "text"), run, ANCHORS)
 
-    return map_arrow(texts.select("th", "n", "text"), run, schema)
+
+ANCHORS = "anchor long, content long, th long, n int, start int, end int, at int"
+
+
+def _rows(anchor: np.ndarray, content: np.ndarray, th: np.ndarray, n: np.ndarray, *places: np.ndarray) -> pa.RecordBatch:
+    columns = [anchor.view(np.int64), content.view(np.int64), th, n, *(c.astype(np.int32) for c in places)]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [x.split()[0] for x in ANCHORS.split(", ")])
+
+
+def _word_anchors(texts: DataFrame, size: int) -> DataFrame:
+    """The same for windows of ``size`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            th, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offsets = text_buffer(batch.column(2))
+            for i, j in blocks(offsets, STRETCH):
+                own = offsets[i : j + 1] - offsets[i]
+                starts, ends, letters, first = word_letters(data[offsets[i] : offsets[j]], own)
+                # A long text comes alone and in parts that overlap by a window.
+                for s in range(0, max(1, len(letters) - size + 1), STRETCH) if j == i + 1 else [0]:
+                    part = letters[s : s + STRETCH + size - 1] if j == i + 1 else letters
+                    if len(part) < size:
+                        continue
+                    a, b = (np.array([0]), np.array([len(part)])) if j == i + 1 else (first[:-1], first[1:])
+                    text, lo, hi, at, anchor = stretches(word_gram_hashes(part), a, b, size, GRAM_WORDS)
+                    raw = part.tobytes()
+                    content = np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * x : 8 * (y + size)], z - x) for x, y, z in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)), np.uint64, len(lo))
+                    yield _rows(anchor, content, th[i + text], n[i + text], starts[s + lo] - own[text], ends[s + hi + size - 1] - own[text], at - lo)
+
+    return map_arrow(texts.select("th", "n", "text"), run, ANCHORS)
 
 
 def _picked(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -119,25 +175,26 @@ def _picked(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(keys) if few else keys, ["th", "n"], "left_semi").dropDuplicates(["th", "n"])
 
 
-def _cut_contexts(texts: DataFrame, wanted: DataFrame, size: int) -> tuple[Stored, DataFrame]:
-    """anchor, th, n, lo, at, bytes: what the wanted stretches cover; and a table that this reads."""
-    lists = Stored(wanted.groupBy("th", "n").agg(F.collect_list(F.struct("anchor", "lo", "hi", "at")).alias("which")))
+def _cut_contexts(texts: DataFrame, wanted: DataFrame) -> tuple[Stored, DataFrame]:
+    """anchor, th, n, start, at, bytes: what the wanted stretches cover; and a table that this reads."""
+    lists = Stored(wanted.groupBy("th", "n").agg(F.collect_list(F.struct("anchor", "start", "end", "at")).alias("which")))
     whole = _picked(texts, lists.df.select("th", "n")).join(lists.df, ["th", "n"]).select("th", "n", F.encode("text", "utf-8").alias("raw"), F.explode("which").alias("w"))
     # substring() of binary counts bytes from 1
-    return lists, whole.select("w.anchor", "th", "n", "w.lo", "w.at", F.expr(f"substring(raw, w.lo + 1, w.hi - w.lo + {size})").alias("bytes"))
+    return lists, whole.select("w.anchor", "th", "n", "w.start", "w.at", F.expr("substring(raw, w.start + 1, w.end - w.start)").alias("bytes"))
 
 
-def window_groups(anchor: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def window_groups(anchor: np.ndarray, at: np.ndarray, digit: np.ndarray, width: int, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows of stretches that occur in another stretch too: (stretch, window), in order.
 
-    ``at``: place of the anchor in the stretch; ``data``, ``offsets``: the bytes that stretches cover.
+    ``at``: place of the anchor in the stretch; ``digit``: hashes of the ``width`` letters from each place on;
+    ``offsets``: the letters that stretches cover.
     """
     counts = np.diff(offsets) - size + 1
     which = np.repeat(np.arange(len(counts)), counts)
     j = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
     p = offsets[which] + j
     key = mix(anchor[which].view(np.uint64) + (at[which] - j).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    digit, width, fingerprints, done = mix(loads(data)), 8, {}, 0
+    fingerprints, done = {}, 0
     while width < size:
         digit = mix(digit[:-width] * np.uint64(0xC2B2AE3D27D4EB4F) + digit[width:]) if len(digit) > width else digit[:0]
         width *= 2
@@ -160,17 +217,23 @@ def window_groups(anchor: np.ndarray, at: np.ndarray, data: np.ndarray, offsets:
     return which[alive], j[alive]
 
 
-def _ordered(contexts: DataFrame, size: int) -> DataFrame:
+def _ordered(contexts: DataFrame, size: int, by_words: bool) -> DataFrame:
     """th, n, start, end of the repeated windows' runs, for anchors of bounded groups."""
 
     def intervals(table: pa.Table) -> pa.RecordBatch:
         data, offsets = text_buffer(table["bytes"].combine_chunks() if table.num_rows else pa.array([], pa.binary()))
-        anchor, th, n, lo, at = (table[c].to_numpy() for c in ("anchor", "th", "n", "lo", "at"))
-        which, j = window_groups(anchor, at - lo, data, offsets, size) if len(anchor) else (np.zeros(0, int),) * 2
+        anchor, th, n, base, at = (table[c].to_numpy() for c in ("anchor", "th", "n", "start", "at"))
+        if by_words:
+            starts, ends, letters, first = word_letters(data, offsets)
+            which, j = window_groups(anchor, at, mix(letters), 1, first, size)
+        else:
+            which, j = window_groups(anchor, at, mix(loads(data)), 8, offsets, size) if len(anchor) else (np.zeros(0, int),) * 2
         new = np.flatnonzero((np.diff(which, prepend=-1) != 0) | (np.diff(j, prepend=-2) != 1))
         last = np.append(new[1:], len(j))[: len(new)] - 1
-        w = which[new]
-        return pa.RecordBatch.from_arrays([pa.array(th[w]), pa.array(n[w]), pa.array((lo[w] + j[new]).astype(np.int32)), pa.array((lo[w] + j[last] + size).astype(np.int32))], ["th", "n", "start", "end"])
+        w, a, b = which[new], j[new], j[last] + size
+        if by_words:
+            a, b = starts[first[w] + a] - offsets[w], ends[first[w] + b - 1] - offsets[w]
+        return pa.RecordBatch.from_arrays([pa.array(th[w]), pa.array(n[w]), pa.array((base[w] + a).astype(np.int32)), pa.array((base[w] + b).astype(np.int32))], ["th", "n", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # whole anchors, and the start of the last one
@@ -201,19 +264,25 @@ def _parts(anchor: np.ndarray, rows: int = 2000) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _counted(contexts: DataFrame, size: int) -> DataFrame:
+def _counted(contexts: DataFrame, size: int, by_words: bool) -> DataFrame:
     """The same for anchors with any number of contents: one key per window, counted."""
+    names = ["anchor", "w", "th", "n", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, th, n, lo, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = [xxhash.xxh3_128_digest(raw[i : i + size], (at - lo - i) & 0xFFFFFFFF) for i in range(len(raw) - size + 1)]
-                m = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * m), pa.array(keys, pa.binary()), pa.array([th] * m), pa.array([n] * m, pa.int32()), pa.array(range(lo, lo + m), pa.int32())], ["anchor", "w", "th", "n", "start"])
-
-    windows = map_arrow(contexts.select("anchor", "th", "n", "lo", "at", "bytes"), run, "anchor long, w binary, th long, n int, start int")
+            for anchor, th, n, base, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                width, starts, ends = 1, np.arange(len(raw)), np.arange(len(raw)) + 1
+                if by_words:
+                    starts, ends, letters, _ = word_letters(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    width, raw = 8, letters.tobytes()
+                m = len(starts) - size + 1
+                keys = [xxhash.xxh3_128_digest(raw[width * i : width * (i + size)], (at - i) & 0xFFFFFFFF) for i in range(m)]
+                places = [pa.array((base + p).astype(np.int32)) for p in (starts[:m], ends[size - 1 :])]
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * m), pa.array(keys, pa.binary()), pa.array([th] * m), pa.array([n] * m, pa.int32()), *places], names)
+
+    windows = map_arrow(contexts.select("anchor", "th", "n", "start", "at", "bytes"), run, "anchor long, w binary, th long, n int, start int, end int")
     often = windows.groupBy("anchor", "w").agg(F.count("*").alias("m")).where("m > 1")
-    return windows.join(often, ["anchor", "w"]).select("th", "n", "start", (F.col("start") + size).alias("end"))
+    return windows.join(often, ["anchor", "w"]).select("th", "n", "start", "end")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -222,22 +291,31 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"text": text, "th": F.xxhash64(text), "n": F.octet_length(text)})
 
 
-def repeated(texts: DataFrame, size: int = 400, group: int = GROUP) -> DataFrame:
-    """(th, n, spans): the sorted, merged byte ranges to remove, of the texts that have any; ``texts`` has (th, n, text)."""
-    rows = Stored(_anchors(texts, size))
-    counted = rows.df.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.min(F.struct("th", "n", "lo", "hi", "at")).alias("one"))
+def repeated(texts: DataFrame, size: int = 400, group: int = GROUP, words: int | None = None) -> DataFrame:
+    """(th, n, spans): the sorted byte ranges to remove, of the texts that have any; ``texts`` has (th, n, text)."""
+    found = _spans(texts, size, group, False)
+    if words is None:
+        return found
+    both = [found, _spans(texts, words, group, True)]
+    every = both[0].union(both[1]).groupBy("th", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    return stored(every)
+
+
+def _spans(texts: DataFrame, size: int, group: int, by_words: bool) -> DataFrame:
+    rows = Stored((_word_anchors if by_words else _anchors)(texts, size))
+    counted = rows.df.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.min(F.struct("th", "n", "start", "end", "at")).alias("one"))
     contents = Stored(counted)
     several = contents.df.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
     whole = rows.df.join(contents.df.where("m > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
-    whole = whole.select("th", "n", F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
+    whole = whole.select("th", "n", "start", "end")
     wanted = contents.df.join(several, "anchor").select("anchor", "k", "one.*")
-    lists, contexts = _cut_contexts(texts, wanted.where(F.col("k") <= group), size)
+    lists, contexts = _cut_contexts(texts, wanted.where(F.col("k") <= group))
     kept = Stored(contexts)
-    parts, used = whole.union(_ordered(kept.df, size)), [rows, contents, lists, kept]
+    parts, used = whole.union(_ordered(kept.df, size, by_words)), [rows, contents, lists, kept]
     large = wanted.where(F.col("k") > group)
     if not large.isEmpty():
-        lists, contexts = _cut_contexts(texts, large, size)
-        parts = parts.union(_counted(contexts, size))
+        lists, contexts = _cut_contexts(texts, large)
+        parts = parts.union(_counted(contexts, size, by_words))
         used.append(lists)
     span = F.struct("start", "end")
     found = stored(parts.distinct().groupBy("th", "n").agg(F.array_sort(F.collect_list(span)).alias("found")))
@@ -282,10 +360,10 @@ def dedup_report(docs: DataFrame, size: int = 400, group: int = GROUP) -> DataFr
     )
 
 
-def dedup(docs: DataFrame, size: int = 400, group: int = GROUP) -> DataFrame:
-    """docs without repeated bytes (characters that are cut in two go as a whole); all columns stay, n_chars is set anew."""
+def dedup(docs: DataFrame, size: int = 400, group: int = GROUP, words: int | None = None) -> DataFrame:
+    """docs without repeated bytes and, with ``words``, without repeated windows of that many words (characters that are cut in two go as a whole); all columns stay, n_chars is set anew."""
     own = keyed(docs.select("text"))
-    left = cut(own, repeated(own, size, group)).select("th", "n", "kept")
+    left = cut(own, repeated(own, size, group, words)).select("th", "n", "kept")
     text = F.coalesce(docs["text"], F.lit(""))
     whole = packed(docs, th=F.xxhash64(text), n=F.octet_length(text)).join(left, ["th", "n"], "left")
     return unpacked(whole, docs, F.coalesce("kept", "row.text"))

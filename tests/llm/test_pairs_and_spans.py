@@ -160,6 +160,38 @@ def test_suffix_dedup_of_odd_tables(spark, monkeypatch):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left if r["text"] is not None) == [(1, ""), (1, "a"), (2, "")]
 
 
+def brute_word_cut(texts, size):
+    """What is left of texts whose repeated windows of ``size`` words are cut, by counting windows in a dictionary."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in texts]
+    for t, spans in zip(texts, places, strict=True):
+        for k, (a, b) in enumerate(spans):
+            m = re.search(rb"[0-9A-Za-z\x80-\xff](?:.*[0-9A-Za-z\x80-\xff])?", t[a:b], re.S)
+            spans[k] = (a + m.start(), a + m.end()) if m else (a, b)
+    windows = defaultdict(list)
+    for i, (t, spans) in enumerate(zip(texts, places, strict=True)):
+        for k in range(len(spans) - size + 1):
+            windows[tuple(t[a:b].lower() for a, b in spans[k : k + size])].append((i, spans[k][0], spans[k + size - 1][1]))
+    gone = [bytearray(len(t)) for t in texts]
+    for at in windows.values():
+        for i, a, b in at if len(at) > 1 else []:
+            gone[i][a:b] = b"\x01" * (b - a)
+    return [bytes(c for c, g in zip(t, flags, strict=True) if not g) for t, flags in zip(texts, gone, strict=True)]
+
+
+@pytest.mark.parametrize("group, stretch", [(20_000, 2 << 20), (2, 700)])
+def test_word_windows(spark, monkeypatch, group, stretch):
+    monkeypatch.setattr(suffix, "STRETCH", stretch)
+    rng, texts = random.Random(group), corpus(group)
+    line = prose(rng, 51)
+    for k in range(8):
+        texts.append(prose(rng, 30) + ' "' + (line if k % 2 else line.upper().replace(" ", " \n", 3)) + '." & ' + prose(rng, 25))
+    for k in range(6):
+        texts.append(" ".join(line.split()[k:]) + " " + prose(rng, 9 * k))  # 46 to 51 words of it
+    got = {r["doc_id"]: r["text"] for r in suffix.dedup(frame(spark, texts), 1 << 20, group, words=51).collect()}
+    want = brute_word_cut([(t or "").encode() for t in texts], 51)
+    assert [got[i] or "" for i in range(len(texts))] == [w.decode("utf-8", "ignore") for w in want]
+
+
 def brute_secrets(text):
     text, spans = text or "", []
     for m in re.finditer(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):

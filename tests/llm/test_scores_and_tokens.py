@@ -363,6 +363,25 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_cuts_passages_of_51_words(spark):
+    rng = random.Random(15)
+    prose = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10)}" for _ in range(n))
+    passage, short, signs = prose(51), prose(50), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(150))
+    assert len(passage) < 160 and len(signs.encode()) == 450
+    rows = [(i, f"{prose(80)} own{i}, {passage}. own{i} {prose(60)}") for i in range(6)]
+    rows += [(10 + i, f"{prose(80)} own{i} {short} own{i} {prose(60)}") for i in range(6)]  # clean: no more than 50 words in common
+    rows += [(20 + i, prose(100)) for i in range(20)]
+    rows += [(50 + i, prose(20) + " " + signs + " " + prose(20)) for i in range(2)]  # long, of one word
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    for i, t in rows:
+        if i < 6:
+            assert out[i] == t.replace(passage, "")
+        elif i < 50:
+            assert out[i] == t
+        else:
+            assert signs[10:-10] not in out[i]
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "other"), (3, None)], "doc_id long, text string")
     left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
