@@ -5,7 +5,8 @@ before it has kept; all but the last return the columns of ``documents``.
 
 1. toxicity: documents that the classifier chain rejects go;
 2. near_duplicates: of each group linked by 5-word shingle Jaccard similarity of
-   0.8 or more the document with the smallest doc_id stays;
+   0.8 or more the document with the smallest doc_id stays (of rows that share
+   an id, or have none, one of each group too, and unlike texts all stay);
 3. repeated_passages: windows of 51 words, and of 400 bytes, that start anywhere
    else go from the texts (a document that consists of such windows stays, with
    what is left);
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statweave.llm import jaccard, packing, secrets, suffix, toxicity
-from statweave.llm.common import Stored, stored, table
+from statweave.llm.common import Stored, packed, stored, table
 from statweave.llm.registry import vocabulary
 
 #: Greatest number of ids that are broadcast to drop their documents: 4 MB; beyond it documents are joined.
@@ -35,13 +36,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return _drop_near_duplicates_by_row(docs)
     found = stored(jaccard.linked(docs.select("doc_id", "text")).select("doc_id", "component_id"))
     extra = found.where("doc_id <> component_id").select("doc_id").distinct()
     few = extra.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(extra) if few else extra, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return docs.join(F.broadcast(extra) if few else extra, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _drop_near_duplicates_by_row(docs: DataFrame) -> DataFrame:
+    """Where doc_id is no key: rows are numbered by doc_id (null last) and linked by number; rows without words stay once for each doc_id."""
+    own = packed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
+    rows = stored(own.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text")).withColumn("key", F.monotonically_increasing_id()))
+    found = stored(jaccard.linked(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "n_shingles", "component_id"))
+    bare = rows.select("key", "doc_id").join(found.where("n_shingles = 0").select("key"), "key")
+    again = bare.join(bare.groupBy("doc_id").agg(F.min("key").alias("key")).select("key"), "key", "left_anti")
+    gone = found.where("key <> component_id").select("key").union(again.select("key"))
+    kept = rows.join(gone, "key", "left_anti")
+    return kept.select(*[F.col("row").getField(f.name).alias(f.name, metadata=f.metadata) for f in docs.schema.fields])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -388,6 +388,16 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
     assert sorted(str(r[0]) for r in left.collect()) == ["1", "3", "None"]
 
 
+def test_pipeline_with_repeated_and_null_ids(spark):
+    one, two, three = "a b c d e f", "u v w x y z", "k l m n o p"
+    rows = [(1, one), (1, two), (1, two), (2, one), (7, three), (None, three), (None, "q r s t u"), (None, "Q R S T U"), (None, "g h"), (None, None), (None, ""), (5, None), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, (r["text"] or "").lower()) for r in left.collect()))
+    assert got == sorted([(1, one), (1, two), (7, three), (0, "q r s t u"), (0, "g h"), (0, ""), (5, ""), (6, "")])
+
+
 def test_every_query_is_registered():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
