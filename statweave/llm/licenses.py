@@ -5,7 +5,8 @@ lower-cased).  Two layers report:
 
 * the *base* phrases, each place where their words stand consecutively;
 * the *rules*: some hundred license names, each in several forms (identifier
-  line, grant, deed, title) with its own priority and weight.  An Aho-Corasick
+  line, grant, title) with its own priority and weight, and the licenses' SPDX
+  identifiers in identifier lines (of an expression, the first identifier).  An Aho-Corasick
   automaton over the rules' keywords passes once over a text; only rules whose
   keyword occurs run their regex, on the words joined by single spaces.
   Detections are taken by priority, then length; one that lies inside a kept
@@ -148,6 +149,20 @@ all-rights | rights reserved | all rights reserved
 no-warranty | warrant | (?:without warranty of any kind|without warranties or conditions of any kind)
 """
 
+#: Labels whose SPDX identifier is the label itself, and those with other identifiers (in words, as a regex).
+SAME_IDENTIFIER = """
+agpl-3.0 lgpl-3.0 lgpl-2.1 lgpl-2.0 gpl-3.0 gpl-2.0 gpl-1.0 gfdl-1.3 gfdl-1.2 apache-2.0 apache-1.1 apache-1.0 mit-0 mit x11 isc
+bsd-4-clause bsd-3-clause bsd-2-clause mpl-2.0 mpl-1.1 mpl-1.0 epl-2.0 epl-1.0 cddl-1.1 cddl-1.0 cpl-1.0 eupl-1.2 eupl-1.1 cc0-1.0
+cc-by-nc-nd-4.0 cc-by-nc-nd-3.0 cc-by-nc-sa-4.0 cc-by-nc-sa-3.0 cc-by-nc-4.0 cc-by-nc-3.0 cc-by-nc-2.0 cc-by-nd-4.0
+cc-by-sa-4.0 cc-by-sa-3.0 cc-by-4.0 cc-by-3.0 odbl-1.0 odc-by-1.0 pddl-1.0 unlicense wtfpl zlib libpng artistic-2.0 artistic-1.0
+psf-2.0 php-3.01 ruby postgresql ncsa w3c openssl sleepycat qpl-1.0 ofl-1.1 ms-pl ms-rl upl-1.0 osl-3.0 afl-3.0 sspl-1.0 elastic-2.0
+"""
+OTHER_IDENTIFIERS = {
+    "agpl": "agpl 1 0", "gfdl": "gfdl 1 1", "bsd-0-clause": "0bsd", "ipl-1.0": "ipl 1 0", "eupl": "eupl 1 0", "cc-by": "cc by (?:1 0|2 0|2 5)",
+    "libpng": "libpng 2 0", "boost-1.0": "bsl 1 0", "psf-2.0": "python 2 0", "openldap": "oldap 2 [0-9](?: [0-9])?",
+    "bsl-1.1": "busl 1 1", "ogl-3.0": "ogl uk 3 0",
+}
+
 #: form -> (priority, weight, regex around a name)
 FORMS = {
     "tag": (90, 0.99, r"spdx license identifier (?:{})"),
@@ -165,12 +180,16 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """Every name in every form; of names with one form's priority the earlier, more specific one wins a tie by its length."""
+    """Every name in every form, and identifier lines with SPDX identifiers ("+" is no word); of names with one form's priority the earlier, more specific one wins a tie by its length."""
     out = []
     for line in NAMES.strip().splitlines():
         label, keyword, name = (x.strip() for x in line.split("|", 2))
         for priority, weight, form in FORMS.values():
             out.append(Rule(label, re.sub(r"[^0-9a-z]+", " ", keyword), priority, weight, rf"(?<![^ ]){form.format(name)}(?![^ ])"))
+    priority, weight, _ = FORMS["tag"]
+    names = [(label, re.sub("[-.]", " ", label)) for label in SAME_IDENTIFIER.split()]
+    for label, name in [*names, *OTHER_IDENTIFIERS.items()]:
+        out.append(Rule(label, "spdx", priority, weight, rf"(?<![^ ])spdx license identifier (?:{name})(?: (?:only|or later))?(?![^ ])"))
     return out
 
 

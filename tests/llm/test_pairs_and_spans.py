@@ -338,6 +338,21 @@ def test_gate_passes_every_alternative(spark):
     assert got[0]["detections"] == ["agpl-3.0:0:4"] and got[1]["detections"] == ["agpl-3.0:0:6"]
 
 
+def test_real_spdx_lines(spark):
+    lines = {
+        "MIT": "mit", "MIT-0": "mit-0", "Apache-2.0": "apache-2.0", "GPL-3.0-only": "gpl-3.0", "GPL-2.0-or-later": "gpl-2.0", "GPL-2.0+": "gpl-2.0", "LGPL-2.1": "lgpl-2.1",
+        "LGPL-3.0-or-later": "lgpl-3.0", "AGPL-3.0-only": "agpl-3.0", "MPL-2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "ISC": "isc", "Zlib": "zlib", "0BSD": "bsd-0-clause",
+        "BSD-3-Clause": "bsd-3-clause", "BSL-1.0": "boost-1.0", "BUSL-1.1": "bsl-1.1", "CC0-1.0": "cc0-1.0", "Unlicense": "unlicense", "OFL-1.1": "ofl-1.1", "GFDL-1.3-or-later": "gfdl-1.3",
+        "Python-2.0": "psf-2.0", "OLDAP-2.8": "openldap", "(GPL-2.0-only WITH Linux-syscall-note)": "gpl-2.0", "CC-BY-4.0": "cc-by,cc-by-4.0",
+    }
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, [f"// SPDX-License-Identifier: {x} */\nint main" for x in lines])).collect()}
+    assert {x: got[i]["labels"] for i, x in enumerate(lines)} == lines
+    assert all(got[i]["score"] >= 0.99 and len(got[i]["detections"]) == 1 for i in got)
+    assert [got[i]["detections"] for i in (3, 4)] == [["gpl-3.0:0:7"], ["gpl-2.0:0:8"]]
+    plain = licenses.scan(frame(spark, ["MIT and Apache-2.0 at the ISC, identifier: zlib"])).first()
+    assert plain["labels"] == ""
+
+
 def test_suppression_is_by_containment():
     d = licenses.Detection
     kept = licenses.suppress([d(0, 9, "a", 80, 0.9), d(2, 5, "b", 50, 0.7), d(8, 12, "c", 50, 0.7), d(2, 5, "z", 90, 0.7), d(2, 5, "e", 90, 0.7)])
