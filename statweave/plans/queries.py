@@ -263,8 +263,9 @@ def canopy_clusters(spark, sf):
 @query()
 def kmeans_clusters(spark, sf):
     points = _points(spark, sf)
-    seeds, _ = canopy.canopy(points, 1.2, 1.0, should_cluster=False)
-    _, clustered = kmeans.kmeans(points, seeds[:10], 0.001, 10)
+    # All canopies are seeds. Most distances are near 1.41; wider canopies have means so alike that they fall into one.
+    seeds, _ = canopy.canopy(points, 1.15, 1.1, should_cluster=False)
+    _, clustered = kmeans.kmeans(points, seeds, 0.001, 10)
     return clustered.select("vec_id", "label", "cluster")
 
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statweave.operators.clustering import canopy, common, dirichlet, kmeans, proclus, validation
+from statweave.plans import queries
 from statweave.plans.jobs import run_job
 
 SIX = [(0.1, 0.1), (0.2, 0.2), (0.3, 0.3), (50.1, 50.1), (50.2, 50.2), (50.3, 50.3)]
@@ -37,6 +38,20 @@ def test_canopy_then_kmeans(spark, six):
     assert sorted(k.visualize(columns=["x", "y"])) == [("x", "y")]
 
 
+def test_kmeans_query_starts_from_all_canopies(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.eye(16) * 5, 8, 0) + rng.normal(0, 0.01, (128, 16))  # 16 groups far apart
+    rows = [(i, i // 8, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    made, seeds = [], []
+    all_canopies, from_seeds = queries.canopy.canopy, queries.kmeans.kmeans
+    monkeypatch.setattr(queries.canopy, "canopy", lambda *a, **k: made.append(all_canopies(*a, **k)) or made[-1])
+    monkeypatch.setattr(queries.kmeans, "kmeans", lambda points, initial, *a: seeds.append(initial) or from_seeds(points, initial, *a))
+    out = queries.kmeans_clusters(spark, str(tmp_path)).collect()
+    assert len(made[0][0]) == len(seeds[0]) == 16
+    assert len({r["cluster"] for r in out}) == 16 == len({(r["label"], r["cluster"]) for r in out})
+
+
 def test_canopies_visit_points_in_order():
     x = np.array([[0.0], [1.0], [2.0], [9.0]])
     centers, counts = canopy.canopies(x, 1.5, 1.5)
