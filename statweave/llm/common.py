@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.storage import Stored, shared_dir, stored  # noqa: F401
+from ..sources.storage import Stored, release, shared_dir, stored, tables  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,6 +53,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[ends[0] : ends[-1]], ends - ends[0]
 
 
+#: Bytes of a shuffled partition, about.
+PARTITION_BYTES = 64 << 20
+
+
+def partitions(spark: SparkSession, size: int) -> int:
+    """Partitions for a shuffle of ``size`` bytes: the session's number, or more where they would become too large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PARTITION_BYTES))
+
+
 #: Bytes of an Arrow batch between Spark and Python: what a worker makes of a batch of texts is several times as large.
 BATCH_BYTES = 8 << 20
 

@@ -56,7 +56,7 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.dedup_report(table(spark, sf_dir, "documents"), size=400)
+    return suffix.dedup_report(table(spark, sf_dir, "documents"), size=400, words=51)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

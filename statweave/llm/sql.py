@@ -38,19 +38,24 @@ FROM r LEFT JOIN n ON n.doc_id = r.a JOIN documents d ON d.doc_id = r.a GROUP BY
 """.replace("SELECT doc_id, coalesce", "SELECT d.doc_id, coalesce")
 
 
-#: Every window by its digest; runs of repeated windows that touch become one span, and what lies between spans is kept.
-SUFFIX = """
+#: Every window by its digest; runs of repeated windows that touch become one span, and what lies between spans is kept. Passages: the same by words.
+SUFFIX = rf"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
 w AS (SELECT doc_id, p, md5(b[p + 1:p + 400]) AS h FROM (SELECT *, unnest(range(0, n - 399)) AS p FROM d)),
 r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
 i AS (SELECT *, sum(CASE WHEN last IS NULL OR p > last + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k
   FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM r)),
 s AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS z FROM i GROUP BY doc_id, k),
-l AS (SELECT doc_id, count(*) AS spans, sum(z - a) AS removed, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM s GROUP BY 1)
+l AS (SELECT doc_id, count(*) AS spans, sum(z - a) AS removed, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM s GROUP BY 1),
+v AS (SELECT doc_id, list_transform(list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: coalesce(nullif(
+  regexp_replace(regexp_replace(x, '^[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+$', ''), ''), x)) AS v FROM documents),
+vw AS (SELECT doc_id, p, count(*) OVER (PARTITION BY md5(array_to_string(v[p + 1:p + 51], ' '))) AS c FROM (SELECT *, unnest(range(0, len(v) - 50)) AS p FROM v)),
+vl AS (SELECT doc_id, count(*) FILTER (last IS NULL OR p > last + 50) AS passages
+  FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM vw WHERE c > 1) GROUP BY 1)
 SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
   sha256(CASE WHEN spans IS NULL THEN b ELSE list_reduce(list_transform(range(0, spans + 1),
-    lambda j: b[coalesce(ends[j], 0) + 1:coalesce(starts[j + 1], n)]), lambda x, y: x || y) END) AS kept_sha256
-FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+    lambda j: b[coalesce(ends[j], 0) + 1:coalesce(starts[j + 1], n)]), lambda x, y: x || y) END) AS kept_sha256, coalesce(passages, 0)::BIGINT AS n_passages
+FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN vl ON vl.doc_id = d.doc_id
 """
 
 

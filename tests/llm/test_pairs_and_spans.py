@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,10 +148,55 @@ def test_suffix_dedup(spark, monkeypatch, size, group, stretch):
     monkeypatch.setattr(suffix, "STRETCH", stretch)
     texts = corpus(2)
     texts.append("q" + texts[12])
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.dedup_report(frame(spark, texts), size, group).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix.dedup_report(frame(spark, texts), size, group).collect()}
     assert got == dict(enumerate(brute_cut(texts, size)))
 
 
+@pytest.mark.parametrize("group", [1_000_000, 0])
+def test_suffix_dedup_without_hashes(spark, monkeypatch, group):
+    """All pieces have the same hash, so that all stretches meet in groups by place alone and bytes decide."""
+    monkeypatch.setattr(suffix, "gram_hashes", lambda data: np.zeros(len(data) - suffix.GRAM + 1, np.uint64))
+    monkeypatch.setattr(suffix, "word_gram_hashes", lambda letters: np.zeros(len(letters) - suffix.GRAM_WORDS + 1, np.uint64))
+    rng = random.Random(group)
+    passage = prose(rng, 70)
+    texts = [prose(rng, rng.randrange(20, 90)) + " " + passage[rng.randrange(40) :] + "\0" * rng.randrange(30) for _ in range(9)]
+    texts += ["a" * 170, "a" * 171 + "b", "\0" * 130, "\0" * 120 + "x"]
+    got = {r["doc_id"]: r for r in suffix.dedup_report(frame(spark, texts), 100, group, words=20).collect()}
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == dict(enumerate(brute_cut(texts, 100)))
+    kept = brute_word_cut([t.encode() for t in texts], 20, fill=b"\x01")
+    assert [got[i]["n_passages"] for i in range(len(texts))] == [len(re.findall(b"\x01+", t)) for t in kept]
+
+
+def test_digits_give_the_order_of_bytes():
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(40))) for _ in range(200)] + [b"a" * 50] * 3
+    group = [rng.randrange(3) for _ in texts]
+    data, place = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    order, shared = suffix.digit_order(np.array(group), suffix.big_endian(data), place[:-1], np.diff(place), 9)
+    padded = [t.ljust(64, b"\t") for t in texts]
+    assert [(group[i], padded[i]) for i in order] == sorted(zip(group, padded, strict=True))
+    for k in range(1, len(texts)):
+        a, b = order[k - 1], order[k]
+        if group[a] != group[b]:
+            assert shared[k] == -1
+        elif padded[a] != padded[b]:
+            assert shared[k] == next(x for x in range(64) if padded[a][x] != padded[b][x])
+        else:
+            assert shared[k] >= 64
+
+
+@pytest.mark.parametrize("group", [100, 3])
+def test_passage_with_many_surroundings(spark, group):
+    """One passage in many documents, whose stretches at its ends differ in each; the task's way and the passes by chunks."""
+    rng = random.Random(5)
+    passage, other = prose(rng, 130), prose(rng, 60)
+    texts = [prose(rng, rng.randrange(60)) + " " + passage + ("" if k % 3 else " " + other) + prose(rng, rng.randrange(60)) for k in range(60)]
+    got = {r["doc_id"]: r for r in suffix.dedup_report(frame(spark, texts), 400, group, words=51).collect()}
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == dict(enumerate(brute_cut(texts, 400)))
+    kept = brute_word_cut([t.encode() for t in texts], 51, fill=b"\x01")
+    assert [got[i]["n_passages"] for i in range(len(texts))] == [len(re.findall(b"\x01+", t)) for t in kept]
+
+
 def test_suffix_dedup_of_odd_tables(spark, monkeypatch):
     assert suffix.dedup_report(frame(spark, [])).count() == 0
     monkeypatch.setattr(suffix, "BROADCAST_KEYS", 0)
@@ -160,8 +206,8 @@ def test_suffix_dedup_of_odd_tables(spark, monkeypatch):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left if r["text"] is not None) == [(1, ""), (1, "a"), (2, "")]
 
 
-def brute_word_cut(texts, size):
-    """What is left of texts whose repeated windows of ``size`` words are cut, by counting windows in a dictionary."""
+def brute_word_cut(texts, size, fill=b""):
+    """What is left of texts whose repeated windows of ``size`` words are cut (or overwritten by ``fill``), by counting windows in a dictionary."""
     places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in texts]
     for t, spans in zip(texts, places, strict=True):
         for k, (a, b) in enumerate(spans):
@@ -175,7 +221,7 @@ def brute_word_cut(texts, size):
     for at in windows.values():
         for i, a, b in at if len(at) > 1 else []:
             gone[i][a:b] = b"\x01" * (b - a)
-    return [bytes(c for c, g in zip(t, flags, strict=True) if not g) for t, flags in zip(texts, gone, strict=True)]
+    return [b"".join(fill if g else bytes([c]) for c, g in zip(t, flags, strict=True)) for t, flags in zip(texts, gone, strict=True)]
 
 
 @pytest.mark.parametrize("group, stretch", [(20_000, 2 << 20), (2, 700)])
