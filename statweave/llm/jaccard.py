@@ -19,19 +19,19 @@ shingles last.  Three sorts of work are skipped:
 Candidates are verified on whole sets of 64-bit shingle hashes, which are made
 again from the texts of the classes involved.
 
-Lists of shingles in more than ``HOT`` documents are salted by document while
-pivots are looked for, so that no task sees a whole one; joins on them are left to
-adaptive execution, which splits them.
+The lists' lengths and pivots come from an aggregate over all entries, which
+combines before the shuffle, and every join by shingle, pivot or class has plain
+tables on both sides, so that adaptive execution splits the long ones.
 
-Counting: each task counts the shingles of its own texts and passes on those it
-has met twice, so all documents count; a shingle in more documents than there
-are tasks cannot be missed.  The most frequent ones, at most ``COMMON``, go to
-all tasks (8 bytes each).  They only decide the order, never the result.
+Counting for the order: each task counts the shingles of its own texts and passes
+on those it has met twice.  The most frequent ones, at most ``COMMON``, go to
+all tasks (8 bytes each).  They only decide the order and with it the cost.
 
 Defined results: a null or empty text has no shingles and links with nothing;
-repeated rows are members of one class; a row with a null doc_id counts as a
-copy where its text has others, and has a null component otherwise; doc_id is
-taken as the key of a text.
+repeated rows are members of one class; rows that share a doc_id but not their
+text are nodes of their own, and a component's id is the least doc_id in it; a
+row with a null doc_id counts as a copy where its text has others, and has a null
+component otherwise; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,18 +42,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stored, Words, blocks, byte_table, map_arrow, mix, stored, text_buffer
+from .common import Stored, Words, blocks, byte_table, map_arrow, mix, text_buffer
 from .graph import components
 
 #: Greatest number of shingles that are sent to all tasks as common: 4 MB.
 COMMON = 1 << 19
 #: Bytes of text in which a task looks for shingles that it meets twice.
 COUNTED = 24 << 20
-#: Documents with a shingle from which on its list is dealt to several tasks, about so many to each.
-HOT = 20_000
 #: Greatest number of classes whose ids are broadcast to pick their texts: 4 MB; beyond it the texts are joined.
 BROADCAST_IDS = 500_000
 NOT_SPACE = byte_table(np.setdiff1d(np.arange(256), [9, 10, 11, 12, 13, 32]))
@@ -108,55 +105,58 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _sets(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, fp (digest of the set), its prefix under the common order, and the salts of its hot shingles (0 for others; null without any)."""
-    shared, hot = docs.sparkSession.sparkContext.broadcast(common), HOT
+    """doc_id, n, fp (digest of the set), and its prefix under the common order."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = shared.value
         for batch in batches:
-            n, fp, prefix, salts = [], [], [], []
+            n, fp, prefix = [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
-                fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                fp.append(_digest(s))
                 if len(tokens) and len(s):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     often = np.where(tokens[at] == s, times[at], 0)
                     if often.any():
-                        order = np.argsort(often, kind="stable")
-                        s, often = s[order], often[order]
-                size = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
-                prefix.append(s[:size].view(np.int64))
-                salted = len(tokens) and size and often[size - 1] > hot  # the last is the most frequent
-                salts.append(np.where(often[:size] > hot, 1 + int.from_bytes(fp[-1][:4], "little") % (often[:size] // hot + 1), 0).tolist() if salted else None)
-            ends = np.cumsum([0, *map(len, prefix)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), lists, pa.array(salts, pa.list_(pa.int32()))], ["doc_id", "n", "fp", "prefix", "salts"])
+                        s = s[np.argsort(often, kind="stable")]
+                prefix.append(s[: len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), _lists(prefix)], ["doc_id", "n", "fp", "prefix"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n int, fp binary, prefix array<long>, salts array<int>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n int, fp binary, prefix array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Stored:
-    """The pairs (u, v) whose sets reach the similarity."""
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> Stored:
+    """The pairs (u, v) of classes whose sets reach the similarity; classes: (k, c, fp)."""
     told = Stored(pairs)
     pairs = told.df
-    ids = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
-    few = ids.count() <= BROADCAST_IDS
+    ids = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "k")
+    wanted = Stored(classes.join(ids, "k").select("k", F.col("c").alias("doc_id"), "fp"))
+    few = wanted.df.count() <= BROADCAST_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), width)]
-            ends = np.cumsum([0, *map(len, sets)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "s"])
+            held = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), width), strict=True))
+            held = [(k, s.view(np.int64)) for k, fp, s in held if _digest(s) == fp]  # rows may share a doc_id but not their text
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), _lists([s for _, s in held])], ["id", "s"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = map_arrow(keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), run, "id long, s array<long>").dropDuplicates(["id"])
-    sets = Stored(made)
+    found = keyed.join(F.broadcast(wanted.df) if few else wanted.df, "doc_id").select("k", "fp", "text")
+    sets = Stored(map_arrow(found, run, "id long, s array<long>").dropDuplicates(["id"]))
     left, right = (sets.df.select(F.col("id").alias(i), F.col("s").alias(x)) for i, x in (("u", "a"), ("v", "b")))
     both = pairs.join(left, "u").join(right, "v")
     shared = F.size(F.array_intersect("a", "b"))
     out = Stored(both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v"))
-    for done in (sets, told):
+    for done in (sets, told, wanted):
         done.drop()
     return out
 
@@ -171,47 +171,49 @@ def _possible(n: str, i: str, m: str, j: str, percent: int):
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_id (the smallest document of equal set) for each row of docs (doc_id, text)."""
     sets = Stored(_sets(docs, width, percent, common_shingles(docs, width)))
-    own = F.min_by(F.struct("prefix", "salts"), "doc_id")
-    whole = sets.df.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), own.alias("own"))
-    entries = whole.where("c is not null").select("c", "n", "own.salts", F.posexplode("own.prefix").alias("i", "token"))
-    entries = entries.select("token", F.coalesce(F.get("salts", "i"), F.lit(0)).alias("salt"), "c", "n", "i")
-    of = W.partitionBy("token", "salt")
-    marked = Stored(entries.withColumn("many", F.count("*").over(of)).withColumn("pivot", F.min(F.struct("c", "n", "i")).over(of)).where("many > 1 OR salt > 0").drop("many"))
-    rows = stored(sets.df.select("doc_id", "n", "fp"))
+    rows = Stored(sets.df.select("doc_id", "n", "fp"))
+    whole = sets.df.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    whole = Stored(whole.withColumn("k", F.monotonically_increasing_id()))  # the number of a class, written once
     sets.drop()
-    hot = marked.df.where("salt > 0")
-    hot = hot.drop("pivot").join(hot.groupBy("token").agg(F.min("pivot").alias("pivot")), "token")
-    lists = marked.df.where("salt = 0").unionByName(hot).drop("salt")
+    classes = whole.df.select("k", "c", "fp")
+    entries = whole.df.where("c is not null").select("k", "n", F.posexplode("prefix").alias("i", "token"))
+    long = entries.groupBy("token").agg(F.count("*").alias("many"), F.min("k").alias("p")).where("many > 1").select("token", "p")
+    marked = Stored(entries.join(long, "token"))
+    pivots = marked.df.where("k = p").select("token", F.col("n").alias("m"), F.col("i").alias("j"))
 
     # Round one: each class against the pivot that it meets most often.
-    meets = lists.select("c", F.col("pivot.c").alias("p"), "n", "i", F.col("pivot.n").alias("m"), F.col("pivot.i").alias("j")).where("c <> p")
+    meets = marked.df.where("k <> p").join(pivots, "token")
     can = _possible("n", "i", "m", "j", percent)
-    often = meets.where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)).groupBy("c", "p").agg(F.count("*").alias("times"), F.max(can.cast("int")).alias("can"))
-    first = often.where("can = 1").groupBy("c").agg(F.max_by("p", F.struct("times", -F.col("p"))).alias("p"))
-    links = _verified(docs, first.select(F.col("c").alias("u"), F.col("p").alias("v")), width, percent)
+    often = meets.where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)).groupBy("k", "p").agg(F.count("*").alias("times"), F.max(can.cast("int")).alias("can"))
+    first = often.where("can = 1").groupBy("k").agg(F.max_by("p", F.struct("times", -F.col("p"))).alias("p"))
+    links = _verified(docs, classes, first.select(F.col("k").alias("u"), F.col("p").alias("v")), width, percent)
     known = components(links.df)
 
     # Round two: in each list, the members outside the pivot's component against all others of theirs.
-    comp = known.select(F.col("node").alias("c"), "component")
-    pivots = comp.select(F.col("c").alias("p"), F.col("component").alias("pc"))
+    comp = known.df.select(F.col("node").alias("k"), "component")
+    pivot = comp.select(F.col("k").alias("p"), F.col("component").alias("pc"))
     placed = (
-        lists.withColumn("p", F.col("pivot.c")).drop("pivot").join(comp, "c", "left").join(pivots, "p", "left")
-        .select("token", "c", "n", "i", F.coalesce("component", "c").alias("k"), (F.coalesce("component", "c") == F.coalesce("pc", "p")).alias("in"))
-    )
+        marked.df.join(comp, "k", "left").join(pivot, "p", "left")
+        .select("token", "k", "n", "i", F.coalesce("component", "k").alias("g"), (F.coalesce("component", "k") == F.coalesce("pc", "p")).alias("in"))
+    )
     placed = Stored(placed.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))))
     marked.drop()
+    known.drop()
     outside = placed.df.where(~F.col("in")).withColumn("block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)))
-    a, b = (d.select("token", "block", *[F.col(x).alias(x + y) for x in ("c", "n", "i", "k", "in")]) for d, y in ((outside, "1"), (placed.df, "2")))
+    a, b = (d.select("token", "block", *[F.col(x).alias(x + y) for x in ("k", "n", "i", "g", "in")]) for d, y in ((outside, "1"), (placed.df, "2")))
     pairs = (
         a.join(b, ["token", "block"])
-        .where((F.col("k1") != F.col("k2")) & (F.col("in2") | (F.col("c1") < F.col("c2"))) & _possible("n1", "i1", "n2", "i2", percent))
-        .select(F.least("c1", "c2").alias("u"), F.greatest("c1", "c2").alias("v")).distinct()
-    )
-    more = _verified(docs, pairs, width, percent)
+        .where((F.col("g1") != F.col("g2")) & (F.col("in2") | (F.col("k1") < F.col("k2"))) & _possible("n1", "i1", "n2", "i2", percent))
+        .select(F.least("k1", "k2").alias("u"), F.greatest("k1", "k2").alias("v")).distinct()
+    )
+    more = _verified(docs, classes, pairs, width, percent)
+    placed.drop()
     final = components(links.df.union(more.df))
-    for done in (placed, links, more):
+    named = final.df.join(classes.select(F.col("k").alias("node"), "c"), "node").groupBy("component").agg(F.min("c").alias("least"))
+    of = classes.join(final.df.withColumnRenamed("node", "k"), "k", "left").join(named, "component", "left")
+    of = Stored(of.select("fp", "c", F.coalesce("least", "c").alias("component_id")))
+    for done in (links, more, final, whole):
         done.drop()
-
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"))
-    out = rows.join(classes, "fp", "left").join(final.select(F.col("node").alias("c"), "component"), "c", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "c", "doc_id").alias("component_id"), F.coalesce("c", "doc_id").alias("class_id"))
+    out = rows.df.join(of.df, "fp", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("class_id"))
