@@ -11,9 +11,9 @@ after each pass.
    equal places, so windows with different anchors never meet.  Neighbouring
    windows mostly share their anchor, and a text gives one row per stretch of
    windows, about one in 185 bytes, with a 128-bit name of all that they cover.
-2. Stretches with equal anchor and equal content are repeated as a whole; this
-   is a count by key, which combines before the shuffle.  One of each content
-   stays as a partner for others.
+2. Anchors that occur once drop out, by a count that combines before the shuffle.
+   Stretches with equal anchor and equal content are repeated as a whole.  One of
+   each content stays as a partner for others.
 3. Where an anchor has several contents, a task orders the suffixes that begin
    at the anchors: radix passes over the texts' own bytes, eight at a time from
    the most significant on, and likewise over what stands before the anchors,
@@ -35,7 +35,7 @@ the last word's last.  Both kinds of windows take the same steps together.
 
 Defined results: a null text is empty; texts shorter than ``size`` lose nothing;
 repeated rows are copies of each other and lose all their windows; coverage
-belongs to a text's content (named by 128 bits and its length), so doc_id may be
+belongs to a text's content (named by 128 bits), so doc_id may be
 null or repeat; other columns are ignored.
 """
 
@@ -64,10 +64,10 @@ CHUNKS = (64, 8, 1)
 #: Bytes that are worked on at a time, and stretches that are ordered at a time, about.
 STRETCH = 2 << 20
 ROWS = 3000
-#: Greatest number of text keys that are broadcast to pick texts (12 MB); beyond it texts are joined.
+#: Greatest number of text keys that are broadcast to pick texts (8 MB); beyond it texts are joined.
 BROADCAST_KEYS = 500_000
-#: What names a text: two hashes with different seeds, and its length in bytes.
-KEY = ["th", "tl", "n"]
+#: What names a text: two hashes with different seeds.
+KEY = ["th", "tl"]
 #: Longer than any text.
 FAR = 1 << 40
 
@@ -127,7 +127,7 @@ def stretches(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, gr
     return text[new], p[new], p[last], a[new], h[a[new]]
 
 
-ANCHORS = "anchor long, c1 long, c2 long, th long, tl long, n int, start int, end int, at int"
+ANCHORS = "anchor long, c1 long, c2 long, th long, tl long, start int, end int, at int"
 
 
 def _anchors(texts: DataFrame, size: int, words: int | None) -> DataFrame:
@@ -143,8 +143,8 @@ def _anchors(texts: DataFrame, size: int, words: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            data, offsets = text_buffer(batch.column(3))
+            key = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]
+            data, offsets = text_buffer(batch.column(2))
             for i, j in blocks(offsets, STRETCH):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 alone = j == i + 1  # a long text comes alone and in parts that overlap by a window
@@ -293,7 +293,7 @@ def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.n
     return out, begin
 
 
-SPANS = "th long, tl long, n int, start int, end int, by_words boolean"
+SPANS = "th long, tl long, start int, end int, by_words boolean"
 
 
 def _ordered(contexts: DataFrame, size: int, words: int | None) -> DataFrame:
@@ -301,7 +301,7 @@ def _ordered(contexts: DataFrame, size: int, words: int | None) -> DataFrame:
 
     def intervals(table: pa.Table, kind: int) -> pa.RecordBatch:
         data, offsets = text_buffer(table["bytes"].combine_chunks())
-        anchor, th, tl, n, base, at = (table[c].to_numpy() for c in ("anchor", *KEY, "start", "at"))
+        anchor, th, tl, base, at = (table[c].to_numpy() for c in ("anchor", *KEY, "start", "at"))
         at = at.astype(np.int64)
         x = Contexts(anchor, at, data, offsets, words if kind else size, GRAM_WORDS if kind else GRAM, bool(kind))
         flags = x.repeated()
@@ -309,7 +309,7 @@ def _ordered(contexts: DataFrame, size: int, words: int | None) -> DataFrame:
         (w, a), b = np.divmod(step[::2], flags.shape[1]), step[1::2] % flags.shape[1] - 1 + x.size  # the last column is never set
         if kind:
             a, b = x.starts[x.first[w] + a] - offsets[w], x.ends[x.first[w] + b - 1] - offsets[w]
-        columns = [th[w], tl[w], n[w], (base[w] + a).astype(np.int32), (base[w] + b).astype(np.int32), np.full(len(w), bool(kind))]
+        columns = [th[w], tl[w], (base[w] + a).astype(np.int32), (base[w] + b).astype(np.int32), np.full(len(w), bool(kind))]
         return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [c.split()[0] for c in SPANS.split(", ")])
 
     def both(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -411,23 +411,29 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def text_key(text) -> dict:
-    return {"th": F.xxhash64(text), "tl": F.xxhash64(F.lit(1), text), "n": F.octet_length(text)}
+    return {"th": F.xxhash64(text), "tl": F.xxhash64(F.lit(1), text)}
 
 
 def repeated(texts: DataFrame, size: int = 400, group: int = GROUP, words: int | None = None) -> Stored:
     """KEY and found: the sorted runs (start, end, by_words) of repeated windows, of the texts that have any; ``texts`` has KEY and text."""
     rows = Stored(_anchors(texts, size, words))
-    name = ["anchor", "c1", "c2"]
-    contents = Stored(rows.df.groupBy(*name).agg(F.count("*").alias("m"), F.min(F.struct(*KEY, "start", "end", "at")).alias("one")))
-    several = contents.df.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    differ = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
+    met = Stored(rows.df.groupBy("anchor").agg(F.count("*").alias("m"), differ.alias("several")).where("m > 1"))
+    again = Stored(rows.df.join(met.df, "anchor"))
+    for done in (rows, met):
+        done.drop()
     by_words = (F.col("anchor") % 2 != 0).alias("by_words")
-    whole = rows.df.join(contents.df.where("m > 1").select(*name), name, "left_semi").select(*KEY, "start", "end", by_words)
-    wanted = contents.df.join(several, "anchor").select(*name, "one.*", (F.col("k") > group).alias("large"))
-    kept = _cut_contexts(texts, wanted)
-    parts, used = whole.union(_ordered(kept.df.where("NOT large"), size, words)), [rows, contents, kept]
-    large = kept.df.where("large").drop("large")
-    if not large.isEmpty():
-        for made in _refined(large, size, words):
+    span = [*KEY, "start", "end", by_words]
+    several = again.df.where("several")
+    contents = several.groupBy(*ID).agg(F.first("m").alias("m"), F.count("*").alias("same"), F.min(F.struct(*KEY, "start", "end", "at")).alias("one"))
+    contents = Stored(contents.select(*ID, "m", "same", "one.*"))
+    whole = several.join(contents.df.where("same > 1").select(*ID), ID, "left_semi").select(*span).union(again.df.where("NOT several").select(*span))
+    large = contents.df.where(F.col("m") > group).groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > group).select("anchor", F.lit(True).alias("large"))
+    large = Stored(large)
+    kept = _cut_contexts(texts, contents.df.join(large.df, "anchor", "left").withColumn("large", F.col("large").isNotNull()))
+    parts, used = whole.union(_ordered(kept.df.where("NOT large"), size, words)), [again, contents, large, kept]
+    if not large.df.isEmpty():
+        for made in _refined(kept.df.where("large").drop("large"), size, words):
             parts = parts.union(made.df)
             used.append(made)
     found = Stored(parts.distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", "by_words"))).alias("found")))
@@ -436,7 +442,7 @@ def repeated(texts: DataFrame, size: int = 400, group: int = GROUP, words: int |
     return found
 
 
-RESULT = "th long, tl long, n int, n_removed long, n_spans long, n_passages long, kept_sha256 string, kept string"
+RESULT = "th long, tl long, n_removed long, n_spans long, n_passages long, kept_sha256 string, kept string"
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -461,8 +467,8 @@ def cut(texts: DataFrame, found: DataFrame, with_words: bool) -> DataFrame:
                 a, b = merged(start[go], end[go])
                 kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
                 rows.append((*(k.as_py() for k in key), int((b - a).sum()), len(a), len(merged(start[by_words], end[by_words])[0]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), [x.split()[0] for x in RESULT.split(", ")])
 
     return map_arrow(_picked(texts, found.select(*KEY)).join(found, KEY).select(*KEY, "text", "found"), run, RESULT)
@@ -473,7 +479,7 @@ def dedup_report(docs: DataFrame, size: int = 400, group: int = GROUP, words: in
     own = keyed(docs.select("doc_id", "text"))
     texts = own.select(*KEY, "text")
     left = cut(texts, repeated(texts, size, group, words).df, False).drop("kept")
-    out = own.select("doc_id", *KEY, F.sha2(F.encode("text", "utf-8"), 256).alias("all_sha256")).join(left, KEY, "left")
+    out = own.select("doc_id", *KEY, F.octet_length("text").alias("n"), F.sha2(F.encode("text", "utf-8"), 256).alias("all_sha256")).join(left, KEY, "left")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n_bytes"), none("n_removed"), none("n_spans"),

@@ -95,7 +95,7 @@ def test_jaccard_without_broadcast_and_with_any_order(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(frame(spark, texts)).collect()} == want
 
 
-def test_jaccard_with_salted_lists(spark, monkeypatch):
+def test_jaccard_with_long_lists(spark, monkeypatch):
     """A large group of near copies whose shingles all count as hot."""
     rng = random.Random(11)
     base = prose(rng, 120).split()
@@ -108,10 +108,21 @@ def test_jaccard_with_salted_lists(spark, monkeypatch):
     texts += corpus(6)
     ids = rng.sample(range(5000), len(texts))
     want = brute_components(ids, brute_sets(texts))
-    monkeypatch.setattr(jaccard, "HOT", 7)
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 5)
     assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(frame(spark, texts, ids).coalesce(1)).collect()} == want
 
 
+def test_jaccard_where_ids_repeat(spark):
+    """Rows that share an id but not their text are nodes of their own."""
+    rng = random.Random(3)
+    one, two = (prose(rng, 100).split() for _ in range(2))
+    near = lambda w: " ".join([*w[:40], "other", *w[41:]])
+    texts = [" ".join(one), " ".join(two), near(one), near(two), prose(rng, 50), None, "x y"]
+    ids = [7, 7, 9, 5, 7, 7, None]
+    rows = jaccard.linked(frame(spark, texts, ids)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in rows) == sorted([(7, 96, 7), (9, 96, 7), (7, 96, 5), (5, 96, 5), (7, 46, 7), (7, 0, 7), (-1, 1, -1)])
+
+
 def test_jaccard_of_odd_tables(spark):
     assert jaccard.linked(frame(spark, [])).count() == 0
     same = jaccard.linked(frame(spark, ["a b c d e f"] * 3, [4, 4, None])).collect()
@@ -121,9 +132,9 @@ def test_jaccard_of_odd_tables(spark):
 
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7)]
-    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).df.collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100}
-    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "u long, v long")).df.count() == 0
 
 
 def brute_cut(texts, size):
