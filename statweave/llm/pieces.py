@@ -17,7 +17,8 @@ gives them back, which shows in the pieces that their merges leave at the seam:
 a merge across the seam must come before either side's next own merge to spoil
 it.  Characters outside the vocabulary become byte pieces and end a stretch, as
 no piece holds them.  Runs of spaces, whose pieces all tie, are merged step by
-step.  Stretches that were seen before are looked up.
+step from a heap of possible merges.  Stretches that were seen before are looked
+up.
 
 Defined results: a null text is empty (no ids); rows repeat as often as they
 occur; other columns are ignored.
@@ -29,6 +30,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +77,7 @@ class Pieces:
                 at, last = k, model.get_score(i)
             self.rank[i] = at
         self.ids = {self.texts[i]: i for i in normal}
+        self.rank_of = {self.texts[i]: int(self.rank[i]) for i in normal}
         self.known = {t for t in self.ids if len(t) == 1}
         blank = [t for t in self.ids if set(t) == {SPACE} and len(t) > 1]
         if any(SPACE in t[1:] for t in self.ids if t not in blank):
@@ -103,15 +106,24 @@ class Pieces:
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The pieces of a text, and the last merge's two sides: best score first, leftmost of equals."""
-        parts, sides = list(text), None
-        while len(parts) > 1:
-            best = min(((self.rank[self.ids[a + b]], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.ids), default=None)
-            if best is None:
-                break
-            k = best[1]
-            sides = parts[k], parts[k + 1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts, sides
+        parts, sides, n = list(text), None, len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ids, rank = self.ids, self.rank_of
+        heap = [(rank[t], k, t) for k in range(n - 1) if (t := parts[k] + parts[k + 1]) in ids]
+        heapify(heap)
+        while heap:
+            _, k, t = heappop(heap)
+            j = after[k]
+            if not parts[k] or j >= n or parts[k] + parts[j] != t:
+                continue  # one of the two has been merged with another since
+            sides = parts[k], parts[j]
+            parts[k], parts[j], after[k] = t, "", after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            for x in (before[k], k):
+                if x >= 0 and after[x] < n and (t := parts[x] + parts[after[x]]) in ids:
+                    heappush(heap, (rank[t], x, t))
+        return [p for p in parts if p], sides
 
     def _slow(self, text: str) -> list[int]:
         out = []
