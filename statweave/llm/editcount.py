@@ -136,26 +136,22 @@ class Counted:
         end = min(start + max(0, removed), self.n_chars)
         # The last boundary that no change can reach.
         leaf, at = self._leaf_at(max(0, start - LOOK))
-        words = self.leaves[leaf]
-        k = 0
+        words, k = self.leaves[leaf], 0
         while k < len(words) and at + len(words[k]) + LOOK <= start:
             at += len(words[k])
             k += 1
         head = words[:k]
-        # Old pre-tokens from there on, leaf by leaf, as far as needed.
-        last, old, fresh, done = leaf, words[k:], [], at
-        region = "".join(old)
-        more = True
-        while more:
-            while at + len(region) < end + LOOK + 1 and last + 1 < len(self.leaves):
-                last += 1
-                old = old + self.leaves[last]
-                region = "".join(old)
+        # Old pre-tokens from there on, up to the leaf behind the edit, and twice as many leaves where the cuts don't meet by then.
+        last = max(leaf, self._leaf_at(min(end + LOOK + 1, self.n_chars))[0])
+        while True:
+            old = [*words[k:], *(w for part in self.leaves[leaf + 1 : last + 1] for w in part)]
+            region = "".join(old)
             new = region[: start - at] + inserted + region[end - at :]
             shift = len(inserted) - (end - start)
             bounds, place = {}, at
             for i, w in enumerate(old):
-                bounds[place + shift] = i
+                if place >= end:
+                    bounds[place + shift] = i
                 place += len(w)
             final = last + 1 == len(self.leaves)
             fresh, pos, meet = [], 0, None
@@ -170,11 +166,9 @@ class Counted:
                 pos = m.end()
             else:
                 meet = len(old) if final else None
-            more = meet is None
-            if more:
-                last += 1
-                old = old + self.leaves[last]
-                region = "".join(old)
+            if meet is not None:
+                break
+            last = min(len(self.leaves) - 1, last + max(1, last - leaf))
         self.cut_again += pos
         done = head + fresh + old[meet:]
         for i in range(leaf + 1, last + 1):
