@@ -132,19 +132,28 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
 
 
+#: Characters of the blocks that a text is cut into, so that a piece of it is found without going through all before it.
+BLOCK = 1024
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters [start, end) of a text given in blocks."""
+    first = F.floor(start / F.lit(BLOCK)).cast("int")
+    some = F.slice(blocks, first + 1, F.floor(end / F.lit(BLOCK)).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), (start - first * F.lit(BLOCK) + 1).cast("int"), (end - start).cast("int"))
+
+
 def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
-    """The documents with every reported span replaced by ``mask`` (overlapping spans by one); all columns stay, n_chars is set anew."""
-    spans = find_spans(docs, scope).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    """The documents with every reported span replaced by ``mask`` (overlapping spans by one); all columns stay, n_chars is set anew.
+
+    What lies between spans is cut from blocks of the text, so the work grows with the text and the spans, not with their product.
+    """
+    before = W.partitionBy("key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    reach = find_spans(docs, scope).select("key", "start", "end").withColumn("last", F.coalesce(F.max("end").over(before), F.lit(0)))
+    gap = F.when(F.col("start") >= F.col("last"), F.struct(F.col("last").alias("a"), F.col("start").alias("b")))
+    gaps = reach.groupBy("key").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("end").alias("last"))
     text = F.col("row.text")
-    first = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def add(a: Column, s: Column) -> Column:
-        start, end = s["start"].cast("long"), s["end"].cast("long")
-        gap = F.substring(text, (a["at"] + 1).cast("int"), (start - a["at"]).cast("int"))
-        new = F.struct(F.concat(a["out"], F.array(gap, F.lit(mask))).alias("out"), end.alias("at"))
-        wider = F.struct(a["out"].alias("out"), F.greatest(a["at"], end).alias("at"))
-        return F.when(start >= a["at"], new).otherwise(wider)
-
-    cut = F.aggregate("spans", first, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    keyed = packed(docs, key=row_key(docs)).join(spans, "key", "left")
-    return unpacked(keyed, docs, F.when(F.col("spans").isNull(), text).otherwise(cut))
+    keyed = packed(docs, key=row_key(docs)).join(gaps, "key", "left")
+    keyed = keyed.withColumn("blocks", F.when(F.col("gaps").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    whole = F.concat(F.transform("gaps", lambda g: _piece(F.col("blocks"), g["a"], g["b"])), F.array(_piece(F.col("blocks"), F.col("last"), F.length(text))))
+    return unpacked(keyed, docs, F.when(F.col("gaps").isNull(), text).otherwise(F.array_join(whole, mask)))
