@@ -2,13 +2,14 @@
 
 Documents are tokenised once.  A document of n ids is cut at multiples of the
 sequence length, so all pieces but its last fill a sequence each.  Pieces are
-dealt at random (by a hash of document and place) into groups of bounded size;
+dealt at random (by a hash of document, place, task and, of equal ones in a task,
+their number) into groups of bounded size;
 in a group they are taken by falling length, and each goes to the first
 sequence with enough room.  The tournament tree holds at every node the greatest
 room below it, so the first fit is found by one walk down.
 
-A group is independent of all others and bounded in size, so the packing has one
-shuffle of small rows (no text, no ids) and no state between groups.
+A group is independent of all others and bounded in size, so the packing shuffles
+small rows alone (no text, no ids) and has no state between groups.
 
 Defined results: a null text is empty and still has its end id; repeated rows
 are packed as often as they occur; other columns are ignored.
@@ -166,9 +167,13 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, seed: int = 0, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Every piece with its sequence and its offset there (columns of PIECES, sequence_id, offset)."""
-    total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    dealt = pieces(docs, tokenizer, size, end_id).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    # Equal pieces of a task's documents are numbered, so that repeated rows spread over all groups.
+    numbered = pieces(docs, tokenizer, size, end_id).withColumn("task", F.spark_partition_id()).groupBy(*names, "task").agg(F.count("*").alias("m"))
+    numbered = numbered.select(*names, "task", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("copy"))
+    dealt = numbered.select(*names, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "task", "copy", F.lit(seed)), F.lit(groups)).alias("grp"))
 
     def fill(part: pa.Table) -> pa.Table:
         part = part.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])
