@@ -12,14 +12,16 @@ probability equal to their generalised Jaccard similarity (sum of least weights
 over sum of greatest).  A fingerprint holds 16 bits of each sample, so unlike
 samples agree by chance once in 65536.
 
-``edited_pairs`` also needs each document's successor by falling doc_id.  Ids are
-cut into ranges; each range gets, besides its own documents, a copy of the first
-document of the next range that has any, and so knows all its successors after
-one shuffle.
+``edited_pairs`` also needs each document's successor by falling doc_id.  The order
+(doc_id, hash of the text, task) is cut into ranges, so that neither one doc_id nor
+one text that many rows have makes a large range; each range gets, besides its own
+documents, a copy of the first document of the next range that has any, and so
+knows all its successors after one shuffle.
 
 Defined results: a null text is empty; an empty set has its own fingerprint,
-which is like itself alone; of rows with equal doc_id the lesser text comes
-first; rows with null doc_id come last.
+which is like itself alone; rows with equal doc_id stand in the order of their
+texts' hashes, so that equal rows follow one another; rows with null doc_id come
+last; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, map_arrow, mix
+from .common import Words, blocks, map_arrow, mix, partitions
 from .licenses import WORD_BYTES
 
 SAMPLES = 64
 #: Text per range of ids, about.
 RANGE_BYTES = 4 << 20
-#: Ranges at most; beyond it ranges grow and spill.
-RANGES = 10_000
+#: Ranges at most (their cuts go to all tasks, 2 MB); beyond 400 GB of text ranges grow, as sorts that spill.
+RANGES = 100_000
+#: Documents that choose a cut, about.
+CHOOSERS = 20
 
 
 def _gamma(h: np.ndarray) -> np.ndarray:
@@ -121,51 +125,55 @@ def likeness(a: np.ndarray, b: np.ndarray, empty_a: np.ndarray, empty_b: np.ndar
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _ranges(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with ``range``, and copies (``own`` false) of the first documents of other ranges."""
-    size, n, low, high = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    parts = min(RANGES, max(1, (size or 0) // RANGE_BYTES))
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []))
-    # A range holds the ids from its own cut up to the next one; nulls, the last of all, go to the lowest range.
-    found = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))), F.lit(0)) if len(cuts) < 64 else _search(cuts)
-    placed = docs.withColumn("range", found)
-    least = F.min(F.when(F.col("doc_id").isNull(), F.struct(F.lit(True), F.lit(None).cast("bigint"))).otherwise(F.struct(F.lit(False), -F.col("doc_id"))))
-    heads = {r["range"]: -r["head"][1] if r["head"] and r["head"][1] is not None else None for r in placed.groupBy("range").agg(least.alias("head")).collect()}
-    order = sorted(heads, reverse=True)  # ranges in the order of documents
-    after = dict(zip(order, [*order[1:], order[0]], strict=True)) if order else {}
-    copies = []
-    by: dict = {}
-    for r, nxt in after.items():
-        by.setdefault(heads[nxt], []).append(r)
-    ids = [k for k in by if k is not None]
-    if ids:
-        to = F.create_map(*[x for k in ids for x in (F.lit(k), F.array(*map(F.lit, by[k])))])
-        copies.append(docs.where(F.col("doc_id").isin(ids)).withColumn("range", F.explode(to[F.col("doc_id")])))
-    if None in by:
-        copies.append(docs.where(F.col("doc_id").isNull()).withColumn("range", F.explode(F.array(*map(F.lit, by[None])))))
-    out = placed.withColumn("own", F.lit(True))
-    for c in copies:
-        out = out.union(c.withColumn("own", F.lit(False)))
-    return out
-
+#: A document's place in the order.
+PLACE = "struct<no_id: boolean, id: bigint, hash: bigint, task: int>"
 
-def _search(cuts: list[int]):
-    """The number of cuts at or below doc_id, by halving."""
 
-    def half(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(F.col("doc_id") >= cuts[m], half(m + 1, b)).otherwise(half(a, m))
-
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(half(0, len(cuts)))
+def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (doc_id, text) with ``place``, ``range`` and ``own``, and copies (``own`` false) of the first documents of other ranges; and the number of ranges."""
+    spark = docs.sparkSession
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    place = F.struct(F.isnull("doc_id").alias("no_id"), F.bitwise_not("doc_id").alias("id"), "hash", F.spark_partition_id().alias("task")).cast(PLACE)
+    size, n = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    parts = min(RANGES, max(1, (size or 0) // RANGE_BYTES))
+    step = max(1, n // (CHOOSERS * parts))
+    # A hash chooses the documents at which cuts may be; every row belongs to a range, whatever it chooses.
+    chosen = hashed.where(F.pmod(F.xxhash64(F.lit(3), "hash", "doc_id", F.spark_partition_id()), F.lit(step)) == 0).select(place.alias("place")).distinct() if parts > 1 else None
+    found = sorted((tuple(r["place"]) for r in chosen.collect()), key=_order) if chosen else []
+    cuts = sorted({found[k * len(found) // parts] for k in range(1, parts)} if found else set(), key=_order)
+    known = spark.createDataFrame([(cuts,)], f"cuts array<{PLACE}>")
+    placed = hashed.withColumn("place", place).join(F.broadcast(known)).withColumn("range", _below("place")).drop("cuts", "hash")
+    heads = {r["range"]: tuple(r["place"]) for r in placed.groupBy("range").agg(F.min("place").alias("place")).collect()}
+    after, nxt = [], heads[min(heads)] if heads else None
+    for r in range(len(cuts), -1, -1):  # every range gets a copy, also one without documents
+        after.append((r, nxt))
+        nxt = heads.get(r, nxt)
+    wanted = spark.createDataFrame([(r, *x[:3]) for r, x in after if x], "to int, no_id boolean, id bigint, hash bigint")
+    # Which of several equal rows comes first makes no difference.
+    same = [F.col("place")[c].eqNullSafe(F.col(c)) for c in ("no_id", "id", "hash")]
+    copies = placed.drop("range").join(F.broadcast(wanted), same[0] & same[1] & same[2]).groupBy("to").agg(F.min("place").alias("place"), F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    copies = copies.select("doc_id", "text", "place", F.col("to").alias("range"), F.lit(False).alias("own"))
+    return placed.select("doc_id", "text", "place", "range", F.lit(True).alias("own")).union(copies), len(cuts) + 1
+
+
+def _order(place: tuple) -> tuple:
+    return tuple((x is not None, x) for x in place)  # nulls first, as Spark has it
+
+
+def _below(place: str):
+    """The number of cuts at or below the place, by halving."""
+    cut = lambda s: F.get("cuts", F.floor((s["lo"] + s["hi"]) / F.lit(2)).cast("int"))
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / F.lit(2)).cast("int")
+    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    go = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(cut(s) <= F.col(place), state(middle(s) + 1, s["hi"])).otherwise(state(s["lo"], middle(s)))
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size("cuts") + 1)).cast("int")), state(F.lit(0), F.size("cuts")), go, lambda s: s["lo"])
 
 
 def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Columns of SCHEMA for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = _ranges(docs)
-    parts = ranged.repartition("range").sortWithinPartitions("range", F.desc("own"), F.desc("doc_id"), "text")
+    ranged, ranges = _ranges(docs)
+    parts = ranged.repartition(max(ranges, partitions(docs.sparkSession, 0)), "range").sortWithinPartitions("range", F.desc("own"), "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
