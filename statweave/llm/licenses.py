@@ -5,14 +5,16 @@ lower-cased).  Two layers report:
 
 * the *base* phrases, each place where their words stand consecutively;
 * the *rules*: some hundred license names, each in several forms (identifier
-  line, grant, title) with its own priority and weight, and the licenses' SPDX
-  identifiers in identifier lines (of an expression, the first identifier).  An Aho-Corasick
+  line, grant, title) with its own priority and weight, the licenses' SPDX
+  identifiers in identifier lines (of an expression, the first identifier) and
+  grants, and what stands in the licenses' own texts and notices.  An Aho-Corasick
   automaton over the rules' keywords passes once over a text; only rules whose
   keyword occurs run their regex, on the words joined by single spaces.
   Detections are taken by priority, then length; one that lies inside a kept
   detection is suppressed.
 
-Everything happens within a row, so the scan has no shuffle.
+Everything happens within a row, so the scan has no shuffle; its time grows with
+the text's length and, but for a logarithm, with the number of detections.
 
 Defined results: a null text is empty (no words, no labels, score 0); rows
 repeat as often as they occur; other columns are ignored.
@@ -21,6 +23,7 @@ repeat as often as they occur; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,50 +41,62 @@ WORD_BYTES = byte_table(np.r_[48:58, 65:91, 97:123, 128:256])
 
 #: label | keyword that any text of it has | the name in words, as a regex. Hand-written, most specific first.
 NAMES = """
-agpl-3.0 | affero | (?:gnu )?affero general public license(?: (?:version|v)? ?3(?: 0)?)
-agpl-3.0 | agpl | (?:gnu )?agpl(?: (?:version|v)? ?3(?: 0)?)
+agpl-3.0 | affero | (?:gnu )?affero general public license(?: version)? v? ?3(?: 0)?
+agpl-1.0 | affero | affero general public license(?: version)? v? ?1(?: 0)?
 agpl | affero | (?:gnu )?affero general public license
-lgpl-3.0 | lesser | (?:gnu )?lesser general public license(?: (?:version|v))? 3(?: 0)?
-lgpl-2.1 | lesser | (?:gnu )?lesser general public license(?: (?:version|v))? 2 1
+agpl-3.0 | agpl | (?:gnu )?agpl(?: version)? ?v? ?3(?: 0)?
+lgpl-3.0 | lesser | (?:gnu )?lesser general public license(?: version)? v? ?3(?: 0)?
+lgpl-2.1 | lesser | (?:gnu )?lesser general public license(?: version)? v? ?2 1
 lgpl | lesser | (?:gnu )?lesser general public license
+lgpl-2.0 | library general | (?:gnu )?library general public license(?: version)? v? ?2(?: 0)?
 lgpl-2.0 | library general | (?:gnu )?library general public license
-gpl-3.0 | general public | (?:gnu )?general public license(?: (?:version|v))? ?3(?: 0)?
-gpl-2.0 | general public | (?:gnu )?general public license(?: (?:version|v))? ?2(?: 0)?
-gpl-1.0 | general public | (?:gnu )?general public license(?: (?:version|v))? ?1(?: 0)?
+lgpl-3.0 | lgpl | (?:gnu )?lgpl(?: version)? ?v? ?3(?: 0)?
+lgpl-2.1 | lgpl | (?:gnu )?lgpl(?: version)? ?v? ?2 1
+lgpl-2.0 | lgpl | (?:gnu )?lgpl(?: version)? ?v? ?2 0
+gpl-3.0 | general public | (?:gnu )?general public license(?: version)? v? ?3(?: 0)?
+gpl-2.0 | general public | (?:gnu )?general public license(?: version)? v? ?2(?: 0)?
+gpl-1.0 | general public | (?:gnu )?general public license(?: version)? v? ?1(?: 0)?
 gpl | general public | gnu general public license
-gpl-3.0 | gpl | gnu gpl ?v?3
-gpl-2.0 | gpl | gnu gpl ?v?2
+gpl-3.0 | gpl | (?:gnu )?gpl(?: version)? ?v? ?3(?: 0)?
+gpl-2.0 | gpl | (?:gnu )?gpl(?: version)? ?v? ?2(?: 0)?
+gpl | gpl | gnu gpl
 gfdl-1.3 | free documentation | (?:gnu )?free documentation license(?: version)? 1 3
 gfdl-1.2 | free documentation | (?:gnu )?free documentation license(?: version)? 1 2
 gfdl | free documentation | (?:gnu )?free documentation license
-apache-2.0 | apache | apache (?:software )?license(?: version)? 2(?: 0)?
-apache-1.1 | apache | apache (?:software )?license(?: version)? 1 1
-apache-1.0 | apache | apache (?:software )?license(?: version)? 1 0
+apache-2.0 | apache | apache (?:software )?license(?: version)? v? ?2(?: 0)?
+apache-1.1 | apache | apache (?:software )?license(?: version)? v? ?1 1
+apache-1.0 | apache | apache (?:software )?license(?: version)? v? ?1 0
+apache-2.0 | apache | apache ?v?2(?: 0)?
 apache | apache | apache (?:software )?license
 mit-0 | no attribution | mit no attribution(?: license)?
 mit | mit | mit license
 x11 | x11 | x11 license
 expat | expat | expat license
 isc | isc | isc license
+mit | mit | (?:mit expat|expat mit|mit x11|x11 mit) license
 bsd-4-clause | bsd | (?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?
 bsd-3-clause | bsd | (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?
 bsd-2-clause | bsd | (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?
 bsd-0-clause | bsd | (?:0bsd|zero clause bsd)(?: license)?
 bsd | bsd | bsd license
-mpl-2.0 | mozilla | mozilla public license(?: (?:version|v))? 2(?: 0)?
-mpl-1.1 | mozilla | mozilla public license(?: (?:version|v))? 1 1
-mpl-1.0 | mozilla | mozilla public license(?: (?:version|v))? 1 0
+mpl-2.0 | mozilla | mozilla public license(?: version)? v? ?2(?: 0)?
+mpl-1.1 | mozilla | mozilla public license(?: version)? v? ?1 1
+mpl-1.0 | mozilla | mozilla public license(?: version)? v? ?1 0
+mpl-2.0 | mpl | mpl ?v? ?2 0
+mpl-1.1 | mpl | mpl ?v? ?1 1
 mpl | mozilla | mozilla public license
-epl-2.0 | eclipse | eclipse public license(?: (?:version|v))? 2(?: 0)?
-epl-1.0 | eclipse | eclipse public license(?: (?:version|v))? 1(?: 0)?
+epl-2.0 | eclipse | eclipse public license(?: version)? v? ?2(?: 0)?
+epl-1.0 | eclipse | eclipse public license(?: version)? v? ?1(?: 0)?
+epl-2.0 | epl | epl ?v? ?2 0
+epl-1.0 | epl | epl ?v? ?1 0
 epl | eclipse | eclipse public license
-edl-1.0 | eclipse | eclipse distribution license(?: (?:version|v))?(?: 1 0)?
-cddl-1.1 | common development | common development and distribution license(?: (?:version|v))? 1 1
+edl-1.0 | eclipse | eclipse distribution license(?:(?: version)? v? ?1 0)?
+cddl-1.1 | common development | common development and distribution license(?: version)? v? ?1 1
 cddl-1.0 | common development | common development and distribution license
-cpl-1.0 | common public | common public license(?: (?:version|v))?(?: 1 0)?
-ipl-1.0 | ibm public | ibm public license(?: (?:version|v))?(?: 1 0)?
-eupl-1.2 | european union | european union public licen[cs]e(?: (?:version|v))? 1 2
-eupl-1.1 | european union | european union public licen[cs]e(?: (?:version|v))? 1 1
+cpl-1.0 | common public | common public license(?:(?: version)? v? ?1 0)?
+ipl-1.0 | ibm public | ibm public license(?:(?: version)? v? ?1 0)?
+eupl-1.2 | european union | european union public licen[cs]e(?: version)? v? ?1 2
+eupl-1.1 | european union | european union public licen[cs]e(?: version)? v? ?1 1
 eupl | european union | european union public licen[cs]e
 cc0-1.0 | cc0 | cc0(?: 1 0)?(?: universal)?
 cc0-1.0 | creative commons zero | creative commons zero
@@ -109,19 +124,19 @@ cc-by-sa | creative commons | creative commons attribution share ?alike(?: [1-4]
 cc-by-nd | creative commons | creative commons attribution no ?deriv(?:ative)?s?(?: [1-4] 0)?
 cc-by | creative commons | creative commons attribution(?: [1-4] 0)?
 cc | creative commons | creative commons(?: license)?
-odbl-1.0 | open database | open database license(?: (?:version|v))?(?: 1 0)?
+odbl-1.0 | open database | open database license(?:(?: version)? v? ?1 0)?
 odc-by-1.0 | open data commons | open data commons attribution license
 pddl-1.0 | open data commons | open data commons public domain dedication(?: and license)?
 unlicense | unlicense | unlicense
 wtfpl | public license | do what the f\\w+ you want to public license
 zlib | zlib | zlib (?:libpng )?license
 libpng | libpng | libpng license
-boost-1.0 | boost | boost software license(?: (?:version|v))?(?: 1 0)?
-artistic-2.0 | artistic | artistic license(?: (?:version|v))? 2(?: 0)?
-artistic-1.0 | artistic | artistic license(?: (?:version|v))? 1(?: 0)?
+boost-1.0 | boost | boost software license(?:(?: version)? v? ?1 0)?
+artistic-2.0 | artistic | artistic license(?: version)? v? ?2(?: 0)?
+artistic-1.0 | artistic | artistic license(?: version)? v? ?1(?: 0)?
 artistic | artistic | artistic license
-psf-2.0 | python software | python software foundation license(?: (?:version|v))?(?: 2)?
-php-3.01 | php | php license(?: (?:version|v))?(?: 3 01)?
+psf-2.0 | python software | python software foundation license(?:(?: version)? v? ?2)?
+php-3.01 | php | php license(?:(?: version)? v? ?3 01)?
 ruby | ruby | ruby license
 perl | same terms as perl | same terms as perl(?: itself)?
 postgresql | postgresql | postgresql license
@@ -131,18 +146,18 @@ openssl | openssl | openssl license
 openldap | openldap | openldap public license
 sleepycat | sleepycat | sleepycat license
 qpl-1.0 | q public | q public license
-ofl-1.1 | open font | (?:sil )?open font license(?: (?:version|v))?(?: 1 1)?
+ofl-1.1 | open font | (?:sil )?open font license(?:(?: version)? v? ?1 1)?
 ms-pl | microsoft | microsoft public license
 ms-rl | microsoft | microsoft reciprocal license
 upl-1.0 | universal permissive | universal permissive license
-osl-3.0 | open software license | open software license(?: (?:version|v))?(?: 3 0)?
-afl-3.0 | academic free | academic free license(?: (?:version|v))?(?: 3 0)?
-bsl-1.1 | business source | business source license(?: (?:version|v))?(?: 1 1)?
-sspl-1.0 | server side | server side public license(?: (?:version|v))?(?: 1)?
-elastic-2.0 | elastic | elastic license(?: (?:version|v))?(?: 2 0)?
+osl-3.0 | open software license | open software license(?:(?: version)? v? ?3 0)?
+afl-3.0 | academic free | academic free license(?:(?: version)? v? ?3 0)?
+bsl-1.1 | business source | business source license(?:(?: version)? v? ?1 1)?
+sspl-1.0 | server side | server side public license(?:(?: version)? v? ?1)?
+elastic-2.0 | elastic | elastic license(?:(?: version)? v? ?2 0)?
 rail | responsible ai | (?:open )?responsible ai license
 llama | community license | llama ?[0-9]* community license
-ogl-3.0 | open government | open government licen[cs]e(?: (?:version|v))?(?: ?3 0)?
+ogl-3.0 | open government | open government licen[cs]e(?:(?: version)? v? ?3 0)?
 public-domain | public domain | (?:dedicated to|released (?:in)?to|placed in|in) the public domain
 proprietary | proprietary | proprietary and confidential
 all-rights | rights reserved | all rights reserved
@@ -163,12 +178,60 @@ OTHER_IDENTIFIERS = {
     "bsl-1.1": "busl 1 1", "ogl-3.0": "ogl uk 3 0",
 }
 
+#: label | keyword | words of a license's own text or notice, as a regex.
+BODIES = """
+mit | hereby granted | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit | substantial portions | the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software
+x11 | x consortium | except as contained in this notice the name of the x consortium shall not be used in advertising
+isc | copy modify | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted
+bsd-0-clause | copy modify | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided
+bsd | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
+bsd-3-clause | endorse or promote | nor the names of its contributors may be used to endorse or promote products
+bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+apache-2.0 | in compliance | you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0
+apache-2.0 | apache org | (?:https? )?www apache org licenses license 2 0
+apache-1.1 | apache software foundation | this product includes software developed by the apache software foundation
+gpl-3.0 | redistribute it | you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3
+gpl-2.0 | redistribute it | you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2
+gpl | redistribute it | you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation
+lgpl-3.0 | redistribute it | you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3
+lgpl-2.1 | redistribute it | you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1
+lgpl | redistribute it | you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation
+lgpl-2.0 | redistribute it | you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2
+agpl-3.0 | redistribute it | you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3
+mpl-2.0 | source code form | this source code form is subject to the terms of the mozilla public license v ?2 0
+mpl-1.1 | subject to the mozilla | the contents of this file are subject to the mozilla public license version 1 1
+epl-2.0 | accompanying materials | this program and the accompanying materials are made available under the terms of the eclipse public license ?v? ?2 0
+epl-1.0 | accompanying materials | this program and the accompanying materials are made available under the terms of the eclipse public license ?v? ?1 0
+unlicense | unencumbered | this is free and unencumbered software released into the public domain
+zlib | altered source | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+boost-1.0 | organization obtaining | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+cc0-1.0 | dedicated the work | has dedicated the work to the public domain by waiving
+cc0-1.0 | waived all copyright | has waived all copyright and related
+cc-by-4.0 | creativecommons org | creativecommons org licenses by 4 0
+cc-by-sa-4.0 | creativecommons org | creativecommons org licenses by sa 4 0
+cc-by-sa-3.0 | creativecommons org | creativecommons org licenses by sa 3 0
+cc-by-nc-4.0 | creativecommons org | creativecommons org licenses by nc 4 0
+cc-by-nd-4.0 | creativecommons org | creativecommons org licenses by nd 4 0
+cc-by-nc-sa-4.0 | creativecommons org | creativecommons org licenses by nc sa 4 0
+cc-by-nc-nd-4.0 | creativecommons org | creativecommons org licenses by nc nd 4 0
+cc0-1.0 | creativecommons org | creativecommons org publicdomain zero 1 0
+ofl-1.1 | reserved font name | with reserved font name
+postgresql | written agreement | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+ncsa | deal with the software | to deal with the software without restriction
+openssl | openssl project | this product includes software developed by the openssl project
+"""
+
 #: form -> (priority, weight, regex around a name)
 FORMS = {
     "tag": (90, 0.99, r"spdx license identifier (?:{})"),
     "grant": (80, 0.95, r"(?:licensed|released|distributed|published|available|provided|covered|governed) (?:by|under) (?:the )?(?:terms of )?(?:the )?(?:{})"),
+    "body": (70, 0.9, r"(?:{})"),
     "title": (50, 0.7, r"(?:{})"),
 }
+#: Identifiers after "licensed under"; names that are words of their own are left to the forms above.
+GRANT_ID = r"(?:licensed|released|distributed|published|available|provided|covered|governed) under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[cs]e)?"
+NOT_ALONE = {"ruby", "zlib", "w3c", "postgresql", "x11"}
 
 
 class Rule(NamedTuple):
@@ -184,12 +247,20 @@ def rules() -> list[Rule]:
     out = []
     for line in NAMES.strip().splitlines():
         label, keyword, name = (x.strip() for x in line.split("|", 2))
-        for priority, weight, form in FORMS.values():
+        for priority, weight, form in (FORMS[x] for x in ("tag", "grant", "title")):
             out.append(Rule(label, re.sub(r"[^0-9a-z]+", " ", keyword), priority, weight, rf"(?<![^ ]){form.format(name)}(?![^ ])"))
     priority, weight, _ = FORMS["tag"]
     names = [(label, re.sub("[-.]", " ", label)) for label in SAME_IDENTIFIER.split()]
     for label, name in [*names, *OTHER_IDENTIFIERS.items()]:
         out.append(Rule(label, "spdx", priority, weight, rf"(?<![^ ])spdx license identifier (?:{name})(?: (?:only|or later))?(?![^ ])"))
+    priority, weight, _ = FORMS["grant"]
+    for label, name in [*names, *OTHER_IDENTIFIERS.items()]:
+        if label not in NOT_ALONE:
+            out.append(Rule(label, re.match(r"[a-z0-9 ]*[a-z0-9]", name)[0], priority, weight, rf"(?<![^ ]){GRANT_ID.format(name)}(?![^ ])"))
+    priority, weight, form = FORMS["body"]
+    for line in BODIES.strip().splitlines():
+        label, keyword, body = (x.strip() for x in line.split("|", 2))
+        out.append(Rule(label, keyword, priority, weight, rf"(?<![^ ]){form.format(body)}(?![^ ])"))
     return out
 
 
@@ -203,7 +274,7 @@ def _head(rule: Rule) -> str:
         pattern, last = re.sub(r"\(\?:[^()]*\)\?", "", pattern), pattern
     if "licen" in re.sub(r"spdx license|\(\?:licensed[^()]*\)", "", pattern) and "|" not in re.sub(r"\(\?:licensed[^()]*\)|\(\?:by\|under\)", "", pattern):
         return "licen"
-    return "" if rule.keyword == "cc by" else max(reversed(rule.keyword.split()), key=len)
+    return "" if rule.keyword.startswith("cc by") else max(reversed(rule.keyword.split()), key=len)
 
 
 class Detection(NamedTuple):
@@ -237,21 +308,29 @@ class Scanner:
         if not self.rules:
             return []
         run = {i for _, which in self.gate.iter(words) for i in which}
-        found = []
+        found, gaps = [], np.flatnonzero(np.frombuffer(words.encode("utf-32-le"), np.uint32) == 32) if run else None
         for i in run:
             r = self.rules[i]
             for m in self.patterns[i].finditer(words):
-                start = words.count(" ", 0, m.start())
+                start = int(np.searchsorted(gaps, m.start()))
                 found.append(Detection(start, start + m.group().count(" ") + 1, r.label, r.priority, r.weight))
         return suppress(found)
 
 
 def suppress(found: list[Detection]) -> list[Detection]:
     """Those not contained in one of higher rank (priority, then length, then place and label)."""
+    starts = sorted({d.start for d in found})
+    furthest = [-1] * (len(starts) + 1)  # a binary indexed tree over starts: the greatest end of what is kept
     kept: list[Detection] = []
     for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+        at = k = bisect_left(starts, d.start) + 1
+        while k and furthest[k] < d.end:
+            k -= k & -k
+        if not k:  # nothing kept begins at or before it and ends at or behind it
             kept.append(d)
+            while at <= len(starts):
+                furthest[at] = max(furthest[at], d.end)
+                at += at & -at
     return sorted(kept)
 
 

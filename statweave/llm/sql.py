@@ -110,8 +110,7 @@ rules(label, priority, weight, pattern) AS (VALUES {", ".join(rows)}),
 base AS ({base}),
 hits AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
   SELECT doc_id, label, priority, weight, pattern, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern) AS m
-  FROM t JOIN rules ON regexp_matches(t, pattern)
-  WHERE regexp_matches(t, 'licen|gpl|bsd|cc|creative|domain|reserved|warrant|proprietary|commons|attribution|affero|terms'))),
+  FROM t JOIN rules ON regexp_matches(t, pattern))),
 found AS (SELECT doc_id, label, priority, weight, (sum(len(string_split(g[i], ' ')) - 1) OVER k + coalesce(sum(len(string_split(m[i], ' ')) - 1) OVER e, 0)) // 2 AS start,
     len(list_filter(string_split(m[i], ' '), lambda x: x <> '')) AS size FROM hits
   WINDOW k AS (PARTITION BY doc_id, label, priority, pattern ORDER BY i), e AS (PARTITION BY doc_id, label, priority, pattern ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from statweave.llm import cws, editcount, knn, packing, pieces, registry, toxicity
@@ -158,6 +160,14 @@ def test_packing_is_exact(spark):
     assert sorted(r["length"] for r in twice) == [1, 2, 2] and {r["doc_id"] for r in twice} == {1, None}
 
 
+def test_packing_deals_equal_rows_to_all_groups(spark):
+    """Null texts and repeated rows count and spread, so that no group grows with their number."""
+    rows = frame(spark, [None] * 2000 + ["the same text"] * 2000, [5] * 2000 + [None] * 2000)
+    got = packing.pack(rows, WORD_BPE, 64, 2, group_bytes=500).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 4000 and len(groups) > 55 and max(groups.values()) < 4 * 4000 / len(groups)
+
+
 def test_packing_knows_added_tokens(spark):
     from tokenizers import Tokenizer
 
@@ -261,7 +271,7 @@ def test_fingerprints(spark, monkeypatch, size):
     rng = random.Random(9)
     t = texts(9, 60) + ["Same words here", "same WORDS here"]
     ids = rng.sample(range(10_000), len(t))
-    got = {r["doc_id"]: r for r in cws.edited_pairs(frame(spark, t, ids)).collect()}
+    got = {r["doc_id"]: r for r in cws.edited_pairs(frame(spark, t, ids), 1024).collect()}
     assert len(got) == len(t)
     order = sorted(ids, reverse=True)
     by = {i: x or "" for i, x in zip(ids, t, strict=True)}
@@ -271,7 +281,7 @@ def test_fingerprints(spark, monkeypatch, size):
         m = len(text) // 3
         edited = text[: len(text) - m] + nxt[:m]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(text)
-        assert abs(got[i]["near_edited"] - jaccard(text, edited)) < 0.32 or not bag(text) or not bag(edited)
+        assert abs(got[i]["near_edited"] - jaccard(text, edited)) < 0.1 or not bag(text) or not bag(edited)
         prints[text].add(got[i]["fingerprint"])
         prints[edited].add(got[i]["edited_fingerprint"])
     assert all(len(p) == 1 for p in prints.values())
@@ -281,8 +291,30 @@ def test_fingerprints_of_odd_tables(spark):
     assert cws.edited_pairs(frame(spark, [])).count() == 0
     (one,) = cws.edited_pairs(frame(spark, ["a b c"], [5])).collect()  # its own successor
     assert one["near_next"] == 1.0
-    rows = cws.edited_pairs(frame(spark, ["b b b", "a a a", "c c c", None], [1, 1, None, None])).collect()
-    assert sorted(r["edited_sha256"] for r in rows) == sorted(hashlib.sha256(x).hexdigest() for x in (b"a a b", b"b b ", b"c ca ", b"")) or len(rows) == 4
+
+
+@pytest.mark.parametrize("size", [40, 4 << 20])
+def test_fingerprints_where_ids_repeat(spark, monkeypatch, size):
+    """Null ids, one id in many rows and equal rows: every row has a successor, in one order of all rows."""
+    monkeypatch.setattr(cws, "RANGE_BYTES", size)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 7, 7, 7, k]), rng.choice(["same text here", prose_of(rng, 5), None])) for k in range(150)]
+    rows += [(None, "equal rows"), (7, "equal rows")] * 30
+    got = cws.edited_pairs(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    key = {}
+    for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect():
+        key[r["t"]] = r["h"]
+    order = sorted(((i is None, -(i or 0), key[t or ""], t or "") for i, t in rows))
+    want = Counter()
+    for k, (none, i, _, t) in enumerate(order):
+        m, nxt = len(t) // 3, order[(k + 1) % len(order)][3]
+        want[None if none else -i, len(t), hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    assert len({r["fingerprint"] for r in got if r["n_chars"] == 10}) == 1
+
+
+def prose_of(rng, n):
+    return " ".join(f"w{rng.randrange(50)}" for _ in range(n))
 
 
 # Pieces
@@ -293,9 +325,8 @@ def test_pieces_agree_with_the_library(spark):
 
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     p, rng = pieces.Pieces(PIECES), random.Random(12)
-    t = [x or "" for x in ODD if not x or len(x) < 5000] + [jumble(rng, rng.choice([1, 4, 30, 200])) for _ in range(300)]
+    t = [x or "" for x in ODD] + [" " * 3000 + "x", "a" * 20_000, "nul \x00 \x00\x00in \x00it"] + [jumble(rng, rng.choice([1, 4, 30, 200])) for _ in range(300)]
     t += ["".join(rng.choice("etaoinshr") for _ in range(rng.choice([5, 40, 300]))) for _ in range(200)]
-    t = [x.replace("\x00", "") for x in t]
     want = library.encode(t)
     assert [x.tolist() for x in p.encode(t)] == want
     assert [p.decode(np.array(x)) for x in want] == library.decode(want)
@@ -305,6 +336,26 @@ def test_pieces_agree_with_the_library(spark):
     assert pieces.round_trip(frame(spark, []), PIECES).count() == 0
 
 
+def test_pieces_and_edits_keep_pace_with_very_long_texts():
+    p = pieces.Pieces.of(PIECES)
+    start = time.perf_counter()
+    (ids,) = p.encode(["x" + " " * 1_000_000 + "y"])
+    assert p.decode(ids) == "x" + " " * 1_000_000 + "y" and time.perf_counter() - start < 60
+    tokenizer, took = editcount.Tokenizer.of(BYTE_BPE, P.PATTERN), []
+    for n in (1, 8):
+        c = editcount.Counted("alpha beta 12, " * (60_000 * n), tokenizer)
+        start = time.perf_counter()
+        c.edit(100, c.n_chars // 2, "zz")
+        took.append(time.perf_counter() - start)
+        assert c.n_tokens == len(tokenizer.encoding.encode_ordinary(c.text()))
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_edit_report_of_repeated_rows(spark):
+    rows = editcount.report(frame(spark, ["one two", "one two", None, "three"], [1, 1, None, None]), BYTE_BPE, P.PATTERN).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in rows) == [(0, 0), (0, 5), (1, 7), (1, 7)]
+
+
 def test_pieces_forget(monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBER", 60)
     p, rng = pieces.Pieces(PIECES), random.Random(3)
