@@ -173,7 +173,9 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sets = Stored(_sets(docs, width, percent, common_shingles(docs, width)))
     rows = Stored(sets.df.select("doc_id", "n", "fp"))
     whole = sets.df.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    whole = Stored(whole.withColumn("k", F.monotonically_increasing_id()))  # the number of a class, written once
+    # A class is named by its smallest document, which also makes originals the pivots of their copies; where unlike rows share an id, by a number (written once).
+    again = rows.df.where("doc_id is not null and n > 0").groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("unlike")).where("unlike")
+    whole = Stored(whole.withColumn("k", F.col("c") if again.isEmpty() else F.monotonically_increasing_id()))
     sets.drop()
     classes = whole.df.select("k", "c", "fp")
     entries = whole.df.where("c is not null").select("k", "n", F.posexplode("prefix").alias("i", "token"))
