@@ -72,7 +72,8 @@ def test_cover_tree_invariants_and_pruning():
         d = np.sqrt(((x[rows] - x[tree.centre[k]]) ** 2).sum(1))
         assert d.max() <= tree.radius[k] + 1e-9
         kids = [tree.rows[c] for c in tree.children[k]]
-        assert not kids or sorted(np.concatenate(kids)) == sorted(rows)
+        assert sorted(np.concatenate([tree.lone[k], *kids])) == sorted(rows)
+        assert not kids or all(tree.radius[c] <= knn.SHRINK * tree.radius[k] + 1e-9 for c in tree.children[k])
     best, done = knn.dual_search(x[::10], np.arange(0, len(x), 10), x, np.arange(len(x)), 5)
     assert done < 0.6 * len(x) * len(x[::10])
     s = x[::10] @ x.T
@@ -80,6 +81,24 @@ def test_cover_tree_invariants_and_pruning():
     assert np.allclose(np.sort(best.scores, 1), np.sort(s, 1)[:, -5:])
 
 
+def test_top_k_prunes_and_carries_scores_over_blocks(spark):
+    """On clustered vectors far fewer products than all, whatever the blocks."""
+    rng = np.random.default_rng(4)
+    x = np.floor(np.vstack([rng.normal(c, 0.02, (400, 6)) for c in rng.normal(0, 3, (10, 6))]) * 1024)
+    df = spark.createDataFrame([(i, [int(c) for c in v]) for i, v in enumerate(x)], "vec_id long, v array<long>")
+    queries = df.where("vec_id % 20 = 0")
+    done = {b: knn.products(df, queries, 10, b, 64).agg(F.sum("done")).first()[0] for b in (500, 10_000)}
+    assert max(done.values()) < 0.5 * 4000 * 200
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = [(1, [5, 0])] * 3 + [(2, [4, 0])] * 40 + [(3, [1, 1]), (3, [2, 2]), (100, [1, 0]), (100, [1, 0]), (100, [0, 1]), (200, [7, 7])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in knn.top_k(df, df.where("vec_id = 100"), 10, 4, 2).collect())
+    products = sorted((-(v[0] * w[0] + v[1] * w[1]), i) for v in ([1, 0], [0, 1]) for i, w in rows if i != 100)
+    assert got == [(100, k + 1, i, -s) for k, (s, i) in enumerate(products[:10])]
+
+
 # Toxicity
 
 
