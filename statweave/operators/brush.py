@@ -99,6 +99,33 @@ def axis_histogram(df: DataFrame, column: str, bins: int = 10, lo: float | None
     return all_bins.join(F.broadcast(counts), "bin", "left").select("bin", (lo + F.col("bin") * size).alias("low"), (lo + (F.col("bin") + 1) * size).alias("high"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
+BASES = ("total", "fullest", "fullest_brushed")
+
+
+def histogram_widths(df: DataFrame, column: str, brush: DataFrame | None = None, base: str = "total", bins: int = 10, row_id: str = "row_id") -> DataFrame:
+    """(bin, low, high, count, brushed, width, brushed_width): an axis histogram with the brushed weight in each bin.
+
+    Widths are counts over a base: all rows, the fullest bin, or the fullest brushed
+    bin; without rows there they are 0.
+    """
+    if base not in BASES:
+        raise ValueError(f"unknown base {base!r}; one of {', '.join(BASES)}")
+    b = df.agg(F.min(F.col(column).cast("double")), F.max(F.col(column).cast("double"))).first()
+    out = axis_histogram(df, column, bins, *b)
+    if b[0] is None:
+        return out.selectExpr("*", "0D brushed", "0D width", "0D brushed_width")
+    size, x = (b[1] - b[0]) / bins, F.col(column).cast("double")
+    place = F.least(F.floor((x - b[0]) / size), F.lit(bins - 1)).cast("int") if size else F.lit(0)
+    if brush is not None:
+        weights = df.where(x.isNotNull()).select(row_id, place.alias("bin")).join(brush.select(row_id, "weight"), row_id).groupBy("bin").agg(F.sum("weight").alias("brushed"))
+        out = out.join(F.broadcast(weights), "bin", "left")  # a row per bin
+    out = out.withColumn("brushed", F.coalesce("brushed", F.lit(0.0)) if brush is not None else F.lit(0.0))
+    by = {"total": F.sum("count"), "fullest": F.max("count"), "fullest_brushed": F.max("brushed")}[base]
+    whole = F.broadcast(out.agg(by.cast("double").alias("whole")))  # one row
+    over = lambda c: F.when(F.col("whole") > 0, F.col(c) / F.col("whole")).otherwise(0.0)
+    return out.join(whole).select("bin", "low", "high", "count", "brushed", over("count").alias("width"), over("brushed").alias("brushed_width"))
+
+
 def records(df: DataFrame, label: str = "label") -> DataFrame:
     """One record per row: numeric columns as float, all text joined into a label, a line per column."""
     from ..sources.schema import numeric_columns

@@ -31,7 +31,12 @@ def canopies(x: np.ndarray, t1: float, t2: float) -> tuple[np.ndarray, np.ndarra
 
 
 def canopy(points: DataFrame, t1: float, t2: float, should_cluster: bool = True, fan_in: int = 64) -> tuple[list[Cluster], DataFrame | None]:
-    """Canopies of each part of the data, then of their centers, ``fan_in`` parts at a time; with ``should_cluster`` also the points by nearest center."""
+    """Canopies of each part of the data, then of their centers, ``fan_in`` parts at a time; with ``should_cluster`` also the points by nearest center.
+
+    As canopies are found part by part, they depend on how the points are dealt to
+    partitions (each part is put in order first, so not on the order in them).
+    More than MAX_CLUSTERS canopies are an error.
+    """
     if not t1 > t2 > 0:
         raise ValueError("t1 > t2 > 0 is needed")
 

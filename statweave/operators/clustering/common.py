@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ...sources.schema import vector_columns
 from ..rows import vectorize
@@ -85,12 +86,13 @@ def assign(points: DataFrame, pick: Callable[[np.ndarray], np.ndarray], kind: T.
     """points with a column made from batches of points; rows with -1 or null stay."""
     schema = T.StructType([*points.schema.fields, T.StructField(name, kind or T.IntegerType())])
     at, names = points.columns.index("point"), [*points.columns, name]
-    to = pa.float64() if isinstance(schema.fields[-1].dataType, T.DoubleType) else pa.int32()
+    to = to_arrow_type(schema.fields[-1].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pick(matrix(batch.column(at))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made).cast(to)], names)
+            new = pa.array(made.tolist(), to) if made.ndim > 1 else pa.array(made).cast(to)  # a row of several numbers is a list
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], names)
 
     return points.mapInArrow(run, schema)
 
@@ -105,6 +107,19 @@ def kept(points: DataFrame) -> DataFrame:
     return points.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def model_rows(df: DataFrame) -> list:
+    """The rows of a model's table; more than a model may have are an error."""
+    rows = df.limit(MAX_CLUSTERS + 1).collect()
+    if len(rows) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    return rows
+
+
+def read_clusters(df: DataFrame) -> list[Cluster]:
+    """A written model (cluster, center, radius, n) again."""
+    return [Cluster(r[0], np.array(r[1]), np.array(r[2]), r[3]) for r in sorted(model_rows(df.select("cluster", "center", "radius", "n")))]
+
+
 def cluster_frame(spark, clusters: list[Cluster]) -> DataFrame:  # noqa: ANN001
     """(cluster, center, radius, n)"""
     rows = [(c.id, c.center.tolist(), c.radius.tolist(), c.n) for c in clusters]

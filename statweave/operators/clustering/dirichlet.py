@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Cluster, assign, fold, group_sums, kept
@@ -83,11 +84,13 @@ def dirichlet(
     clusters = [Cluster(k, means[k], deviations[k], int(counts[k])) for k in range(num_models) if counts[k]]
     if not should_cluster:
         return clusters, mixture, None
+    return clusters, mixture, assign_models(points, mixture, means, deviations, emit_most_likely, threshold)
+
+
+def assign_models(points: DataFrame, mixture: np.ndarray, means: np.ndarray, deviations: np.ndarray, emit_most_likely: bool = True, threshold: float = 0.0) -> DataFrame:
+    """points by their most likely model (``cluster``), or a row for each model whose share is at least ``threshold`` (``probability``, ``cluster``); one pass."""
     if emit_most_likely:
-        return clusters, mixture, assign(points, lambda x: posterior(x, mixture, means, deviations).argmax(1))
-    rows = None
-    for k in range(num_models):
-        one = assign(points, lambda x, k=k: posterior(x, mixture, means, deviations)[:, k], T.DoubleType(), "probability")
-        one = one.where(one["probability"] >= threshold).selectExpr("*", f"{k} AS cluster")
-        rows = one if rows is None else rows.union(one)
-    return clusters, mixture, rows
+        return assign(points, lambda x: posterior(x, mixture, means, deviations).argmax(1))
+    shares = assign(points, lambda x: posterior(x, mixture, means, deviations), T.ArrayType(T.DoubleType()), "_shares")
+    each = shares.select(*points.columns, F.posexplode("_shares").alias("cluster", "probability"))
+    return each.where(F.col("probability") >= threshold).select(*points.columns, "probability", "cluster")

@@ -4,7 +4,9 @@ The published algorithm, with an objective averaged over all dimensions, segment
 distances that aren't divided by the number of dimensions, and each cluster's
 share of the objective divided by k as well, which fixes the meaning of
 ``min_threshold``.  Medoids and their statistics live on the driver; each phase is
-one pass over the points with sums per medoid.
+one pass over the points with sums per medoid.  First medoids are chosen from a
+Bernoulli sample of any size, which stays distributed: each choice is one pass in
+which every task passes on its farthest point.
 """
 
 from __future__ import annotations
@@ -14,13 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import assign, fold, group_sums, kept
 
-#: Points of the sample from which first medoids are chosen, at most.
-SAMPLE = 20_000
-
-
 @dataclass(frozen=True)
 class Medoid:
     id: int
@@ -31,14 +30,30 @@ class Medoid:
     n: int
 
 
-def greedy(sample: np.ndarray, k: int) -> np.ndarray:
-    """The first point, then k - 1 times the point whose least distance (summed over all dimensions) to those chosen is greatest."""
-    chosen, away = [0], np.abs(sample - sample[0]).sum(1)
-    while len(chosen) < min(k, len(sample)):
-        best = int(away.argmax())
-        chosen.append(best)
-        away = np.minimum(away, np.abs(sample - sample[best]).sum(1))
-    return sample[chosen]
+def in_order(points: DataFrame, n: int, seed: int) -> np.ndarray:
+    """The n points that come first in an order by hash (ties by the points themselves)."""
+    return np.array([r[0] for r in points.orderBy(F.xxhash64("point", F.lit(seed)), "point").limit(n).collect()], float)
+
+
+def farthest(points: DataFrame, chosen: np.ndarray) -> tuple[float, np.ndarray]:
+    """The greatest of the points' least distances (summed over all dimensions) to those chosen, and its point (of equals the greatest)."""
+
+    def away(x: np.ndarray) -> np.ndarray:
+        return np.min([np.abs(x - c).sum(1) for c in chosen], axis=0)
+
+    far = assign(points.select("point"), away, T.DoubleType(), "away").agg(F.max(F.struct("away", "point"))).first()[0]
+    return far["away"], np.array(far["point"])
+
+
+def greedy(sample: DataFrame, k: int, seed: int = 0) -> np.ndarray:
+    """The first point by hash, then k - 1 times the farthest one from those chosen."""
+    chosen = in_order(sample, 1, seed)
+    while 0 < len(chosen) < k:
+        away, point = farthest(sample, chosen)
+        if away <= 0:
+            return chosen  # no other point is left
+        chosen = np.vstack([chosen, point])
+    return chosen
 
 
 def radii(medoids: np.ndarray) -> np.ndarray:
@@ -109,17 +124,15 @@ def proclus(
     """Medoids, objective, and clustered points (a ``cluster`` column; outliers are left out)."""
     if k < 1 or l < 2:
         raise ValueError("k >= 1 and l >= 2 are needed")
-    rng, held = np.random.default_rng(seed), kept(points.select("point"))
+    held = kept(points.select("point"))
     try:
-        some = held.sample(False, split_size, seed) if split_size < 1 else held
-        order = F.xxhash64("point", F.lit(seed))
-        sample = np.array([r[0] for r in some.orderBy(order, "point").limit(SAMPLE).collect()], float)
-        if len(sample) < k:
-            sample = np.array([r[0] for r in held.orderBy(order, "point").limit(max(k, 1)).collect()], float)
-        if len(sample) < k:
-            raise ValueError(f"{len(sample)} points are fewer than k = {k}")
-        now, best = greedy(sample, k), None
-        for _ in range(max(1, iterations)):
+        sample = held.sample(False, split_size, seed) if split_size < 1 else held
+        now, best = greedy(sample, k, seed), None
+        if len(now) < k:
+            sample, now = held, greedy(held, k, seed)
+        if len(now) < k:
+            raise ValueError(f"{len(now)} different points are fewer than k = {k}")
+        for it in range(max(1, iterations)):
             dims = select_dimensions(locality_means(held, now, radii(now)), l)
             objective, _, _, good = evaluate(held, now, dims, min_deviation)
             if best is None or objective < best[0]:
@@ -127,10 +140,12 @@ def proclus(
             if best[0] < min_threshold:
                 break
             now = best[1].copy()
-            for i in np.flatnonzero(~best[2]):
-                fresh = [p for p in sample[rng.permutation(len(sample))[: 4 * k + 4]] if not (now == p).all(1).any()]
-                if fresh:
-                    now[i] = fresh[0]
+            bad = np.flatnonzero(~best[2])
+            fresh = in_order(sample, len(bad) + k, (seed + 1) * 1_000_003 + it)  # k of them may be medoids already
+            for i in bad:
+                other = [p for p in fresh if not (now == p).all(1).any()]
+                if other:
+                    now[i] = other[0]
         medoids = best[1]
         deltas = radii(medoids)
         dims = select_dimensions(locality_means(held, medoids, deltas), l)
@@ -140,12 +155,19 @@ def proclus(
         held.unpersist()
     found = [Medoid(i, medoids[i], dims[i], float(deltas[i]), centers[i], int(n[i])) for i in range(k)]
 
+    return found, objective, members(points, found)
+
+
+def members(points: DataFrame, medoids: list[Medoid]) -> DataFrame:
+    """points by their nearest medoid (``cluster``), those within its radius; others are outliers and left out."""
+    vectors, dims, deltas = np.array([m.vector for m in medoids]), [m.dims for m in medoids], np.array([m.delta for m in medoids])
+
     def pick(x: np.ndarray) -> np.ndarray:
-        d = segmental(x, medoids, dims)
+        d = segmental(x, vectors, dims)
         own = d.argmin(1)
         return np.where(d[np.arange(len(x)), own] < deltas[own], own, -1)
 
-    return found, objective, assign(points, pick).where("cluster >= 0")
+    return assign(points, pick).where("cluster >= 0")
 
 
 def plot_radius(m: Medoid) -> np.ndarray:

@@ -35,7 +35,7 @@ def box_plot(df: DataFrame, columns: list[str] | None = None, exact: bool = True
 
 def indexed(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
     """Row numbers from 0 in a stated order, without bringing all rows together: counts by range first, then numbers in each."""
-    # Stored once, so that counts and numbers speak of the same partitions.
+    # Stored once, so that counts and numbers speak of the same partitions; the result reads it (see storage.release).
     placed = stored(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
     counts = sorted(tuple(r) for r in placed.groupBy("_part").count().collect())  # a row per partition
     start, starts = 0, []
@@ -85,6 +85,13 @@ def cluster_plots(points: DataFrame, columns: list[str], n: int = 2) -> dict[tup
     return {d: shown.select("cluster", *[F.get("point", F.lit(at[c])).alias(a) for a, c in zip(axes, d, strict=True)]) for d in combinations(sorted(columns), n)}
 
 
+def cluster_ellipses(clusters: DataFrame, columns: list[str]) -> dict[tuple[str, str], DataFrame]:
+    """(cluster, x, y, rx, ry) for each pair of columns: the centers of clusters (cluster, center, radius) and the half axes around them."""
+    at = {c: i for i, c in enumerate(columns)}
+    part = lambda c, d, name: F.get(c, F.lit(at[d])).alias(name)
+    return {(a, b): clusters.select("cluster", part("center", a, "x"), part("center", b, "y"), part("radius", a, "rx"), part("radius", b, "ry")) for a, b in combinations(sorted(columns), 2)}
+
+
 KINDS = {
     "box-plot": box_plot,
     "scatter-plot": scatter_plot,

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.parsing import number
 from ..sources.schema import DOUBLE, field_of
+from ..sources.storage import Stored
 
 
 def count_lines(df: DataFrame) -> DataFrame:
@@ -25,25 +28,34 @@ def sample_bernoulli(df: DataFrame, probability: float, seed: int | None = None)
 
 
 def sample_exact(df: DataFrame, fraction: float, total: int | None = None, seed: int = 0, buckets: int = 1 << 16) -> DataFrame:
-    """round(total * fraction) rows without replacement, each with equal chance.
+    """round(total * fraction) rows without replacement, each with equal chance, in the order of the table's rows.
 
-    Rows get a random number; a count by its ``buckets`` ranges finds the range
-    in which the sample is full, and only rows of that one range are put in order.
+    Rows get a random number once: those that may belong to the sample are stored
+    with it (a few more than asked for), so that what is counted is what is taken.
+    A count by its ``buckets`` ranges finds the range in which the sample is full,
+    and only rows of that one range are put in order.
     """
     total = df.count() if total is None else total
     n = int(total * fraction + 0.5)
-    drawn = df.withColumn("_draw", F.rand(seed))
-    place = F.floor(F.col("_draw") * buckets).cast("int")
+    share = n / total if total else 0.0
+    most = min(1.0, share + 6 * math.sqrt(share * (1 - share) / max(1, total)) + 10 / max(1, total))
+    drawn = df.withColumns({"_draw": F.rand(seed), "_id": F.monotonically_increasing_id()})
+    found = Stored(drawn.where(F.col("_draw") < most))
+    if most < 1 and found.df.count() < n:  # hardly ever
+        found.drop()
+        most, found = 1.0, Stored(drawn)
+    rows = found.df
+    place = F.least(F.floor(F.col("_draw") / most * buckets), F.lit(buckets - 1)).cast("int")
     left, cut = n, buckets
-    for b, c in sorted(tuple(r) for r in drawn.groupBy(place.alias("b")).count().collect()):  # at most ``buckets`` rows
+    for b, c in sorted(tuple(r) for r in rows.groupBy(place.alias("b")).count().collect()):  # at most ``buckets`` rows
         if c > left:
             cut = b
             break
         left -= c
-    whole = drawn.where(place < cut)
+    whole = rows.where(place < cut)
     if cut < buckets and left > 0:
-        whole = whole.union(drawn.where(place == cut).orderBy("_draw").limit(left))
-    return whole.drop("_draw")
+        whole = whole.union(rows.where(place == cut).orderBy("_draw", "_id").limit(left))
+    return whole.orderBy("_id").drop("_draw", "_id")
 
 
 def draw(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -60,12 +72,11 @@ def filter_table(df: DataFrame, condition: Column | str | Callable[[dict], bool]
     if not callable(condition) or isinstance(condition, Column):
         return df.where(condition)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = part.astype(object).where(part.notna(), None)
-            yield part[[_true(condition, r) for r in rows.to_dict("records")]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_true(condition, r) for r in batch.to_pylist()], pa.bool_()))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def _true(condition: Callable[[dict], bool], row: dict) -> bool:
@@ -80,14 +91,13 @@ def map_table(df: DataFrame, function: dict[str, Column | str] | Callable[[dict]
     if isinstance(function, dict):
         return df.withColumns({k: F.expr(e) if isinstance(e, str) else e for k, e in function.items()})
     to = schema or df.schema
-    names = (T.StructType.fromDDL(to) if isinstance(to, str) else to).names
+    wanted = to_arrow_schema(T.StructType.fromDDL(to) if isinstance(to, str) else to)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = part.astype(object).where(part.notna(), None).to_dict("records")
-            yield pd.DataFrame([function(r) for r in rows], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([function(r) for r in batch.to_pylist()], schema=wanted)
 
-    return df.mapInPandas(run, to)
+    return df.mapInArrow(run, to)
 
 
 def _numbers(df: DataFrame, columns: list[str]) -> list[Column]:

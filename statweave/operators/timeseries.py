@@ -28,22 +28,24 @@ def sort(df: DataFrame, column: str) -> DataFrame:
 def aggregate(df: DataFrame, column: str, period: str, function: str, preserve_types: bool = True, week_start: str = "monday") -> DataFrame:
     """One row per calendar period.
 
-    Numeric columns get the function's value (nulls don't count), others their
-    first value that is there, the date column the period's first instant.
+    Numeric columns get the function's value (nulls don't count), others the value
+    of the earliest row that has one (the least of equally early ones), the date
+    column the period's first instant.
     ``preserve_types``: results have the column's type, so integer averages are
     cut towards zero.
     """
     if function not in FUNCTIONS:
         raise ValueError(f"unknown function {function!r}; one of {', '.join(FUNCTIONS)}")
     date = field_of(df.schema, column).name
-    at = bucket(instant(df, column), period, week_start)
-    made = []
+    when = instant(df, column)
+    at = bucket(when, period, week_start)
+    when, made = when.alias("when"), []
     for f in df.schema.fields:
         if f.name == date:
             continue
         c = F.col(f.name)
         if kind_of(f) not in NUMERIC:
-            value = F.first(c, ignorenulls=True)
+            value = F.min(F.when(c.isNotNull(), F.struct(when, c.alias("value"))))["value"]
         elif function == "average":
             whole = preserve_types and isinstance(f.dataType, T.IntegralType)
             value = F.expr(f"sum(`{f.name}`) div nullif(count(`{f.name}`), 0)") if whole else F.avg(c)

@@ -95,6 +95,10 @@ def run_job(spark: SparkSession, name: str, **options: Any) -> Job:
     return make_job(spark, name, **options).run()
 
 
+def names() -> list[str]:
+    return list(_JOBS)
+
+
 def job_info(name: str) -> str:
     """What a job does, and its options."""
     f = _JOBS[name]
@@ -213,8 +217,7 @@ def _kmeans(
     if isinstance(input_clusters, Job):
         input_clusters = input_clusters.output("clusters")
     if isinstance(input_clusters, (str, Dataset, DataFrame)):
-        found = as_df(df.sparkSession, input_clusters).select("cluster", "center", "radius", "n").orderBy("cluster").limit(common.MAX_CLUSTERS).collect()
-        input_clusters = [common.Cluster(r[0], r[1], r[2], r[3]) for r in found]
+        input_clusters = common.read_clusters(as_df(df.sparkSession, input_clusters))
     return _clusters(df, *kmeans_.kmeans(common.as_points(df, columns), input_clusters, convergence_delta, num_iterations, should_cluster))
 
 

@@ -236,7 +236,7 @@ d AS (SELECT vec_id, m.label, sum((x - c) * (x - c)) AS d FROM e JOIN m ON e.i =
 SELECT vec_id, arg_min(label, d) AS cluster FROM d GROUP BY 1""")
 def kmeans_assign_step(spark, sf):
     points = _points(spark, sf)
-    means = _label_means(points).orderBy("label").limit(common.MAX_CLUSTERS).collect()
+    means = sorted(common.model_rows(_label_means(points)))
     labels, pick = np.array([r[0] for r in means]), common.nearest(np.array([r[1] for r in means]))
     return common.assign(points, lambda x: labels[pick(x)]).select("vec_id", "cluster")
 

@@ -86,6 +86,18 @@ def vector_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if kind_of(f) not in (STRING, CATEGORICAL) and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
+def make_row(schema: T.StructType, values: list) -> T.Row:
+    """Values in the order of the columns as a row."""
+    if len(values) != len(schema.fields):
+        raise ValueError(f"{len(values)} values for {len(schema.fields)} columns")
+    return T.Row(*schema.names)(*values)
+
+
+def header(schema: T.StructType) -> list[tuple[str, str]]:
+    """(name, kind) of the columns, in order."""
+    return [(f.name, kind_of(f)) for f in schema.fields]
+
+
 def build_dimensions(columns: list[str], n: int = 2) -> list[tuple[str, ...]]:
     """All unordered pairs or triples of distinct columns."""
     return list(combinations(sorted(set(columns)), n))

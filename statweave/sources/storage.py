@@ -44,6 +44,15 @@ class Stored:
         _kept.pop(self.path, None)
 
 
+class Scratch(Stored):
+    """A path in the shared folder for files of any format, dropped like a stored table."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/statweave-{uuid.uuid4().hex}"
+        _kept[self.path] = self
+
+
 def stored(df: DataFrame) -> DataFrame:
     return Stored(df).df
 

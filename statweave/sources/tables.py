@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parsing import NULLS, null_if_token, parse_datum
+from . import files
 from .schema import column_position, field_of, kind_of, numeric_columns
 
 
@@ -138,7 +139,9 @@ def combine(spark: SparkSession, table: Table, path: str) -> Dataset:
 
 
 def read_vectors(df: DataFrame, schema: T.StructType, vector: str = "point") -> DataFrame:
-    """An array column as typed columns, in full width; date-times stay milliseconds."""
+    """An array column, or a struct of a weight and such a ``vector``, as typed columns, in full width; date-times stay milliseconds."""
+    if isinstance(df.schema[vector].dataType, T.StructType):
+        df = df.select(F.col(f"{vector}.vector").alias(vector))
     made = []
     for i, f in enumerate(schema.fields):
         t = T.DoubleType() if isinstance(f.dataType, T.StringType) else f.dataType
@@ -167,6 +170,38 @@ def read_stf(spark: SparkSession, path: str) -> Dataset:
     return Dataset(rows.select(*made))
 
 
-def write_brush(brush: DataFrame, path: str, weight: str = "weight", row_id: str = "row_id") -> None:
-    """The weights of a brush as text, a line "row weight" each."""
-    brush.select(F.concat_ws(" ", F.col(row_id).cast("string"), F.col(weight).cast("string")).alias("value")).write.mode("overwrite").text(path)
+def write_brush(brush: DataFrame, path: str, name: str = "brush", weight: str = "weight", row_id: str = "row_id") -> None:
+    """A brush as text: a folder with the lines "name" and the number of rows in ``head``, and a line "row weight" each in ``weights``."""
+    spark = brush.sparkSession
+    brush.select(F.concat_ws(" ", F.col(row_id).cast("string"), F.col(weight).cast("string")).alias("value")).write.mode("overwrite").text(f"{path}/weights")
+    spark.createDataFrame([(f"{name}\n{brush.count()}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+
+
+def read_brush(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """The name of a written brush, and (row_id, weight); another number of rows than its head says is an error."""
+    name, n = [r[0] for r in spark.read.text(f"{path}/head").collect()]  # two lines
+    cells = F.split("value", " ")
+    rows = spark.read.text(f"{path}/weights").select(cells[0].cast("long").alias("row_id"), cells[1].cast("double").alias("weight"))
+    if rows.count() != int(n):
+        raise ValueError(f"{path} says {n} rows and has {rows.count()}")
+    return name, rows
+
+
+def open_last_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """The clusters of a stored clustering: those in the folder clusters-N (or clusters-N-final) with the greatest N."""
+    found = [(int(m[1]), p) for p in files.ls(spark, path) if (m := re.search(r"clusters-(\d+)(?:-final)?/*$", p))]
+    if not found:
+        raise ValueError(f"{path} holds no folder clusters-N")
+    return spark.read.parquet(max(found)[1])
+
+
+def write_pairs(df: DataFrame, path: str) -> None:
+    """The first two columns as keys and values of a Hadoop sequence file."""
+    key, value = df.columns[:2]
+    files.delete(df.sparkSession, path)
+    df.select(key, value).rdd.map(tuple).saveAsSequenceFile(path)
+
+
+def read_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A sequence file's pairs, read lazily; ``schema`` names and types key and value."""
+    return spark.createDataFrame(spark.sparkContext.sequenceFile(path), schema)

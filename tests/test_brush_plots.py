@@ -36,8 +36,9 @@ def test_ranges_and_brushes(spark, df, tmp_path):
     with pytest.raises(ValueError):
         brush.combine(soft, other, "xor")
     assert set(pairs(brush.angular_brush(df, "x", "y", -0.2, 0.2))) == {4, 5, 6}
-    tables.write_brush(soft, str(tmp_path / "b"))
-    assert spark.read.text(str(tmp_path / "b")).count() == 5
+    tables.write_brush(soft, str(tmp_path / "b"), "mine")
+    name, again = tables.read_brush(spark, str(tmp_path / "b"))
+    assert name == "mine" and sorted(map(tuple, again.collect())) == sorted(map(tuple, soft.collect()))
 
 
 def test_histogram_and_records(spark, df):

@@ -106,8 +106,12 @@ def test_proclus_finds_subspaces(spark):
         proclus.proclus(df, k=1000, l=2)
 
 
-def test_proclus_steps():
-    assert proclus.greedy(np.array([[0.0], [1.0], [9.0], [5.0]]), 3).ravel().tolist() == [0.0, 9.0, 5.0]
+def test_proclus_steps(spark):
+    for seed in range(4):  # whatever comes first, the farthest point follows
+        line = spark.createDataFrame([([x],) for x in (0.0, 1.0, 9.0, 5.0)], "point array<double>")
+        got = proclus.greedy(line, 3, seed).ravel().tolist()
+        assert len(set(got)) == 3 and got[1] == max((0.0, 1.0, 9.0, 5.0), key=lambda x: (abs(x - got[0]), x))
+    assert proclus.greedy(line, 9).shape == (4, 1) and not len(proclus.greedy(line.where("false"), 2))
     assert proclus.radii(np.array([[0.0, 0], [3, 4], [30, 40]])).tolist() == [5.0, 5.0, 45.0]
     means = np.array([[1.0, 9, 9, 1, 9], [9.0, 9, 1, 1, 1]])
     assert [d.tolist() for d in proclus.select_dimensions(means, 2)] == [[0, 3], [2, 3]]
@@ -124,3 +128,35 @@ def test_index_passes_over_empty_clusters(spark):
 def test_points_of_tables(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("b", None, 3.0)], "s string, n int, x double")
     assert [r.point for r in common.as_points(df).collect()] == [[1.0, 2.0]]
+
+
+def test_index_compares_all_centers(spark):
+    rng = np.random.default_rng(2)
+    centers, points = rng.normal(0, 5, (150, 3)), rng.integers(0, 150, 1000)
+    x = centers[points] + rng.normal(0, 1, (1000, 3))
+    got = validation.davies_bouldin(
+        spark.createDataFrame([(int(k), p.tolist()) for k, p in zip(points, x, strict=True)], "cluster int, point array<double>"),
+        spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centers)], "cluster int, center array<double>"),
+    ).first()[0]
+    s = np.array([np.sqrt((np.abs(x[points == k] - c).sum(1) ** 2).mean()) if (points == k).any() else np.nan for k, c in enumerate(centers)])
+    with np.errstate(divide="ignore"):
+        ratio = (s[:, None] + s) / np.sqrt(((centers[:, None] - centers) ** 2).sum(2))
+    np.fill_diagonal(ratio, np.nan)
+    assert got == pytest.approx(np.mean([0 if np.isnan(r).all() else np.nanmax(r) for r in ratio]))
+
+
+def test_models_beyond_their_bound_are_errors(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAX_CLUSTERS", 1)
+    two = common.cluster_frame(spark, [common.Cluster(k, np.zeros(1), np.zeros(1), 1) for k in range(2)])
+    with pytest.raises(ValueError):
+        common.read_clusters(two)
+
+
+def test_command_line(spark, tmp_path):
+    from statweave import proclus as command
+
+    rng = np.random.default_rng(3)
+    rows = [(float(c + rng.normal(0, 0.1)), float(rng.normal()), float(c + rng.normal(0, 0.1))) for c in (0, 9) for _ in range(60)]
+    spark.createDataFrame(rows, "a double, b double, c double").write.parquet(str(tmp_path / "in"))
+    command.main(["--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--k", "2", "--l", "2", "--splitSize", "1.0"])
+    assert spark.read.parquet(str(tmp_path / "out" / "clusters")).count() == 2
