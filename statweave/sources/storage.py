@@ -44,6 +44,11 @@ class Stored:
         _kept.pop(self.path, None)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver's JVM collect garbage, upon which Spark removes the shuffle files of finished plans; else they stay on executors' disks until the driver's heap happens to fill."""
+    spark._jvm.System.gc()
+
+
 class Scratch(Stored):
     """A path in the shared folder for files of any format, dropped like a stored table."""
 
