@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, Words, blocks, byte_table, map_arrow, mix, text_buffer
+from .common import Stored, Words, blocks, byte_table, free_shuffles, map_arrow, mix, text_buffer
 from .graph import components
 
 #: Greatest number of shingles that are sent to all tasks as common: 4 MB.
@@ -158,6 +158,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     out = Stored(both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v"))
     for done in (sets, told, wanted):
         done.drop()
+    free_shuffles(docs.sparkSession)
     return out
 
 
@@ -177,10 +178,12 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     again = rows.df.where("doc_id is not null and n > 0").groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("unlike")).where("unlike")
     whole = Stored(whole.withColumn("k", F.col("c") if again.isEmpty() else F.monotonically_increasing_id()))
     sets.drop()
+    free_shuffles(docs.sparkSession)
     classes = whole.df.select("k", "c", "fp")
     entries = whole.df.where("c is not null").select("k", "n", F.posexplode("prefix").alias("i", "token"))
     long = entries.groupBy("token").agg(F.count("*").alias("many"), F.min("k").alias("p")).where("many > 1").select("token", "p")
     marked = Stored(entries.join(long, "token"))
+    free_shuffles(docs.sparkSession)
     pivots = marked.df.where("k = p").select("token", F.col("n").alias("m"), F.col("i").alias("j"))
 
     # Round one: each class against the pivot that it meets most often.
