@@ -24,8 +24,8 @@ combines before the shuffle, and every join by shingle, pivot or class has plain
 tables on both sides, so that adaptive execution splits the long ones.
 
 Counting for the order: each task counts the shingles of its own texts and passes
-on those it has met twice.  The most frequent ones, at most ``COMMON``, go to
-all tasks (8 bytes each).  They only decide the order and with it the cost.
+on those it has met twice.  The most frequent ones, at most ``COMMON`` and cut
+where their numbers' classes are, go to all tasks (16 bytes each).  They only decide the order and with it the cost.
 
 Defined results: a null or empty text has no shingles and links with nothing;
 repeated rows are members of one class; rows that share a doc_id but not their
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import Stored, Words, blocks, byte_table, free_shuffles, map_arrow, mix, text_buffer
 from .graph import components
 
-#: Greatest number of shingles that are sent to all tasks as common: 4 MB.
+#: Greatest number of shingles that are sent to all tasks as common: 8 MB.
 COMMON = 1 << 19
 #: Bytes of text in which a task looks for shingles that it meets twice.
 COUNTED = 24 << 20
@@ -97,8 +97,15 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
         more = times >= 2
         return pa.RecordBatch.from_arrays([pa.array(found[first[more]].view(np.int64)), pa.array(times[more])], ["token", "times"])
 
-    counted = map_arrow(docs.select("text"), count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    top = counted.where("times >= 8").orderBy(F.desc("times"), "token").limit(COMMON).toArrow()
+    counted = map_arrow(docs.select("text"), count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).where("times >= 8")
+    counted = Stored(counted.withColumn("class", F.floor(F.log2("times") * 16).cast("int")))
+    many, least = 0, None
+    for c, n in sorted((tuple(r) for r in counted.df.groupBy("class").count().collect()), reverse=True):  # at most 1,024 classes of numbers
+        if many + n > COMMON:
+            break
+        many, least = many + n, c
+    top = counted.df.where("false" if least is None else f"class >= {least}").select("token", "times").toArrow()
+    counted.drop()
     tokens, times = top["token"].to_numpy().view(np.uint64), top["times"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], times[order]
