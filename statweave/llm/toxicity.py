@@ -14,12 +14,14 @@ that a likelihood-ratio test ranks first, as far as chance does not explain them
 penalty.
 
 Training uses at most ``TRAIN_ROWS`` labelled rows, those with the least hash of
-doc_id; with that bound the model has a bounded size too and goes to all tasks.
+doc_id, and at most ``TEXT_FEATURES`` features of each; with these bounds the model
+has a bounded size too and goes to all tasks.
 Scoring is one pass without a shuffle.
 
 Defined results: a null text is empty and gets the probabilities of a text
 without features; labels that are null take no part, of repeated labels the
-greatest counts; without labels of both kinds a category gets their share (0
+greatest counts, and of documents with one labelled doc_id the least text is
+learnt from; without labels of both kinds a category gets their share (0
 where there are none); rows repeat as often as they occur.
 """
 
@@ -48,10 +50,12 @@ PREFIXES = (4, 5, 6)
 BITS = 22
 #: category -> the SQL condition on the columns of ``labels`` that it stands for; in the order of the chain.
 CHAIN = {
-    "junk": "quality = 0",
     "toxic_prose": "toxic = 1 and quality = 1",
+    "toxic_junk": "toxic = 1 and quality = 0",
     "toxic": "toxic = 1",
 }
+#: Features of a text that training looks at, at most (those with the least numbers, which are hashes); scoring looks at all.
+TEXT_FEATURES = 50_000
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
@@ -201,11 +205,13 @@ def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str | Column] = C
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     judged = [F.expr(e) if isinstance(e, str) else e for e in chain.values()]
     some = some.select("doc_id", *[j.cast("double").alias(f"y{i}") for i, j in enumerate(judged)])
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    judged = [f"y{i}" for i in range(len(chain))]
+    # Of rows that repeat a labelled doc_id the least text counts, so that there are no more texts than labels.
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", *judged).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(features(batch.column("text")))
+            sets = [found[:TEXT_FEATURES] for found in features(batch.column("text"))]
             ends = np.cumsum([0, *map(len, sets)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(f"y{i}") for i in range(len(chain))), lists], ["doc_id", *(f"y{i}" for i in range(len(chain))), "f"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from statweave.llm import cws, editcount, knn, packing, pieces, registry, toxicity
-from statweave.llm.common import Words, byte_table
+from statweave.llm.common import BASE, VALUES, Words, byte_table
 
 P = pytest.importorskip("public_tokenizers")
 WORD_BPE, BYTE_BPE, PIECES = (P.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
@@ -113,10 +113,10 @@ def test_chain_learns_and_uses_held_out_rows(spark):
     labels = df.selectExpr("doc_id", "1 quality", "y toxic").where("doc_id < 400")
     labels = labels.union(labels.limit(3)).union(spark.createDataFrame([(401, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int"))
     models = toxicity.train(df, labels)
-    assert list(models) == ["junk", "toxic_prose", "toxic"] and len(models["toxic"].weights) == len(models["toxic"].features) + 3
+    assert list(models) == ["toxic_prose", "toxic_junk", "toxic"] and len(models["toxic"].weights) == len(models["toxic"].features) + 3
     extra = frame(spark, ["w1 VILEQUE w2", None, "", "w1 w2"])
     held = toxicity.score(df.where("doc_id >= 400"), models).collect()
-    assert all((r["p_toxic"] >= toxicity.REJECT) == bool(r["y"]) for r in held) and all(r["p_junk"] < 0.01 for r in held)
+    assert all((r["p_toxic"] >= toxicity.REJECT) == bool(r["y"]) for r in held) and all(r["p_toxic_junk"] < 0.01 for r in held)
     out = {r["doc_id"]: r for r in toxicity.score(extra, models).collect()}
     assert out[0]["p_toxic"] > 0.3 > out[3]["p_toxic"] and out[1]["p_toxic"] == out[2]["p_toxic"] and out[0]["grp"] == 7
     none = toxicity.train(df, labels.where("false"))
@@ -143,6 +143,69 @@ def test_out_of_fold_probabilities_differ_from_fitted_ones(monkeypatch):
     assert abs(np.corrcoef(held_out, y)[0, 1]) < 0.3 < np.corrcoef(fitted, y)[0, 1]
 
 
+def plain_features(text):
+    """The presence flags of a text by the definition, with integers of 64 bits."""
+    full, out = (1 << 64) - 1, set()
+
+    def shuffle(h):
+        for _ in range(2):
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & full
+        return h ^ h >> 32
+
+    def number(raw, salt):
+        h = sum(int(VALUES[b]) * pow(BASE, i, 1 << 64) for i, b in enumerate(raw)) + len(raw) & full
+        return (shuffle(h) ^ salt) >> 64 - toxicity.BITS
+
+    for word in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[A-Z]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())):
+        out.add(number(word, 0))
+        out |= {number(word[:n], n * 0x9E3779B97F4A7C15 & full) for n in toxicity.PREFIXES if len(word) >= n}
+    return out
+
+
+def test_scores_by_a_plain_loop(spark):
+    """Models are optimal for the chain's penalised loss, their inputs are held-out probabilities, and scores follow from features and weights alone."""
+    rng = random.Random(6)
+    make = lambda bad, junk: " ".join([*(rng.choice(["vile", "nasty", "awful"]) for _ in range(2 * bad)), *(rng.choice(["zzz", "buy", "now"]) for _ in range(3 * junk)), *(f"w{rng.randrange(30)}" for _ in range(12))])
+    rows = [(k, make(k % 3 == 0, k % 2)) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 2 == 0), int(k % 3 == 0)) for k in range(240)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, [t for _, t in rows] + ["zz other text for a known id", "x" * 300_000, None], [k for k, _ in rows] + [3, 1000, None])
+    models = toxicity.train(docs, labels)
+    assert list(models) == ["toxic_prose", "toxic_junk", "toxic"]
+    truth = {k: (int(k % 3 == 0 and k % 2 == 0), int(k % 3 == 0 and k % 2 == 1), int(k % 3 == 0)) for k in range(240)}
+    learnt = {k: min(t, "zz other text for a known id") if k == 3 else t for k, t in rows}  # the least text of a repeated id
+    flags = {k: plain_features(t) for k, t in learnt.items()}
+    fold = {k: (k * 0x9E3779B97F4A7C15 % (1 << 64) >> 33) % toxicity.FOLDS for k in learnt}
+    odds = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+
+    def z(model, found, earlier):
+        weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=False))
+        return sum(weight.get(f, 0.0) for f in found) + sum(w * odds(p) for w, p in zip(model.weights[len(model.features) : -1], earlier, strict=True)) + model.weights[-1]
+
+    def refit(keys, y, earlier):
+        sets = [np.array(sorted(flags[k]), np.int32) for k in keys]
+        return toxicity.fit(toxicity.Rows(np.array(list(map(len, sets))), np.concatenate(sets)), np.array([float(y[k]) for k in keys]), np.array([earlier[k] for k in keys]).reshape(len(keys), -1))
+
+    earlier = {k: [] for k in learnt}
+    for c, model in enumerate(models.values()):
+        y = {k: truth[k][c] for k in learnt}
+        p = {k: 1 / (1 + np.exp(-z(model, flags[k], earlier[k]))) for k in learnt}
+        at = [*model.features.tolist()]
+        slope = [sum(p[k] - y[k] for k in learnt if f in flags[k]) + toxicity.PENALTY * w for f, w in zip(at, model.weights, strict=False)]
+        slope += [sum((p[k] - y[k]) * odds(earlier[k][e]) for k in learnt) + toxicity.PENALTY * model.weights[len(at) + e] for e in range(c)]
+        slope.append(sum(p[k] - y[k] for k in learnt) + 1e-4 * model.weights[-1])
+        assert np.abs(slope).max() < 0.05
+        held = {}
+        for f in range(toxicity.FOLDS):
+            other = refit([k for k in sorted(learnt) if fold[k] != f], y, earlier)
+            held |= {k: 1 / (1 + np.exp(-z(other, flags[k], earlier[k]))) for k in learnt if fold[k] == f}
+        earlier = {k: [*earlier[k], held[k]] for k in learnt}
+    for r in toxicity.score(docs, models).collect():
+        found, before = plain_features(r["text"]), []
+        for model in models.values():
+            before.append(1 / (1 + np.exp(-z(model, found, before))))
+        assert np.allclose([r["p_toxic_prose"], r["p_toxic_junk"], r["p_toxic"]], before, atol=1e-9)
+
+
 def test_lbfgs_agrees_with_closed_form():
     a, b = np.diag([1.0, 10.0, 100.0]), np.array([1.0, 2.0, 3.0])
     w = toxicity.lbfgs(lambda w: (0.5 * w @ a @ w - b @ w, a @ w - b), np.zeros(3))
