@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statweave.llm import jaccard, packing, secrets, suffix, toxicity
-from statweave.llm.common import Stored, packed, stored, table
+from statweave.llm.common import Stored, packed, release, stored, table, tables
 from statweave.llm.registry import vocabulary
 
 #: Greatest number of ids that are broadcast to drop their documents: 4 MB; beyond it documents are joined.
@@ -36,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").isEmpty():
         return _drop_near_duplicates_by_row(docs)
     found = stored(jaccard.linked(docs.select("doc_id", "text")).select("doc_id", "component_id"))
     extra = found.where("doc_id <> component_id").select("doc_id").distinct()
@@ -45,14 +45,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def _drop_near_duplicates_by_row(docs: DataFrame) -> DataFrame:
-    """Where doc_id is no key: rows are numbered by doc_id (null last) and linked by number; rows without words stay once for each doc_id."""
-    own = packed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    rows = stored(own.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text")).withColumn("key", F.monotonically_increasing_id()))
+    """Where doc_id is no key: rows are numbered and linked by number; of each group the row with the least doc_id stays (null last), and rows without words stay once for each doc_id."""
+    rows = stored(packed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text")).withColumn("key", F.monotonically_increasing_id()))
     found = stored(jaccard.linked(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "n_shingles", "component_id"))
-    bare = rows.select("key", "doc_id").join(found.where("n_shingles = 0").select("key"), "key")
-    again = bare.join(bare.groupBy("doc_id").agg(F.min("key").alias("key")).select("key"), "key", "left_anti")
-    gone = found.where("key <> component_id").select("key").union(again.select("key"))
-    kept = rows.join(gone, "key", "left_anti")
+    named = found.join(rows.select("key", "doc_id"), "key")
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    least = named.groupBy(group.alias("group"), F.when(group.isNull(), F.col("doc_id")).alias("bare")).agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("one"))
+    kept = rows.join(least.select("one.key"), "key", "left_semi")
     return kept.select(*[F.col("row").getField(f.name).alias(f.name, metadata=f.metadata) for f in docs.schema.fields])
 
 
@@ -81,10 +80,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, last = table(spark, sf_dir, "documents"), None
+    docs, before = table(spark, sf_dir, "documents"), tables()
     for _, stage in STAGES[:-1]:
         now = Stored(stage(spark, docs, sf_dir))
-        if last:
-            last.drop()
-        docs, last = now.df, now
+        docs = now.df
+        release(before | {now.path})  # what the stage has read, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
