@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import number
 from ..sources.schema import field_of, numeric_columns
-from ..sources.storage import stored
+from ..sources.storage import Stored
 
 
 def _column(df: DataFrame, name: str) -> Column | None:
@@ -77,8 +77,8 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], gather: in
     values = df.select(x.alias("x")).where("x is not null")
     if (values.agg(F.approx_count_distinct("x")).first()[0] or 0) <= gather:
         return values.agg(F.percentile("x", probabilities)).first()[0] or [None] * len(probabilities)
-    ranged = stored(values.groupBy("x").agg(F.count("*").alias("n")).orderBy("x").withColumn("part", F.spark_partition_id()))
-    before, total = {}, 0
+    held = Stored(values.groupBy("x").agg(F.count("*").alias("n")).orderBy("x").withColumn("part", F.spark_partition_id()))
+    ranged, before, total = held.df, {}, 0
     for part, n in sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n")).collect()):  # a row per range
         before[part] = total, total + n
         total += n
@@ -91,6 +91,7 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], gather: in
             for r in inside:
                 row = ranged.where(F.col("part") == part).select("x", running.alias("upto")).where(F.col("upto") > r).orderBy("x").first()
                 at[r] = row["x"]
+    held.drop()
     out = []
     for p in probabilities:
         h = (total - 1) * p

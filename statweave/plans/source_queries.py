@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import vectors
 from ..functions.parsing import parse_datum, parse_date_time
 from ..operators import rows
 from ..operators.clustering import common
@@ -372,3 +373,19 @@ _NAMES = ["table-count-lines", "sample-file", "probabilistic-sample-table", "vec
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', TRUE)" for n in _NAMES) + ") t(name, has_info)")
 def job_registry(spark, sf):
     return spark.createDataFrame([(n, len(jobs.job_info(n)) > len(n)) for n in jobs.names()], "name string, has_info boolean")
+
+
+@query("SELECT * FROM (VALUES ('column', 'c_acctbal'), ('average', '0.0')) t(option, value)")
+def job_options(spark, sf):
+    """A job knows what it was configured with."""
+    job = jobs.make_job(spark, "dispersion-stats", table=table(spark, sf, "customer"), column="c_acctbal", average=0.0)
+    return spark.createDataFrame([(k, str(v)) for k, v in job.options.items() if k != "table"], "option string, value string")
+
+
+@query("""SELECT vec_id, round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 6) AS named,
+  round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 6) AS unknown FROM embeddings""")
+def distance_by_name(spark, sf):
+    """Distances by keyword; unknown names give the Euclidean one."""
+    points = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("point"))
+    one = F.broadcast(points.where("vec_id = 1").select(F.col("point").alias("one")))  # one row
+    return rounded(points.join(one).select("vec_id", *[vectors.build_distance(n)(F.col("point"), F.col("one")).alias(c) for n, c in (("euclidean", "named"), ("no such", "unknown"))]), 6)
