@@ -142,28 +142,40 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> Stored:
-    """The pairs (u, v) of classes whose sets reach the similarity; classes: (k, c, fp)."""
-    told = Stored(pairs)
-    pairs = told.df
-    ids = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "k")
-    wanted = Stored(classes.join(ids, "k").select("k", F.col("c").alias("doc_id"), "fp"))
-    few = wanted.df.count() <= BROADCAST_IDS
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, repeats: bool) -> Stored:
+    """The pairs (u, v) of classes whose sets reach the similarity; classes: (k, c, fp). ``repeats``: whether rows share a doc_id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), width), strict=True))
-            held = [(k, s.view(np.int64)) for k, fp, s in held if _digest(s) == fp]  # rows may share a doc_id but not their text
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), _lists([s for _, s in held])], ["id", "s"])
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = keyed.join(F.broadcast(wanted.df) if few else wanted.df, "doc_id").select("k", "fp", "text")
-    sets = Stored(map_arrow(found, run, "id long, s array<long>").dropDuplicates(["id"]))
-    left, right = (sets.df.select(F.col("id").alias(i), F.col("s").alias(x)) for i, x in (("u", "a"), ("v", "b")))
-    both = pairs.join(left, "u").join(right, "v")
+    The set of each u goes to its partners once for each, the set of a v once.
+    """
+    told = Stored(pairs)
+    few = told.df.count() <= BROADCAST_IDS
+
+    def sets(wanted: DataFrame, more: str, schema: str) -> DataFrame:
+        """The sets of the wanted classes (k, doc_id, fp, ...), made from their documents."""
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = list(shingle_sets(batch.column(batch.num_columns - 1), width))
+                keep = np.flatnonzero([_digest(s) == fp for s, fp in zip(made, batch.column(0).to_pylist(), strict=True)])  # rows may share a doc_id but not their text
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(keep)) for i in range(1, batch.num_columns - 1)), _lists([made[i].view(np.int64) for i in keep])], names)
+
+        kept = Stored(wanted)
+        used.append(kept)
+        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        found = keyed.join(F.broadcast(kept.df) if few else kept.df, "doc_id").select("fp", *more.split(), "text")
+        return map_arrow(found, run, schema)
+
+    used: list[Stored] = [told]
+    of = classes.select("k", F.col("c").alias("doc_id"), "fp")
+    lists = told.df.groupBy("u").agg(F.collect_list("v").alias("vs"))
+    left = sets(of.join(lists.withColumnRenamed("u", "k"), "k"), "k vs", "u long, vs array<long>, a array<long>").select("u", F.explode("vs").alias("v"), "a")
+    right = sets(of.join(told.df.select(F.col("v").alias("k")).distinct(), "k"), "k", "v long, b array<long>")
+    if repeats:
+        left, right = left.dropDuplicates(["u", "v"]), right.dropDuplicates(["v"])
     shared = F.size(F.array_intersect("a", "b"))
-    out = Stored(both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v"))
-    for done in (sets, told, wanted):
+    out = Stored(left.join(right, "v").where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v"))
+    for done in used:
         done.drop()
     free_shuffles(docs.sparkSession)
     return out
@@ -182,8 +194,9 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows = Stored(sets.df.select("doc_id", "n", "fp"))
     whole = sets.df.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # A class is named by its smallest document, which also makes originals the pivots of their copies; where unlike rows share an id, by a number (written once).
-    again = rows.df.where("doc_id is not null and n > 0").groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("unlike")).where("unlike")
-    whole = Stored(whole.withColumn("k", F.col("c") if again.isEmpty() else F.monotonically_increasing_id()))
+    again = rows.df.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.count("*").alias("m"), (F.min("fp") != F.max("fp")).alias("unlike")).where("m > 1")
+    repeats, unlike = again.agg(F.count("*") > 0, F.coalesce(F.bool_or("unlike"), F.lit(False))).first()
+    whole = Stored(whole.withColumn("k", F.monotonically_increasing_id() if unlike else F.col("c")))
     sets.drop()
     free_shuffles(docs.sparkSession)
     classes = whole.df.select("k", "c", "fp")
@@ -198,7 +211,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     can = _possible("n", "i", "m", "j", percent)
     often = meets.where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)).groupBy("k", "p").agg(F.count("*").alias("times"), F.max(can.cast("int")).alias("can"))
     first = often.where("can = 1").groupBy("k").agg(F.max_by("p", F.struct("times", -F.col("p"))).alias("p"))
-    links = _verified(docs, classes, first.select(F.col("k").alias("u"), F.col("p").alias("v")), width, percent)
+    links = _verified(docs, classes, first.select(F.col("k").alias("u"), F.col("p").alias("v")), width, percent, repeats)
     known = components(links.df)
 
     # Round two: in each list, the members outside the pivot's component against all others of theirs.
@@ -218,12 +231,15 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         .where((F.col("g1") != F.col("g2")) & (F.col("in2") | (F.col("k1") < F.col("k2"))) & _possible("n1", "i1", "n2", "i2", percent))
         .select(F.least("k1", "k2").alias("u"), F.greatest("k1", "k2").alias("v")).distinct()
     )
-    more = _verified(docs, classes, pairs, width, percent)
+    more = _verified(docs, classes, pairs, width, percent, repeats)
     placed.drop()
     final = components(links.df.union(more.df))
-    named = final.df.join(classes.select(F.col("k").alias("node"), "c"), "node").groupBy("component").agg(F.min("c").alias("least"))
-    of = classes.join(final.df.withColumnRenamed("node", "k"), "k", "left").join(named, "component", "left")
-    of = Stored(of.select("fp", "c", F.coalesce("least", "c").alias("component_id")))
+    inside = Stored(final.df.join(classes.select(F.col("k").alias("node"), "c"), "node"))
+    least = Stored(inside.df.groupBy("component").agg(F.min("c").alias("least")))
+    linked_ = inside.df.join(least.df, "component").select(F.col("node").alias("k"), "least")
+    of = Stored(classes.join(linked_, "k", "left").select("fp", "c", F.coalesce("least", "c").alias("component_id")))
+    for done in (inside, least):
+        done.drop()
     for done in (links, more, final, whole):
         done.drop()
     out = rows.df.join(of.df, "fp", "left")
