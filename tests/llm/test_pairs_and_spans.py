@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from statweave.llm import graph, jaccard, licenses, secrets, suffix
+from statweave.sources import files
+from statweave.sources.storage import release, shared_dir, tables
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, n int, th string, key string, fp int"
@@ -425,6 +427,19 @@ def test_real_spdx_lines(spark):
     assert plain["labels"] == ""
 
 
+def test_nothing_stays_behind(spark):
+    """Tables that results still read go on release, all others before."""
+    before = tables()
+    df = frame(spark, corpus(3))
+    made = [jaccard.linked(df), suffix.dedup_report(df, 400, words=51), suffix.dedup(df, 400, words=51), secrets.scan(df), secrets.redact(df)]
+    for out in made:
+        assert out.count() == df.count()
+    assert len(tables() - before) <= 7
+    release(before)
+    left = {p.rsplit("/", 1)[1] for p in files.ls(spark, shared_dir(spark)) if "/statweave-" in p}
+    assert tables() == before and left == {p.rsplit("/", 1)[1] for p in before}
+
+
 #: Texts and the labels that they must get besides those of base phrases; written by hand, not made from the rules.
 LABELLED = {
     "MIT": "mit", "Apache-2.0": "apache-2.0", "GPL-3.0": "gpl-3.0", "GPL-2.0": "gpl-2.0", "LGPL-2.1": "lgpl-2.1", "LGPL-3.0": "lgpl-3.0", "AGPL-3.0": "agpl-3.0", "MPL-2.0": "mpl-2.0",
