@@ -60,7 +60,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, offsets = text_buffer(column)
     factors = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64)) for k in range(width)]
-    for i, j in blocks(offsets, 2 << 20):
+    for i, j in blocks(offsets, 1 << 19):
         own = offsets[i : j + 1] - offsets[i]
         words = Words(data[offsets[i] : offsets[j]], own, NOT_SPACE)
         h, many = words.hashes, max(0, len(words.hashes) - width + 1)

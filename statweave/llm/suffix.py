@@ -61,8 +61,9 @@ INNER = byte_table(np.r_[48:58, 65:91, 97:123, 128:256])
 GROUP = 1_000
 #: Neighbouring windows of larger anchors that are grouped together, pass by pass.
 CHUNKS = (64, 8, 1)
-#: Bytes that are worked on at a time, and stretches that are ordered at a time, about.
-STRETCH = 2 << 20
+#: Bytes whose windows are worked on at a time; bytes that are gathered before stretches are ordered, and stretches that are ordered at a time, about.
+STRETCH = 1 << 19
+GATHERED = 2 << 20
 ROWS = 3000
 #: Greatest number of text keys that are broadcast to pick texts (8 MB); beyond it texts are joined.
 BROADCAST_KEYS = 500_000
@@ -327,7 +328,7 @@ def _ordered(contexts: DataFrame, size: int, words: int | None) -> DataFrame:
         held: list[pa.RecordBatch] = []  # whole anchors, and the start of the last one
         for batch in batches:
             held.append(batch)
-            if sum(b.nbytes for b in held) < STRETCH:
+            if sum(b.nbytes for b in held) < GATHERED:
                 continue
             table = pa.Table.from_batches(held)
             anchor = table["anchor"].to_numpy()

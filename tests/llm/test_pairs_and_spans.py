@@ -160,6 +160,7 @@ def brute_cut(texts, size):
 def test_suffix_dedup(spark, monkeypatch, size, group, stretch):
     """All ways: in tasks, counted as keys, long texts in parts, other depths."""
     monkeypatch.setattr(suffix, "STRETCH", stretch)
+    monkeypatch.setattr(suffix, "GATHERED", stretch)
     texts = corpus(2)
     texts.append("q" + texts[12])
     got = {r["doc_id"]: tuple(r)[1:5] for r in suffix.dedup_report(frame(spark, texts), size, group).collect()}
