@@ -61,7 +61,7 @@ def table_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 #: Distinct values of a column up to which one task may gather them for its quantiles.
-GATHER = 1_000_000
+GATHER = 100_000
 
 
 def quantiles(df: DataFrame, column: str, probabilities: list[float], gather: int = GATHER) -> list[float | None]:
@@ -83,14 +83,15 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], gather: in
         before[part] = total, total + n
         total += n
     ranks = sorted({r for p in probabilities for r in (math.floor((total - 1) * p), math.ceil((total - 1) * p))})
-    wanted = {part: [r for r in ranks if a <= r < z] for part, (a, z) in before.items()}
-    at = {}
-    for part, inside in wanted.items():
-        if inside:
-            running = F.sum("n").over(W.orderBy("x")) + before[part][0]
-            for r in inside:
-                row = ranged.where(F.col("part") == part).select("x", running.alias("upto")).where(F.col("upto") > r).orderBy("x").first()
-                at[r] = row["x"]
+    holds = {part: [r for r in ranks if a <= r < z] for part, (a, z) in before.items()}
+    start = F.create_map(*[F.lit(v) for part, inside in holds.items() if inside for v in (part, before[part][0])])  # a few ranges
+    upto = start[F.col("part")] + F.sum("n").over(W.partitionBy("part").orderBy("x"))
+    rows = ranged.where(F.col("part").isin([part for part, inside in holds.items() if inside])).select("x", "n", upto.alias("upto"))
+    hit = F.lit(False)
+    for r in ranks:
+        hit = hit | ((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r))
+    found = [tuple(r) for r in rows.where(hit).collect()]  # a row per rank at most
+    at = {r: next(x for x, n, u in found if u - n <= r < u) for r in ranks}
     held.drop()
     out = []
     for p in probabilities:
