@@ -9,7 +9,7 @@ shingles last.  Three sorts of work are skipped:
 * by position: an index list is cut into blocks of similar set sizes, and only
   blocks that can hold a partner meet; within them the places of the shingle in
   both sets bound the overlap from above;
-* by relation: of each list the smallest class is the pivot.  First every class
+* by relation: of each list the class that stands in most lists is the pivot.  First every class
   meets only the pivot that it shares most prefix shingles with.  A class that
   is verified against its pivot has, as far as components go, the pivot's
   answers; after that only members outside the pivot's component are looked up
@@ -193,7 +193,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sets = Stored(_sets(docs, width, percent, common_shingles(docs, width)))
     rows = Stored(sets.df.select("doc_id", "n", "fp"))
     whole = sets.df.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    # A class is named by its smallest document, which also makes originals the pivots of their copies; where unlike rows share an id, by a number (written once).
+    # A class is named by its smallest document; where unlike rows share an id, by a number (written once).
     again = rows.df.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.count("*").alias("m"), (F.min("fp") != F.max("fp")).alias("unlike")).where("m > 1")
     repeats, unlike = again.agg(F.count("*") > 0, F.coalesce(F.bool_or("unlike"), F.lit(False))).first()
     whole = Stored(whole.withColumn("k", F.monotonically_increasing_id() if unlike else F.col("c")))
@@ -201,13 +201,16 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     free_shuffles(docs.sparkSession)
     classes = whole.df.select("k", "c", "fp")
     entries = whole.df.where("c is not null").select("k", "n", F.posexplode("prefix").alias("i", "token"))
-    long = entries.groupBy("token").agg(F.count("*").alias("many"), F.min("k").alias("p")).where("many > 1").select("token", "p")
+    long = entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
     marked = Stored(entries.join(long, "token"))
     free_shuffles(docs.sparkSession)
-    pivots = marked.df.where("k = p").select("token", F.col("n").alias("m"), F.col("i").alias("j"))
+    # The pivot of a list is the class that stands in most lists, long ones counting more: of near copies that is what they were made from.
+    central = marked.df.join(marked.df.groupBy("k").agg(F.sum(F.log2("many")).alias("weight")), "k")
+    pivots = central.groupBy("token").agg(F.max_by(F.struct("k", "n", "i"), F.struct("weight", -F.col("k"))).alias("x"))
+    pivots = Stored(pivots.select("token", F.col("x.k").alias("p"), F.col("x.n").alias("m"), F.col("x.i").alias("j")))
 
     # Round one: each class against the pivot that it meets most often.
-    meets = marked.df.where("k <> p").join(pivots, "token")
+    meets = marked.df.join(pivots.df, "token").where("k <> p")
     can = _possible("n", "i", "m", "j", percent)
     often = meets.where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)).groupBy("k", "p").agg(F.count("*").alias("times"), F.max(can.cast("int")).alias("can"))
     first = often.where("can = 1").groupBy("k").agg(F.max_by("p", F.struct("times", -F.col("p"))).alias("p"))
@@ -218,12 +221,12 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     comp = known.df.select(F.col("node").alias("k"), "component")
     pivot = comp.select(F.col("k").alias("p"), F.col("component").alias("pc"))
     placed = (
-        marked.df.join(comp, "k", "left").join(pivot, "p", "left")
+        marked.df.join(pivots.df.select("token", "p"), "token").join(comp, "k", "left").join(pivot, "p", "left")
         .select("token", "k", "n", "i", F.coalesce("component", "k").alias("g"), (F.coalesce("component", "k") == F.coalesce("pc", "p")).alias("in"))
     )
     placed = Stored(placed.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))))
-    marked.drop()
-    known.drop()
+    for done in (marked, pivots, known):
+        done.drop()
     outside = placed.df.where(~F.col("in")).withColumn("block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)))
     a, b = (d.select("token", "block", *[F.col(x).alias(x + y) for x in ("k", "n", "i", "g", "in")]) for d, y in ((outside, "1"), (placed.df, "2")))
     pairs = (
