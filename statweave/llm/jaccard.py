@@ -51,8 +51,8 @@ from .graph import components
 COMMON = 1 << 19
 #: Bytes of text in which a task looks for shingles that it meets twice.
 COUNTED = 24 << 20
-#: Greatest number of classes whose ids are broadcast to pick their texts: 4 MB; beyond it the texts are joined.
-BROADCAST_IDS = 500_000
+#: Greatest number of pairs whose classes are broadcast to pick their texts (about 100 bytes each in memory: 20 MB); beyond it the texts are joined.
+BROADCAST_IDS = 200_000
 NOT_SPACE = byte_table(np.setdiff1d(np.arange(256), [9, 10, 11, 12, 13, 32]))
 
 

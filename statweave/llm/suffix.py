@@ -65,7 +65,7 @@ CHUNKS = (64, 8, 1)
 STRETCH = 1 << 19
 GATHERED = 2 << 20
 ROWS = 3000
-#: Greatest number of text keys that are broadcast to pick texts (8 MB); beyond it texts are joined.
+#: Greatest number of text keys that are broadcast to pick texts (some 80 bytes each in memory: 40 MB); beyond it texts are joined.
 BROADCAST_KEYS = 500_000
 #: What names a text: two hashes with different seeds.
 KEY = ["th", "tl"]
