@@ -62,6 +62,23 @@ def partitions(spark: SparkSession, size: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PARTITION_BYTES))
 
 
+#: Rows of a key from which on its partner is broadcast, instead of all of them going to one task; and how many such keys at most (some 100 bytes each: 20 MB).
+HOT = 1_000
+HOT_KEYS = 200_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how: str) -> DataFrame:
+    """left.join(right, keys, how), inner or left_semi, where ``right`` is a stored table with the number of left's ``rows`` of each key.
+
+    Keys of more than HOT rows are broadcast, so left's rows stay where they are; beyond HOT_KEYS of them it is left to adaptive execution to split them.
+    """
+    hot = right.where(F.col(rows) > HOT)
+    if not 0 < hot.count() <= HOT_KEYS:
+        return left.join(right, keys, how)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(rows) <= HOT), keys, how)
+    return left.join(F.broadcast(hot), keys, how).unionByName(rest)
+
+
 #: Bytes of an Arrow batch between Spark and Python: what a worker makes of a batch of texts is several times as large.
 BATCH_BYTES = 8 << 20
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, Words, blocks, byte_table, free_shuffles, map_arrow, mix, text_buffer
+from .common import Stored, Words, blocks, byte_table, free_shuffles, hot_join, map_arrow, mix, text_buffer
 from .graph import components
 
 #: Greatest number of shingles that are sent to all tasks as common: 8 MB.
@@ -201,8 +201,9 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     free_shuffles(docs.sparkSession)
     classes = whole.df.select("k", "c", "fp")
     entries = whole.df.where("c is not null").select("k", "n", F.posexplode("prefix").alias("i", "token"))
-    long = entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
-    marked = Stored(entries.join(long, "token"))
+    long = Stored(entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"))
+    marked = Stored(hot_join(entries, long.df, ["token"], "many", "inner"))
+    long.drop()
     free_shuffles(docs.sparkSession)
     # The pivot of a list is the class that stands in most lists, long ones counting more: of near copies that is what they were made from.
     central = marked.df.join(marked.df.groupBy("k").agg(F.sum(F.log2("many")).alias("weight")), "k")
