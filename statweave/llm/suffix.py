@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, Words, blocks, byte_table, map_arrow, mix, packed, partitions, span_hashes, text_buffer, unpacked
+from .common import Stored, Words, blocks, byte_table, hot_join, map_arrow, mix, packed, partitions, span_hashes, text_buffer, unpacked
 
 GRAM = 32
 #: The anchor's length where windows are counted in words, and bytes that words don't hold or aren't told apart by.
@@ -389,8 +389,10 @@ def _refined(contexts: DataFrame, size: int, words: int | None) -> list[Stored]:
     group, last = ["anchor", "x", "k1", "k2"], None
     for width in CHUNKS:
         made = Stored(_chunks(todo, size, words, width))
-        often = made.df.groupBy(*group).agg(F.count("*").alias("m"), F.min("f").alias("a"), F.max("f").alias("b")).where("m > 1")
-        state = Stored(made.df.join(often.select(*group, (F.col("a") == F.col("b")).alias("alike")), group).select(*ID, "x", "start", "end", "alike"))
+        often = made.df.groupBy(*group).agg(F.count("*").alias("m"), (F.min("f") == F.max("f")).alias("alike")).where("m > 1")
+        often = Stored(often)
+        state = Stored(hot_join(made.df, often.df, group, "m", "inner").select(*ID, "x", "start", "end", "alike"))
+        often.drop()
         done = state.df if width == 1 else state.df.where("alike")
         own = contexts.select(*ID, *KEY)
         out.append(Stored(done.select(*ID, "start", "end").join(own, ID).select(*KEY, "start", "end", (F.col("anchor") % 2 != 0).alias("by_words"))))
@@ -420,7 +422,7 @@ def repeated(texts: DataFrame, size: int = 400, group: int = GROUP, words: int |
     rows = Stored(_anchors(texts, size, words))
     differ = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
     met = Stored(rows.df.groupBy("anchor").agg(F.count("*").alias("m"), differ.alias("several")).where("m > 1"))
-    again = Stored(rows.df.join(met.df, "anchor"))
+    again = Stored(hot_join(rows.df, met.df, ["anchor"], "m", "inner"))
     for done in (rows, met):
         done.drop()
     by_words = (F.col("anchor") % 2 != 0).alias("by_words")
@@ -428,7 +430,7 @@ def repeated(texts: DataFrame, size: int = 400, group: int = GROUP, words: int |
     several = again.df.where("several")
     contents = several.groupBy(*ID).agg(F.first("m").alias("m"), F.count("*").alias("same"), F.min(F.struct(*KEY, "start", "end", "at")).alias("one"))
     contents = Stored(contents.select(*ID, "m", "same", "one.*"))
-    whole = several.join(contents.df.where("same > 1").select(*ID), ID, "left_semi").select(*span).union(again.df.where("NOT several").select(*span))
+    whole = hot_join(several, contents.df.where("same > 1").select(*ID, "same"), ID, "same", "left_semi").select(*span).union(again.df.where("NOT several").select(*span))
     large = contents.df.where(F.col("m") > group).groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > group).select("anchor", F.lit(True).alias("large"))
     large = Stored(large)
     kept = _cut_contexts(texts, contents.df.join(large.df, "anchor", "left").withColumn("large", F.col("large").isNotNull()))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statweave.llm import graph, jaccard, licenses, secrets, suffix
+from statweave.llm import common, graph, jaccard, licenses, secrets, suffix
 from statweave.sources import files
 from statweave.sources.storage import release, shared_dir, tables
 
@@ -112,6 +112,7 @@ def test_jaccard_with_long_lists(spark, monkeypatch):
     ids = rng.sample(range(5000), len(texts))
     want = brute_components(ids, brute_sets(texts))
     monkeypatch.setattr(graph, "BROADCAST_EDGES", 5)
+    monkeypatch.setattr(common, "HOT", 7)
     assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(frame(spark, texts, ids).coalesce(1)).collect()} == want
 
 
@@ -201,8 +202,9 @@ def test_digits_give_the_order_of_bytes():
 
 
 @pytest.mark.parametrize("group", [100, 3])
-def test_passage_with_many_surroundings(spark, group):
-    """One passage in many documents, whose stretches at its ends differ in each; the task's way and the passes by chunks."""
+def test_passage_with_many_surroundings(spark, monkeypatch, group):
+    """One passage in many documents, whose stretches at its ends differ in each; the task's way and the passes by chunks, hot keys by broadcast."""
+    monkeypatch.setattr(common, "HOT", 5)
     rng = random.Random(5)
     passage, other = prose(rng, 130), prose(rng, 60)
     texts = [prose(rng, rng.randrange(60)) + " " + passage + ("" if k % 3 else " " + other) + prose(rng, rng.randrange(60)) for k in range(60)]
