@@ -30,8 +30,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, map_arrow, mix, partitions
@@ -40,7 +41,7 @@ from .licenses import WORD_BYTES
 SAMPLES = 64
 #: Text per range of ids, about.
 RANGE_BYTES = 4 << 20
-#: Ranges at most (their cuts go to all tasks, 2 MB); beyond 400 GB of text ranges grow, as sorts that spill.
+#: Ranges at most (their cuts go to all tasks, 3 MB); beyond 400 GB of text ranges grow, as sorts that spill.
 RANGES = 100_000
 #: Documents that choose a cut, about.
 CHOOSERS = 20
@@ -141,8 +142,7 @@ def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     chosen = hashed.where(F.pmod(F.xxhash64(F.lit(3), "hash", "doc_id", F.spark_partition_id()), F.lit(step)) == 0).select(place.alias("place")).distinct() if parts > 1 else None
     found = sorted((tuple(r["place"]) for r in chosen.collect()), key=_order) if chosen else []
     cuts = sorted({found[k * len(found) // parts] for k in range(1, parts)} if found else set(), key=_order)
-    known = spark.createDataFrame([(cuts,)], f"cuts array<{PLACE}>")
-    placed = hashed.withColumn("place", place).join(F.broadcast(known)).withColumn("range", _below("place")).drop("cuts", "hash")
+    placed = hashed.withColumn("place", place).withColumn("range", _below(spark, cuts)).drop("hash")
     heads = {r["range"]: tuple(r["place"]) for r in placed.groupBy("range").agg(F.min("place").alias("place")).collect()}
     after, nxt = [], heads[min(heads)] if heads else None
     for r in range(len(cuts), -1, -1):  # every range gets a copy, also one without documents
@@ -160,13 +160,24 @@ def _order(place: tuple) -> tuple:
     return tuple((x is not None, x) for x in place)  # nulls first, as Spark has it
 
 
-def _below(place: str):
-    """The number of cuts at or below the place, by halving."""
-    cut = lambda s: F.get("cuts", F.floor((s["lo"] + s["hi"]) / F.lit(2)).cast("int"))
-    middle = lambda s: F.floor((s["lo"] + s["hi"]) / F.lit(2)).cast("int")
-    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
-    go = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(cut(s) <= F.col(place), state(middle(s) + 1, s["hi"])).otherwise(state(s["lo"], middle(s)))
-    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size("cuts") + 1)).cast("int")), state(F.lit(0), F.size("cuts")), go, lambda s: s["lo"])
+def _below(spark: SparkSession, cuts: list[tuple]) -> Column:
+    """The number of cuts at or below a document's place, by halving for a batch at a time."""
+    columns = [np.array([c[k] or 0 for c in cuts], np.int64) for k in range(4)]
+    shared = spark.sparkContext.broadcast(columns)
+
+    @F.pandas_udf("int")
+    def number(no_id: pd.Series, ident: pd.Series, hashed: pd.Series, task: pd.Series) -> pd.Series:
+        cut, own = shared.value, [x.to_numpy().astype(np.int64) for x in (no_id, ident, hashed, task)]
+        lo, hi = np.zeros(len(no_id), np.int64), np.full(len(no_id), len(cut[0]))
+        while (some := np.flatnonzero(lo < hi)).size:
+            mid = (lo[some] + hi[some]) // 2
+            under = np.ones(len(some), bool)  # cut <= place, from the last part to the first
+            for c, x in zip(reversed(cut), reversed(own), strict=True):
+                under = (c[mid] < x[some]) | (c[mid] == x[some]) & under
+            lo[some[under]], hi[some[~under]] = mid[under] + 1, mid[~under]
+        return pd.Series(lo.astype(np.int32))
+
+    return number(F.col("place.no_id"), F.coalesce("place.id", F.lit(0)), "place.hash", "place.task")
 
 
 def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
