@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
@@ -66,14 +66,17 @@ gfdl | free documentation | (?:gnu )?free documentation license
 apache-2.0 | apache | apache (?:software )?license(?: version)? v? ?2(?: 0)?
 apache-1.1 | apache | apache (?:software )?license(?: version)? v? ?1 1
 apache-1.0 | apache | apache (?:software )?license(?: version)? v? ?1 0
-apache-2.0 | apache | apache ?v?2(?: 0)?
+apache-2.0 | apache | apache ?v?2(?: 0)? licensed?
 apache | apache | apache (?:software )?license
 mit-0 | no attribution | mit no attribution(?: license)?
 mit | mit | mit license
 x11 | x11 | x11 license
 expat | expat | expat license
 isc | isc | isc license
-mit | mit | (?:mit expat|expat mit|mit x11|x11 mit) license
+mit | mit | mit expat license
+mit | mit | expat mit license
+mit | mit | mit x11 license
+mit | mit | x11 mit license
 bsd-4-clause | bsd | (?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?
 bsd-3-clause | bsd | (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?
 bsd-2-clause | bsd | (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?
@@ -277,6 +280,16 @@ def _head(rule: Rule) -> str:
     return "" if rule.keyword.startswith("cc by") else max(reversed(rule.keyword.split()), key=len)
 
 
+def _is_grant_id(rule: Rule) -> bool:
+    return rule.priority == FORMS["grant"][0] and " under (?:the )?" in rule.pattern
+
+
+def _least(heads: Iterable[str | bytes]) -> list[bytes]:
+    """Those that hold none of the others, the shortest first."""
+    found = {h if isinstance(h, bytes) else h.encode() for h in heads if h}
+    return sorted((h for h in found if not any(o != h and o in h for o in found)), key=lambda h: (len(h), h))
+
+
 class Detection(NamedTuple):
     start: int  # in words
     end: int
@@ -298,10 +311,12 @@ class Scanner:
         if len(by):
             self.gate.make_automaton()
         #: Byte strings of which every text with a detection holds one, so that only such texts are joined for the gate.
-        self.heads = sorted({h.encode() for r in self.rules if (h := _head(r))})
+        self.heads = _least(_head(r) for r in self.rules if not _is_grant_id(r))
+        self.granted = _least([*self.heads, *(_head(r) for r in self.rules if _is_grant_id(r))])
 
     def may_hold(self, text: bytes) -> bool:
-        return any(h in text for h in self.heads) or bool(b"cc" in text and CC_BY.search(text))
+        """Whether any rule can match a lower-cased text; identifiers count where "under" stands too, as they are short."""
+        return any(h in text for h in (self.granted if b"under" in text else self.heads)) or bool(b"cc" in text and CC_BY.search(text))
 
     def detect(self, words: str) -> list[Detection]:
         """Kept detections, by start, in a text given as words joined by single spaces."""

@@ -455,7 +455,7 @@ IN_PROSE = {
     "GNU Lesser General Public License v2.1": "lgpl-2.1", "GNU Lesser General Public License, version 3": "lgpl-3.0", "GNU Lesser General Public License": "lgpl", "GNU Library General Public License version 2": "lgpl-2.0",
     "GNU Affero General Public License v3.0": "agpl-3.0", "GNU Affero General Public License": "agpl", "GNU General Public License v3": "gpl-3.0", "GNU General Public License, Version 2": "gpl-2.0", "the GNU General Public License": "gpl", "GNU GPL": "gpl",
     "Mozilla Public License v2.0": "mpl-2.0", "Mozilla Public License, v. 2.0": "mpl-2.0", "Mozilla Public License Version 1.1": "mpl-1.1", "Mozilla Public License": "mpl", "MPL 2.0": "mpl-2.0", "MPLv1.1": "mpl-1.1",
-    "Eclipse Public License v2.0": "epl-2.0", "Eclipse Public License - v 1.0": "epl-1.0", "Eclipse Public License": "epl", "Apache License, Version 2.0": "apache-2.0", "Apache License v2.0": "apache-2.0", "Apache 2.0": "apache-2.0", "Apache Software License 1.1": "apache-1.1",
+    "Eclipse Public License v2.0": "epl-2.0", "Eclipse Public License - v 1.0": "epl-1.0", "Eclipse Public License": "epl", "Apache License, Version 2.0": "apache-2.0", "Apache License v2.0": "apache-2.0", "Apache 2.0 license": "apache-2.0", "an Apache 2.0 licensed library": "apache-2.0", "Apache Software License 1.1": "apache-1.1",
     "Boost Software License - Version 1.0": "boost-1.0", "Boost Software License v1.0": "boost-1.0", "3-clause BSD license": "bsd-3-clause", "New BSD License": "bsd-3-clause", "Simplified BSD": "bsd-2-clause", "BSD license": "bsd", "The ISC License": "isc",
     "European Union Public Licence v1.2": "eupl-1.2", "Artistic License 2.0": "artistic-2.0", "Artistic License": "artistic", "SIL Open Font License, Version 1.1": "ofl-1.1", "Common Public License v1.0": "cpl-1.0", "CC0 1.0 Universal": "cc0-1.0",
     "Creative Commons Zero": "cc0-1.0", "CC BY-NC-SA 4.0": "cc-by-nc-sa-4.0", "CC BY-ND 4.0": "cc-by-nd-4.0", "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa", "Python Software Foundation License": "psf-2.0", "zlib/libpng license": "zlib",
