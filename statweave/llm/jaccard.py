@@ -27,6 +27,9 @@ Counting for the order: each task counts the shingles of its own texts and passe
 on those it has met twice.  The most frequent ones, at most ``COMMON`` and cut
 where their numbers' classes are, go to all tasks (16 bytes each).  They only decide the order and with it the cost.
 
+``linked`` gives classes and components; ``links`` all pairs of classes that are linked and
+``counted`` their number for each document.
+
 Defined results: a null or empty text has no shingles and links with nothing;
 repeated rows are members of one class; rows that share a doc_id but not their
 text are nodes of their own, and a component's id is the least doc_id in it; a
@@ -188,23 +191,67 @@ def _possible(n: str, i: str, m: str, j: str, percent: int):
     return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (1 + F.least(n - i - 1, m - j - 1) >= least)
 
 
+class Index:
+    """Rows, classes and the lists of prefix shingles of docs (doc_id, text), as stored tables."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int):
+        sets = Stored(_sets(docs, width, percent, common_shingles(docs, width)))
+        self.rows = Stored(sets.df.select("doc_id", "n", "fp"))
+        whole = sets.df.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        # A class is named by its smallest document; where unlike rows share an id, by a number (written once).
+        again = self.rows.df.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.count("*").alias("m"), (F.min("fp") != F.max("fp")).alias("unlike")).where("m > 1")
+        #: Whether rows share a doc_id.
+        self.repeats, unlike = again.agg(F.count("*") > 0, F.coalesce(F.bool_or("unlike"), F.lit(False))).first()
+        self.whole = Stored(whole.withColumn("k", F.monotonically_increasing_id() if unlike else F.col("c")))
+        sets.drop()
+        free_shuffles(docs.sparkSession)
+        self.classes = self.whole.df.select("k", "c", "fp")
+        entries = self.whole.df.where("c is not null").select("k", "n", F.posexplode("prefix").alias("i", "token"))
+        long = Stored(entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"))
+        #: token, k, n, i (the shingle's place in the class's prefix), many (classes in the list).
+        self.lists = Stored(hot_join(entries, long.df, ["token"], "many", "inner"))
+        long.drop()
+        free_shuffles(docs.sparkSession)
+
+
+def _blocks(lists: DataFrame, percent: int) -> DataFrame:
+    """lists with the ``block`` of the set's size: sets that can be similar stand in the same or in neighbouring blocks."""
+    return lists.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))))
+
+
+def links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(u, v): all pairs of classes, named by their smallest documents, whose sets reach the similarity; of rows with a doc_id that is theirs alone.
+
+    Nothing is inherited here, so a group of near copies costs the number of its links.
+    """
+    index = Index(docs, width, percent)
+    blocks = _blocks(index.lists.df, percent)
+    near = blocks.withColumn("block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)))
+    a, b = (d.select("token", "block", *[F.col(x).alias(x + y) for x in ("k", "n", "i")]) for d, y in ((near, "1"), (blocks, "2")))
+    pairs = a.join(b, ["token", "block"]).where((F.col("k1") < F.col("k2")) & _possible("n1", "i1", "n2", "i2", percent)).select(F.col("k1").alias("u"), F.col("k2").alias("v")).distinct()
+    found = _verified(docs, index.classes, pairs, width, percent, index.repeats)
+    name = lambda x: index.classes.select(F.col("k").alias(x), F.col("c").alias(f"{x}_"))
+    out = Stored(found.df.join(name("u"), "u").join(name("v"), "v").select(F.col("u_").alias("u"), F.col("v_").alias("v")))
+    for done in (index.rows, index.whole, index.lists, found):
+        done.drop()
+    return out.df
+
+
+def counted(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, class_id and n_links (the rows of equal set, itself not counted, and those of all classes linked with its own) for each row of docs; doc_id is a key here."""
+    classes = linked(docs, width, percent).select("doc_id", "class_id", "n_shingles")
+    own = Stored(classes.where("n_shingles > 0 and class_id is not null").groupBy("class_id").agg(F.count("*").alias("m")))
+    pairs = links(docs, width, percent)
+    both = pairs.union(pairs.select("v", "u")).join(own.df.select(F.col("class_id").alias("v"), "m"), "v").groupBy("u").agg(F.sum("m").alias("others"))
+    whole = Stored(own.df.join(both.withColumnRenamed("u", "class_id"), "class_id", "left").select("class_id", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    own.drop()
+    return classes.join(whole.df, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_id (the smallest document of equal set) for each row of docs (doc_id, text)."""
-    sets = Stored(_sets(docs, width, percent, common_shingles(docs, width)))
-    rows = Stored(sets.df.select("doc_id", "n", "fp"))
-    whole = sets.df.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    # A class is named by its smallest document; where unlike rows share an id, by a number (written once).
-    again = rows.df.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.count("*").alias("m"), (F.min("fp") != F.max("fp")).alias("unlike")).where("m > 1")
-    repeats, unlike = again.agg(F.count("*") > 0, F.coalesce(F.bool_or("unlike"), F.lit(False))).first()
-    whole = Stored(whole.withColumn("k", F.monotonically_increasing_id() if unlike else F.col("c")))
-    sets.drop()
-    free_shuffles(docs.sparkSession)
-    classes = whole.df.select("k", "c", "fp")
-    entries = whole.df.where("c is not null").select("k", "n", F.posexplode("prefix").alias("i", "token"))
-    long = Stored(entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"))
-    marked = Stored(hot_join(entries, long.df, ["token"], "many", "inner"))
-    long.drop()
-    free_shuffles(docs.sparkSession)
+    index = Index(docs, width, percent)
+    rows, whole, classes, marked, repeats = index.rows, index.whole, index.classes, index.lists, index.repeats
     # The pivot of a list is the class that stands in most lists, long ones counting more: of near copies that is what they were made from.
     central = marked.df.join(marked.df.groupBy("k").agg(F.sum(F.log2("many")).alias("weight")), "k")
     pivots = central.groupBy("token").agg(F.max_by(F.struct("k", "n", "i"), F.struct("weight", -F.col("k"))).alias("x"))
@@ -215,8 +262,8 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     can = _possible("n", "i", "m", "j", percent)
     often = meets.where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)).groupBy("k", "p").agg(F.count("*").alias("times"), F.max(can.cast("int")).alias("can"))
     first = often.where("can = 1").groupBy("k").agg(F.max_by("p", F.struct("times", -F.col("p"))).alias("p"))
-    links = _verified(docs, classes, first.select(F.col("k").alias("u"), F.col("p").alias("v")), width, percent, repeats)
-    known = components(links.df)
+    found = _verified(docs, classes, first.select(F.col("k").alias("u"), F.col("p").alias("v")), width, percent, repeats)
+    known = components(found.df)
 
     # Round two: in each list, the members outside the pivot's component against all others of theirs.
     comp = known.df.select(F.col("node").alias("k"), "component")
@@ -225,7 +272,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         marked.df.join(pivots.df.select("token", "p"), "token").join(comp, "k", "left").join(pivot, "p", "left")
         .select("token", "k", "n", "i", F.coalesce("component", "k").alias("g"), (F.coalesce("component", "k") == F.coalesce("pc", "p")).alias("in"))
     )
-    placed = Stored(placed.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))))
+    placed = Stored(_blocks(placed, percent))
     for done in (marked, pivots, known):
         done.drop()
     outside = placed.df.where(~F.col("in")).withColumn("block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)))
@@ -237,14 +284,14 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
     more = _verified(docs, classes, pairs, width, percent, repeats)
     placed.drop()
-    final = components(links.df.union(more.df))
+    final = components(found.df.union(more.df))
     inside = Stored(final.df.join(classes.select(F.col("k").alias("node"), "c"), "node"))
     least = Stored(inside.df.groupBy("component").agg(F.min("c").alias("least")))
     linked_ = inside.df.join(least.df, "component").select(F.col("node").alias("k"), "least")
     of = Stored(classes.join(linked_, "k", "left").select("fp", "c", F.coalesce("least", "c").alias("component_id")))
     for done in (inside, least):
         done.drop()
-    for done in (links, more, final, whole):
+    for done in (found, more, final, whole):
         done.drop()
     out = rows.df.join(of.df, "fp", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -116,6 +116,23 @@ def test_jaccard_with_long_lists(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(frame(spark, texts, ids).coalesce(1)).collect()} == want
 
 
+def test_jaccard_links_and_their_number(spark):
+    """All pairs between classes of equal sets, and how many rows each document is linked with."""
+    texts = corpus(8)
+    ids = random.Random(8).sample(range(5000), len(texts))
+    sets = brute_sets(texts)
+    like = lambda a, b: bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    least = {}
+    for i, s in sorted(zip(ids, sets, strict=True), key=lambda x: x[0]):
+        least.setdefault(frozenset(s), i)
+    classes = [(i, s) for s, i in least.items() if s]
+    want = {(min(i, j), max(i, j)) for i, a in classes for j, b in classes if i != j and like(a, b)}
+    assert {(min(r), max(r)) for r in map(tuple, jaccard.links(frame(spark, texts, ids)).collect())} == want and len(want) > 20
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.counted(frame(spark, texts, ids)).collect()}
+    assert got == {i: sum(like(a, b) for j, b in zip(ids, sets, strict=True) if j != i) for i, a in zip(ids, sets, strict=True)}
+    assert jaccard.links(frame(spark, [])).count() == 0
+
+
 def test_jaccard_where_ids_repeat(spark):
     """Rows that share an id but not their text are nodes of their own."""
     rng = random.Random(3)
