@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, editcount, jaccard, knn, licenses, packing, pieces, secrets, sql, suffix, toxicity
+from . import bestfit, cws, editcount, importance, jaccard, knn, licenses, packing, pieces, secrets, sql, suffix, toxicity
 from .common import table
 
 
@@ -63,10 +63,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity = bestfit.Capacity(tokens=4096, documents=4096, attention=4096**2)
+    return bestfit.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity, end_id=1)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         op1_cover_tree_top_k, op2_license_scan, op3_toxicity_chain, op4_packing, op5_ngram_jaccard_join,
         op6_edit_aware_counts, op7_secret_scan, op8_document_fingerprints, op9_suffix_dedup, op10_sentencepiece,
+        op11_vector_best_fit, op13_importance_resampling,
     ]
     return {f.__name__: f for f in made}
 
@@ -78,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_jaccard_join": sql.JACCARD,
         "op7_secret_scan": sql.secret_scan(),
         "op9_suffix_dedup": sql.SUFFIX,
+        "op13_importance_resampling": sql.RESAMPLE,
     }

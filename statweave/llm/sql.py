@@ -124,3 +124,39 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base
   coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(l.score, 0)::DOUBLE AS score
 FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id
 """
+
+
+#: CRC-32 of the column w of a table: a table of 256 steps, and one step for each byte.
+_STEPS = "steps AS (SELECT list(list_reduce(range(8), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), i) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i))"
+
+
+def _crc(w: str) -> str:
+    hexes = f"hex(encode({w}))"
+    octets = f"list_transform(range(1, octet_length(encode({w})) + 1), lambda k: ('0x' || substr({hexes}, 2 * k - 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295), 4294967295)"
+
+
+def _features(name: str, key: str) -> str:
+    """Words of single texts, which are the features of width 1."""
+    return rf"(SELECT {key} AS doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM {name})"
+
+
+RESAMPLE = f"""
+WITH {_STEPS},
+d AS {_features("documents", "doc_id")},
+b AS {_features("benchmark", "item_id")},
+words AS (SELECT w, {_crc("w")} % 10000 AS bucket FROM (SELECT DISTINCT unnest(w) AS w FROM (SELECT w FROM d UNION ALL SELECT w FROM b)), steps),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY 1, 2),
+s AS (SELECT bucket, sum(n)::BIGINT AS n FROM dw JOIN words USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) JOIN words USING (w) GROUP BY 1),
+gain AS (SELECT k.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000)
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) k LEFT JOIN s ON s.bucket = k.bucket LEFT JOIN t ON t.bucket = k.bucket),
+weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM dw JOIN words USING (w) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights ON weights.doc_id = d.doc_id),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM placed) THEN rank END AS rank
+FROM scored LEFT JOIN placed ON placed.doc_id = scored.doc_id
+"""
