@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, cws, editcount, importance, jaccard, knn, licenses, packing, pieces, secrets, sql, suffix, toxicity
+from . import bestfit, cws, editcount, importance, jaccard, knn, licenses, packing, pieces, secrets, spelling, sql, suffix, toxicity
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op11_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity, end_id=1)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         op1_cover_tree_top_k, op2_license_scan, op3_toxicity_chain, op4_packing, op5_ngram_jaccard_join,
         op6_edit_aware_counts, op7_secret_scan, op8_document_fingerprints, op9_suffix_dedup, op10_sentencepiece,
-        op11_vector_best_fit, op13_importance_resampling,
+        op11_vector_best_fit, op12_spelling_variants, op13_importance_resampling,
     ]
     return {f.__name__: f for f in made}
 
@@ -88,5 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_jaccard_join": sql.JACCARD,
         "op7_secret_scan": sql.secret_scan(),
         "op9_suffix_dedup": sql.SUFFIX,
+        "op12_spelling_variants": sql.VARIANTS,
         "op13_importance_resampling": sql.RESAMPLE,
     }

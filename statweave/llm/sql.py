@@ -160,3 +160,22 @@ placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS ran
 SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM placed) THEN rank END AS rank
 FROM scored LEFT JOIN placed ON placed.doc_id = scored.doc_id
 """
+
+
+VARIANTS = rf"""
+WITH RECURSIVE {_STEPS},
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY 1, 2),
+keyed AS (SELECT run, n, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, steps),
+altered AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM keyed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM altered WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+one AS (SELECT a.word AS a, a.n AS a_n, b.word AS b, b.n AS b_n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT less.word, less.n, w.word, w.n FROM less JOIN words w ON less.d = w.word
+  UNION SELECT w.word, w.n, less.word, less.n FROM less JOIN words w ON less.d = w.word),
+best AS (SELECT a AS word, count(*) AS n_near, (list(b ORDER BY b_n DESC, b))[1] AS b, max(b_n) AS b_n FROM one GROUP BY 1),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN b_n >= 2 * words.n THEN b END AS form, CASE WHEN b_n >= 2 * words.n THEN b_n END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word),
+path(word, form, n) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT path.word, forms.form, path.n + 1 FROM path JOIN forms ON forms.word = path.form WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(form, n) AS root FROM path GROUP BY 1)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN roots ON roots.word = forms.word
+"""
