@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -154,36 +155,27 @@ class Words:
             self.hashes = span_hashes(data, self.starts, self.ends)
 
 
-#: Random odd values of bytes; A-Z has those of a-z.
-VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-VALUES[65:91] = VALUES[97:123]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 21) -> np.ndarray:
-    """64-bit hashes of the byte spans, by rising starts; bytes are summed in stretches of about ``limit``."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(out):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + limit)))
-        base, end = int(starts[i]), int(ends[i:j].max())
-        powers, inverses = _powers(end - base + 1)
-        sums = np.zeros(end - base + 1, np.uint64)
-        np.cumsum(VALUES[data[base:end]] * powers[: end - base], out=sums[1:])
-        a, b = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[b] - sums[a]) * inverses[a] + (b - a).astype(np.uint64))
-        i = j
-    return out
-
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[[ord(c) for c in UPPER]] = [ord(c) for c in LOWER]
+#: What the first n of 8 bytes leave of a number, the lowest byte being the first.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
-#: Odd base of polynomial hashes modulo 2**64, and its inverse.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-_known: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of the byte spans in lower case (A-Z).
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and INVERSE ** i for i below n at least."""
-    if len(_known[0]) < n:
-        for k, b in enumerate((BASE, INVERSE)):
-            _known[k] = np.cumprod(np.full(max(n, 1 << 21), b, np.uint64)) * np.uint64(pow(b, -1, 1 << 64))
-    return _known[0], _known[1]
+    Up to 16 bytes are taken whole, as two numbers that are mixed one after the
+    other; longer spans are named by xxh3. No arithmetic of the bytes' places is
+    involved, so spans of one structure (mirror images, say) get names as unlike as any.
+    """
+    padded = np.concatenate([LOWERED[data], np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    head, tail = np.minimum(size, 8), np.clip(size - 8, 0, 8)
+    out = mix(eight[starts] & FIRST_BYTES[head] ^ size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = mix(out * np.uint64(0xC2B2AE3D27D4EB4F) + (eight[starts + 8] & FIRST_BYTES[tail]))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        raw = padded.tobytes()
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out

@@ -35,12 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Stored, Words, blocks, byte_table, map_arrow, text_buffer
+from .common import LOWERED, Stored, Words, blocks, byte_table, map_arrow, text_buffer
 
 #: Words: runs of letters of A-Z and a-z, digits, and everything beyond ASCII.
 WORD_BYTES = byte_table(np.r_[48:58, 65:91, 97:123, 128:256])
-LOWERED = np.arange(256, dtype=np.uint8)
-LOWERED[[ord(c) for c in UPPER]] = [ord(c) for c in LOWER]
 #: Buckets at most: their gains go to all tasks (8 bytes each).
 MOST_BUCKETS = 1 << 22
 #: Bytes of a word that are taken together with those of all other words; longer words are finished one by one.

@@ -9,13 +9,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from statweave.llm import cws, editcount, knn, packing, pieces, registry, toxicity
-from statweave.llm.common import BASE, VALUES, Words, byte_table
+from statweave.llm.common import Words, byte_table
 
 P = pytest.importorskip("public_tokenizers")
 WORD_BPE, BYTE_BPE, PIECES = (P.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
@@ -153,8 +154,11 @@ def plain_features(text):
         return h ^ h >> 32
 
     def number(raw, salt):
-        h = sum(int(VALUES[b]) * pow(BASE, i, 1 << 64) for i, b in enumerate(raw)) + len(raw) & full
-        return (shuffle(h) ^ salt) >> 64 - toxicity.BITS
+        if len(raw) > 16:
+            return (xxhash.xxh3_64_intdigest(raw) ^ salt) >> 64 - toxicity.BITS
+        head, tail = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:], "little")
+        h = shuffle(head ^ len(raw) * 0x9E3779B97F4A7C15 & full)
+        return (shuffle(h * 0xC2B2AE3D27D4EB4F + tail & full) ^ salt) >> 64 - toxicity.BITS
 
     for word in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[A-Z]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())):
         out.add(number(word, 0))
