@@ -8,13 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ...sources.schema import vector_columns
 from ..rows import vectorize
+from .blocks import Block, Dense, block
+from .blocks import nearest as nearest_center
 
 #: Clusters of a model at most: models go to all tasks.
 MAX_CLUSTERS = 100_000
@@ -28,41 +30,89 @@ class Cluster:
     n: int
 
 
-def as_points(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """A table's points: its ``point`` column if it has one, else a vector of the columns (all but text)."""
+#: The columns of a sparse vector.
+SPARSE = ["size", "entries"]
+
+
+def vector(df: DataFrame) -> list[str]:
+    """The columns that hold the points: ``point``, or ``size`` and ``entries`` of sparse ones."""
+    return ["point"] if "point" in df.columns else SPARSE
+
+
+def as_points(df: DataFrame, columns: list[str] | None = None, dense: bool = False) -> DataFrame:
+    """A table's points: its ``point`` column, or its sparse vectors, if it has them, else a vector of the columns (all but text).
+
+    Vectors that hold a null are left out. ``dense``: sparse vectors become dense ones.
+    """
     if columns is None and "point" in df.columns:
         return df.where(F.col("point").isNotNull() & F.forall("point", lambda x: x.isNotNull())).withColumn("point", F.col("point").cast("array<double>"))
+    if columns is None and set(SPARSE) <= set(df.columns):
+        df = df.where(F.col("size").isNotNull() & F.col("entries").isNotNull() & F.forall(F.map_values("entries"), lambda x: x.isNotNull()))
+        df = df.withColumns({"size": F.col("size").cast("int"), "entries": F.col("entries").cast("map<int,double>")})
+        return df.withColumn("point", dense_vector()).drop(*SPARSE) if dense else df
     return vectorize(df, columns or vector_columns(df.schema))
 
 
+def dense_vector() -> Column:
+    """The sparse vector's components in order, zeros included."""
+    return F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.coalesce(F.try_element_at("entries", i), F.lit(0.0)))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column without nulls as a matrix."""
-    n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    return block([column]).dense()
+
+
+#: Numbers of a task's sums that are held before they are passed on: 64 MB.
+HELD = 8 << 20
 
 
-def fold(points: DataFrame, part: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
-    """Sums by key: ``part`` turns a batch of points into keys and a row of numbers per key; rows of a key are added up.
+def fold_frame(points: DataFrame, part: Callable[..., tuple[np.ndarray, np.ndarray]], extra: tuple[str, ...] = ()) -> DataFrame:
+    """(k, row): sums by key.  ``part`` turns a block of points (and arrays of the ``extra`` columns) into keys and a row of numbers per key; rows of a key are added up.
 
-    A task passes on one row per key and number, so what is shuffled and
-    collected has the size of the model.
+    A task adds up what it holds and passes on rows of keys, so what is shuffled has
+    the size of the model for each task.
     """
+    names, at = [*vector(points), *extra], len(vector(points))
+
+    def out(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        rows = list(total.values())
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0)))
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), lists], ["k", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
-                for k, row in zip(*part(matrix(batch.column(0))), strict=True):
-                    total[int(k)] = total[int(k)] + row if int(k) in total else row
-        keys, rows = list(total), list(total.values())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], ["k", "row"])
-
-    parts = points.select("point").mapInArrow(run, "k long, row array<double>")
+                more = [c.to_numpy(zero_copy_only=False) for c in batch.columns[at:]]
+                for k, row in zip(*part(block(batch.columns[:at]), *more), strict=True):
+                    total[int(k)] = total[int(k)] + row if int(k) in total else np.array(row, np.float64)
+                if total and len(total) * len(next(iter(total.values()))) > HELD:
+                    yield out(total)
+                    total = {}
+        yield out(total)
+
+    parts = points.select(*names).mapInArrow(run, "k long, row array<double>")
     sums = parts.select("k", F.posexplode("row").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x"))
-    out: dict[int, dict[int, float]] = {}
-    for k, i, x in sums.collect():  # keys x numbers of the model
-        out.setdefault(k, {})[i] = x
-    return {k: np.array([v[i] for i in range(len(v))]) for k, v in sorted(out.items())}
+    return sums.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("row"))  # a row's numbers
+
+
+def fold(points: DataFrame, part: Callable[..., tuple[np.ndarray, np.ndarray]], extra: tuple[str, ...] = (), blocks: bool = False) -> dict[int, np.ndarray]:
+    """The sums of ``fold_frame`` on the driver, where the model is; without ``blocks``, ``part`` gets a matrix."""
+    made = fold_frame(points, part if blocks else lambda b, *more: part(b.dense(), *more), extra).toArrow()
+    rows = {}
+    for chunk in made.to_batches():
+        ends, flat = chunk.column("row").offsets.to_numpy(), chunk.column("row").values.to_numpy()
+        rows |= {k: flat[a:b] for k, a, b in zip(chunk.column("k").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+    return dict(sorted(rows.items()))
+
+
+def moments(b: Block, keys: np.ndarray, squares: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that have points, and number, sum and sum of squares of theirs."""
+    found, at = np.unique(keys, return_inverse=True)
+    n = np.bincount(at, minlength=len(found)).astype(np.float64)[:, None]
+    return found, np.hstack([n, b.sums(at, len(found)), *([b.squared().sums(at, len(found))] if squares else [])])
 
 
 def group_sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,33 +123,27 @@ def group_sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, out
 
 
-def squared_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Of each point to each center, by differences (exact where points and centers agree), a few centers at a time."""
-    out = np.empty((len(x), len(centers)))
-    for k, c in enumerate(centers):
-        d = x - c
-        out[:, k] = np.einsum("ij,ij->i", d, d)
-    return out
-
-
-def assign(points: DataFrame, pick: Callable[[np.ndarray], np.ndarray], kind: T.DataType | None = None, name: str = "cluster") -> DataFrame:
-    """points with a column made from batches of points; rows with -1 or null stay."""
+def assign(points: DataFrame, pick: Callable[..., np.ndarray], kind: T.DataType | None = None, name: str = "cluster", blocks: bool = False) -> DataFrame:
+    """points with a column made from batches of points (matrices, or with ``blocks`` dense or sparse blocks); rows with -1 or null stay."""
     schema = T.StructType([*points.schema.fields, T.StructField(name, kind or T.IntegerType())])
-    at, names = points.columns.index("point"), [*points.columns, name]
+    at, names = [points.columns.index(c) for c in vector(points)], [*points.columns, name]
     to = to_arrow_type(schema.fields[-1].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pick(matrix(batch.column(at))) if batch.num_rows else np.zeros(0)
+            made = np.zeros(0)
+            if batch.num_rows:
+                b = block([batch.column(i) for i in at])
+                made = pick(b if blocks else b.dense())
             new = pa.array(made.tolist(), to) if made.ndim > 1 else pa.array(made).cast(to)  # a row of several numbers is a list
             yield pa.RecordBatch.from_arrays([*batch.columns, new], names)
 
     return points.mapInArrow(run, schema)
 
 
-def nearest(centers: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+def nearest(centers: np.ndarray) -> Callable[[np.ndarray | Block], np.ndarray]:
     """Number of the nearest center by Euclidean distance; the first of equals."""
-    return lambda x: squared_distances(x, centers).argmin(1)
+    return lambda x: nearest_center(x if isinstance(x, Block) else Dense(x), centers)[0]
 
 
 def kept(points: DataFrame) -> DataFrame:

@@ -58,6 +58,23 @@ def sample_exact(df: DataFrame, fraction: float, total: int | None = None, seed:
     return whole.orderBy("_id").drop("_draw", "_id")
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "place") -> tuple[Stored, DataFrame]:
+    """The rows in order with their place from 0: the stored table, and a DataFrame that reads it.
+
+    The sort goes by ranges; the rows of each range, a number per partition, turn
+    places in a partition into places in the whole.
+    """
+    held = Stored(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned(name, 33)
+    before, starts = 0, []
+    for p, n in held.df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).sort("part").collect():  # a row per partition
+        starts.append((p, before))
+        before += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    placed = held.df.join(starts, part == F.col("_part")).withColumn(name, F.col("_start") + F.col(name).bitwiseAND((1 << 33) - 1))
+    return held, placed.select(*df.columns, name)
+
+
 def draw(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k rows by chance (all, if there are fewer), for small k: the rows with the least random numbers."""
     return df.withColumn("_draw", F.rand(seed)).orderBy("_draw").limit(k).drop("_draw")

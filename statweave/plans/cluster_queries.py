@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
-from ..operators import brush, plots, timeseries
+from ..operators import brush, plots, rows, timeseries
 from ..operators.clustering import canopy, common, dirichlet, kmeans, proclus
-from .queries import _MEANS, _STATIONARITY, _label_means, _points, plain_time, query, rounded, table
+from .queries import _MEANS, _STATIONARITY, _label_means, _points, canopy_sql, plain_time, query, rounded, table
 
 #: Medoids of the phases of projected clustering: these vectors, each with three dimensions.
 MEDOIDS = range(5)
@@ -128,8 +128,8 @@ SELECT c3.k, c3.i, round(c, 6) AS x, (SELECT count(*) FROM o3 WHERE o3.k = c3.k)
 def kmeans_rounds(spark, sf):
     """Three rounds from given centers, and the points of each."""
     clusters, _ = kmeans.kmeans(_points(spark, sf), _medoids(spark, sf), 0.0, 3, should_cluster=False)
-    rows = [(c.id, i, round(float(x), 6), c.n) for c in clusters for i, x in enumerate(c.center)]
-    return spark.createDataFrame(rows, "k long, i long, x double, n long")
+    made = [(c.id, i, round(float(x), 6), c.n) for c in clusters for i, x in enumerate(c.center)]
+    return spark.createDataFrame(made, "k long, i long, x double, n long")
 
 
 @query(f"WITH {_BASE}, c0 AS (SELECT * FROM m), {_ROUND.format(n=0, next=1)} SELECT k::INTEGER AS cluster, count(*) AS count FROM o0 GROUP BY 1")
@@ -145,20 +145,33 @@ def cluster_distances(spark, sf):
     return rounded(a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", vectors.squared_euclidean(F.col("ca"), F.col("cb")).alias("squared")), 6)
 
 
-_PASS = """{r} AS (SELECT xs, xs AS free, NULL::DOUBLE AS center FROM (SELECT list(x ORDER BY x) AS xs FROM {source})
-  UNION ALL SELECT xs, list_filter(free, lambda x: abs(x - free[1]) >= 800), list_avg(list_filter(xs, lambda x: x >= free[1] AND abs(x - free[1]) < 1500)) FROM {r} WHERE len(free) > 0)"""
+@query(f"""WITH RECURSIVE {canopy_sql("SELECT s_suppkey AS id, [s_acctbal] AS v FROM supplier", 1500, 800)},
+own AS (SELECT id, arg_min(k, (list_distance(p.v, c.v), k)) AS k FROM p, canopies c GROUP BY 1),
+n AS (SELECT k, count(*) AS n, sqrt(var_pop(v[1])) AS radius FROM own JOIN p USING (id) GROUP BY 1)
+SELECT c.k::INTEGER AS cluster, round(c.v[1], 4) AS center, round(coalesce(radius, 0), 4) AS radius, coalesce(n, 0)::BIGINT AS n FROM canopies c LEFT JOIN n ON n.k = c.k""")
+def canopy_centers(spark, sf):
+    """Canopies on a line, with the number and deviation of the points nearest to each."""
+    points = table(spark, sf, "supplier").select(F.array("s_acctbal").alias("point"))
+    made, _ = canopy.canopy_frames(points, 1500, 800, should_cluster=False)
+    return rounded(made.select("cluster", F.get("center", F.lit(0)).alias("center"), F.get("radius", F.lit(0)).alias("radius"), "n"))
 
 
-@query(f"""WITH RECURSIVE {_PASS.format(r="a", source="(SELECT s_acctbal AS x FROM supplier)")},
-{_PASS.format(r="b", source="(SELECT center AS x FROM a WHERE center IS NOT NULL)")},
-c AS (SELECT (row_number() OVER (ORDER BY center) - 1)::INTEGER AS cluster, center FROM b WHERE center IS NOT NULL),
-o AS (SELECT s_suppkey, arg_min(cluster, (abs(s_acctbal - center), cluster)) AS cluster FROM supplier, c GROUP BY 1)
-SELECT cluster, round(center, 4) AS center, (SELECT count(*) FROM o WHERE o.cluster = c.cluster) AS n FROM c""")
-def canopy_centers(spark, sf):
-    """Canopies of one part of the data, canopies of their centers, and the points nearest to each."""
-    points = table(spark, sf, "supplier").select(F.array("s_acctbal").alias("point")).coalesce(1)
-    clusters, _ = canopy.canopy(points, 1500, 800, should_cluster=False)
-    return rounded(common.cluster_frame(spark, clusters).select("cluster", F.get("center", F.lit(0)).alias("center"), "n"))
+_SPARSE = """e AS (SELECT id, i, x FROM (SELECT row_number() OVER () AS id, [l_discount, l_tax, l_quantity / 25 - 1] AS v FROM lineitem), unnest(generate_series(0, 2)) AS s(i), unnest([v[i + 1]]) AS t(x)),
+c0(k, i, c) AS (VALUES (0, 0, 0.0131::DOUBLE), (0, 1, 0.0217), (0, 2, -0.731), (1, 0, 0.0731), (1, 1, 0.0071), (1, 2, 0.0013), (2, 0, 0.0), (2, 1, 0.0), (2, 2, 0.913))"""
+SPARSE_SEEDS = np.array([[0.0131, 0.0217, -0.731], [0.0731, 0.0071, 0.0013], [0.0, 0.0, 0.913]])
+
+_SPARSE_ROUND = _ROUND.replace("e.vec_id", "e.id").replace("vec_id", "id")
+
+
+@query(f"""WITH {_SPARSE}, {", ".join(_SPARSE_ROUND.format(n=n, next=n + 1) for n in range(3))}, {_SPARSE_ROUND.format(n=3, next=4)}
+SELECT c3.k::BIGINT AS k, c3.i::BIGINT AS i, round(c, 6) AS x, (SELECT count(*) FROM o3 WHERE o3.k = c3.k) AS n FROM c3""")
+def kmeans_sparse(spark, sf):
+    """Three rounds over sparse vectors, of which many components are zero."""
+    lines = table(spark, sf, "lineitem").select("l_discount", "l_tax", (F.col("l_quantity") / 25 - 1).alias("l_quantity"))
+    sparse = rows.vectorize(lines, ["l_discount", "l_tax", "l_quantity"], "sparse")
+    clusters, _ = kmeans.kmeans(sparse, SPARSE_SEEDS, 0.0, 3, should_cluster=False)
+    made = [(c.id, i, round(float(x), 6), c.n) for c in clusters for i, x in enumerate(c.center)]
+    return spark.createDataFrame(made, "k long, i long, x double, n long")
 
 
 _MODELS = f"""WITH {_MEANS},

@@ -195,8 +195,8 @@ def _stationarity(df: DataFrame, column: str, date_column: str, period: str, wee
     return {"table": table, "summary": timeseries.stationarity_summary(table)}
 
 
-def _clusters(df: DataFrame, clusters: list, clustered: DataFrame | None, **more: Any) -> dict:
-    out = {"clusters": common.cluster_frame(df.sparkSession, clusters)}
+def _clusters(df: DataFrame, clusters: list | DataFrame, clustered: DataFrame | None, **more: Any) -> dict:
+    out = {"clusters": clusters if isinstance(clusters, DataFrame) else common.cluster_frame(df.sparkSession, clusters)}
     if clustered is not None:
         out["clustered-points"] = clustered
         out["folded-points"] = clustered.groupBy("cluster").agg(F.count("*").alias("count"))
@@ -206,7 +206,8 @@ def _clusters(df: DataFrame, clusters: list, clustered: DataFrame | None, **more
 @job("canopy")
 def _canopy(df: DataFrame, t1: float, t2: float, distance: str = "euclidean", should_cluster: bool = True, columns: list[str] | None = None) -> dict:
     """Canopy centers, and points by nearest center. The distance is the Euclidean one."""
-    return _clusters(df, *canopy_.canopy(common.as_points(df, columns), t1, t2, should_cluster))
+    made, clustered = canopy_.canopy_frames(common.as_points(df, columns), t1, t2, should_cluster)
+    return _clusters(df, made, clustered)
 
 
 @job("kmeans")
@@ -238,7 +239,7 @@ def _proclus(
     df: DataFrame, k: int, l: int, num_iterations: int = 10, min_deviation: float = 0.1, split_size: float = 0.2, min_threshold: float = 0.0, seed: int = 0, columns: list[str] | None = None  # noqa: E741
 ) -> dict:
     """Clusters in subspaces; outliers are left out."""
-    medoids, objective, clustered = proclus_.proclus(common.as_points(df, columns), k, l, num_iterations, min_deviation, split_size, min_threshold, seed)
+    medoids, objective, clustered = proclus_.proclus(common.as_points(df, columns, dense=True), k, l, num_iterations, min_deviation, split_size, min_threshold, seed)
     found = [common.Cluster(m.id, m.vector, proclus_.plot_radius(m), m.n) for m in medoids]
     return _clusters(df, found, clustered, medoids=medoids, objective=objective)
 

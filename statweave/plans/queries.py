@@ -254,13 +254,45 @@ def distances(spark, sf):
     return rounded(both.select("vec_id", vectors.euclidean(p, v).alias("euclidean"), vectors.manhattan(p, v).alias("manhattan"), vectors.segmental(p, dims, v).alias("segmental")), 6)
 
 
-@query()
+def canopy_sql(points: str, t1: float, t2: float) -> str:
+    """CTEs of the whole rule on rows (id, v double[]): points in order ``p``, founders one after another ``f``, centers ``canopies`` (k, v)."""
+    return f"""
+pts AS MATERIALIZED ({points}),
+p AS MATERIALIZED (SELECT id, v, dense_rank() OVER (ORDER BY md5(array_to_string(list_transform(v, lambda x: floor(x * 1048576)::BIGINT::VARCHAR), ',')), v) AS place FROM pts),
+free(xs) AS (SELECT list(DISTINCT {{'place': place, 'v': v}} ORDER BY {{'place': place, 'v': v}}) FROM p
+  UNION ALL SELECT list_filter(xs, lambda x: list_distance(x.v, xs[1].v) >= {t2}) FROM free WHERE len(xs) > 0),
+f AS MATERIALIZED (SELECT xs[1].place AS place, xs[1].v AS v, row_number() OVER (ORDER BY xs[1].place) - 1 AS k FROM free WHERE len(xs) > 0),
+member AS (SELECT f.k, p.v FROM f JOIN p ON p.place >= f.place AND list_distance(p.v, f.v) < {t1}),
+part AS (SELECT k, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM member),
+canopies AS MATERIALIZED (SELECT k, list(x ORDER BY i) AS v FROM (SELECT k, i, avg(x) AS x FROM part GROUP BY 1, 2) GROUP BY 1)"""
+
+
+_VECTORS = "SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+@query(f"""WITH RECURSIVE {canopy_sql(_VECTORS, 1.2, 1.0)},
+own AS (SELECT id, arg_min(k, (list_distance(p.v, c.v), k)) AS k FROM p, canopies c GROUP BY 1),
+n AS (SELECT k, count(*) AS n FROM own GROUP BY 1)
+SELECT c.k::INTEGER AS cluster, round(c.v[1], 6) AS first, round(list_sum(c.v), 6) AS total, coalesce(n, 0)::BIGINT AS n FROM canopies c LEFT JOIN n ON n.k = c.k""")
 def canopy_clusters(spark, sf):
-    clusters, _ = canopy.canopy(_points(spark, sf), 1.2, 1.0, should_cluster=False)
-    return common.cluster_frame(spark, clusters)
+    """The whole run: founders in the order of the points' hashes, means of members, and the points nearest to each."""
+    made, _ = canopy.canopy_frames(_points(spark, sf).select("point"), 1.2, 1.0, should_cluster=False)
+    total = F.aggregate("center", F.lit(0.0), lambda s, x: s + x)
+    return rounded(made.select("cluster", F.get("center", F.lit(0)).alias("first"), total.alias("total"), "n"), 6)
 
 
-@query()
+def _lloyd_sql(rounds: int, delta: float) -> str:
+    """CTEs of k-means from ``canopies`` over ``p``: c{rounds} after at most so many rounds, each only as long as a center has moved farther than delta."""
+    made = ["c0 AS (SELECT k, v, false AS done FROM canopies)"]
+    for n in range(rounds):
+        made.append(f"""o{n} AS MATERIALIZED (SELECT id, arg_min(k, (list_distance(p.v, c.v), k)) AS k FROM p, c{n} c WHERE NOT (SELECT bool_and(done) FROM c{n}) GROUP BY 1),
+m{n} AS (SELECT k, list(x ORDER BY i) AS v FROM (SELECT k, i, avg(x) AS x FROM (SELECT o.k, generate_subscripts(p.v, 1) AS i, unnest(p.v) AS x FROM o{n} o JOIN p ON p.id = o.id) GROUP BY 1, 2) GROUP BY 1),
+c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v, max(list_distance(coalesce(m.v, c.v), c.v)) OVER () <= {delta} AS done FROM c{n} c LEFT JOIN m{n} m ON m.k = c.k)""")
+    return ",\n".join(made)
+
+
+@query(f"""WITH RECURSIVE {canopy_sql(_VECTORS, 1.15, 1.1)}, {_lloyd_sql(10, 0.001)}
+SELECT vec_id, label, arg_min(k, (list_distance(embedding::DOUBLE[], c.v), k))::INTEGER AS cluster FROM embeddings, c10 c GROUP BY 1, 2""")
 def kmeans_clusters(spark, sf):
     points = _points(spark, sf)
     # All canopies are seeds. Most distances are near 1.41; wider canopies have means so alike that they fall into one.
