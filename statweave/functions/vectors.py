@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,5 +37,11 @@ def build_distance(name: str):
     return DISTANCES.get(name, euclidean)
 
 
+def check_distance(name: str) -> None:
+    """Warn where a name isn't known, as the Euclidean distance then stands for it."""
+    if name not in DISTANCES:
+        warnings.warn(f"unknown distance {name!r}; the Euclidean one is used", stacklevel=3)
+
+
 def to_point(columns: list[Column]) -> Column:
     return F.array(*[c.cast("double") for c in columns])

@@ -46,6 +46,10 @@ class Dense:
             out[s : s + step] = np.einsum("ij,ij->i", e, e)
         return out
 
+    def scaled(self, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Sum of ((x - center) / scale) ** 2 for each point."""
+        return (((self.x - center) / scale) ** 2).sum(1)
+
     def sums(self, keys: np.ndarray, k: int) -> np.ndarray:
         """Sums of the points of each key below k."""
         out = np.zeros((k, self.d))
@@ -98,6 +102,10 @@ class Sparse:
         rest = np.einsum("ij,ij->i", c, c)[which]
         return np.maximum(0, rest + some._by_row((some.value - own) ** 2 - own * own))
 
+    def scaled(self, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        empty = (center / scale) ** 2
+        return np.maximum(0, empty.sum() + self._by_row(((self.value - center[self.at]) / scale[self.at]) ** 2 - empty[self.at]))
+
     def sums(self, keys: np.ndarray, k: int) -> np.ndarray:
         flat = np.bincount(keys[self.row] * self.d + self.at, self.value, k * self.d)
         return flat.reshape(k, self.d)

@@ -39,17 +39,32 @@ def vector(df: DataFrame) -> list[str]:
     return ["point"] if "point" in df.columns else SPARSE
 
 
-def as_points(df: DataFrame, columns: list[str] | None = None, dense: bool = False) -> DataFrame:
+#: Names of kinds of vectors, and whether they are sparse.
+KINDS = {"dense": False, "sparse": True, "sequential-sparse": True, "random-access-sparse": True}
+
+
+def as_points(df: DataFrame, columns: list[str] | None = None, kind: str | None = None) -> DataFrame:
     """A table's points: its ``point`` column, or its sparse vectors, if it has them, else a vector of the columns (all but text).
 
-    Vectors that hold a null are left out. ``dense``: sparse vectors become dense ones.
+    Vectors that hold a null are left out. ``kind``: one of KINDS, into which the points are turned; None leaves them as they are.
     """
+    if kind is not None and kind not in KINDS:
+        raise ValueError(f"unknown kind of vector {kind!r}; one of {', '.join(KINDS)}")
+    points = _as_points(df, columns)
+    if kind is None or KINDS[kind] == (vector(points) == SPARSE):
+        return points
+    if KINDS[kind]:
+        entries = F.filter(F.transform("point", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0)
+        return points.withColumns({"size": F.size("point"), "entries": F.map_from_entries(entries)}).drop("point")
+    return points.withColumn("point", dense_vector()).drop(*SPARSE)
+
+
+def _as_points(df: DataFrame, columns: list[str] | None) -> DataFrame:
     if columns is None and "point" in df.columns:
         return df.where(F.col("point").isNotNull() & F.forall("point", lambda x: x.isNotNull())).withColumn("point", F.col("point").cast("array<double>"))
     if columns is None and set(SPARSE) <= set(df.columns):
         df = df.where(F.col("size").isNotNull() & F.col("entries").isNotNull() & F.forall(F.map_values("entries"), lambda x: x.isNotNull()))
-        df = df.withColumns({"size": F.col("size").cast("int"), "entries": F.col("entries").cast("map<int,double>")})
-        return df.withColumn("point", dense_vector()).drop(*SPARSE) if dense else df
+        return df.withColumns({"size": F.col("size").cast("int"), "entries": F.col("entries").cast("map<int,double>")})
     return vectorize(df, columns or vector_columns(df.schema))
 
 

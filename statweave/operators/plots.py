@@ -102,8 +102,8 @@ KINDS = {
 }
 
 
-def view_table(kind: str, df: DataFrame, sample: float | None = None, seed: int | None = None, **options) -> DataFrame:
-    """The data of a plot of a table, or of a sample of its rows."""
+def view_table(kind: str, df: DataFrame, sample: float | None = None, seed: int | None = None, key: list[str] | None = None, **options) -> DataFrame:
+    """The data of a plot of a table, or of a sample of its rows (by ``key``, if columns tell rows apart)."""
     if kind not in KINDS:
         raise ValueError(f"unknown plot {kind!r}; one of {', '.join(KINDS)}")
-    return KINDS[kind](sample_bernoulli(df, sample, seed) if sample is not None else df, **options)
+    return KINDS[kind](sample_bernoulli(df, sample, seed, key) if sample is not None else df, **options)

@@ -22,28 +22,41 @@ def count_lines(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("count"))
 
 
-def sample_bernoulli(df: DataFrame, probability: float, seed: int | None = None) -> DataFrame:
-    """Each row with the given probability; one generator seed for the run."""
-    return df.sample(False, probability, seed if seed is not None else random.randrange(1 << 31))
+def drawn(seed: int, key: list[str]) -> Column:
+    """A number in (0, 1) for each row, from the md5 of the seed and the key's columns as text, with colons between (nulls as nothing)."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / 16.0**13
 
 
-def sample_exact(df: DataFrame, fraction: float, total: int | None = None, seed: int = 0, buckets: int = 1 << 16) -> DataFrame:
+def sample_bernoulli(df: DataFrame, probability: float, seed: int | None = None, key: list[str] | None = None) -> DataFrame:
+    """Each row with the given probability; one generator seed for the run.
+
+    ``key``: columns that tell rows apart. A row is then in the sample or not by
+    itself, however the table lies in partitions; without a key that depends on them.
+    """
+    seed = seed if seed is not None else random.randrange(1 << 31)
+    return df.where(drawn(seed, key) < probability) if key else df.sample(False, probability, seed)
+
+
+def sample_exact(df: DataFrame, fraction: float, total: int | None = None, seed: int = 0, buckets: int = 1 << 16, key: list[str] | None = None) -> DataFrame:
     """round(total * fraction) rows without replacement, each with equal chance, in the order of the table's rows.
 
-    Rows get a random number once: those that may belong to the sample are stored
+    The sample is of the rows with the least numbers: of ``drawn`` from the ``key``,
+    so that it doesn't depend on partitions (rows of one key follow one another), or,
+    without a key, random ones.  Rows get their number once: those that may belong to the sample are stored
     with it (a few more than asked for), so that what is counted is what is taken.
-    A count by its ``buckets`` ranges finds the range in which the sample is full,
+    A count by its ``buckets`` ranges, which combines before the shuffle, finds the range in which the sample is full,
     and only rows of that one range are put in order.
     """
     total = df.count() if total is None else total
     n = int(total * fraction + 0.5)
     share = n / total if total else 0.0
     most = min(1.0, share + 6 * math.sqrt(share * (1 - share) / max(1, total)) + 10 / max(1, total))
-    drawn = df.withColumns({"_draw": F.rand(seed), "_id": F.monotonically_increasing_id()})
-    found = Stored(drawn.where(F.col("_draw") < most))
+    draws = df.withColumns({"_draw": drawn(seed, key) if key else F.rand(seed), "_id": F.monotonically_increasing_id()})
+    found = Stored(draws.where(F.col("_draw") < most))
     if most < 1 and found.df.count() < n:  # hardly ever
         found.drop()
-        most, found = 1.0, Stored(drawn)
+        most, found = 1.0, Stored(draws)
     rows = found.df
     place = F.least(F.floor(F.col("_draw") / most * buckets), F.lit(buckets - 1)).cast("int")
     left, cut = n, buckets

@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..operators import plots, rows, stats, timeseries
 from ..operators.clustering import canopy as canopy_
 from ..operators.clustering import common, validation
@@ -117,15 +118,15 @@ def _count(df: DataFrame) -> dict:
 
 
 @job("sample-file")
-def _sample_exact(df: DataFrame, percentage_to_sample: float, total_lines: int | None = None, seed: int = 0) -> dict:
+def _sample_exact(df: DataFrame, percentage_to_sample: float, total_lines: int | None = None, seed: int = 0, key: list[str] | None = None) -> dict:
     """Exactly round(total * share) rows."""
-    return {"table": rows.sample_exact(df, percentage_to_sample, total_lines, seed)}
+    return {"table": rows.sample_exact(df, percentage_to_sample, total_lines, seed, key=key)}
 
 
 @job("probabilistic-sample-table")
-def _sample(df: DataFrame, sampling_probability: float, seed: int | None = None) -> dict:
+def _sample(df: DataFrame, sampling_probability: float, seed: int | None = None, key: list[str] | None = None) -> dict:
     """Each row with the given probability."""
-    return {"table": rows.sample_bernoulli(df, sampling_probability, seed)}
+    return {"table": rows.sample_bernoulli(df, sampling_probability, seed, key)}
 
 
 @job("vectorize-table")
@@ -205,7 +206,8 @@ def _clusters(df: DataFrame, clusters: list | DataFrame, clustered: DataFrame |
 
 @job("canopy")
 def _canopy(df: DataFrame, t1: float, t2: float, distance: str = "euclidean", should_cluster: bool = True, columns: list[str] | None = None) -> dict:
-    """Canopy centers, and points by nearest center. The distance is the Euclidean one."""
+    """Canopy centers, and points by nearest center."""
+    vectors.check_distance(distance)
     made, clustered = canopy_.canopy_frames(common.as_points(df, columns), t1, t2, should_cluster)
     return _clusters(df, made, clustered)
 
@@ -214,7 +216,8 @@ def _canopy(df: DataFrame, t1: float, t2: float, distance: str = "euclidean", sh
 def _kmeans(
     df: DataFrame, input_clusters: Any, convergence_delta: float = 0.0, num_iterations: int = 10, distance: str = "euclidean", should_cluster: bool = True, columns: list[str] | None = None
 ) -> dict:
-    """k-means from the clusters of a job, of a written table or of a list. The distance is the Euclidean one."""
+    """k-means from the clusters of a job, of a written table or of a list."""
+    vectors.check_distance(distance)
     if isinstance(input_clusters, Job):
         input_clusters = input_clusters.output("clusters")
     if isinstance(input_clusters, (str, Dataset, DataFrame)):
@@ -225,11 +228,12 @@ def _kmeans(
 @job("dirichlet")
 def _dirichlet(
     df: DataFrame, num_models: int, num_iterations: int, alpha_0: float = 1.0, should_emit_most_likely: bool = True, min_threshold: float = 0.0,
-    should_cluster: bool = True, model_distribution: str = "gaussian", vector_model: str = "dense", distance: str = "euclidean", seed: int = 0, columns: list[str] | None = None,
+    should_cluster: bool = True, model_distribution: str = "gaussian", vector_model: str | None = None, distance: str = "euclidean", seed: int = 0, columns: list[str] | None = None,
 ) -> dict:
-    """A mixture of Gaussians by Gibbs sampling."""
+    """A mixture of Gaussians by Gibbs sampling, on dense or sparse vectors (``vector_model``; None: as the table has them)."""
+    vectors.check_distance(distance)
     clusters, mixture, clustered = dirichlet_.dirichlet(
-        common.as_points(df, columns), num_models, num_iterations, alpha_0, should_emit_most_likely, min_threshold, should_cluster, model_distribution, seed
+        common.as_points(df, columns, vector_model), num_models, num_iterations, alpha_0, should_emit_most_likely, min_threshold, should_cluster, model_distribution, seed
     )
     return _clusters(df, clusters, clustered, mixture=mixture)
 
@@ -239,7 +243,7 @@ def _proclus(
     df: DataFrame, k: int, l: int, num_iterations: int = 10, min_deviation: float = 0.1, split_size: float = 0.2, min_threshold: float = 0.0, seed: int = 0, columns: list[str] | None = None  # noqa: E741
 ) -> dict:
     """Clusters in subspaces; outliers are left out."""
-    medoids, objective, clustered = proclus_.proclus(common.as_points(df, columns, dense=True), k, l, num_iterations, min_deviation, split_size, min_threshold, seed)
+    medoids, objective, clustered = proclus_.proclus(common.as_points(df, columns, "dense"), k, l, num_iterations, min_deviation, split_size, min_threshold, seed)
     found = [common.Cluster(m.id, m.vector, proclus_.plot_radius(m), m.n) for m in medoids]
     return _clusters(df, found, clustered, medoids=medoids, objective=objective)
 

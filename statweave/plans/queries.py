@@ -84,9 +84,12 @@ def normalization(spark, sf):
     return rows.normalize(part, names, [b[c]["min"] for c in names], [b[c]["max"] for c in names])
 
 
-@query()
+_DRAWN = "((('0x' || substr(md5('1:' || event_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
+@query(f"SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (ORDER BY {_DRAWN}) AS place FROM events) WHERE place <= (SELECT round(count(*) * 0.1) FROM events)")
 def sample_exact(spark, sf):
-    return rows.sample_exact(table(spark, sf, "events"), 0.1, seed=1)
+    return rows.sample_exact(table(spark, sf, "events"), 0.1, seed=1, key=["event_id"])
 
 
 @query("SELECT round(count(*) * 0.1)::BIGINT AS n FROM events")
@@ -94,9 +97,9 @@ def sample_exact_size(spark, sf):
     return rows.sample_exact(table(spark, sf, "events"), 0.1, seed=1).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT * FROM events WHERE {_DRAWN} < 0.1")
 def sample_bernoulli(spark, sf):
-    return rows.sample_bernoulli(table(spark, sf, "events"), 0.1, 1)
+    return rows.sample_bernoulli(table(spark, sf, "events"), 0.1, 1, ["event_id"])
 
 
 # Statistics
@@ -307,10 +310,62 @@ def proclus_clusters(spark, sf):
     return clustered.groupBy("cluster").agg(F.count("*").alias("count"))
 
 
-@query()
+def _uniform_sql(text: str) -> str:
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
+def _normal_sql(text: str) -> str:
+    one, two = (_uniform_sql(f"{text} || ':{x}'") for x in "ab")
+    return f"(sqrt(-2 * ln({one})) * cos(2 * pi() * {two}))"
+
+
+def dirichlet_sql(points: str, models: int, iterations: int, alpha0: float, seed: int) -> str:
+    """CTEs of a whole run on rows (id, v double[]): ``shares`` (id, k, p) of the models after the iterations. Draws come from md5, as the operator's."""
+    chance = lambda it: _normal_sql(f"'{seed}:{it}:' || k || ':' || (i - 1)")
+    posterior = """SELECT id, k, w / sum(w) OVER (PARTITION BY id) AS p FROM (
+  SELECT id, k, exp(z - max(z) OVER (PARTITION BY id)) AS w FROM (
+    SELECT e.id, m.k, ln(any_value(share)) - 0.5 * sum(((x - m.m) / m.s) ** 2) - sum(ln(m.s)) AS z FROM e JOIN m{n} m ON e.i = m.i JOIN mix{n} ON mix{n}.k = m.k GROUP BY 1, 2))"""
+    made = [f"""pts AS MATERIALIZED ({points}),
+keyed AS MATERIALIZED (SELECT id, md5(array_to_string(list_transform(v, lambda x: floor(x * 1048576)::BIGINT::VARCHAR), ',')) AS key FROM pts),
+e AS MATERIALIZED (SELECT id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM pts),
+base AS MATERIALIZED (SELECT i, avg(x) AS center, sqrt(greatest(1e-12, avg(x * x) - avg(x) ** 2)) AS spread FROM e GROUP BY 1),
+models AS (SELECT unnest(range({models})) AS k),
+m0 AS MATERIALIZED (SELECT k, i, center + spread * {chance(0)} AS m, spread AS s FROM models, base),
+mix0 AS (SELECT k, 1.0::DOUBLE / {models} AS share FROM models)"""]
+    for n in range(1, iterations + 1):
+        gamma = f"'{seed}:{n}:mix:' || k || ':'"
+        made.append(f"""p{n} AS ({posterior.format(n=n - 1)}),
+z{n} AS MATERIALIZED (SELECT id, least(count(*) FILTER (total < u), {models - 1}) AS k FROM (
+  SELECT p.id, {_uniform_sql(f"'{seed}:{n}:' || key")} AS u, sum(p) OVER (PARTITION BY p.id ORDER BY k) AS total FROM p{n} p JOIN keyed ON keyed.id = p.id) GROUP BY 1),
+c{n} AS MATERIALIZED (SELECT models.k, count(z.k)::DOUBLE AS n FROM models LEFT JOIN z{n} z ON z.k = models.k GROUP BY 1),
+s{n} AS MATERIALIZED (SELECT z.k, i, avg(x) AS mean, avg(x * x) AS square FROM z{n} z JOIN e ON e.id = z.id GROUP BY 1, 2),
+d{n} AS (SELECT models.k, base.i, center, spread, mean, sqrt(greatest((0.01 * spread) ** 2 + 1e-12, square - mean ** 2)) AS dev, n FROM models CROSS JOIN base
+  LEFT JOIN s{n} s ON s.k = models.k AND s.i = base.i JOIN c{n} c ON c.k = models.k),
+m{n} AS MATERIALIZED (SELECT k, i, CASE WHEN n > 0 THEN mean + dev / sqrt(n) * {chance(n)} ELSE center + spread * {chance(n)} END AS m, CASE WHEN n > 0 THEN dev ELSE spread END AS s FROM d{n}),
+g{n} AS (SELECT k, shape, d, t, {_normal_sql(gamma + " || t")} AS x, {_uniform_sql(gamma + " || t || ':u'")} AS u, 1 / sqrt(9 * d) AS c FROM (
+  SELECT k, n + {alpha0}::DOUBLE / {models} AS shape, n + {alpha0}::DOUBLE / {models} + CASE WHEN n + {alpha0}::DOUBLE / {models} < 1 THEN 1 ELSE 0 END - 1 / 3.0::DOUBLE AS d, unnest(range(16)) AS t FROM c{n})),
+h{n} AS (SELECT k, arg_min(d * v, t) * CASE WHEN any_value(shape) < 1 THEN {_uniform_sql(gamma + " || 'lift'")} ** (1 / any_value(shape)) ELSE 1 END AS g FROM (
+  SELECT *, (1 + c * x) ** 3 AS v FROM g{n}) WHERE v > 0 AND ln(u) < 0.5 * x * x + d - d * v + d * ln(v) GROUP BY k),
+mix{n} AS MATERIALIZED (SELECT k, share / sum(share) OVER () AS share FROM (SELECT k, greatest(g / sum(g) OVER (), 1e-12) AS share FROM h{n}))""")
+    return ",\n".join([*made, f"shares AS ({posterior.format(n=iterations)})"])
+
+
+@query(f"WITH {dirichlet_sql(_VECTORS, 10, 5, 1.0, 1)} SELECT id AS vec_id, arg_max(k, p)::INTEGER AS cluster FROM shares GROUP BY 1")
 def dirichlet_clusters(spark, sf):
-    _, _, clustered = dirichlet.dirichlet(_points(spark, sf), 10, 5, seed=1)
-    return clustered.groupBy("cluster").agg(F.count("*").alias("count"))
+    """The whole run: five iterations, and each point's most likely model."""
+    _, _, clustered = dirichlet.dirichlet(_points(spark, sf).select("vec_id", "point"), 10, 5, seed=1)
+    return clustered.select("vec_id", "cluster")
+
+
+@query(f"""WITH {dirichlet_sql("SELECT row_number() OVER () AS id, [l_discount, l_tax, l_quantity / 25 - 1] AS v FROM lineitem", 4, 3, 2.0, 7)}
+SELECT k, round(m1, 5) AS x, round(m2, 5) AS y, round(s3, 5) AS deviation, n::BIGINT AS n FROM (
+  SELECT m.k, max(m) FILTER (i = 1) AS m1, max(m) FILTER (i = 2) AS m2, max(s) FILTER (i = 3) AS s3, any_value(n) AS n FROM m3 m JOIN c3 ON c3.k = m.k WHERE n > 0 GROUP BY 1)""")
+def dirichlet_sparse(spark, sf):
+    """Models of sparse vectors after three iterations."""
+    lines = table(spark, sf, "lineitem").select("l_discount", "l_tax", (F.col("l_quantity") / 25 - 1).alias("l_quantity"))
+    clusters, _, _ = dirichlet.dirichlet(rows.vectorize(lines, ["l_discount", "l_tax", "l_quantity"], "sparse"), 4, 3, 2.0, should_cluster=False, seed=7)
+    made = [(c.id, *(round(float(x), 5) for x in (c.center[0], c.center[1], c.radius[2])), c.n) for c in clusters]
+    return spark.createDataFrame(made, "k long, x double, y double, deviation double, n long")
 
 
 # Plots and brushes

@@ -1,8 +1,13 @@
+import hashlib
+import math
+
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from statweave.operators.clustering import canopy, common, dirichlet, kmeans, proclus, validation
+from statweave.operators.clustering import blocks, canopy, common, dirichlet, kmeans, proclus, validation
 from statweave.plans import queries
 from statweave.plans.jobs import run_job
 
@@ -60,6 +65,113 @@ def test_canopies_visit_points_in_order():
     assert counts.tolist() == [3, 1, 1]
 
 
+def many(spark, n=3000, seed=1):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.uniform(0, 30, (n, 2)), 3)
+    x[100:400] = x[7]  # copies
+    return x, spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id long, point array<double>")
+
+
+def plain_canopies(x, t1, t2):
+    """One point after another, in the order by md5 of the components in units of 2**-20."""
+    key = lambda p: (hashlib.md5(",".join(str(math.floor(v * 1048576)) for v in p).encode()).hexdigest(), tuple(p))
+    found = []
+    for p in sorted(x.tolist(), key=key):
+        near = [math.dist(p, f) for f, _ in found]
+        for d, (_, members) in zip(near, found, strict=True):
+            if d < t1:
+                members.append(p)
+        if all(d >= t2 for d in near):
+            found.append((p, [p]))
+    return [np.mean(m, 0) for _, m in found]
+
+
+@pytest.mark.parametrize("batch", [16, 8192])
+def test_canopies_are_those_of_the_data(spark, batch):
+    x, df = many(spark)
+    expected = plain_canopies(x, 3.0, 2.0)
+    for parts in (1, 2, 211):
+        found, clustered = canopy.canopy(df.repartition(parts), 3.0, 2.0, batch=batch)
+        assert np.allclose([c.center for c in found], expected, atol=1e-9)
+        own = ((x[:, None] - np.array(expected)[None]) ** 2).sum(2).argmin(1)
+        assert {r.id: r.cluster for r in clustered.collect()} == dict(enumerate(own.tolist()))
+        assert [c.n for c in found] == np.bincount(own, minlength=len(expected)).tolist()
+        if batch == 16:
+            break
+
+
+def test_more_canopies_than_a_model_may_have(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAX_CLUSTERS", 50)
+    x, df = many(spark, 900)
+    made, clustered = canopy.canopy_frames(df, 0.03, 0.02, batch=128)
+    rows = made.collect()
+    assert len(rows) == len(plain_canopies(x, 0.03, 0.02)) > 500 and sum(r.n for r in rows) == 900 == clustered.count()
+    with pytest.raises(ValueError):
+        canopy.canopy(df, 0.03, 0.02)
+    bad = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [float("inf"), 1.0]), (3, [1.0, 2.0])], "id long, point array<double>")
+    assert [r.center for r in canopy.canopy_frames(bad, 3, 2, False)[0].collect()] == [[1.0, 2.0]]
+    assert canopy.canopy_frames(bad.where("false"), 3, 2)[0].collect() == []
+
+
+def sparse(df):
+    return common.as_points(df, kind="sparse")
+
+
+def test_sparse_points_agree_with_dense_ones(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 12)) * (rng.random((400, 12)) < 0.3) + np.repeat(np.eye(12)[:4] * 6, 100, 0)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id long, point array<double>")
+    thin = sparse(df)
+    assert thin.columns == ["id", "size", "entries"] and thin.agg(F.max(F.size("entries"))).first()[0] < 12
+    assert [r.point for r in common.as_points(thin, kind="dense").orderBy("id").collect()] == x.tolist()
+    one, two = (canopy.canopy(d, 5.0, 4.0)[0] for d in (df, thin))
+    assert np.allclose([c.center for c in one], [c.center for c in two]) and [c.n for c in one] == [c.n for c in two]
+    one, two = (kmeans.kmeans(d, x[::100], 0.0, 8) for d in (df, thin))
+    assert np.allclose([c.center for c in one[0]], [c.center for c in two[0]]) and np.allclose([c.radius for c in one[0]], [c.radius for c in two[0]])
+    assert {(r.id, r.cluster) for r in one[1].collect()} == {(r.id, r.cluster) for r in two[1].collect()}
+    one, two = (dirichlet.dirichlet(d, 5, 4, seed=2) for d in (df, thin))
+    assert [c.n for c in one[0]] == [c.n for c in two[0]] and np.allclose(one[1], two[1])
+    assert {(r.id, r.cluster) for r in one[2].collect()} == {(r.id, r.cluster) for r in two[2].collect()}
+    nulls = spark.createDataFrame([(3, {0: 1.0}), (3, {1: None}), (None, {0: 1.0}), (3, {})], "size int, entries map<int,double>")
+    assert common.as_points(nulls).count() == 2
+    with pytest.raises(ValueError):
+        common.as_points(df, kind="thin")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(1, 40), st.integers(1, 5), st.integers(1, 12), st.sampled_from([1.0, 1e-9, 1e6]))
+def test_decisions_are_those_of_differences(seed, n, d, k, scale):
+    """Ties and near ties included."""
+    rng = np.random.default_rng(seed)
+    x, c = rng.integers(-2, 3, (n, d)) * scale + 1e3, rng.integers(-2, 3, (k, d)) * scale + 1e3
+    exact = ((x[:, None] - c[None]) ** 2).sum(2)
+    which, near, other = blocks.nearest(blocks.Dense(x), c)
+    assert np.allclose(exact[np.arange(n), which], exact.min(1), rtol=1e-12) and np.allclose(near, exact.min(1))
+    if scale == 1.0:
+        assert which.tolist() == exact.argmin(1).tolist()
+        radius = 2.0
+        assert (blocks.within(blocks.Dense(x), c, radius) == (np.sqrt(exact) < radius)).all()
+    rest = exact.copy()
+    rest[np.arange(n), which] = np.inf
+    assert (other <= rest.min(1) * (1 + 1e-9) + 1e-9).all()
+
+
+def test_bounds_save_distances(spark):
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(c * 8, 1, (100, 4)) for c in rng.normal(0, 1, (20, 4))])
+    df, work = spark.createDataFrame([(p.tolist(),) for p in x], "point array<double>"), kmeans.Work()
+    start = x[::100] + 0.5
+    found, _ = kmeans.kmeans(df, start, 0.0, 12, work=work)
+    c = start.copy()
+    for _ in range(12):
+        own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        new = np.array([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(20)])
+        done, c = np.abs(new - c).max() == 0, new
+        if done:
+            break
+    assert np.allclose([f.center for f in found], c, atol=1e-9) and work.taken < work.all / 2
+
+
 def test_kmeans_is_lloyd(spark):
     df = blobs(spark, [[0, 0], [5, 5], [0, 9]])
     x = np.array([r[0] for r in df.select("point").collect()])
@@ -82,6 +194,10 @@ def test_dirichlet_finds_blobs(spark):
     assert [c.n for c in clusters] == [c.n for c in again] and mixture.sum() == pytest.approx(1)
     pure = clustered.groupBy("cluster").agg(F.countDistinct("blob").alias("n"), F.count("*").alias("rows"))
     assert pure.where("n > 1").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] <= 60 + 60
+    parts = [dirichlet.dirichlet(df.repartition(p), 8, 15, seed=4)[0] for p in (1, 7)]
+    assert all([c.n for c in p] == [c.n for c in clusters] for p in parts)
+    draws = np.array([dirichlet.gamma(a, "t", i) for a in (0.3, 1.0, 4.0) for i in range(3000)]).reshape(3, -1)
+    assert np.allclose(draws.mean(1), [0.3, 1, 4], rtol=0.1) and np.allclose(draws.var(1), [0.3, 1, 4], rtol=0.2)
     soft = dirichlet.dirichlet(df, 4, 3, emit_most_likely=False, threshold=0.2, seed=1)[2]
     assert soft.agg(F.min("probability")).first()[0] >= 0.2 and soft.count() >= df.count()
 

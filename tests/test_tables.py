@@ -88,6 +88,11 @@ def test_samples(spark):
     assert len(got) == len(set(got)) == 2500
     assert max(r[0] for r in rows.sample_exact(df, 1.0).collect()) == 9
     assert 4000 < rows.sample_bernoulli(big, 0.5, 1).count() < 6000
+    for sample in (lambda d: rows.sample_exact(d, 0.25, seed=3, key=["id"]), lambda d: rows.sample_bernoulli(d, 0.25, 3, ["id"])):
+        found = [sorted(r[0] for r in sample(big.repartition(parts)).collect()) for parts in (1, 2, 37)]
+        assert found[0] == found[1] == found[2] and 2300 < len(found[0]) < 2700
+    copies = big.select((F.col("id") % 3).alias("k"))
+    assert rows.sample_exact(copies, 0.5, key=["k"]).count() == big.count() / 2  # rows of one key, cut where the sample is full
 
 
 def test_filter_and_map(spark):
