@@ -20,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...sources.storage import Scratch, Stored
 from ..rows import numbered
 from .blocks import Block, Dense, block, within
-from .common import SPARSE, Cluster, fold, fold_frame, moments, nearest_center, read_clusters, vector
+from .common import SPARSE, Cluster, dense_vector, fold, fold_frame, moments, nearest_center, order_key, read_clusters, vector
 
 #: Points that a round decides at most, and bytes of their components.
 BATCH = 8192
@@ -60,11 +60,6 @@ def founding(x: np.ndarray, t2: float) -> np.ndarray:
     return np.array(found, int)
 
 
-def order_key(point: Column) -> Column:
-    """The md5 of a point's components in units of 2**-20, rounded down, with commas between."""
-    return F.md5(F.array_join(F.transform(point, lambda x: F.floor(x * 1048576.0).cast("string")), ","))
-
-
 def _in_order(points: DataFrame) -> tuple[Stored, DataFrame]:
     """Distinct finite points with their number ``n`` and ``place``."""
     at = vector(points)
@@ -74,8 +69,7 @@ def _in_order(points: DataFrame) -> tuple[Stored, DataFrame]:
         listed = F.array_sort(F.filter(F.map_entries("entries"), lambda e: e["value"] != 0))
         some = points.where(F.forall(F.map_values("entries"), finite)).groupBy("size", listed.alias("listed")).agg(F.count("*").alias("n"))
         rows = some.withColumn("entries", F.map_from_entries("listed"))
-        full = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.coalesce(F.try_element_at("entries", i), F.lit(0.0)))
-        return numbered(rows.select("size", "entries", "n", "listed", order_key(full).alias("key")), "key", "listed")
+        return numbered(rows.select("size", "entries", "n", "listed", order_key(dense_vector()).alias("key")), "key", "listed")
     rows = points.where(F.forall("point", finite)).groupBy("point").agg(F.count("*").alias("n"))
     return numbered(rows.withColumn("key", order_key(F.col("point"))), "key", "point")
 

@@ -73,6 +73,18 @@ def dense_vector() -> Column:
     return F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.coalesce(F.try_element_at("entries", i), F.lit(0.0)))
 
 
+def order_key(point: Column) -> Column:
+    """The md5 of a point's components in units of 2**-20, rounded down, with commas between."""
+    return F.md5(F.array_join(F.transform(point, lambda x: F.floor(x * 1048576.0).cast("string")), ","))
+
+
+def uniforms(points: DataFrame, seed: int, iteration: int | str) -> Column:
+    """A number in (0, 1) for each point, from 13 digits of the md5 of the seed, the iteration and its components."""
+    point = F.col("point") if vector(points) != SPARSE else dense_vector()
+    h = F.md5(F.concat(F.lit(f"{seed}:{iteration}:"), order_key(point)))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / 16.0**13
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column without nulls as a matrix."""
     return block([column]).dense()

@@ -11,13 +11,12 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Block, Dense
-from .canopy import order_key
-from .common import SPARSE, Cluster, assign, dense_vector, fold, kept, moments, vector
+from .common import Cluster, assign, fold, kept, moments, uniforms, vector
 
 MODELS = ("gaussian",)
 #: Tries of a gamma variate; all but one in 10**20 are done by then.
@@ -47,13 +46,6 @@ def uniform(*parts: object) -> float:
     return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) + 0.5) / 16.0**13
 
 
-def uniforms(points: DataFrame, seed: int, iteration: int) -> Column:
-    """The same for each point, from its components."""
-    point = F.col("point") if vector(points) != SPARSE else dense_vector()
-    h = F.md5(F.concat(F.lit(f"{seed}:{iteration}:"), order_key(point)))
-    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / 16.0**13
-
-
 def normal(*parts: object) -> float:
     return math.sqrt(-2 * math.log(uniform(*parts, "a"))) * math.cos(2 * math.pi * uniform(*parts, "b"))
 

@@ -304,12 +304,6 @@ def kmeans_clusters(spark, sf):
     return clustered.select("vec_id", "label", "cluster")
 
 
-@query()
-def proclus_clusters(spark, sf):
-    _, _, clustered = proclus.proclus(_points(spark, sf).select("point"), k=5, l=4, iterations=5, seed=1)
-    return clustered.groupBy("cluster").agg(F.count("*").alias("count"))
-
-
 def _uniform_sql(text: str) -> str:
     return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
 
@@ -368,6 +362,61 @@ def dirichlet_sparse(spark, sf):
     return spark.createDataFrame(made, "k long, x double, y double, deviation double, n long")
 
 
+def proclus_sql(points: str, k: int, l: int, iterations: int, min_deviation: float, split: float, seed: int) -> str:  # noqa: E741
+    """CTEs of a whole run on rows (id, v double[]): ``kept`` (id, k), the points within their medoid's radius. Sets of medoids are tables of (k, v)."""
+    made = [f"""pts AS MATERIALIZED ({points}),
+keyed AS MATERIALIZED (SELECT id, v, md5(array_to_string(list_transform(v, lambda x: floor(x * 1048576)::BIGINT::VARCHAR), ',')) AS key FROM pts),
+e AS MATERIALIZED (SELECT id, generate_subscripts(v, 1) - 1 AS i, unnest(v) AS x FROM pts),
+sampled AS MATERIALIZED (SELECT DISTINCT v, key FROM keyed WHERE {_uniform_sql(f"'{seed}:split:' || key")} < {split}),
+line AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY md5('{seed + 1}:' || key), v) - 1 AS place FROM sampled),
+g1 AS MATERIALIZED (SELECT 0 AS k, v FROM sampled ORDER BY md5('{seed}:' || key), v LIMIT 1)"""]
+    apart = "list_sum(list_transform(list_zip(s.v, g.v), lambda z: abs(z[1] - z[2])))"
+    for n in range(1, k):
+        made.append(f"""g{n + 1} AS MATERIALIZED (SELECT * FROM g{n} UNION ALL (SELECT {n}, v FROM (SELECT s.v, min({apart}) AS away FROM sampled s, g{n} g GROUP BY 1) ORDER BY away DESC, v DESC LIMIT 1))""")
+
+    def local(t: str, own: str = "") -> str:
+        return f"""ms{t} AS MATERIALIZED (SELECT k, generate_subscripts(v, 1) - 1 AS i, unnest(v) AS c FROM set{t}),
+delta{t} AS MATERIALIZED (SELECT a.k, min(list_distance(a.v, b.v)) AS delta FROM set{t} a JOIN set{t} b ON a.k <> b.k GROUP BY 1),
+inside{t} AS MATERIALIZED (SELECT pts.id, s.k FROM pts JOIN set{t} s ON list_distance(pts.v, s.v) <= (SELECT delta FROM delta{t} d WHERE d.k = s.k) {own}),
+{dims(t)}"""
+
+    def dims(t: str, inside: str = "inside", name: str = "dims") -> str:
+        return f"""{name}mean{t} AS MATERIALIZED (SELECT m.k, m.i, avg(abs(x - c)) AS mean FROM {inside}{t} n JOIN ms{t} m ON m.k = n.k JOIN e ON e.id = n.id AND e.i = m.i GROUP BY 1, 2),
+{name}order{t} AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY z, i) AS r FROM (
+  SELECT k, i, (mean - avg(mean) OVER (PARTITION BY k)) / stddev_samp(mean) OVER (PARTITION BY k) AS z FROM {name}mean{t})),
+{name}{t} AS MATERIALIZED (SELECT k, i FROM {name}order{t} WHERE r <= 2 UNION ALL
+  SELECT k, i FROM (SELECT *, row_number() OVER (ORDER BY z, k, i) AS q FROM {name}order{t} WHERE r > 2) WHERE q <= {k * (l - 2)})"""
+
+    def owners(t: str, name: str = "dims", out: str = "own") -> str:
+        return f"""{out}{t} AS MATERIALIZED (SELECT id, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+  SELECT e.id, m.k, sum(abs(x - c)) AS d FROM e JOIN ms{t} m ON e.i = m.i JOIN {name}{t} s ON s.k = m.k AND s.i = m.i GROUP BY 1, 2) GROUP BY 1)"""
+
+    made.append(f"set0 AS MATERIALIZED (SELECT k, v FROM g{k})")
+    for t in range(iterations):
+        before = f"best{t - 1}" if t else None
+        better = f"(SELECT objective FROM objective{t}) < (SELECT any_value(objective) FROM {before})" if t else "true"
+        old = f" UNION ALL SELECT * FROM {before} WHERE NOT ({better})" if t else ""
+        made.append(f"""{local(str(t))},
+{owners(str(t))},
+w{t} AS MATERIALIZED (SELECT s.k, any_value(s.v) AS v, count(DISTINCT e.id) AS n, coalesce(avg(abs(x - c)), 0) AS w FROM set{t} s LEFT JOIN own{t} o ON o.k = s.k
+  LEFT JOIN e ON e.id = o.id LEFT JOIN ms{t} m ON m.k = o.k AND m.i = e.i GROUP BY 1),
+objective{t} AS MATERIALIZED (SELECT sum(w / {k} * n) / sum(n) AS objective, sum(n) AS total FROM w{t}),
+best{t} AS MATERIALIZED (SELECT k, v, n >= total / {k} * {min_deviation} AND row_number() OVER (ORDER BY n, k) > 1 AS good, objective FROM w{t}, objective{t} WHERE {better}{old}),
+pool{t} AS (SELECT v, row_number() OVER (ORDER BY place) AS r FROM line WHERE place >= {2 * k * t} AND place < {2 * k * (t + 1)} AND v NOT IN (SELECT v FROM best{t})),
+set{t + 1} AS MATERIALIZED (SELECT b.k, CASE WHEN good OR p.v IS NULL THEN b.v ELSE p.v END AS v
+  FROM (SELECT *, row_number() OVER (PARTITION BY good ORDER BY k) AS r FROM best{t}) b LEFT JOIN pool{t} p ON p.r = b.r AND NOT b.good)""")
+    return ",\n".join([*made, f"setf AS MATERIALIZED (SELECT k, v FROM best{iterations - 1})", local("f"), owners("f"),
+        "mine AS (SELECT n.* FROM insidef n JOIN ownf o ON o.id = n.id AND o.k = n.k), minef AS MATERIALIZED (SELECT * FROM mine)", dims("f", "mine", "last"), owners("f", "last", "fin"),
+        "kept AS (SELECT id, o.k FROM finf o JOIN deltaf d ON d.k = o.k WHERE o.d < d.delta)"])
+
+
+@query(f"WITH {proclus_sql(_VECTORS, 5, 4, 5, 0.1, 0.2, 1)} SELECT id AS vec_id, k::INTEGER AS cluster FROM kept")
+def proclus_clusters(spark, sf):
+    """The whole run: sample, first medoids, iterations, refinement, and the points within their medoid's radius."""
+    _, _, clustered = proclus.proclus(_points(spark, sf).select("vec_id", "point"), k=5, l=4, iterations=5, seed=1)
+    return clustered.select("vec_id", "cluster")
+
+
 # Plots and brushes
 
 

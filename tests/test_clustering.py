@@ -222,6 +222,24 @@ def test_proclus_finds_subspaces(spark):
         proclus.proclus(df, k=1000, l=2)
 
 
+def test_an_iteration_is_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.uniform(0, 9, (500, 5)), 2)
+    df = spark.createDataFrame([(p.tolist(),) for p in x], "point array<double>")
+    _, near = proclus.one_pass(df, x[:3], None, np.unique(x[:9], axis=0), 0.1)
+    for some in ([0, 1, 2], [3, 8], [5, 1, 7, 2], [4]):
+        assert np.allclose(near.means(x[some]), proclus.locality_means(df, x[some], proclus.radii(x[some])))
+    dims = [np.array([0, 1]), np.array([2, 3]), np.array([1, 4])]
+    both, _ = proclus.one_pass(df, x[:3], dims, x[:4], 0.1)
+    plain = proclus.evaluate(df, x[:3], dims, 0.1)
+    assert both[0] == pytest.approx(plain[0]) and both[1].tolist() == plain[1].tolist() and both[3].tolist() == plain[3].tolist()
+    passes, fold = [], proclus.fold
+    monkeypatch.setattr(proclus, "fold", lambda *a, **k: passes.append(1) or fold(*a, **k))
+    runs = [proclus.proclus(df.repartition(p), 3, 2, iterations=6, split_size=0.5, seed=2) for p in (1, 5)]
+    assert len(passes) == 2 * (1 + 6 + 2)
+    assert runs[0][1] == pytest.approx(runs[1][1]) and [m.vector.tolist() for m in runs[0][0]] == [m.vector.tolist() for m in runs[1][0]]
+
+
 def test_proclus_steps(spark):
     for seed in range(4):  # whatever comes first, the farthest point follows
         line = spark.createDataFrame([([x],) for x in (0.0, 1.0, 9.0, 5.0)], "point array<double>")
