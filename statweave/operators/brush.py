@@ -84,6 +84,28 @@ def combine(a: DataFrame, b: DataFrame, how: str, row_id: str = "row_id") -> Dat
     return x.join(y, row_id, kind).select(row_id, weight.alias("weight")).where("weight > 0")
 
 
+def combine_all(first: DataFrame, steps: list[tuple[str, DataFrame]], row_id: str = "row_id") -> DataFrame:
+    """Any number of set operations, one after another as ``combine`` has them, in one shuffle.
+
+    The brushes' rows are put together with their place and grouped by row; the
+    operations then follow one another in each row. Of rows that a brush holds
+    more than once the greatest weight counts.
+    """
+    for how, _ in steps:
+        if how not in ("add", "subtract", "intersect"):
+            raise ValueError(f"unknown operation {how!r}; add, subtract or intersect")
+    brushes = [first, *(b for _, b in steps)]
+    together = brushes[0].select(row_id, "weight", F.lit(0).alias("_place"))
+    for i, b in enumerate(brushes[1:], 1):
+        together = together.unionByName(b.select(row_id, "weight", F.lit(i).alias("_place")))
+    by_row = together.groupBy(row_id).agg(*[F.coalesce(F.max(F.when(F.col("_place") == i, F.col("weight"))), F.lit(0.0)).alias(f"_{i}") for i in range(len(brushes))])
+    weight = F.col("_0")
+    for i, (how, _) in enumerate(steps, 1):
+        w = F.col(f"_{i}")
+        weight = {"add": F.least(F.lit(1.0), weight + w), "subtract": F.greatest(F.lit(0.0), weight - w), "intersect": F.least(weight, w)}[how]
+    return by_row.select(row_id, weight.alias("weight")).where("weight > 0")
+
+
 def axis_histogram(df: DataFrame, column: str, bins: int = 10, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """(bin, low, high, count) of equal bins from least to greatest value, the greatest in the last bin; empty bins are there."""
     if lo is None or hi is None:

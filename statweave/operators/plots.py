@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.schema import numeric_columns
 from ..sources.storage import stored
-from .brush import axis_histogram, scaled
+from .brush import scaled
 from .rows import sample_bernoulli
 from .stats import GATHER, quantiles
 
@@ -58,12 +58,30 @@ scatter_plot_grouped = scatter_plot
 
 
 def frequencies_histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
-    """(column, bin, low, high, count)"""
-    parts = [axis_histogram(df, c, bins).select(F.lit(c).alias("column"), "*") for c in _columns(df, columns)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """(column, bin, low, high, count): equal bins from each column's least to its greatest value, the greatest in the last bin; empty bins are there, columns without values are not.
+
+    Two scans for all columns together: their bounds, and one count of (column, bin)
+    pairs that combines before the shuffle.
+    """
+    names = _columns(df, columns)
+    x = [F.col(c).cast("double") for c in names]
+    bounds = df.agg(*[f(c) for c in x for f in (F.min, F.max)]).first() if names else []
+    low, high = bounds[::2], bounds[1::2]
+    there = [i for i in range(len(names)) if low[i] is not None]
+    kinds = "place int, column string, low double, size double"
+    shown = df.sparkSession.createDataFrame([(i, names[i], low[i], (high[i] - low[i]) / bins) for i in there], kinds)
+    grid = shown.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    pairs = []
+    for i in there:
+        size = (high[i] - low[i]) / bins
+        place = F.least(F.floor((x[i] - low[i]) / size), F.lit(bins - 1)).cast("int") if size else F.lit(0)
+        pairs.append(F.when(x[i].isNotNull(), F.struct(F.lit(i).alias("place"), place.alias("bin"))))
+    out = grid.withColumn("count", F.lit(0).cast("long"))
+    if pairs:
+        counts = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("at")).groupBy("at.place", "at.bin").agg(F.count("*").alias("count"))
+        out = grid.join(F.broadcast(counts), ["place", "bin"], "left")  # a row per column and bin
+    edge = lambda k: (F.col("low") + (F.col("bin") + k) * F.col("size"))
+    return out.select("column", "bin", edge(0).alias("low"), edge(1).alias("high"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def scatter_3d(df: DataFrame, columns: list[str]) -> DataFrame:

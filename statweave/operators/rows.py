@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -88,23 +89,80 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "place") -> tuple[
     return held, placed.select(*df.columns, name)
 
 
-def draw(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k rows by chance (all, if there are fewer), for small k: the rows with the least random numbers."""
-    return df.withColumn("_draw", F.rand(seed)).orderBy("_draw").limit(k).drop("_draw")
+def draw(df: DataFrame, k: int, seed: int = 0, key: list[str] | None = None) -> DataFrame:
+    """k rows by chance (all, if there are fewer), for small k: the rows with the least numbers, ``drawn`` from the ``key`` or random."""
+    return df.withColumn("_draw", drawn(seed, key) if key else F.rand(seed)).orderBy("_draw").limit(k).drop("_draw")
 
 
-def filter_table(df: DataFrame, condition: Column | str | Callable[[dict], bool]) -> DataFrame:
+@dataclass(frozen=True)
+class Batches:
+    """A user's function of many rows at a time, for ``filter_table``, ``map_table`` and ``vectorize``.
+
+    ``form``: "arrow", a function of a pyarrow RecordBatch, or "pandas", one of a
+    DataFrame.  It runs on one Arrow batch after another, as Spark deals them, so a row's
+    result must not hang on the others.  An exception ends the job.
+
+    A filter gives a value for each row (Arrow array, Series, numpy array or list; only
+    True keeps a row), a map a RecordBatch or Table, or a DataFrame, with the
+    columns of the schema (by name; in any order, others are left out), and a
+    vectorizer a list of numbers for each row, or a matrix (rows without one are left out).
+    """
+
+    function: Callable
+    form: str = "arrow"
+
+    def __post_init__(self) -> None:
+        if self.form not in ("arrow", "pandas"):
+            raise ValueError(f"unknown form {self.form!r}; arrow or pandas")
+
+    def __call__(self, batch: pa.RecordBatch) -> object:
+        return self.function(batch.to_pandas() if self.form == "pandas" else batch)
+
+    def column(self, batch: pa.RecordBatch, kind: pa.DataType) -> pa.Array:
+        """The function's value for each row as an Arrow array."""
+        made = self(batch)
+        if isinstance(made, pa.ChunkedArray):
+            made = made.combine_chunks()
+        if not isinstance(made, pa.Array):
+            made = pa.array(list(made) if getattr(made, "ndim", 1) > 1 else made, from_pandas=True)
+        if len(made) != batch.num_rows:
+            raise ValueError(f"{len(made)} values for {batch.num_rows} rows")
+        return made.cast(kind)
+
+    def table(self, batch: pa.RecordBatch, schema: pa.Schema) -> pa.Table:
+        made = self(batch)
+        if isinstance(made, pa.RecordBatch):
+            made = pa.Table.from_batches([made])
+        elif not isinstance(made, pa.Table):
+            made = pa.Table.from_pandas(made, preserve_index=False)
+        return made.select(schema.names).cast(schema)
+
+
+def arrow_function(function: Callable[[pa.RecordBatch], object]) -> Batches:
+    return Batches(function)
+
+
+def pandas_function(function: Callable) -> Batches:
+    return Batches(function, "pandas")
+
+
+def filter_table(df: DataFrame, condition: Column | str | Batches | Callable[[dict], bool]) -> DataFrame:
     """Rows for which the condition is true; null counts as false.
 
-    Give a Column or SQL text where possible. A Python function of a row as dict
+    Give a Column or SQL text where possible, or a function of many rows
+    (``arrow_function``, ``pandas_function``). A Python function of a row as dict
     works too: only True keeps a row, an exception drops it.
     """
-    if not callable(condition) or isinstance(condition, Column):
+    if isinstance(condition, (Column, str)):
         return df.where(condition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([_true(condition, r) for r in batch.to_pylist()], pa.bool_()))
+            if isinstance(condition, Batches):
+                keep = condition.column(batch, pa.bool_())
+            else:
+                keep = pa.array([_true(condition, r) for r in batch.to_pylist()], pa.bool_())
+            yield batch.filter(keep)
 
     return df.mapInArrow(run, df.schema)
 
@@ -116,8 +174,8 @@ def _true(condition: Callable[[dict], bool], row: dict) -> bool:
         return False
 
 
-def map_table(df: DataFrame, function: dict[str, Column | str] | Callable[[dict], dict], schema: T.StructType | str | None = None) -> DataFrame:
-    """Rows turned into others: by columns (name -> expression, all others stay), or by a Python function of a row as dict into rows of ``schema`` (the input's, if none is given)."""
+def map_table(df: DataFrame, function: dict[str, Column | str] | Batches | Callable[[dict], dict], schema: T.StructType | str | None = None) -> DataFrame:
+    """Rows turned into others: by columns (name -> expression, all others stay), by a function of many rows, or by one of a row as dict; these give rows of ``schema`` (the input's, if none is given)."""
     if isinstance(function, dict):
         return df.withColumns({k: F.expr(e) if isinstance(e, str) else e for k, e in function.items()})
     to = schema or df.schema
@@ -125,7 +183,10 @@ def map_table(df: DataFrame, function: dict[str, Column | str] | Callable[[dict]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([function(r) for r in batch.to_pylist()], schema=wanted)
+            if isinstance(function, Batches):
+                yield from function.table(batch, wanted).to_batches()
+            else:
+                yield pa.RecordBatch.from_pylist([function(r) for r in batch.to_pylist()], schema=wanted)
 
     return df.mapInArrow(run, to)
 
@@ -140,15 +201,28 @@ def _numbers(df: DataFrame, columns: list[str]) -> list[Column]:
     return out
 
 
-def vectorize(df: DataFrame, columns: list[str], vector_type: str = "dense", keep: list[str] = ()) -> DataFrame:
-    """One vector per row of the columns' values in the given order; rows that lack one are left out.
+def _by_function(df: DataFrame, function: Batches, keep: list[str]) -> DataFrame:
+    kept = df.select(*keep).schema.fields
+    kind, at = pa.list_(pa.float64()), [df.columns.index(f.name) for f in kept]
+    names = [*(f.name for f in kept), "point"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), function.column(batch, kind)], names)
+
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField("point", T.ArrayType(T.DoubleType()))]))
+
+
+def vectorize(df: DataFrame, columns: list[str] | Batches, vector_type: str = "dense", keep: list[str] = ()) -> DataFrame:
+    """One vector per row of the columns' values in the given order, or of what a function of many rows gives; rows that lack one are left out.
 
     "dense": ``point`` array<double>. The sparse types: ``size`` and ``entries``,
     a map from position to value without zeros. ``keep``: columns to carry along.
     """
     if vector_type not in ("dense", "sparse", "sequential-sparse", "random-access-sparse"):
         raise ValueError(f"unknown type of vector {vector_type!r}")
-    point = df.select(*keep, F.array(*_numbers(df, columns)).alias("point")).where(F.forall("point", lambda x: x.isNotNull()))
+    made = _by_function(df, columns, keep) if isinstance(columns, Batches) else df.select(*keep, F.array(*_numbers(df, columns)).alias("point"))
+    point = made.where(F.forall("point", lambda x: x.isNotNull()))
     if vector_type == "dense":
         return point
     entries = F.filter(F.transform("point", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0)

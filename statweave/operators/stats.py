@@ -43,6 +43,17 @@ def frequency_distribution(df: DataFrame, column: str) -> DataFrame:
     return df.select(x.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").cast("double").alias("count")).orderBy("value")
 
 
+def frequency_distributions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, value, count) of each value of the numeric columns, in the order of columns and values: one scan and one count for all of them."""
+    names = columns if columns is not None else numeric_columns(df.schema)
+    pairs = [F.when(x.isNotNull(), F.struct(F.lit(i).alias("place"), x.alias("value"))) for i, x in enumerate(_column(df, c) for c in names) if x is not None]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column string, value double, count double")
+    counts = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("at")).groupBy("at.place", "at.value").agg(F.count("*").cast("double").alias("count"))
+    name = F.get(F.array(*[F.lit(c) for c in names]), F.col("place"))
+    return counts.orderBy("place", "value").select(name.alias("column"), "value", "count")
+
+
 def table_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """A row per numeric column: column, average, min, max, variance (of the population), standard_deviation."""
     names = columns if columns is not None else numeric_columns(df.schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parsing import bucket, number, parse_date_time
-from ..sources.schema import DATE_TIME, NUMERIC, field_of, kind_of
+from ..sources.schema import DATE_TIME, DOUBLE, LONG, NUMERIC, field_of, kind_of
 
 FUNCTIONS = ("average", "max", "min", "sum")
 
@@ -32,7 +32,8 @@ def aggregate(df: DataFrame, column: str, period: str, function: str, preserve_t
     of the earliest row that has one (the least of equally early ones), the date
     column the period's first instant.
     ``preserve_types``: results have the column's type, so integer averages are
-    cut towards zero.
+    cut towards zero; sums of whole numbers are long and others double, as they may
+    leave the column's type. A sum beyond a long is an error.
     """
     if function not in FUNCTIONS:
         raise ValueError(f"unknown function {function!r}; one of {', '.join(FUNCTIONS)}")
@@ -51,8 +52,15 @@ def aggregate(df: DataFrame, column: str, period: str, function: str, preserve_t
             value = F.expr(f"sum(`{f.name}`) div nullif(count(`{f.name}`), 0)") if whole else F.avg(c)
         else:
             value = {"max": F.max, "min": F.min, "sum": F.sum}[function](c)
-        keeps = preserve_types and kind_of(f) in NUMERIC
-        made.append((value.try_cast(f.dataType) if keeps else value).alias(f.name, metadata=f.metadata))
+        meta = f.metadata
+        if kind_of(f) in NUMERIC:
+            if function == "sum":  # Spark's sum has the wide type already
+                whole = isinstance(f.dataType, T.IntegralType)
+                meta = {**meta, "kind": LONG if whole else DOUBLE} if "kind" in meta else meta
+                value = value if whole or isinstance(f.dataType, T.DecimalType) else value.cast("double")
+            elif preserve_types:
+                value = value.cast(f.dataType)
+        made.append(value.alias(f.name, metadata=meta))
     out = df.withColumn("_at", at).where("_at is not null").groupBy("_at").agg(*made) if made else df.select(at.alias("_at")).where("_at is not null").distinct()
     return out.select(*[F.col("_at").alias(date, metadata={"kind": DATE_TIME}) if f.name == date else F.col(f.name) for f in df.schema.fields])
 

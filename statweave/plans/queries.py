@@ -189,6 +189,13 @@ def ts_agg_week_from_sunday(spark, sf):
     return rounded(plain_time(timeseries.aggregate(table(spark, sf, "events").select("ts", "value"), "ts", "week", "sum", week_start="sunday"), "ts"))
 
 
+@query("SELECT date_trunc('year', l_shipdate)::TIMESTAMP AS l_shipdate, sum(l_linenumber::BIGINT * 300000000)::BIGINT AS big FROM lineitem GROUP BY 1")
+def ts_agg_wide_sums(spark, sf):
+    """Sums of ints beyond an int."""
+    lines = table(spark, sf, "lineitem").select("l_shipdate", (F.col("l_linenumber") * 300_000_000).cast("int").alias("big"))
+    return plain_time(timeseries.aggregate(lines, "l_shipdate", "year", "sum"), "l_shipdate")
+
+
 _STATIONARITY = "SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS date, avg(o_totalprice) AS average, var_pop(o_totalprice) AS variance, min(o_totalprice) AS minimum, max(o_totalprice) AS maximum FROM orders GROUP BY 1"
 
 
@@ -443,9 +450,19 @@ def axis_histogram(spark, sf):
     return rounded(brush.axis_histogram(table(spark, sf, "orders"), "o_totalprice"))
 
 
-@query(f"SELECT 'value' AS \"column\", * FROM ({_HISTOGRAM.format(c='value', t='events')})")
+_LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", * FROM ({_HISTOGRAM.format(c=c, t='lineitem')})" for c in _LINE_COLUMNS[:2]))
 def frequencies_histogram(spark, sf):
-    return rounded(plots.frequencies_histogram(table(spark, sf, "events"), ["value"]))
+    """Several columns in two scans."""
+    return rounded(plots.frequencies_histogram(table(spark, sf, "lineitem"), _LINE_COLUMNS[:2]))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::DOUBLE AS value, count(*)::DOUBLE AS count FROM lineitem GROUP BY 2" for c in ("l_quantity", "l_discount", "l_linenumber")))
+def frequency_distributions(spark, sf):
+    """Several columns in one scan."""
+    return stats.frequency_distributions(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_linenumber"])
 
 
 @query("SELECT l_quantity::DOUBLE AS l_quantity, l_extendedprice, l_discount FROM lineitem")
@@ -496,6 +513,30 @@ _brush_op("subtract", "greatest(0.0, a.weight - b.weight)")
 _brush_op("intersect", "least(a.weight, b.weight)")
 
 
+_STEPS = [("add", 30, 80, 10), ("subtract", 60, 70, 5), ("add", 5, 9, 2), ("intersect", 0, 75, 20), ("subtract", 21, 22, 1), ("add", 100, 200, 30), ("subtract", 150, 160, 8), ("intersect", 0, 170, 3), ("add", 66, 67, 1)]
+
+
+def _steps_sql() -> str:
+    """Weights of ten brushes side by side, and the operations one after another."""
+    def weight(lo: float, hi: float, r: float) -> str:
+        return f"""(CASE WHEN value BETWEEN {lo} AND {hi} THEN 1.0::DOUBLE WHEN value < {lo} AND value > {lo} - {r} THEN 1 - ({lo} - value) / {r}::DOUBLE
+  WHEN value > {hi} AND value < {hi} + {r} THEN 1 - (value - {hi}) / {r}::DOUBLE ELSE 0 END)"""
+
+    out = weight(20, 40, 4)
+    for how, lo, hi, r in _STEPS:
+        w = weight(lo, hi, r)
+        out = {"add": f"least(1.0, {out} + {w})", "subtract": f"greatest(0.0, {out} - {w})", "intersect": f"least({out}, {w})"}[how]
+    return f"SELECT row_id, round(w, 6) AS weight FROM (SELECT event_id AS row_id, {out} AS w FROM events) WHERE w > 0"
+
+
+@query(_steps_sql())
+def brush_many(spark, sf):
+    """Ten brushes, one operation after another, in one shuffle."""
+    e = _events(spark, sf)
+    steps = [(how, brush.soft_brush(e, "value", lo, hi, r)) for how, lo, hi, r in _STEPS]
+    return rounded(brush.combine_all(brush.soft_brush(e, "value", 20, 40, 4.0), steps), 6)
+
+
 @query(f"SELECT floor(round(sum(weight), 6))::BIGINT AS count FROM {_A} a JOIN events ON event_id = row_id WHERE value >= 10 AND value < 35")
 def brushed_count(spark, sf):
     e = _events(spark, sf)

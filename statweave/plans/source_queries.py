@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,21 +110,37 @@ def _accessors(spark: SparkSession, data: tables.Dataset) -> DataFrame:
     return spark.createDataFrame(rows_, "position int, name string, kind string")
 
 
-@query(_KINDS)
+_HELD = f"""SELECT k.*, CASE name {" ".join(f"WHEN '{n}' THEN (SELECT count(DISTINCT {n}) FROM customer)" for n in CUSTOMER[::2])} END AS different FROM ({_KINDS}) k"""
+
+
+def _different(df: DataFrame) -> DataFrame:
+    """(name, different): how many values each column holds."""
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns])
+    return counts.unpivot([], df.columns, "name", "different")
+
+
+@query(_HELD)
 def open_dataset(spark, sf):
-    """Schema, order and kinds of columns outlive the write."""
+    """Schema, order, kinds and values of columns outlive the write."""
     path = tables.import_dataset(spark, _written(_lines(table(spark, sf, "customer"))), Scratch(spark).path, def_schema(*CUSTOMER)).path
-    return _accessors(spark, tables.open_dataset(spark, path))
+    data = tables.open_dataset(spark, path)
+    return _accessors(spark, data).join(F.broadcast(_different(data.df)), "name")  # a row per column
 
 
-@query(_KINDS)
+@query(_HELD)
 def declared_schema(spark, sf):
-    return spark.createDataFrame([(i, *h) for i, h in enumerate(schema.header(def_schema(*CUSTOMER)))], "position int, name string, kind string")
+    """What a declared schema says of the columns, and how many values they have under it."""
+    wrapped = tables.wrap_dataset(spark, _written(_lines(table(spark, sf, "customer"))), def_schema(*CUSTOMER))
+    said = spark.createDataFrame([(i, *h) for i, h in enumerate(schema.header(wrapped.schema))], "position int, name string, kind string")
+    return said.join(F.broadcast(_different(wrapped.df)), "name")  # a row per column
 
 
-@query("SELECT * FROM (VALUES ('c_custkey'), ('c_nationkey'), ('c_acctbal')) t(name)")
+@query("SELECT 'c_custkey' AS name, sum(c_custkey)::DOUBLE AS total FROM customer UNION ALL SELECT 'c_nationkey', sum(c_nationkey) FROM customer UNION ALL SELECT 'c_acctbal', round(sum(c_acctbal), 2) FROM customer")
 def numeric_columns(spark, sf):
-    return spark.createDataFrame([(n,) for n in tables.Dataset(table(spark, sf, "customer")).numeric_columns()], "name string")
+    """The columns of numbers, and their sums."""
+    data = tables.Dataset(table(spark, sf, "customer"))
+    names = data.numeric_columns()
+    return rounded(data.df.agg(*[F.sum(c).cast("double").alias(c) for c in names]).unpivot([], names, "name", "total"), 2)
 
 
 @query("SELECT c_acctbal FROM customer")
@@ -154,6 +172,13 @@ def stf_file(spark, sf):
     return tables.read_stf(spark, _written(rows_, head=["# a comment", "", "3", "nation_key Integer", "# another", "nation_name String", "words Real"])).df
 
 
+@query("SELECT n_nationkey::DOUBLE AS n_nationkey FROM nation")
+def stf_rows_like_the_head(spark, sf):
+    """The head is what stands first; rows with the same text stay."""
+    lines = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("value"))
+    return tables.read_stf(spark, _written(lines, head=["1", "n_nationkey Integer"])).df
+
+
 @query("SELECT n_nationkey, n_name FROM nation")
 def sequence_file(spark, sf):
     path = Scratch(spark).path
@@ -161,21 +186,23 @@ def sequence_file(spark, sf):
     return tables.read_pairs(spark, path, "n_nationkey int, n_name string")
 
 
-@query("SELECT * FROM (VALUES (0, 10)) t(cluster, of)")
+@query("SELECT label::INTEGER AS cluster, count(*) AS n FROM embeddings WHERE vec_id % 11 <> 10 GROUP BY 1")
 def last_clusters(spark, sf):
     """The last iteration of a stored clustering, by number and not by name."""
-    path = Scratch(spark).path
+    path, points = Scratch(spark).path, table(spark, sf, "embeddings")
     for n in (0, 9, 10):
-        spark.createDataFrame([(0, n)], "cluster int, of int").write.parquet(f"{path}/clusters-{n}{'-final' * (n == 10)}")
+        clusters = points.where(F.col("vec_id") % 11 != n).groupBy(F.col("label").cast("int").alias("cluster")).agg(F.count("*").alias("n"))
+        clusters.write.parquet(f"{path}/clusters-{n}{'-final' * (n == 10)}")
     return tables.open_last_clusters(spark, path)
 
 
-@query("SELECT TRUE AS there, 3::BIGINT AS parts, 2::BIGINT AS shown, FALSE AS afterwards")
+@query("SELECT TRUE AS there, 3::BIGINT AS parts, (SELECT count(*) FROM nation) AS shown, FALSE AS afterwards")
 def file_listing(spark, sf):
-    """What stands in a folder and not below it, the first lines, and deletion."""
-    path = _written(_lines(table(spark, sf, "nation")), parts=3)
+    """What stands in a folder and not below it, its lines, and deletion."""
+    nation = table(spark, sf, "nation")
+    path = _written(_lines(nation), parts=3)
     files.mkdir(spark, files.join(path, "below"))
-    there, parts, shown = files.exists(spark, path), sum("part-" in p for p in files.ls(spark, path, files_only=True)), len(files.show(spark, path, 2))
+    there, parts, shown = files.exists(spark, path), sum("part-" in p for p in files.ls(spark, path, files_only=True)), len(files.show(spark, path, 2 * nation.count()))
     files.delete(spark, path)
     return spark.createDataFrame([(there, parts, shown, files.exists(spark, path))], "there boolean, parts long, shown long, afterwards boolean")
 
@@ -280,10 +307,43 @@ def vectorize_drops_nulls(spark, sf):
     return rows.vectorize(events, ["value", "ts"], keep=["event_id"]).select("event_id")
 
 
-@query("SELECT count(*) AS n FROM part WHERE 1 = 0")
+@query("SELECT count(*) AS numbers, count(*) FILTER (1 = 0) AS text, max(p_size)::DOUBLE AS most FROM part")
 def vectorize_text(spark, sf):
     """Text is no number, so no row has a vector."""
-    return rows.vectorize(table(spark, sf, "part"), ["p_size", "p_name"]).agg(F.count("*").alias("n"))
+    part = table(spark, sf, "part")
+    text = rows.vectorize(part, ["p_size", "p_name"]).agg(F.count("*").alias("text"))
+    numbers = rows.vectorize(part, ["p_size", "p_retailprice"]).agg(F.count("*").alias("numbers"), F.max(F.get("point", F.lit(0))).alias("most"))
+    return numbers.join(F.broadcast(text)).select("numbers", "text", "most")  # one row each
+
+
+@query("SELECT event_id, ts, value FROM events WHERE value > 50 AND event_type = 'click'")
+def filter_arrow_function(spark, sf):
+    """A condition on many rows at a time."""
+    wanted = rows.arrow_function(lambda b: pc.and_(pc.greater(b["value"], 50.0), pc.equal(b["event_type"], "click")))
+    return rows.filter_table(table(spark, sf, "events").select("event_id", "ts", "value", "event_type"), wanted).drop("event_type")
+
+
+@query("SELECT o_orderkey, upper(o_orderpriority) AS priority, o_totalprice * 2 AS doubled FROM orders")
+def map_pandas_function(spark, sf):
+    """New rows from many at a time."""
+
+    def double(rows_):
+        return rows_.assign(priority=rows_["o_orderpriority"].str.upper(), doubled=rows_["o_totalprice"] * 2)
+
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return rows.map_table(orders, rows.pandas_function(double), "o_orderkey long, priority string, doubled double")
+
+
+@query("SELECT s_suppkey, s_acctbal / 100 AS x0, sqrt(s_nationkey) AS x1 FROM supplier WHERE s_nationkey <> 3")
+def vectorize_function(spark, sf):
+    """Vectors of a user's own making; a row without one is left out."""
+
+    def made(rows_):
+        both = np.stack([rows_["s_acctbal"] / 100, np.sqrt(rows_["s_nationkey"])], 1)
+        return [None if k == 3 else v for k, v in zip(rows_["s_nationkey"], both, strict=True)]
+
+    point = rows.vectorize(table(spark, sf, "supplier"), rows.pandas_function(made), keep=["s_suppkey"])
+    return point.select("s_suppkey", *[F.get("point", F.lit(i)).alias(f"x{i}") for i in range(2)])
 
 
 @query("SELECT CASE WHEN s_nationkey > 3 THEN 'Infinity' WHEN s_nationkey < 3 THEN '-Infinity' ELSE 'NaN' END AS x, count(*) AS n FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1")
@@ -326,10 +386,10 @@ def sample_bernoulli_members(spark, sf):
     return m.select(near.alias("about_right"), (F.col("n") - F.col("known")).alias("unknown"), (F.col("n") - F.col("different")).alias("again"))
 
 
-@query("SELECT 10::BIGINT AS n, 10::BIGINT AS known, 10::BIGINT AS different")
+@query("SELECT * FROM events ORDER BY substr(md5('3:' || event_id), 1, 13) LIMIT 10")
 def draw_rows(spark, sf):
     """Exactly k rows."""
-    return _members(spark, sf, rows.draw(table(spark, sf, "events"), 10, 3))
+    return rows.draw(table(spark, sf, "events"), 10, 3, ["event_id"])
 
 
 # Jobs
@@ -370,16 +430,32 @@ def job_visualize_series(spark, sf):
 _NAMES = ["table-count-lines", "sample-file", "probabilistic-sample-table", "vectorize-table", "filter-table", "map-table", "normalization", "centrality-stats", "dispersion-stats", "frequency-distribution", "table-stats", "time-series-sort", "time-series-aggregate", "time-series-stationarity", "time-series-stationality", "canopy", "kmeans", "dirichlet", "proclus", "davies-bouldin-index"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', TRUE)" for n in _NAMES) + ") t(name, has_info)")
+#: Jobs by name, with the options to run them on suppliers, and the number of rows of their result in SQL.
+_RUNS = {
+    "table-count-lines": ({}, "1"),
+    "filter-table": ({"filter_function": "s_nationkey > 9"}, "(SELECT count(*) FROM supplier WHERE s_nationkey > 9)"),
+    "frequency-distribution": ({"column": "s_nationkey"}, "(SELECT count(DISTINCT s_nationkey) FROM supplier)"),
+    "vectorize-table": ({"column_names": ["s_suppkey", "s_acctbal"]}, "(SELECT count(*) FROM supplier)"),
+    "centrality-stats": ({"column": "s_acctbal"}, "1"),
+}
+
+
+@query("SELECT name, has_info, n FROM (VALUES " + ", ".join(f"('{n}', TRUE, {_RUNS[n][1] if n in _RUNS else 'NULL'}::BIGINT)" for n in _NAMES) + ") t(name, has_info, n)")
 def job_registry(spark, sf):
-    return spark.createDataFrame([(n, len(jobs.job_info(n)) > len(n)) for n in jobs.names()], "name string, has_info boolean")
+    """All jobs by name; some are run, with the number of rows that they give."""
+    supplier, made = table(spark, sf, "supplier"), []
+    for name in jobs.names():
+        n = jobs.run_job(spark, name, table=supplier, **_RUNS[name][0]).output().count() if name in _RUNS else None
+        made.append((name, len(jobs.job_info(name)) > len(name), n))
+    return spark.createDataFrame(made, "name string, has_info boolean, n long")
 
 
-@query("SELECT * FROM (VALUES ('column', 'c_acctbal'), ('average', '0.0')) t(option, value)")
+@query("SELECT 'c_acctbal' AS \"column\", '100.0' AS average, round(avg((c_acctbal - 100) ** 2), 2) AS var FROM customer")
 def job_options(spark, sf):
-    """A job knows what it was configured with."""
-    job = jobs.make_job(spark, "dispersion-stats", table=table(spark, sf, "customer"), column="c_acctbal", average=0.0)
-    return spark.createDataFrame([(k, str(v)) for k, v in job.options.items() if k != "table"], "option string, value string")
+    """A job knows what it was configured with, before it runs and after."""
+    job = jobs.make_job(spark, "dispersion-stats", table=table(spark, sf, "customer"), column="c_acctbal", average=100.0)
+    told = {k: str(v) for k, v in job.options.items()}
+    return job.run().output().select(F.lit(told["column"]).alias("column"), F.lit(told["average"]).alias("average"), F.round("var", 2).alias("var"))
 
 
 @query("""SELECT vec_id, round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 6) AS named,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -39,3 +41,19 @@ def delete(spark: SparkSession, path: str) -> bool:
 def show(spark: SparkSession, path: str, lines: int = 20) -> list[str]:
     """The first lines of text files."""
     return [r[0] for r in spark.read.text(path).take(lines)]
+
+
+def use_config(spark: SparkSession, *paths: str) -> None:
+    """Add the settings of Hadoop configuration files (XML, on the driver's machine) to those of the session; later ones win. A missing file is an error."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        if not Path(path).is_file():
+            raise FileNotFoundError(path)
+        conf.addResource(spark._jvm.org.apache.hadoop.fs.Path(Path(path).absolute().as_uri()))
+    conf.size()  # the files are read now, so that a broken one is an error here
+
+
+def bootstrap(spark: SparkSession, *paths: str) -> str:
+    """Take over configuration files, if any, and give the address of the file system that paths without one then mean."""
+    use_config(spark, *paths)
+    return spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration()).getUri().toString()

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,21 +153,28 @@ def read_stf(spark: SparkSession, path: str) -> Dataset:
     """Simple table format: comments (#), the number of columns, a line "name type" each, then rows cut at white space.
 
     Types: Integer, Real, String. Text that is no number counts as 0 in numeric
-    columns. Strings stay columns.
+    columns. Strings stay columns. The head is what stands first in each file,
+    whatever rows look like; all files of a folder have the same one.
     """
-    head = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')").take(1)
-    if not head or not re.fullmatch(r"\s*\d+\s*", head[0][0]):
+    plain = "trim(value) <> '' AND NOT startswith(trim(value), '#')"
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).where(plain)
+    # Heads stand in the first split of a file: its least numbers.
+    first = read.where("b = 0").groupBy("f").agg(F.min("i").alias("start")).orderBy("f").first()
+    line = read.where((F.col("b") == 0) & (F.col("f") == first["f"])).orderBy("i").select("value") if first else None
+    head = line.first()[0] if first else ""
+    if not re.fullmatch(r"\s*\d+\s*", head):
         raise ValueError(f"{path} does not begin with the number of columns")
-    n = int(head[0][0])
-    top = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')").take(n + 1)[1:]
-    names = [line[0].split()[0] for line in top]
-    kinds = [line[0].split()[1].lower() if len(line[0].split()) > 1 else "real" for line in top]
-    heads = {line[0] for line in top} | {head[0][0]}
-    cells = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')").where(~F.col("value").isin(*heads)).select(cells.alias("cells"))
+    n = int(head)
+    top = [r[0].split() for r in line.take(n + 1)[1:]]
+    if len(top) < n or any(not t for t in top):
+        raise ValueError(f"{path} names fewer than {n} columns")
+    names, kinds = [t[0] for t in top], [t[1].lower() if len(t) > 1 else "real" for t in top]
+    place = F.row_number().over(Window.partitionBy("f").orderBy("i"))  # of one split of each file
+    rows = read.where("b = 0").withColumn("place", place).where(F.col("place") > n + 1).select("value").union(read.where("b > 0").select("value"))
+    cells = rows.select(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+").alias("cells"))
     number = lambda i: F.coalesce(F.get("cells", F.lit(i)).try_cast("double"), F.lit(0.0))
     made = [(F.get("cells", F.lit(i)) if k == "string" else number(i)).alias(name) for i, (name, k) in enumerate(zip(names, kinds, strict=True))]
-    return Dataset(rows.select(*made))
+    return Dataset(cells.select(*made))
 
 
 def write_brush(brush: DataFrame, path: str, name: str = "brush", weight: str = "weight", row_id: str = "row_id") -> None:
@@ -199,7 +206,7 @@ def write_pairs(df: DataFrame, path: str) -> None:
     """The first two columns as keys and values of a Hadoop sequence file."""
     key, value = df.columns[:2]
     files.delete(df.sparkSession, path)
-    df.select(key, value).rdd.map(tuple).saveAsSequenceFile(path)
+    df.select(key, value).rdd.map(tuple).saveAsSequenceFile(path)  # rows themselves have no Java form
 
 
 def read_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:

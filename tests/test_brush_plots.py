@@ -1,4 +1,6 @@
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,27 @@ def test_ranges_and_brushes(spark, df, tmp_path):
     assert name == "mine" and sorted(map(tuple, again.collect())) == sorted(map(tuple, soft.collect()))
 
 
+def test_many_brushes_as_pairs_of_them(spark, df):
+    rng = random.Random(3)
+    for _ in range(4):
+        made = [brush.soft_brush(df, "x", a := rng.uniform(0, 8), a + rng.uniform(0, 4), rng.uniform(0, 3)) for _ in range(6)]
+        steps = [(rng.choice(["add", "subtract", "intersect"]), b) for b in made[1:]]
+        one = made[0]
+        for how, b in steps:
+            one = brush.combine(one, b, how)
+        assert pairs(brush.combine_all(made[0], steps)) == pairs(one)
+    assert pairs(brush.combine_all(made[0], [])) == pairs(made[0])
+    with pytest.raises(ValueError):
+        brush.combine_all(made[0], [("xor", made[1])])
+
+
+def test_histograms_of_columns(spark, df):
+    odd = df.withColumns({"none": F.lit(None).cast("double"), "same": F.lit(2.5), "holes": F.when(F.col("x") > 4, F.col("x"))})
+    got = plots.frequencies_histogram(odd, ["x", "none", "same", "holes"], bins=4).orderBy("column", "bin").collect()
+    assert [(r.column, r.bin, r["count"]) for r in got] == [("holes", 0, 2), ("holes", 1, 1), ("holes", 2, 1), ("holes", 3, 2), ("same", 0, 11), ("same", 1, 0), ("same", 2, 0), ("same", 3, 0), ("x", 0, 3), ("x", 1, 2), ("x", 2, 3), ("x", 3, 3)]
+    assert plots.frequencies_histogram(odd, ["none"]).count() == 0 and plots.frequencies_histogram(df.select("row_id").limit(0), ["row_id"]).count() == 0
+
+
 def test_histogram_and_records(spark, df):
     h = brush.axis_histogram(df, "x").orderBy("bin").collect()
     assert [r["count"] for r in h] == [1] * 9 + [2] and h[0]["low"] == 0.0 and h[-1]["high"] == 10.0

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from statweave.operators import brush, rows, stats, timeseries
+from statweave.operators import brush, plots, rows, stats, timeseries
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,24 @@ def test_row_operators_do_not_shuffle(table):
 def test_aggregates_are_partial_before_the_shuffle(table):
     for df in (timeseries.aggregate(table.select("at", "x"), "at", "day", "sum"), timeseries.stationarity(table, "x", "at", "week")):
         assert count(df, "Exchange") == 1 and plan(df).count("HashAggregate") == 2 and scanned(df) == {"at", "x"}
+
+
+def test_histograms_and_frequencies_of_all_columns_are_one_scan(spark, table, monkeypatch):
+    many = table.withColumns({"y": F.col("x") * 2, "z": -F.col("x")})
+    names = ["id", "x", "y", "z"]
+    assert count(stats.frequency_distributions(many, names), "FileScan") == 1
+    plan_of = plan(plots.frequencies_histogram(many, names))
+    assert len(re.findall("FileScan", plan_of)) == 1 and "partial_count" in plan_of  # and one more for the bounds
+    assert plots.frequencies_histogram(table, ["id"]).agg(F.sum("count")).first()[0] == 200
+
+
+def test_ten_brushes_are_one_shuffle(spark, table):
+    brushes = [brush.soft_brush(table, "x", k, k + 1, row_id="id") for k in range(10)]
+    together = brush.combine_all(brushes[0], [(("add", "subtract", "intersect")[k % 3], b) for k, b in enumerate(brushes[1:])], "id")
+    assert count(together, "Exchange") == 1 and count(together, "SortMergeJoin") == 0
+
+
+def test_functions_of_many_rows_are_one_arrow_node(table):
+    f = rows.arrow_function(lambda b: [True] * b.num_rows)
+    for df in (rows.filter_table(table, f), rows.map_table(table, rows.arrow_function(lambda b: b)), rows.vectorize(table, rows.pandas_function(lambda p: [[1.0]] * len(p)), keep=["id"])):
+        assert count(df, "MapInArrow") == 1 and count(df, "Exchange") == 0 and "BatchEvalPython" not in plan(df)

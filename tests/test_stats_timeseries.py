@@ -121,3 +121,11 @@ def test_stream_agrees_with_batch(spark, tmp_path):
         closed = {r["bucket"]: r["value"] for r in spark.read.parquet(str(tmp_path / period)).collect()}
         batch = {r["ts"]: r["value"] for r in timeseries.aggregate(df, "ts", period, "sum").collect()}
         assert closed and all(batch[k] == v for k, v in closed.items())
+
+
+def test_sums_may_leave_the_type_of_their_column(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1), 2_000_000_000, 3.0e38), (dt.datetime(2024, 1, 1), 2_000_000_000, 3.0e38)], "t timestamp, n int, x float")
+    out = timeseries.aggregate(df, "t", "day", "sum")
+    assert (out.first().n, out.dtypes[1][1], out.dtypes[2][1]) == (4_000_000_000, "bigint", "double") and out.first().x > 5.9e38
+    kept = timeseries.aggregate(df, "t", "day", "average")
+    assert kept.first().n == 2_000_000_000 and kept.dtypes[1][1] == "int"

@@ -1,3 +1,6 @@
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +145,42 @@ def test_views_and_draws(spark):
     T.Dataset(spark.range(5)).view("five")
     assert spark.sql("SELECT sum(id) FROM five").first()[0] == 10
     assert rows.draw(spark.range(100), 7).count() == 7 and rows.draw(spark.range(3), 7).count() == 3
+
+
+def test_rows_like_the_head_of_an_stf_file_stay(spark, write):
+    text = "# c\n1\nn Integer\n1\n2\n1\n\n# more\nn Integer\n3\n"
+    assert [r.n for r in T.read_stf(spark, write(text, "a.stf")).df.collect()] == [1, 2, 1, 0, 3]
+    two = T.read_stf(spark, write("2\nn Integer\ns String\n\t1 \tx\t\n2\n", "b.stf")).df.collect()
+    assert [tuple(r) for r in two] == [(1, "x"), (2, None)]
+    with pytest.raises(ValueError):
+        T.read_stf(spark, write("2\nn Integer\n", "c.stf"))
+    with pytest.raises(ValueError):
+        T.read_stf(spark, write("", "d.stf"))
+
+
+def test_functions_of_many_rows(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, None, None), (3, "c", 4.0)], "n int, s string, x double")
+    assert [r.n for r in rows.filter_table(df, rows.arrow_function(lambda b: pc.greater(b["x"], 1.0))).collect()] == [1, 3]
+    assert [r.n for r in rows.filter_table(df, rows.pandas_function(lambda p: p["s"].isna())).collect()] == [2]
+    made = rows.map_table(df, rows.pandas_function(lambda p: p.assign(y=p["x"] + 1)[["y", "n", "s"]]), "n long, y double")
+    assert sorted(map(tuple, made.collect())) == [(1, 3.0), (2, None), (3, 5.0)]
+    same = rows.map_table(df, rows.arrow_function(lambda b: pa.Table.from_batches([b])))
+    assert sorted(map(tuple, same.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    point = rows.vectorize(df, rows.arrow_function(lambda b: [None if x is None else [x, 1.0] for x in b["x"].to_pylist()]), keep=["n"])
+    assert sorted(map(tuple, point.collect())) == [(1, [2.0, 1.0]), (3, [4.0, 1.0])]
+    thin = rows.vectorize(df, rows.pandas_function(lambda p: np.stack([p["n"] - 1, p["n"]], 1)), "sparse")
+    assert sorted(r.entries.get(0, 0.0) for r in thin.collect()) == [0.0, 1.0, 2.0]
+    assert rows.filter_table(df.where("false"), rows.arrow_function(lambda b: [True] * b.num_rows)).count() == 0
+    with pytest.raises(Exception, match="values for"):
+        rows.filter_table(df, rows.arrow_function(lambda b: [True] * (b.num_rows + 1))).collect()
+    with pytest.raises(ValueError):
+        rows.Batches(len, "rows")
+
+
+def test_configuration_files(spark, write):
+    text = "<configuration><property><name>statweave.probe</name><value>{}</value></property></configuration>"
+    files.use_config(spark, write(text.format("one"), "a.xml"), write(text.format("two"), "b.xml"))
+    assert spark._jsc.hadoopConfiguration().get("statweave.probe") == "two"
+    assert files.bootstrap(spark).startswith("file:")
+    with pytest.raises(FileNotFoundError):
+        files.use_config(spark, "/no/such.xml")
