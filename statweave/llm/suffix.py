@@ -7,7 +7,10 @@ that far, by most-significant-digit passes, and groups with one member drop out
 after each pass.
 
 1. Dealing: each window has an *anchor*, the piece of ``GRAM`` bytes with the
-   least hash in it (the first of equals).  Equal windows have equal anchors at
+   least hash in it (the first of equals), pieces in common use last.  Which are in common
+   use is told by a count of all pieces in ``BUCKETS`` classes of their hashes; a
+   line that many texts share thus becomes the anchor of nothing but windows
+   full of such pieces, and not of all the different texts around it.  Equal windows have equal anchors at
    equal places, so windows with different anchors never meet.  Neighbouring
    windows mostly share their anchor, and a text gives one row per stretch of
    windows, about one in 185 bytes, with a 128-bit name of all that they cover.
@@ -57,6 +60,9 @@ GRAM = 32
 GRAM_WORDS = 8
 NOT_SPACE = byte_table(np.r_[0:9, 14:32, 33:256])
 INNER = byte_table(np.r_[48:58, 65:91, 97:123, 128:256])
+#: Classes of pieces by their hash, and how many times the average a class has to hold to be in common use.
+BUCKETS = 1 << 20
+COMMON = 4
 #: Contents of an anchor that one task puts in order, at most (about 600 bytes each).
 GROUP = 1_000
 #: Neighbouring windows of larger anchors that are grouped together, pass by pass.
@@ -114,10 +120,14 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - now)], values[width - now :]) if now < width else values
 
 
-def stretches(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Stretches of windows with one anchor, of texts [starts, ends) whose pieces of ``gram`` letters have hashes ``h``: text, first and last window, place of the anchor, hash of the anchor."""
+def stretches(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, gram: int, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of windows with one anchor, of texts [starts, ends) whose pieces of ``gram`` letters have hashes ``h``: text, first and last window, place of the anchor, hash of the anchor.
+
+    ``common``: flags of BUCKETS classes of pieces, which come after all others.
+    """
     place = np.uint64((1 << 24) - 1)
-    least = least_in_windows((h & ~place) | np.arange(len(h), dtype=np.uint64), size - gram + 1) & place
+    order = h >> np.uint64(1) | common[h & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(63)
+    least = least_in_windows((order & ~place) | np.arange(len(h), dtype=np.uint64), size - gram + 1) & place
     long = np.flatnonzero(ends - starts >= size)
     counts = (ends - starts)[long] - size + 1
     text = np.repeat(long, counts)
@@ -131,8 +141,42 @@ def stretches(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, gr
 ANCHORS = "anchor long, c1 long, c2 long, th long, tl long, start int, end int, at int"
 
 
-def _anchors(texts: DataFrame, size: int, words: int | None) -> DataFrame:
+def common_pieces(texts: DataFrame, words: int | None, group: int) -> np.ndarray:
+    """Flags of the classes in common use (rows: pieces of bytes, pieces of words), from a count of all pieces; they decide cost, never results.
+
+    A task passes on the classes that stand out among its own, and its number of pieces.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            for i, j in blocks(offsets, STRETCH):
+                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                if len(part) >= GRAM:
+                    np.add.at(total[0], (gram_hashes(part) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                if words is not None:
+                    starts, ends, _ = word_places(part, own)
+                    if len(starts) >= GRAM_WORDS:
+                        np.add.at(total[1], (word_gram_hashes(span_hashes(part, starts, ends)) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        many = total.sum(1)
+        met = np.flatnonzero(total > (2 * many / BUCKETS + 8)[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, [-1, -2])), pa.array(np.append(total.ravel()[met], many))], ["class", "n"])
+
+    held = Stored(map_arrow(texts.select("text"), run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")))
+    sums = held.df
+    mean = {r["class"]: r["n"] / BUCKETS for r in sums.where("class < 0").collect()}  # two rows
+    least = [max(group, COMMON * mean.get(-1 - kind, 0)) for kind in (0, 1)]
+    often = sums.where((F.col("class") >= 0) & (F.col("n") > F.when(F.col("class") < BUCKETS, least[0]).otherwise(least[1]))).select("class").toArrow()
+    out = np.zeros(2 * BUCKETS, bool)  # of which a quarter can be in common use at most
+    out[often["class"].to_numpy()] = True
+    held.drop()
+    return out.reshape(2, BUCKETS)
+
+
+def _anchors(texts: DataFrame, size: int, words: int | None, common: np.ndarray) -> DataFrame:
     """A row per stretch: anchor (its lowest bit tells word windows from others), the content's name, the text's key, the bytes that the windows cover, and the letters before the anchor."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def rows(key: list[np.ndarray], text: np.ndarray, raw: bytes, width: int, found: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarray, kind: int) -> pa.RecordBatch:
         _, lo, hi, at, anchor = found
@@ -153,7 +197,7 @@ def _anchors(texts: DataFrame, size: int, words: int | None) -> DataFrame:
                     piece = part[s : s + STRETCH + size - 1] if alone else part
                     if len(piece) >= size:
                         a, b = (np.array([0]), np.array([len(piece)])) if alone else (own[:-1], own[1:])
-                        found = stretches(gram_hashes(piece), a, b, size, GRAM)
+                        found = stretches(gram_hashes(piece), a, b, size, GRAM, shared.value[0])
                         base = s - own[found[0]]
                         yield rows(key, i + found[0], piece.tobytes(), 1, found, found[1] + base, found[2] + size + base, 0)
                 if words is None:
@@ -164,7 +208,7 @@ def _anchors(texts: DataFrame, size: int, words: int | None) -> DataFrame:
                     piece = letters[s : s + STRETCH + words - 1] if alone else letters
                     if len(piece) >= words:
                         a, b = (np.array([0]), np.array([len(piece)])) if alone else (first[:-1], first[1:])
-                        found = stretches(word_gram_hashes(piece), a, b, words, GRAM_WORDS)
+                        found = stretches(word_gram_hashes(piece), a, b, words, GRAM_WORDS, shared.value[1])
                         base = own[found[0]]
                         yield rows(key, i + found[0], piece.tobytes(), 8, found, starts[s + found[1]] - base, ends[s + found[2] + words - 1] - base, 1)
 
@@ -419,7 +463,7 @@ def text_key(text) -> dict:
 
 def repeated(texts: DataFrame, size: int = 400, group: int = GROUP, words: int | None = None) -> Stored:
     """KEY and found: the sorted runs (start, end, by_words) of repeated windows, of the texts that have any; ``texts`` has KEY and text."""
-    rows = Stored(_anchors(texts, size, words))
+    rows = Stored(_anchors(texts, size, words, common_pieces(texts, words, group)))
     differ = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
     met = Stored(rows.df.groupBy("anchor").agg(F.count("*").alias("m"), differ.alias("several")).where("m > 1"))
     again = Stored(hot_join(rows.df, met.df, ["anchor"], "m", "inner"))
