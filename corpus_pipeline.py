@@ -28,14 +28,26 @@ BROADCAST_IDS = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the chain's probability of rejection, by models trained on ``labels``.
+
+    Null and empty texts are scored as texts without features; repeated rows share
+    their score and stay or go together; without labels nothing is rejected; other
+    columns, also such as are named like probabilities, stay as they are.
+    """
     models = toxicity.train(docs, table(spark, sf_dir, "labels"))
     prefix = "p_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
-    return toxicity.score(docs, models, prefix).where(F.col(f"{prefix}toxic") < toxicity.REJECT).select(*docs.columns)
+    return toxicity.score(docs, models, prefix).where(F.col(f"{prefix}toxic") < models.reject).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least doc_id.
+
+    Texts without words are near to none and stay; where doc_ids repeat or are null,
+    rows are told apart by number (see ``_drop_near_duplicates_by_row``); an empty
+    table stays empty; other columns stay as they are.
+    """
     if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").isEmpty():
         return _drop_near_duplicates_by_row(docs)
     found = stored(jaccard.linked(docs.select("doc_id", "text")).select("doc_id", "component_id"))
@@ -56,14 +68,25 @@ def _drop_near_duplicates_by_row(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows of 400 bytes and of 51 words that start anywhere else too.
+
+    Every row stays, if only with an empty text; null and short texts lose nothing;
+    equal texts lose all their windows alike; n_chars is set anew, other columns stay.
+    """
     return suffix.dedup(docs, size=400, words=51)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with all reported secrets masked, character by character; null texts are empty, all rows and other columns stay."""
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens.
+
+    A null or empty text is the end id alone; repeated rows are packed as often as
+    they occur; an empty table gives no pieces; other columns are left out.
+    """
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), size=4096, end_id=2)
 
 

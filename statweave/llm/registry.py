@@ -29,8 +29,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("text")
-    return scored.withColumn("rejected", F.col("p_toxic") >= toxicity.REJECT)
+    models = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, models).drop("text").withColumn("rejected", F.col("p_toxic") >= models.reject)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

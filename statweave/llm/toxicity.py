@@ -11,15 +11,18 @@ Features are presence flags of words and of their first 4, 5 and 6 bytes, so
 that a stem counts under any ending, hashed to ``BITS`` bits.  A model keeps the ``FEATURES`` features
 that a likelihood-ratio test ranks first, as far as chance does not explain them
 (``LEAST_GAIN``), and is fitted by L-BFGS with an L2
-penalty.
+penalty.  Documents are rejected from that probability of the last category on
+that parts the training rows best (by F1) when each is scored by models that have not seen it.
 
 Training uses at most ``TRAIN_ROWS`` labelled rows, those with the least hash of
-doc_id, and at most ``TEXT_FEATURES`` features of each; with these bounds the model
-has a bounded size too and goes to all tasks.
+doc_id, and all features of their texts.  An aggregate over these finds the features that any of
+the fits could keep, and only these come to the driver; so the model
+has a bounded size and goes to all tasks.
 Scoring is one pass without a shuffle.
 
 Defined results: a null text is empty and gets the probabilities of a text
-without features; labels that are null take no part, of repeated labels the
+without features; a category learns from the rows whose labels decide it (a null label
+of another kind does no harm), of repeated labels the
 greatest counts, and of documents with one labelled doc_id the least text is
 learnt from; without labels of both kinds a category gets their share (0
 where there are none); rows repeat as often as they occur.
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, map_arrow, span_hashes, text_buffer
+from .common import Stored, Words, blocks, map_arrow, span_hashes, text_buffer
 from .licenses import WORD_BYTES
 
 TRAIN_ROWS = 8000
@@ -44,18 +47,13 @@ FEATURES = 4096
 LEAST_GAIN = 7.0
 FOLDS = 3
 PENALTY = 1.0
-#: Documents with at least this probability of the last category are rejected.
-REJECT = 0.4
 PREFIXES = (4, 5, 6)
 BITS = 22
 #: category -> the SQL condition on the columns of ``labels`` that it stands for; in the order of the chain.
 CHAIN = {
-    "toxic_prose": "toxic = 1 and quality = 1",
-    "toxic_junk": "toxic = 1 and quality = 0",
+    "low_quality": "quality = 0",
     "toxic": "toxic = 1",
 }
-#: Features of a text that training looks at, at most (those with the least numbers, which are hashes); scoring looks at all.
-TEXT_FEATURES = 50_000
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
@@ -184,45 +182,102 @@ def lbfgs(loss, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
     return w
 
 
-def train_chain(x: Rows, ys: dict[str, np.ndarray], folds: np.ndarray) -> dict[str, Model]:
-    """A model per category, each fitted on out-of-fold probabilities of the earlier ones."""
+class Chain(dict):
+    """Models by category, and the probability of the last one from which on documents are rejected."""
+
+    reject: float = 0.5
+
+
+def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which on rows are called positive with the greatest F1, halfway to the next one below; 0.5 if there is nothing to part."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+    f1[:-1][p[:-1] == p[1:]] = 0  # equal rows go together
+    k = int(f1.argmax())
+    return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
+
+
+def train_chain(x: Rows, ys: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
+    """A model per category, each fitted on out-of-fold probabilities of the earlier ones; rows whose y is not a number take no part in its fits."""
     n = len(x.counts)
-    earlier, models = np.zeros((n, 0)), {}
+    earlier, models = np.zeros((n, 0)), Chain()
     for name, y in ys.items():
-        models[name] = fit(x, y, earlier)
-        out = np.zeros(n)
+        known = ~np.isnan(y)
+
+        def fitted(rows: np.ndarray, y: np.ndarray = y, earlier: np.ndarray = earlier) -> Model:
+            return fit(x.take(rows), y[rows], earlier[rows])
+
+        models[name], out = fitted(np.flatnonzero(known)), np.zeros(n)
         for f in range(FOLDS):
-            inside, rest = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
-            part, held = x.take(rest), x.take(inside)
-            out[inside] = probabilities(fit(part, y[rest], earlier[rest]), held.row, held.columns, len(inside), earlier[inside])
+            inside = np.flatnonzero(folds == f)
+            held = x.take(inside)
+            out[inside] = probabilities(fitted(np.flatnonzero((folds != f) & known)), held.row, held.columns, len(inside), earlier[inside])
         earlier = np.column_stack([earlier, out])
+        models.reject = best_cut(out[known], y[known])
     return models
 
 
-def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str | Column] = CHAIN, rows: int = TRAIN_ROWS) -> dict[str, Model]:
+def _candidates(rows: DataFrame, categories: int) -> np.ndarray:
+    """The features that pass the test in the fit of any category, on all rows or without one of the folds."""
+    y = [F.col(f"y{i}") for i in range(categories)]
+    inside = [F.lit(True), *[F.col("fold") != f for f in range(FOLDS)]]
+    sums = [g(F.when(s, c)).alias(f"{name}{k}_{i}") for k, s in enumerate(inside) for i, c in enumerate(y) for name, g in (("n", F.count), ("g", F.sum))]
+    total = rows.agg(*sums).first()
+    keys = [f"{k}_{i}" for k in range(len(inside)) for i in range(categories)]
+    totals = {key: (total[f"n{key}"], total[f"g{key}"] or 0.0) for key in keys}
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for key, (n, g) in totals.items():
+                if 0 < g < n:
+                    seen, with_ = (batch.column(f"{c}{key}").fill_null(0).to_numpy(zero_copy_only=False).astype(float) for c in "ng")
+                    good |= (seen >= 3) & (_likelihood_ratio(with_, seen, g, n) >= LEAST_GAIN)
+            yield pa.RecordBatch.from_arrays([batch.column("f").filter(pa.array(good))], ["f"])
+
+    counted = rows.select(F.explode("f").alias("f"), "fold", *y).groupBy("f").agg(*sums)
+    return np.sort(map_arrow(counted, passing, "f int").toArrow()["f"].to_numpy())
+
+
+def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str | Column] = CHAIN, rows: int = TRAIN_ROWS) -> Chain:
     """Models by category from at most ``rows`` labelled documents."""
-    some = labels.where("doc_id is not null and toxic is not null and quality is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     judged = [F.expr(e) if isinstance(e, str) else e for e in chain.values()]
-    some = some.select("doc_id", *[j.cast("double").alias(f"y{i}") for i, j in enumerate(judged)])
-    judged = [f"y{i}" for i in range(len(chain))]
+    names = [f"y{i}" for i in range(len(chain))]
+    some = some.select("doc_id", *[j.cast("double").alias(y) for y, j in zip(names, judged, strict=True)]).where(F.coalesce(*names).isNotNull())
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # Of rows that repeat a labelled doc_id the least text counts, so that there are no more texts than labels.
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", *judged).agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text"))
+    kept = ["doc_id", "fold", *names]
+
+    def lists(sets: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, sets)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [found[:TEXT_FEATURES] for found in features(batch.column("text"))]
-            ends = np.cumsum([0, *map(len, sets)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(f"y{i}") for i in range(len(chain))), lists], ["doc_id", *(f"y{i}" for i in range(len(chain))), "f"])
-
-    schema = "doc_id long, " + ", ".join(f"y{i} double" for i in range(len(chain))) + ", f array<int>"
-    made = map_arrow(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[f"y{i}" for i in range(len(chain))]), run, schema).toArrow()
-    ids, f = made["doc_id"].to_numpy(), made["f"].combine_chunks()
+            ids = batch.column("doc_id").to_numpy().astype(np.uint64)
+            folds = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(FOLDS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(folds.astype(np.int32)), *(batch.column(y) for y in names), lists(list(features(batch.column("text"))))], [*kept, "f"])
+
+    schema = "doc_id long, fold int, " + ", ".join(f"{y} double" for y in names) + ", f array<int>"
+    held = Stored(map_arrow(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *names), run, schema))
+    wanted = docs.sparkSession.sparkContext.broadcast(_candidates(held.df, len(chain)))
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x.values.to_numpy() for x in batch.column("f")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists([s[np.isin(s, wanted.value, kind="sort")] for s in sets])], [*kept, "f"])
+
+    made = map_arrow(held.df, trim, schema).toArrow().sort_by("doc_id")
+    held.drop()
+    f = made["f"].combine_chunks()
     counts = f.value_lengths().to_numpy(zero_copy_only=False).astype(int) if len(f) else np.zeros(0, int)
-    folds = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(FOLDS)
-    ys = {name: made[f"y{i}"].to_numpy() for i, name in enumerate(chain)}
-    return train_chain(Rows(counts, f.flatten().to_numpy()), ys, folds.astype(int))
+    ys = {name: made[y].to_numpy() for y, name in zip(names, chain, strict=True)}
+    return train_chain(Rows(counts, f.flatten().to_numpy()), ys, made["fold"].to_numpy())
 
 
 def score(docs: DataFrame, models: dict[str, Model], prefix: str = "p_") -> DataFrame:

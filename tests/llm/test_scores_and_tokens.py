@@ -114,10 +114,10 @@ def test_chain_learns_and_uses_held_out_rows(spark):
     labels = df.selectExpr("doc_id", "1 quality", "y toxic").where("doc_id < 400")
     labels = labels.union(labels.limit(3)).union(spark.createDataFrame([(401, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int"))
     models = toxicity.train(df, labels)
-    assert list(models) == ["toxic_prose", "toxic_junk", "toxic"] and len(models["toxic"].weights) == len(models["toxic"].features) + 3
+    assert list(models) == ["low_quality", "toxic"] and len(models["toxic"].weights) == len(models["toxic"].features) + 2
     extra = frame(spark, ["w1 VILEQUE w2", None, "", "w1 w2"])
     held = toxicity.score(df.where("doc_id >= 400"), models).collect()
-    assert all((r["p_toxic"] >= toxicity.REJECT) == bool(r["y"]) for r in held) and all(r["p_toxic_junk"] < 0.01 for r in held)
+    assert all((r["p_toxic"] >= models.reject) == bool(r["y"]) for r in held) and all(r["p_low_quality"] < 0.01 for r in held)
     out = {r["doc_id"]: r for r in toxicity.score(extra, models).collect()}
     assert out[0]["p_toxic"] > 0.3 > out[3]["p_toxic"] and out[1]["p_toxic"] == out[2]["p_toxic"] and out[0]["grp"] == 7
     none = toxicity.train(df, labels.where("false"))
@@ -174,8 +174,8 @@ def test_scores_by_a_plain_loop(spark):
     labels = spark.createDataFrame([(k, int(k % 2 == 0), int(k % 3 == 0)) for k in range(240)], "doc_id long, quality int, toxic int")
     docs = frame(spark, [t for _, t in rows] + ["zz other text for a known id", "x" * 300_000, None], [k for k, _ in rows] + [3, 1000, None])
     models = toxicity.train(docs, labels)
-    assert list(models) == ["toxic_prose", "toxic_junk", "toxic"]
-    truth = {k: (int(k % 3 == 0 and k % 2 == 0), int(k % 3 == 0 and k % 2 == 1), int(k % 3 == 0)) for k in range(240)}
+    assert list(models) == ["low_quality", "toxic"]
+    truth = {k: (int(k % 2 == 1), int(k % 3 == 0)) for k in range(240)}
     learnt = {k: min(t, "zz other text for a known id") if k == 3 else t for k, t in rows}  # the least text of a repeated id
     flags = {k: plain_features(t) for k, t in learnt.items()}
     fold = {k: (k * 0x9E3779B97F4A7C15 % (1 << 64) >> 33) % toxicity.FOLDS for k in learnt}
@@ -207,7 +207,43 @@ def test_scores_by_a_plain_loop(spark):
         found, before = plain_features(r["text"]), []
         for model in models.values():
             before.append(1 / (1 + np.exp(-z(model, found, before))))
-        assert np.allclose([r["p_toxic_prose"], r["p_toxic_junk"], r["p_toxic"]], before, atol=1e-9)
+        assert np.allclose([r["p_low_quality"], r["p_toxic"]], before, atol=1e-9)
+
+
+def test_each_category_learns_from_the_labels_that_decide_it(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join([*(["vile"] if k % 3 == 0 else []), *(["zzz"] if k % 2 else []), *(f"w{rng.randrange(30)}" for _ in range(9))])) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(k, None if k < 100 else int(k % 2 == 0), int(k % 3 == 0) if k < 150 else None) for k in range(200)]
+    models = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = toxicity.score(docs, models).collect()
+    assert all((r.p_toxic >= models.reject) == (r.doc_id % 3 == 0) for r in got) and all((r.p_low_quality > 0.5) == (r.doc_id % 2 == 1) for r in got)
+    only = toxicity.train(docs, spark.createDataFrame([(k, None, t) for k, _, t in labels], "doc_id long, quality int, toxic int"))
+    assert all((r.p_toxic >= only.reject) == (r.doc_id % 3 == 0) for r in toxicity.score(docs, only).collect())
+    empty = toxicity.train(docs.where("false"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert all(r.p_toxic < empty.reject for r in toxicity.score(docs, empty).collect())
+
+
+def test_a_very_long_text_is_learnt_from_as_it_is_scored(spark):
+    """More distinct words than any bound of before; the telling one has a great number."""
+    rng = random.Random(2)
+    filler = [" ".join(f"q{rng.randrange(10**9):x}" for _ in range(30)) for _ in range(60)]
+    wide = [" ".join(f"{'abcdef'[k]}{rng.randrange(16**6):06x}" for _ in range(70_000)) for k in range(6)]
+    rows = [(k, f + (f" {wide[k]} marker" if k < 6 else "")) for k, f in enumerate(filler)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k < 6)) for k in range(60)], "doc_id long, quality int, toxic int")
+    models = toxicity.train(docs, labels)
+    probe = spark.createDataFrame([(0, "marker"), (1, "other")], "doc_id long, text string")
+    p = {r.doc_id: r.p_toxic for r in toxicity.score(probe, models).collect()}
+    assert p[0] > p[1]
+
+
+def test_the_cut_parts_held_out_rows_best():
+    p, y = np.array([0.9, 0.8, 0.8, 0.3, 0.2, 0.1]), np.array([1, 1, 0, 1, 0, 0.0])
+    f1 = {t: 2 * (y[p >= t]).sum() / ((p >= t).sum() + y.sum()) for t in p}
+    cut = toxicity.best_cut(p, y)
+    assert 2 * y[p >= cut].sum() / ((p >= cut).sum() + y.sum()) == max(f1.values()) and cut not in p
+    assert toxicity.best_cut(p, y * 0) == 0.5 == toxicity.best_cut(p, y * 0 + 1)
 
 
 def test_lbfgs_agrees_with_closed_form():
