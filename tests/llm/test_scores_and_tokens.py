@@ -536,6 +536,30 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+CLASHING = "doc_id long, text string, n_chars int, key string, row int, p_toxic double, place long, found string, length string, start long, word string"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, 0, "k", 7, 0.5, 3, "f", "l", 9, "w") for i, t in rows], CLASHING)
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_on_empty_tables_and_clashing_columns(spark, tmp_path, some):
+    long = " ".join(f"t{i}" for i in range(60_000))
+    rows = [(1, long), (2, None), (3, ""), (4, "token = 'abcdefghij0123456789' here"), (4, "token = 'abcdefghij0123456789' here"), (5, "short text")] if some else []
+    clashing(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = now.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == names
+    left = {(r.doc_id, r.text or "", r.row, r.key, r.p_toxic, r.place) for r in now.collect()}
+    assert left == {(i, (t or "").replace("token = 'abcdefghij0123456789", "[secret]"), 7, "k", 0.5, 3) for i, t in rows}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {i for i, _ in rows} and sum(r.length for r in out if r.doc_id == 1) >= 60_000 * some
+
+
 def test_pipeline_cuts_passages_of_51_words(spark):
     rng = random.Random(15)
     prose = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10)}" for _ in range(n))
@@ -573,5 +597,5 @@ def test_pipeline_with_repeated_and_null_ids(spark):
 
 def test_every_query_is_registered():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(registry.oracle_sql()) <= set(names)
