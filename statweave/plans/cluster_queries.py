@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import proclus as proclus_command_line
 from ..functions import vectors
 from ..operators import brush, plots, rows, timeseries
 from ..operators.clustering import canopy, common, dirichlet, kmeans, proclus
-from .queries import _MEANS, _STATIONARITY, _label_means, _points, canopy_sql, plain_time, query, rounded, table
+from ..sources.storage import Scratch
+from .queries import _MEANS, _STATIONARITY, _label_means, _points, canopy_sql, plain_time, proclus_sql, query, rounded, table
 
 #: Medoids of the phases of projected clustering: these vectors, each with three dimensions.
 MEDOIDS = range(5)
@@ -111,6 +113,15 @@ def farthest_point(spark, sf):
     return at.select(F.lit(round(float(away), 6)).alias("away"), "vec_id")
 
 
+@query(f"WITH {proclus_sql('SELECT p_partkey AS id, [p_size::DOUBLE, p_retailprice] AS v FROM part', 3, 2, 4, 0.1, 0.5, 5)} SELECT k::INTEGER AS cluster, count(*) AS n FROM kept GROUP BY 1")
+def proclus_command(spark, sf):
+    """The command line on a written table, and the points of each cluster that it writes."""
+    given, made = Scratch(spark).path, Scratch(spark).path
+    table(spark, sf, "part").select("p_size", "p_retailprice").write.parquet(given)
+    proclus_command_line.main(["--input", given, "--output", made, "--k", "3", "--l", "2", "--maxIterations", "4", "--splitSize", "0.5", "--seed", "5"])
+    return common.folded(spark.read.parquet(f"{made}/clustered-points")).withColumnRenamed("count", "n")
+
+
 @query(f"WITH {_BASE}, t AS (SELECT k, sum(abs(c)) FILTER (i IN (k, k + 1, k + 7)) AS total FROM m GROUP BY 1) SELECT m.k, i, round(CASE WHEN i IN (m.k, m.k + 1, m.k + 7) THEN abs(c) / total * delta ELSE 0 END, 6) AS radius FROM m JOIN t ON t.k = m.k JOIN delta ON delta.k = m.k")
 def proclus_plot_radius(spark, sf):
     m = _medoids(spark, sf)

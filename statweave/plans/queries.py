@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import brush, plots, rows, stats, timeseries
 from ..operators.clustering import canopy, common, dirichlet, kmeans, proclus, validation
+from ..sources.storage import Stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,6 +164,19 @@ def ts_sort(spark, sf):
     return timeseries.sort(table(spark, sf, "events"), "ts")
 
 
+@query("SELECT count(*) AS rows, 0::BIGINT AS late, min(ts)::TIMESTAMP AS first, max(ts)::TIMESTAMP AS last FROM events")
+def ts_sort_order(spark, sf):
+    """How many rows come before an earlier one: none, inside partitions and from one to the next."""
+    placed = timeseries.sort(table(spark, sf, "events"), "ts").select("ts", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    held = Stored(placed)
+    before = F.lag("ts").over(Window.partitionBy("part").orderBy("id"))
+    inside = held.df.select("ts", (before > F.col("ts")).alias("late"))
+    parts = held.df.groupBy("part").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).sort("part").collect()  # a row per partition
+    across = sum(a["hi"] > b["lo"] for a, b in zip(parts, parts[1:], strict=False))
+    late = F.count_if("late") + F.lit(across).cast("long")
+    return plain_time(inside.agg(F.count("*").alias("rows"), late.alias("late"), F.min("ts").alias("first"), F.max("ts").alias("last")), "first", "last")
+
+
 def _aggregate(period: str, function: str) -> None:
     sql = {"average": "avg", "max": "max", "min": "min", "sum": "sum"}[function]
     name = f"ts_agg_{period}_{function}"

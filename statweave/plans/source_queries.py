@@ -87,8 +87,8 @@ def wrap_dataset(spark, sf):
 @query("SELECT n_nationkey, n_name, NULL::DOUBLE AS missing FROM nation")
 def wrap_trims_and_pads(spark, sf):
     """Lines are trimmed once; short lines get nulls and cells beyond the schema are dropped."""
-    nation = table(spark, sf, "nation").select(F.concat(F.lit("  "), F.col("n_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, "").otherwise("")).alias("k"), "n_name")
-    lines = _lines(nation).select(F.concat("value", F.when(F.length("value") % 2 == 0, ",  ").otherwise(",,extra,cells")).alias("value"))
+    nation = table(spark, sf, "nation").select(F.concat(F.lit("  "), F.col("n_nationkey")).alias("k"), "n_name")
+    lines = _lines(nation).select(F.concat("value", F.when(F.length("value") % 2 == 0, " \t ").otherwise(",,extra,cells")).alias("value"))
     return tables.wrap_dataset(spark, _written(lines), def_schema("n_nationkey", INTEGER, "n_name", STRING, "missing", DOUBLE)).df
 
 
@@ -143,6 +143,34 @@ def numeric_columns(spark, sf):
     return rounded(data.df.agg(*[F.sum(c).cast("double").alias(c) for c in names]).unpivot([], names, "name", "total"), 2)
 
 
+@query("SELECT count(*) AS rows, max(o_orderkey) AS last FROM orders")
+def table_files(spark, sf):
+    """A written table's files hold all its rows."""
+    path = tables.write_table(tables.Dataset(table(spark, sf, "orders")), Scratch(spark).path).path
+    held = spark.read.parquet(*[f for f in files.ls(spark, path, files_only=True) if f.endswith(".parquet")])
+    return held.agg(F.count("*").alias("rows"), F.max("o_orderkey").alias("last"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey + 1 AS n_regionkey FROM nation")
+def row_values(spark, sf):
+    """Rows made anew from the values of others, by position and by name."""
+    data = tables.Dataset(table(spark, sf, "nation"))
+    at = data.column_position("N_NAME")
+    made = [schema.make_row(data.schema, [r["n_nationkey"], r[at], r["n_regionkey"] + 1]) for r in data.rows()]
+    return spark.createDataFrame(made, data.schema)
+
+
+_NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 9) AS r FROM customer" for a, b in schema.build_dimensions(_NUMBERS)))
+def dimension_pairs(spark, sf):
+    """Every pair of numeric columns, with their correlation; one scan."""
+    pairs = schema.build_dimensions(_NUMBERS)
+    parts = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.round(F.corr(a, b), 9).alias("r")) for a, b in pairs]
+    return table(spark, sf, "customer").agg(F.array(*parts).alias("all")).select(F.inline("all"))
+
+
 @query("SELECT c_acctbal FROM customer")
 def single_column(spark, sf):
     return tables.Dataset(table(spark, sf, "customer")).points("C_ACCTBAL")

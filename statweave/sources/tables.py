@@ -96,7 +96,10 @@ def wrap_dataset(
     lines = _lines(spark, path, skip + bool(header), line_sep)
     if line_filter:
         lines = lines.where(line_filter(F.col("value")))
-    cells = F.transform(F.split(F.trim("value"), separator), lambda c: null_if_token(c, nulls))
+    # White space and control characters at both ends go, but spaces alone where a tab may part cells.
+    ends = " " if re.search(separator, "\t") else r"\x00-\x20"
+    line = F.regexp_replace("value", f"^[{ends}]+|[{ends}]+$", "")
+    cells = F.transform(F.split(line, separator), lambda c: null_if_token(c, nulls))
     if mapper:
         cells = mapper(cells)
     cut = lines.select(cells.alias("cells"))

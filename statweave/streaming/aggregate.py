@@ -1,8 +1,9 @@
 """Calendar aggregation of a stream: the tumbling-window form of ``timeseries.aggregate``.
 
-Days and weeks have a fixed length and close with the watermark.  Months and
-years have none, so their groups are kept by their start and need the "update"
-or "complete" output mode.
+Periods are those of the session's time zone, as in batches.  In UTC days and weeks
+have a fixed length and close with the watermark.  Months and years, and days and
+weeks of zones whose clocks change, have none, so their groups are kept by their
+start and need the "update" or "complete" output mode.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.parsing import bucket
 
+#: Names of the zone that is free of clock changes and offsets.
+UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 FUNCTIONS = {"average": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
 
 
@@ -22,7 +25,7 @@ def aggregate_stream(stream: DataFrame, column: str, value: str, period: str, fu
         raise ValueError(f"unknown function {function!r}; one of {', '.join(FUNCTIONS)}")
     timed = stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, lateness)
     made = [FUNCTIONS[function](value).alias("value"), F.count(value).alias("count")]
-    if period in ("day", "week"):
+    if period in ("day", "week") and stream.sparkSession.conf.get("spark.sql.session.timeZone") in UTC:
         # Windows of 7 days begin on Thursdays, as 1970 did; Mondays are 4 days later.
         window = F.window(column, "1 day") if period == "day" else F.window(column, "7 days", startTime="4 days")
         return timed.groupBy(window.alias("w")).agg(*made).select(F.col("w.start").alias("bucket"), "value", "count")

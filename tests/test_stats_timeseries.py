@@ -129,3 +129,19 @@ def test_sums_may_leave_the_type_of_their_column(spark):
     assert (out.first().n, out.dtypes[1][1], out.dtypes[2][1]) == (4_000_000_000, "bigint", "double") and out.first().x > 5.9e38
     kept = timeseries.aggregate(df, "t", "day", "average")
     assert kept.first().n == 2_000_000_000 and kept.dtypes[1][1] == "int"
+
+
+def test_streams_cut_days_and_weeks_as_batches_do_in_any_zone(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.range(0, 24 * 20, 5).select((F.lit(1709856000) + F.col("id") * 3600).cast("timestamp").alias("ts"), F.col("id").cast("double").alias("value"))  # a clock change inside
+        df.write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        for period in ("day", "week"):
+            q = aggregate_stream(stream, "ts", "value", period, "sum").writeStream.format("memory").queryName(f"zoned_{period}").outputMode("complete").trigger(availableNow=True).start()
+            q.awaitTermination(60)
+            got = sorted((r.bucket, r.value) for r in spark.table(f"zoned_{period}").collect())
+            assert got == sorted((r.ts, r.value) for r in timeseries.aggregate(df, "ts", period, "sum").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
