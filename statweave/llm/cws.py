@@ -82,7 +82,7 @@ def draws(words: np.ndarray, weights: np.ndarray, samples: int) -> tuple[np.ndar
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES, limit: int = 2 << 20) -> np.ndarray:
-    """Samples (texts x samples, uint16) of a batch of texts; ``limit``: bytes whose draws are held at a time, or those of one text in parts."""
+    """Samples (texts x samples, uint16) of a batch of texts; ``limit``: bytes of texts that are taken together, or one text; draws are held in parts of bounded size."""
     out = np.empty((len(offsets) - 1, samples), np.uint16)
     for i, j in blocks(offsets, limit):
         own = offsets[i : j + 1] - offsets[i]
@@ -100,21 +100,27 @@ def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES, li
 
 def _least(words: np.ndarray, weights: np.ndarray, first: np.ndarray, samples: int, limit: int = 1 << 14) -> np.ndarray:
     """The samples of each text, of which ``words[first[i]:first[i + 1]]`` are its own."""
-    out = np.full((len(first) - 1, samples), 0xFFFF, np.uint16)
+    texts = len(first) - 1
+    best = np.full((texts, samples), np.iinfo(np.uint64).max, np.uint64)
     # What many texts of the batch share is drawn once.
     pairs, at = np.unique(words + mix(weights.astype(np.uint64)), return_inverse=True)
     some = np.zeros(len(pairs), np.int64)
     some[at] = np.arange(len(at))
-    keys = np.empty((len(pairs), samples), np.uint64)
-    for s in range(0, len(pairs), limit):
+    by_pair = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[by_pair], np.arange(0, len(pairs) + limit, limit))
+    owner = np.repeat(np.arange(texts), np.diff(first))
+    for k, s in enumerate(range(0, len(pairs), limit)):  # a part of the draws at a time, and of each text's least ones so far
         ln_a, bits = draws(words[some[s : s + limit]], weights[some[s : s + limit]], samples)
         raw = ln_a.view(np.int32)
         sortable = np.where(raw < 0, ~raw.view(np.uint32), raw.view(np.uint32) | np.uint32(1 << 31))
-        keys[s : s + limit] = sortable.astype(np.uint64) << np.uint64(32) | bits
-    full = np.flatnonzero(np.diff(first))
-    for i in full.tolist():
-        out[i] = (keys[at[first[i] : first[i + 1]]].min(0) & np.uint64(0xFFFF)).astype(np.uint16)
-    return out
+        keys = sortable.astype(np.uint64) << np.uint64(32) | bits
+        held = np.sort(by_pair[ends[k] : ends[k + 1]])  # by text again
+        for e in range(0, len(held), limit):
+            own = held[e : e + limit]
+            text = owner[own]
+            new = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            best[text[new]] = np.minimum(best[text[new]], np.minimum.reduceat(keys[at[own] - s], new, axis=0))
+    return np.where((np.diff(first) > 0)[:, None], best & np.uint64(0xFFFF), np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, empty_a: np.ndarray, empty_b: np.ndarray) -> np.ndarray:

@@ -56,3 +56,21 @@ def test_passages_and_near_copies_that_differ_in_one_such_word(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, whole, "").collect()) == [0, 1]
     # The two words share windows of 400 bytes, which rightly go; windows of words don't repeat.
     assert [r.text for r in suffix.dedup(docs(spark, texts), size=2000, words=51).orderBy("doc_id").collect()] == texts
+
+
+def test_draws_in_parts_are_those_at_once():
+    """One very long text of distinct words among short and empty ones."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 30, n).tolist()) for n in (3, 30_000, 0, 500)] + ["a a b"] * 3
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole = cws.signatures(data, offsets, 16)
+    alone = [cws.signatures(np.frombuffer(r, np.uint8), np.array([0, len(r)]), 16)[0] for r in raw]
+    assert all((w == a).all() for w, a in zip(whole, alone, strict=True)) and (whole[2] == 0xFFFF).all()
+    words = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    words[200:260] = words[:60]
+    weights, first = rng.integers(1, 5, 400), np.array([0, 7, 7, 350, 400])
+    keys, bits = cws.draws(words, weights, 8)
+    expected = [[bits[a + keys[a:b, d].argmin(), d] if b > a else 0xFFFF for d in range(8)] for a, b in zip(first[:-1], first[1:], strict=True)]
+    for limit in (1, 16, 1 << 14):
+        assert cws._least(words, weights, first, 8, limit).tolist() == expected
