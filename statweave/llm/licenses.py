@@ -6,8 +6,10 @@ lower-cased).  Two layers report:
 * the *base* phrases, each place where their words stand consecutively;
 * the *rules*: some hundred license names, each in several forms (identifier
   line, grant, title) with its own priority and weight, the licenses' SPDX
-  identifiers in identifier lines (of an expression, the first identifier) and
-  grants, and what stands in the licenses' own texts and notices.  An Aho-Corasick
+  identifiers in identifier lines (every one of an expression, joined by OR, AND or
+  WITH) and grants, short names beside "license", "licensed" or "under", and what
+  stands in the licenses' own texts and notices.  A rule's detection is what its
+  first group holds, or else the whole match.  An Aho-Corasick
   automaton over the rules' keywords passes once over a text; only rules whose
   keyword occurs run their regex, on the words joined by single spaces.
   Detections are taken by priority, then length; one that lies inside a kept
@@ -176,11 +178,23 @@ cc-by-sa-4.0 cc-by-sa-3.0 cc-by-4.0 cc-by-3.0 odbl-1.0 odc-by-1.0 pddl-1.0 unlic
 psf-2.0 php-3.01 ruby postgresql ncsa w3c openssl sleepycat qpl-1.0 ofl-1.1 ms-pl ms-rl upl-1.0 osl-3.0 afl-3.0 sspl-1.0 elastic-2.0
 """
 OTHER_IDENTIFIERS = {
-    "agpl": "agpl 1 0", "gfdl": "gfdl 1 1", "bsd-0-clause": "0bsd", "ipl-1.0": "ipl 1 0", "eupl": "eupl 1 0", "cc-by": "cc by (?:1 0|2 0|2 5)",
+    "agpl": "agpl 1 0", "gfdl": "gfdl 1 1", "bsd-0-clause": "0bsd", "ipl-1.0": "ipl 1 0", "eupl": "eupl 1 0",
     "libpng": "libpng 2 0", "boost-1.0": "bsl 1 0", "psf-2.0": "python 2 0", "openldap": "oldap 2 [0-9](?: [0-9])?",
     "bsl-1.1": "busl 1 1", "ogl-3.0": "ogl uk 3 0",
 }
 
+#: Creative Commons licenses by what they ask for, and the versions that there are of them.
+CC_PARTS = ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")
+CC_VERSIONS = ("1.0", "2.0", "2.1", "2.5", "3.0", "4.0")
+#: label -> a short name that stands for the license beside "license", "licence" or "licensed".
+SHORT = {
+    "mit": "mit", "bsd": "bsd", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "apache": "apache", "mpl": "mpl", "epl": "epl", "isc": "isc",
+    "cddl-1.0": "cddl", "eupl": "eupl", "wtfpl": "wtfpl", "zlib": "zlib", "unlicense": "unlicense", "cc0-1.0": "cc0", "expat": "expat",
+}
+#: Those that are no words of their own, and so stand for their license after "under" too, or even alone.
+UNDER = ("gpl", "lgpl", "agpl", "mpl", "epl", "cddl-1.0", "eupl", "wtfpl", "cc0-1.0")
+ALONE = ("gpl", "lgpl", "agpl")
+
 #: label | keyword | words of a license's own text or notice, as a regex.
 BODIES = """
 mit | hereby granted | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
@@ -227,10 +241,12 @@ openssl | openssl project | this product includes software developed by the open
 
 #: form -> (priority, weight, regex around a name)
 FORMS = {
-    "tag": (90, 0.99, r"spdx license identifier (?:{})"),
+    "tag": (90, 0.99, r"spdx license identifier ({})"),
     "grant": (80, 0.95, r"(?:licensed|released|distributed|published|available|provided|covered|governed) (?:by|under) (?:the )?(?:terms of )?(?:the )?(?:{})"),
     "body": (70, 0.9, r"(?:{})"),
+    "context": (60, 0.8, r"(?:(?:licen[cs]es?|licen[cs]ed)(?: is)?(?: as)?(?: under)?(?: the)? (?:{0})|(?:{0}) licen[cs]ed)"),
     "title": (50, 0.7, r"(?:{})"),
+    "alone": (40, 0.5, r"(?:{})"),
 }
 #: Identifiers after "licensed under"; names that are words of their own are left to the forms above.
 GRANT_ID = r"(?:licensed|released|distributed|published|available|provided|covered|governed) under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[cs]e)?"
@@ -245,6 +261,23 @@ class Rule(NamedTuple):
     pattern: str
 
 
+#: What may follow an identifier ("+" is no word).
+TAIL = "(?: (?:only|or later))?"
+
+
+def identifiers() -> list[tuple[str, str]]:
+    """Labels and the words of their SPDX identifiers, as a regex."""
+    names = [(label, re.sub("[-.]", " ", label)) for label in SAME_IDENTIFIER.split()]
+    names += [(f"cc-{p.replace(' ', '-')}-{v}", f"cc {p} {v.replace('.', ' ')}") for p in CC_PARTS for v in CC_VERSIONS]
+    return list(dict.fromkeys([*names, *OTHER_IDENTIFIERS.items()]))
+
+
+def leading() -> str:
+    """What stands before an identifier in an identifier line: earlier ones of the same expression too, the longest tried first."""
+    any_one = "|".join(sorted((name for _, name in identifiers()), key=len, reverse=True))
+    return f"spdx license identifier (?:(?:(?:{any_one}){TAIL}|[a-z]+(?: [a-z]+)* exception(?: [0-9]+)*) (?:or|and|with) )*"
+
+
 def rules() -> list[Rule]:
     """Every name in every form, and identifier lines with SPDX identifiers ("+" is no word); of names with one form's priority the earlier, more specific one wins a tie by its length."""
     out = []
@@ -253,11 +286,28 @@ def rules() -> list[Rule]:
         for priority, weight, form in (FORMS[x] for x in ("tag", "grant", "title")):
             out.append(Rule(label, re.sub(r"[^0-9a-z]+", " ", keyword), priority, weight, rf"(?<![^ ]){form.format(name)}(?![^ ])"))
     priority, weight, _ = FORMS["tag"]
-    names = [(label, re.sub("[-.]", " ", label)) for label in SAME_IDENTIFIER.split()]
-    for label, name in [*names, *OTHER_IDENTIFIERS.items()]:
-        out.append(Rule(label, "spdx", priority, weight, rf"(?<![^ ])spdx license identifier (?:{name})(?: (?:only|or later))?(?![^ ])"))
+    known, before = identifiers(), leading()
+    for label, name in known:
+        out.append(Rule(label, "spdx", priority, weight, rf"(?<![^ ]){before}((?:{name}){TAIL})(?![^ ])"))
+    priority, weight, form = FORMS["context"]
+    for label, name in SHORT.items():
+        out.append(Rule(label, "licen", priority, weight, rf"(?<![^ ]){form.format(name)}(?![^ ])"))
+        if label in UNDER:
+            out.append(Rule(label, name, priority, weight, rf"(?<![^ ])under (?:the )?(?:{name})(?![^ ])"))
+        if label in ALONE:
+            low, little, bare = FORMS["alone"]
+            out.append(Rule(label, name, low, little, rf"(?<![^ ]){bare.format(name)}(?![^ ])"))
+    priority, weight, form = FORMS["title"]
+    for p in CC_PARTS:
+        for v in CC_VERSIONS:
+            label = f"cc-{p.replace(' ', '-')}-{v}"
+            spelled = {"sa": "share ?alike", "nd": "no ?deriv(?:ative)?s?", "nc": "non ?commercial"}
+            full = " ".join(["creative commons attribution", *(spelled[x] for x in p.split()[1:])])
+            out.append(Rule(label, "creative commons", priority, weight, rf"(?<![^ ])(?:{full} {v.replace('.', ' ')})(?![^ ])"))
+            if not re.search(rf"^{re.escape(label)} ", NAMES, re.M):
+                out.append(Rule(label, "cc by", priority, weight, rf"(?<![^ ])(?:cc {p} {v.replace('.', ' ')})(?![^ ])"))
     priority, weight, _ = FORMS["grant"]
-    for label, name in [*names, *OTHER_IDENTIFIERS.items()]:
+    for label, name in known:
         if label not in NOT_ALONE:
             out.append(Rule(label, re.match(r"[a-z0-9 ]*[a-z0-9]", name)[0], priority, weight, rf"(?<![^ ]){GRANT_ID.format(name)}(?![^ ])"))
     priority, weight, form = FORMS["body"]
@@ -327,8 +377,9 @@ class Scanner:
         for i in run:
             r = self.rules[i]
             for m in self.patterns[i].finditer(words):
-                start = int(np.searchsorted(gaps, m.start()))
-                found.append(Detection(start, start + m.group().count(" ") + 1, r.label, r.priority, r.weight))
+                part = min(1, m.re.groups)
+                start = int(np.searchsorted(gaps, m.start(part)))
+                found.append(Detection(start, start + m.group(part).count(" ") + 1, r.label, r.priority, r.weight))
         return suppress(found)
 
 

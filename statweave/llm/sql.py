@@ -7,6 +7,8 @@ from split texts for scans.
 
 from __future__ import annotations
 
+import re
+
 from . import licenses, secrets
 
 TOP_K = """
@@ -99,7 +101,8 @@ def license_scan() -> str:
     for r in licenses.rules():
         p = r.pattern.removeprefix("(?<![^ ])").removesuffix("(?![^ ])").replace(" ?", "(?:  )?")
         p = p.replace("(?:  )?", "\0").replace(" ", "  ").replace("\0", "(?:  )?")
-        rows.append(f"({_text(r.label)}, {r.priority}, {r.weight}, {_text(' ' + p + ' ')})")
+        whole = " " + p + " " if re.search(r"(?<!\\)\((?!\?)", p) else " (" + p + ") "
+        rows.append(f"({_text(r.label)}, {r.priority}, {r.weight}, {_text(whole)})")
     base = " UNION ALL ".join(
         f"SELECT doc_id, {_text(label)} AS label, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + {len(p.split())}], ' ') = {_text(p)})) AS place FROM w" for p, label in licenses.BASE.items()
     )
@@ -109,10 +112,11 @@ t AS (SELECT doc_id, ' ' || array_to_string(w, '  ') || ' ' AS t FROM w),
 rules(label, priority, weight, pattern) AS (VALUES {", ".join(rows)}),
 base AS ({base}),
 hits AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
-  SELECT doc_id, label, priority, weight, pattern, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern) AS m
+  SELECT doc_id, label, priority, weight, pattern, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern) AS m, regexp_extract_all(t, pattern, 1) AS own
   FROM t JOIN rules ON regexp_matches(t, pattern))),
-found AS (SELECT doc_id, label, priority, weight, (sum(len(string_split(g[i], ' ')) - 1) OVER k + coalesce(sum(len(string_split(m[i], ' ')) - 1) OVER e, 0)) // 2 AS start,
-    len(list_filter(string_split(m[i], ' '), lambda x: x <> '')) AS size FROM hits
+found AS (SELECT doc_id, label, priority, weight, (sum(len(string_split(g[i], ' ')) - 1) OVER k + coalesce(sum(len(string_split(m[i], ' ')) - 1) OVER e, 0)) // 2
+    + len(list_filter(string_split(m[i], ' '), lambda x: x <> '')) - len(list_filter(string_split(own[i], ' '), lambda x: x <> '')) AS start,
+    len(list_filter(string_split(own[i], ' '), lambda x: x <> '')) AS size FROM hits
   WINDOW k AS (PARTITION BY doc_id, label, priority, pattern ORDER BY i), e AS (PARTITION BY doc_id, label, priority, pattern ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, size DESC, start, label) AS k FROM found),
 kept AS (SELECT * FROM ranked a WHERE NOT EXISTS (
