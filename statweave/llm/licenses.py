@@ -122,12 +122,12 @@ cc-by-sa-3.0 | cc by | cc by sa 3(?: 0)?(?: unported)?
 cc-by-sa | cc by | cc by sa
 cc-by-4.0 | cc by | cc by 4(?: 0)?(?: international)?
 cc-by-3.0 | cc by | cc by 3(?: 0)?(?: unported)?
-cc-by-nc-nd | noncommercial | creative commons attribution noncommercial noderiv(?:ative)?s?(?: [1-4] 0)?
-cc-by-nc-sa | noncommercial | creative commons attribution noncommercial sharealike(?: [1-4] 0)?
-cc-by-nc | noncommercial | creative commons attribution noncommercial(?: [1-4] 0)?
-cc-by-sa | creative commons | creative commons attribution share ?alike(?: [1-4] 0)?
-cc-by-nd | creative commons | creative commons attribution no ?deriv(?:ative)?s?(?: [1-4] 0)?
-cc-by | creative commons | creative commons attribution(?: [1-4] 0)?
+cc-by-nc-nd | noncommercial | creative commons attribution noncommercial noderiv(?:ative)?s?
+cc-by-nc-sa | noncommercial | creative commons attribution noncommercial sharealike
+cc-by-nc | noncommercial | creative commons attribution noncommercial
+cc-by-sa | creative commons | creative commons attribution share ?alike
+cc-by-nd | creative commons | creative commons attribution no ?deriv(?:ative)?s?
+cc-by | creative commons | creative commons attribution
 cc | creative commons | creative commons(?: license)?
 odbl-1.0 | open database | open database license(?:(?: version)? v? ?1 0)?
 odc-by-1.0 | open data commons | open data commons attribution license
