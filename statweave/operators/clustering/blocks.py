@@ -90,6 +90,8 @@ class Sparse:
         return np.bincount(self.row, values, self.n)
 
     def products(self, c: np.ndarray) -> np.ndarray:
+        if self.n * self.d <= CELLS:
+            return self.dense() @ c.T
         out = np.empty((self.n, len(c)))
         for k in range(len(c)):
             out[:, k] = self._by_row(self.value * c[k, self.at])
@@ -111,6 +113,8 @@ class Sparse:
         return flat.reshape(k, self.d)
 
     def mixed(self, weights: np.ndarray) -> np.ndarray:
+        if self.n * self.d <= CELLS:
+            return weights.T @ self.dense()
         out = np.zeros((weights.shape[1], self.d))
         for k in range(len(out)):
             out[k] = np.bincount(self.at, self.value * weights[self.row, k], self.d)
@@ -134,7 +138,8 @@ def block(columns: list[pa.Array]) -> Block:
     return Sparse(d, ends - ends[0], at, value)
 
 
-def _steps(b: Block, k: int):
+def steps(b: Block, k: int):
+    """The block in parts of so many points that their distances to k centers are CELLS at most: where each begins, and the part."""
     step = max(1, CELLS // max(1, k))
     for s in range(0, b.n, step):
         yield s, b if step >= b.n else b.take(slice(s, s + step))
@@ -150,7 +155,7 @@ def _about(b: Block, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def nearest(b: Block, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The nearest center of each point (the first of equals), its squared distance, and a lower bound of that to any other center."""
     which, near, other = np.zeros(b.n, np.int64), np.zeros(b.n), np.full(b.n, np.inf)
-    for s, part in _steps(b, len(c)):
+    for s, part in steps(b, len(c)):
         about, slack = _about(part, c)
         close = about <= (about.min(1) + 2 * slack)[:, None]
         own = about.argmin(1)

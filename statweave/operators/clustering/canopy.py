@@ -26,14 +26,12 @@ from pyspark.sql import types as T
 
 from ...sources.storage import Scratch, Stored
 from ..rows import numbered
-from .blocks import Block, Dense, block, within
+from .blocks import Block, Dense, block, steps, within
 from .common import SPARSE, Cluster, dense_vector, fold, fold_frame, moments, nearest_center, order_key, read_clusters, vector
 
 #: Points that a round decides at most, and bytes of their components.
 BATCH = 8192
 BATCH_BYTES = 32 << 20
-#: Points whose distances to a round's founders are taken at a time.
-ROWS = 2048
 
 MODEL = "cluster int, founder array<double>, center array<double>, members long"
 
@@ -130,9 +128,9 @@ def matrix_of(rows: pa.Table, at: list[str]) -> np.ndarray:
 def _members(founders: np.ndarray, places: np.ndarray, t1: float):  # noqa: ANN202
     def part(b: Block, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros((len(founders), b.d + 1))
-        for s in range(0, b.n, ROWS):
-            some = b.take(slice(s, s + ROWS))
-            w = (within(some, founders, t1) & (place[s : s + ROWS, None] >= places[None, :])) * n[s : s + ROWS, None].astype(float)
+        for s, some in steps(b, len(founders)):
+            here = slice(s, s + some.n)
+            w = (within(some, founders, t1) & (place[here, None] >= places[None, :])) * n[here, None].astype(float)
             total[:, 0] += w.sum(0)
             total[:, 1:] += some.mixed(w)
         met = np.flatnonzero(total[:, 0])
@@ -141,6 +139,11 @@ def _members(founders: np.ndarray, places: np.ndarray, t1: float):  # noqa: ANN2
     return part
 
 
+def _free(b: Block, founders: np.ndarray, t2: float) -> np.ndarray:
+    """Which points have no founder within t2."""
+    return np.concatenate([~within(some, founders, t2).any(1) for _, some in steps(b, len(founders))])
+
+
 def _uncovered(open_: DataFrame, founders: np.ndarray, t2: float) -> DataFrame:
     """Points without a founder within t2."""
     at = [open_.columns.index(c) for c in vector(open_)]
@@ -148,9 +151,7 @@ def _uncovered(open_: DataFrame, founders: np.ndarray, t2: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and len(founders):
-                b = block([batch.column(i) for i in at])
-                free = [~within(b.take(slice(s, s + ROWS)), founders, t2).any(1) for s in range(0, b.n, ROWS)]
-                batch = batch.filter(pa.array(np.concatenate(free)))
+                batch = batch.filter(pa.array(_free(block([batch.column(i) for i in at]), founders, t2)))
             yield batch
 
     return open_.mapInArrow(run, open_.schema)

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -113,6 +114,32 @@ def test_more_canopies_than_a_model_may_have(spark, monkeypatch):
     assert canopy.canopy_frames(bad.where("false"), 3, 2)[0].collect() == []
 
 
+def test_memory_of_a_round_does_not_grow_with_its_founders():
+    rng = np.random.default_rng(7)
+    x, founders = rng.uniform(0, 1, (2000, 3)), rng.uniform(0, 1, (8192, 3))
+    place, places, n = np.arange(2000), np.arange(8192) // 8, np.ones(2000)
+    tracemalloc.start()
+    met, total = canopy._members(founders, places, 0.2)(blocks.Dense(x), place, n)
+    free = canopy._free(blocks.Dense(x), founders, 0.03)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * 8 * blocks.CELLS  # a few matrices of so many distances
+    for k in (0, 4000, 8191):
+        inside = (((x - founders[k]) ** 2).sum(1) < 0.04) & (place >= places[k])
+        assert np.allclose(total[met.tolist().index(k)], [inside.sum(), *x[inside].sum(0)])
+    assert free[:50].tolist() == [bool((((p - founders) ** 2).sum(1) >= 0.0009).all()) for p in x[:50]]
+
+
+def test_sparse_products_with_and_without_a_matrix(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, c, w = rng.normal(0, 1, (30, 9)) * (rng.random((30, 9)) < 0.3), rng.normal(0, 1, (4, 9)), rng.random((30, 4))
+    i, j = np.nonzero(x)
+    b = blocks.Sparse(9, np.append(0, np.cumsum((x != 0).sum(1))), j, x[i, j])
+    for cells in (blocks.CELLS, 0):
+        monkeypatch.setattr(blocks, "CELLS", cells)
+        assert np.allclose(b.products(c), x @ c.T) and np.allclose(b.mixed(w), w.T @ x)
+
+
 def sparse(df):
     return common.as_points(df, kind="sparse")
 
