@@ -30,6 +30,9 @@ class Dense:
     def squared(self) -> Dense:
         return Dense(self.x * self.x)
 
+    def weighted(self, n: np.ndarray) -> Dense:
+        return Dense(self.x * n[:, None])
+
     def norms(self) -> np.ndarray:
         return np.einsum("ij,ij->i", self.x, self.x)
 
@@ -83,6 +86,9 @@ class Sparse:
     def squared(self) -> Sparse:
         return Sparse(self.d, self.ends, self.at, self.value * self.value)
 
+    def weighted(self, n: np.ndarray) -> Sparse:
+        return Sparse(self.d, self.ends, self.at, self.value * n[self.row])
+
     def norms(self) -> np.ndarray:
         return self._by_row(self.value * self.value)
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ...sources.storage import Scratch, Stored
 from ..rows import numbered
 from .blocks import Block, Dense, block, steps, within
-from .common import SPARSE, Cluster, dense_vector, fold, fold_frame, moments, nearest_center, order_key, read_clusters, vector
+from .common import SPARSE, Cluster, dense_vector, distinct, fold, fold_frame, moments, nearest_center, order_key, read_clusters, vector
 
 #: Points that a round decides at most, and bytes of their components.
 BATCH = 8192
@@ -60,15 +60,12 @@ def founding(x: np.ndarray, t2: float) -> np.ndarray:
 
 def _in_order(points: DataFrame) -> tuple[Stored, DataFrame]:
     """Distinct finite points with their number ``n`` and ``place``."""
-    at = vector(points)
     finite = lambda x: F.abs(x) < float("inf")  # noqa: E731  NaN is above all
-    if at == SPARSE:
-        # Maps can't be grouped, their sorted entries can.
-        listed = F.array_sort(F.filter(F.map_entries("entries"), lambda e: e["value"] != 0))
-        some = points.where(F.forall(F.map_values("entries"), finite)).groupBy("size", listed.alias("listed")).agg(F.count("*").alias("n"))
-        rows = some.withColumn("entries", F.map_from_entries("listed"))
-        return numbered(rows.select("size", "entries", "n", "listed", order_key(dense_vector()).alias("key")), "key", "listed")
-    rows = points.where(F.forall("point", finite)).groupBy("point").agg(F.count("*").alias("n"))
+    if vector(points) == SPARSE:
+        rows = distinct(points.where(F.forall(F.map_values("entries"), finite)))
+        listed = F.array_sort(F.map_entries("entries"))
+        return numbered(rows.select("size", "entries", "n", listed.alias("listed"), order_key(dense_vector()).alias("key")), "key", "listed")
+    rows = distinct(points.where(F.forall("point", finite)))
     return numbered(rows.withColumn("key", order_key(F.col("point"))), "key", "point")
 
 

@@ -73,6 +73,15 @@ def dense_vector() -> Column:
     return F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.coalesce(F.try_element_at("entries", i), F.lit(0.0)))
 
 
+def distinct(points: DataFrame) -> DataFrame:
+    """The distinct vectors and ``n``, the number of points of each."""
+    if vector(points) != SPARSE:
+        return points.groupBy("point").agg(F.count("*").alias("n"))
+    # Maps can't be grouped, their sorted entries can.
+    listed = F.array_sort(F.filter(F.map_entries("entries"), lambda e: e["value"] != 0))
+    return points.groupBy("size", listed.alias("listed")).agg(F.count("*").alias("n")).select("size", F.map_from_entries("listed").alias("entries"), "n")
+
+
 def order_key(point: Column) -> Column:
     """The md5 of a point's components in units of 2**-20, rounded down, with commas between."""
     return F.md5(F.array_join(F.transform(point, lambda x: F.floor(x * 1048576.0).cast("string")), ","))
@@ -135,11 +144,14 @@ def fold(points: DataFrame, part: Callable[..., tuple[np.ndarray, np.ndarray]],
     return dict(sorted(rows.items()))
 
 
-def moments(b: Block, keys: np.ndarray, squares: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that have points, and number, sum and sum of squares of theirs."""
+def moments(b: Block, keys: np.ndarray, squares: bool = True, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that have points, and number, sum and sum of squares of theirs; ``n``: how often each point counts, once without it."""
     found, at = np.unique(keys, return_inverse=True)
-    n = np.bincount(at, minlength=len(found)).astype(np.float64)[:, None]
-    return found, np.hstack([n, b.sums(at, len(found)), *([b.squared().sums(at, len(found))] if squares else [])])
+    parts = [b, *([b.squared()] if squares else [])]
+    if n is not None:
+        parts = [x.weighted(n) for x in parts]
+    number = np.bincount(at, n, minlength=len(found)).astype(np.float64)[:, None]
+    return found, np.hstack([number, *(x.sums(at, len(found)) for x in parts)])
 
 
 def group_sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

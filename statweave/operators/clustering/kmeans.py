@@ -15,7 +15,7 @@ from ...sources.storage import Stored
 from .blocks import Block, block
 from .blocks import nearest as nearest_center
 from .canopy import clusters_of
-from .common import HELD, Cluster, assign, fold, moments, nearest, vector
+from .common import HELD, Cluster, assign, distinct, fold, moments, nearest, vector
 
 #: Centers up to which the distances between centers bound as well (they are compared with one another on the driver).
 PAIRED = 2048
@@ -70,8 +70,8 @@ def bounded(b: Block, centers: np.ndarray, own: np.ndarray, upper: np.ndarray, l
     return taken
 
 
-#: What a point carries, and rows of sums beside the points: key, number and sum (key -1: distances taken).
-STATE = [("own", T.LongType()), ("upper", T.DoubleType()), ("lower", T.DoubleType()), ("k", T.LongType()), ("row", T.ArrayType(T.DoubleType()))]
+#: What a distinct point carries, and rows of sums beside the points: key, number and sum (key -1: distances taken).
+STATE = [("n", T.LongType()), ("own", T.LongType()), ("upper", T.DoubleType()), ("lower", T.DoubleType()), ("k", T.LongType()), ("row", T.ArrayType(T.DoubleType()))]
 
 
 def _passed(points: DataFrame, at: list[str], centers: np.ndarray, moved: np.ndarray | None) -> DataFrame:
@@ -85,7 +85,7 @@ def _passed(points: DataFrame, at: list[str], centers: np.ndarray, moved: np.nda
         keys = np.flatnonzero(total[:, 0])
         rows = [[float(taken)], *total[keys].tolist()]
         n = len(rows)
-        columns = [pa.nulls(n, t) for t in arrow[: width + 3]]
+        columns = [pa.nulls(n, t) for t in arrow[:-2]]
         return pa.RecordBatch.from_arrays([*columns, pa.array([-1, *keys.tolist()], pa.int64()), pa.array(rows, arrow[-1])], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,16 +93,16 @@ def _passed(points: DataFrame, at: list[str], centers: np.ndarray, moved: np.nda
         for batch in batches:
             if not batch.num_rows:
                 continue
-            b = block(batch.columns[:width])
+            b, n = block(batch.columns[:width]), batch.column(width)
             if moved is None:
                 own, upper, lower = np.zeros(b.n, np.int64), np.zeros(b.n), np.zeros(b.n)
             else:
-                own, upper, lower = (batch.column(width + i).to_numpy(zero_copy_only=False).copy() for i in range(3))
+                own, upper, lower = (batch.column(width + i).to_numpy(zero_copy_only=False).copy() for i in (1, 2, 3))
             taken += bounded(b, centers, own, upper, lower, moved, reach)
-            keys, rows = moments(b, own, squares=False)
+            keys, rows = moments(b, own, False, n.to_numpy(zero_copy_only=False))
             total[keys] += rows
             nothing = [pa.nulls(b.n, t) for t in arrow[-2:]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(own), pa.array(upper), pa.array(lower), *nothing], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: width + 1], pa.array(own), pa.array(upper), pa.array(lower), *nothing], names=schema.names)
         yield sums(total, taken)
 
     return points.mapInArrow(run, schema)
@@ -117,16 +117,18 @@ def kmeans(
     points stays where it is: Lloyd's iteration. Each pass reads the points with
     their center and bounds as the pass before has stored them, takes only the
     distances that the triangle inequality leaves open, and stores them again beside
-    its sums per center. Dense and sparse points alike. ``work`` counts distances.
+    its sums per center. Equal points go through the passes as one that counts as
+    often as they occur. Dense and sparse points alike. ``work`` counts distances.
     """
     centers = np.array([c.center for c in initial] if len(initial) and isinstance(initial[0], Cluster) else initial, float)
     if not len(centers):
         raise ValueError("k-means needs initial clusters")
     if centers.size > HELD:
         raise ValueError(f"centers of {centers.size} numbers are too large a model")
-    at, now, held, moved = vector(points), points, None, None
+    at, held, moved = vector(points), None, None
+    now = distinct(points.select(*at))
     for _ in range(iterations):
-        after = Stored(_passed(now.select(*at) if held is None else now, at, centers, moved))
+        after = Stored(_passed(now, at, centers, moved))
         if held:
             held.drop()
         held, now, new = after, after.df.where("k is null"), centers.copy()
@@ -144,8 +146,8 @@ def kmeans(
         centers = new
         if moved.max() <= convergence_delta * (1 + 1e-12):
             break
+    pick = nearest(centers)
+    sums = fold(now, lambda b, n: moments(b, pick(b), n=n), ("n",), blocks=True)
     if held:
         held.drop()
-    pick = nearest(centers)
-    sums = fold(points, lambda b: moments(b, pick(b)), blocks=True)
     return clusters_of(centers, sums), assign(points, pick, blocks=True) if should_cluster else None

@@ -199,6 +199,26 @@ def test_bounds_save_distances(spark):
     assert np.allclose([f.center for f in found], c, atol=1e-9) and work.taken < work.all / 2
 
 
+def test_equal_points_go_through_kmeans_as_one(spark):
+    rng = np.random.default_rng(4)
+    some = rng.normal(0, 3, (20, 4)) * (rng.random((20, 4)) < 0.6)
+    x = some[rng.integers(0, 20, 2000)]
+    df, start = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "n long, point array<double>"), some[:3] + 0.1
+    c = start.copy()
+    for _ in range(4):
+        own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.array([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(3)])
+    own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    for points in (df, sparse(df)):
+        work = kmeans.Work()
+        found, clustered = kmeans.kmeans(points, start, 0.0, 4, work=work)
+        assert work.taken <= 4 * 20 * (3 + 1)  # not 2,000 points
+        assert np.allclose([f.center for f in found], c) and [f.n for f in found] == np.bincount(own, minlength=3).tolist()
+        assert np.allclose([f.radius for f in found], [x[own == k].std(0) if (own == k).any() else 0 * c[k] for k in range(3)], atol=1e-7)
+        assert {r.n: r.cluster for r in clustered.collect()} == dict(enumerate(own.tolist()))
+    assert kmeans.kmeans(df, start, 0.0, 0)[0][0].n == (((x[:, None] - start[None]) ** 2).sum(2).argmin(1) == 0).sum()
+
+
 def test_kmeans_is_lloyd(spark):
     df = blobs(spark, [[0, 0], [5, 5], [0, 9]])
     x = np.array([r[0] for r in df.select("point").collect()])
